@@ -1 +1,553 @@
-"""Placeholder."""
+"""Style codes, titles, names, barcodes, sizes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spreadlake.checks import views as v
+from spreadlake.checks.registry import query
+from spreadlake.functions import barcode, size, style, text
+from spreadlake.operators import barcodes, resolve, review, sizes
+
+
+# SKUs in five shapes, by part: shoe size, waist and length, letter size, a
+# hyphenated code alone, and a colour code with two size-like parts.
+_SKU = f"""CASE p_partkey % 5
+    WHEN 0 THEN concat(replace(p_brand, '#', ''), '_', lpad(p_partkey % 1000, 3, '0'), '_', p_size, '_CNF')
+    WHEN 1 THEN concat('IJ', p_partkey, '_30_32')
+    WHEN 2 THEN concat('HZ', p_partkey, ' _L ')
+    WHEN 3 THEN concat('DD', p_partkey, '-100')
+    ELSE concat('VN', p_partkey, '_49_37.5_cnf') END"""
+
+
+@query("sku_candidates", """
+    SELECT p_partkey, CASE p_partkey % 5
+      WHEN 0 THEN concat_ws(',', b || '-' || c, b || '-' || c || '-' || p_size, b)
+      WHEN 1 THEN concat_ws(',', 'IJ' || p_partkey, 'IJ' || p_partkey || '-30', 'IJ' || p_partkey || '-30-32')
+      WHEN 2 THEN concat_ws(',', 'HZ' || p_partkey, 'HZ' || p_partkey || '-L')
+      WHEN 3 THEN 'DD' || p_partkey || '-100'
+      ELSE concat_ws(',', 'VN' || p_partkey || '-49', 'VN' || p_partkey, 'VN' || p_partkey || '-49-37.5') END AS candidates
+    FROM (SELECT *, replace(p_brand, '#', '') AS b, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS c FROM part)
+""")
+def sku_candidates(spark, sf):
+    return v.part(spark, sf).select(
+        "p_partkey", F.array_join(style.sku_candidates(F.expr(_SKU)), ",").alias("candidates")
+    )
+
+
+@query("lookup_codes", f"""
+    SELECT p_partkey, {v.CODE_SQL} AS codes FROM part
+""")
+def lookup_codes(spark, sf):
+    return v.part(spark, sf).select("p_partkey", F.array_join(style.lookup_codes(F.expr(v.CODE)), ",").alias("codes"))
+
+
+@query("normalized_codes", """
+    SELECT product_id, regexp_replace(upper(title), '[^A-Z0-9]', '', 'g') AS code FROM catalog
+""", ("catalog",))
+def normalized_codes(spark, sf):
+    return v.catalog(spark, sf).select("product_id", style.normalize_code(F.col("title")).alias("code"))
+
+
+@query("style_match", r"""
+    WITH asked AS (
+      SELECT *, CASE p_partkey % 3 WHEN 0 THEN lower(replace(code, '-', ' '))
+                WHEN 1 THEN split_part(style_id, '/', 2) ELSE style_id END AS want FROM catalog),
+    n AS (SELECT *, regexp_replace(upper(want), '[^A-Z0-9]', '', 'g') AS w,
+                 list_distinct(list_filter(list_transform(regexp_split_to_array(style_id, '[/,]'),
+                    lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')), lambda x: x <> '')) AS parts,
+                 regexp_replace(upper(style_id), '[^A-Z0-9]', '', 'g') AS whole,
+                 regexp_matches(title, '(?i)\bsets?\b|\b\d\s*-?\s*piece\b|\btwo[- ]piece\b') AS multi FROM asked)
+    SELECT product_id, CASE WHEN style_id = '' OR w = '' OR len(parts) = 0 THEN false
+      WHEN len(parts) = 1 THEN parts[1] = w WHEN w = whole THEN true WHEN multi THEN false
+      ELSE list_contains(parts, w) END AS matches, multi AS multi_item
+    FROM n
+""", ("catalog",))
+def style_match(spark, sf):
+    asked = F.expr("""CASE p_partkey % 3 WHEN 0 THEN lower(replace(code, '-', ' '))
+                      WHEN 1 THEN get(split(style_id, '/'), 1) ELSE style_id END""")
+    return v.catalog(spark, sf).select(
+        "product_id", style.style_ids_match(F.coalesce(asked, F.lit("")), F.col("style_id"), F.col("title")).alias("matches"),
+        style.is_multi_item(F.col("title")).alias("multi_item"),
+    )
+
+
+@query("title_code_match", r"""
+    WITH asked AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN lower(replace(code, '-', '')) ELSE substr(code, 3) END AS want FROM catalog)
+    SELECT product_id, length(regexp_replace(upper(want), '[^A-Z0-9]', '', 'g')) >= 4 AND list_contains(
+        list_transform(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9\-]*'), lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')),
+        regexp_replace(upper(want), '[^A-Z0-9]', '', 'g')) AS matches
+    FROM asked
+""", ("catalog",))
+def title_code_match(spark, sf):
+    want = F.expr("CASE WHEN p_partkey % 2 = 0 THEN lower(replace(code, '-', '')) ELSE substr(code, 3) END")
+    return v.catalog(spark, sf).select("product_id", style.code_in_title(want, F.col("title")).alias("matches"))
+
+
+_TITLED = """concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' (US Plug)' WHEN 1 THEN ' (220-240V EU Version)'
+             WHEN 2 THEN ' (2024)' ELSE '' END)"""
+_NAMED = "concat(p_name, CASE p_size % 4 WHEN 0 THEN ' ( us )' WHEN 1 THEN ' EU spec' WHEN 2 THEN ' (USA)' ELSE '' END)"
+
+
+@query("region_block", r"""
+    WITH t AS (SELECT p_partkey,
+      CASE p_partkey % 4 WHEN 0 THEN 'US Plug' WHEN 1 THEN '220-240V EU Version' END AS marker,
+      CASE p_partkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' END AS region,
+      CASE p_size % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' ELSE '' END AS stated FROM part)
+    SELECT p_partkey, marker, CASE WHEN marker IS NOT NULL AND region <> stated THEN marker END AS blocker FROM t
+""")
+def region_block(spark, sf):
+    title, name = F.expr(_TITLED), F.expr(_NAMED)
+    return v.part(spark, sf).select(
+        "p_partkey", style.region_marker(title).alias("marker"), style.region_mismatch(title, name).alias("blocker")
+    )
+
+
+@query("name_tokens", r"""
+    SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+        lambda w: length(w) > 1 AND w NOT IN ('the', 'and', 'for', 'shoes', 'shoe', 'sneakers', 'retro')))) AS words
+    FROM documents
+""")
+def name_tokens(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", F.array_sort(text.tokens(F.col("text"))).alias("words"))
+
+
+@query("brand_agreement", """
+    SELECT c_custkey, split_part(lower(c_mktsegment), ' ', 1) = lower(CASE WHEN c_custkey % 2 = 0 THEN 'BUILDING' ELSE 'machinery' END) AS agree
+    FROM customer
+""")
+def brand_agreement(spark, sf):
+    other = F.expr("CASE WHEN c_custkey % 2 = 0 THEN '  BUILDING Star Wars' ELSE 'machinery' END")
+    return v.table(spark, sf, "customer").select(
+        "c_custkey", text.brands_agree(F.concat("c_mktsegment", F.lit("  Originals")), other).alias("agree")
+    )
+
+
+@query("set_numbers", """
+    SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 1000 AND 999999 AND NOT o_orderkey BETWEEN 1900 AND 2099
+      THEN CAST(o_orderkey AS VARCHAR) ELSE '42115' END AS set_number
+    FROM orders
+""")
+def set_numbers(spark, sf):
+    name = F.concat(F.lit("Icons 1998 retro "), F.col("o_orderkey").cast("string"), F.lit(" - 42115"))
+    return v.table(spark, sf, "orders").select(
+        "o_orderkey", text.set_number(name).alias("set_number")
+    )
+
+
+@query("prefixed_skus", """
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'DM' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-100'
+      WHEN 1 THEN 'DM' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE 'WKMKINK' || p_partkey END AS style_code,
+      p_size || '.5' AS size_label,
+      CASE WHEN p_size >= 10 THEN p_size || '.5' END AS eu_label
+    FROM part
+""")
+def prefixed_skus(spark, sf):
+    sku = F.expr("""CASE p_partkey % 3 WHEN 0 THEN concat('nidm', lpad(p_partkey, 6, '0'), '-100')
+                    WHEN 1 THEN concat('NIDM', lpad(p_partkey, 6, '0')) ELSE concat('WKMKINK', p_partkey) END""")
+    slashed = F.concat(sku, F.lit("/"), F.col("p_size").cast("string"), F.lit(",5"))
+    offer_sku = F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit("-5"))
+    return v.part(spark, sf).select(
+        "p_partkey", style.style_from_prefixed_sku(sku).alias("style_code"),
+        style.size_from_slashed_sku(slashed).alias("size_label"),
+        style.eu_size_from_sku(offer_sku, F.col("p_partkey").cast("string")).alias("eu_label"),
+    )
+
+
+# -- resolution ---------------------------------------------------------------------
+
+def _listings(spark, sf):
+    """Listings with a code, plus names that only a fuzzy match can place."""
+    return v.listing(spark, sf).withColumn(
+        "style_code", F.expr("CASE WHEN part_id % 11 = 0 THEN concat('NOCODE', part_id) ELSE style_code END")
+    ).withColumn("name", F.concat_ws(" ", "name", "brand"))
+
+
+_RESOLVE = r"""
+    WITH need AS (
+      SELECT DISTINCT CASE WHEN part_id % 11 = 0 THEN 'NOCODE' || part_id ELSE style_code END AS style_code,
+             brand, name || ' ' || brand AS name FROM listing),
+    keys AS (SELECT *, list_distinct(list_filter(list_transform(regexp_split_to_array(style_id, '[/,]'),
+                lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')), lambda x: x <> '')) AS parts,
+             regexp_replace(upper(style_id), '[^A-Z0-9]', '', 'g') AS whole, contains(title, ' Set ') AS multi FROM catalog),
+    style_key AS (
+      SELECT unnest(CASE WHEN len(parts) <= 1 THEN parts WHEN multi THEN [whole] ELSE list_distinct(list_concat([whole], parts)) END) AS k,
+             product_id, ordinal FROM keys),
+    style_idx AS (SELECT k, min_by(product_id, ordinal) AS pid FROM style_key GROUP BY k),
+    title_idx AS (
+      SELECT k, b, min_by(product_id, ordinal) AS pid FROM (
+        SELECT unnest(list_distinct(list_transform(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9\-]*'),
+                 lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g')))) AS k,
+               split_part(lower(brand), ' ', 1) AS b, product_id, ordinal FROM catalog WHERE style_id = '')
+      WHERE length(k) >= 4 GROUP BY k, b),
+    tried AS (SELECT *, regexp_replace(upper(style_code), '[^A-Z0-9]', '', 'g') AS w, split_part(lower(brand), ' ', 1) AS b
+              FROM need WHERE style_code IS NOT NULL),
+    exact AS (SELECT t.*, s.pid AS by_style, i.pid AS by_title FROM tried t
+              LEFT JOIN style_idx s ON t.w = s.k LEFT JOIN title_idx i ON t.w = i.k AND t.b = i.b),
+    words AS (SELECT DISTINCT brand, name, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: length(x) > 1)) AS want
+              FROM exact WHERE by_style IS NULL AND by_title IS NULL),
+    cat AS (SELECT product_id, ordinal, lower(brand) AS cb,
+                   list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: length(x) > 1)) AS got FROM catalog),
+    fuzzy AS (SELECT w.brand, w.name, min_by(product_id, ordinal) AS pid FROM words w JOIN cat c
+              ON c.cb = split_part(lower(w.brand), ' ', 1)
+              AND len(list_intersect(want, got)) / len(want) >= 0.6 GROUP BY w.brand, w.name)
+    SELECT e.style_code, e.brand, e.name, coalesce(by_style, by_title, f.pid) AS product_id,
+           CASE WHEN by_style IS NOT NULL THEN 'style' WHEN by_title IS NOT NULL THEN 'title' WHEN f.pid IS NOT NULL THEN 'fuzzy' END AS method,
+           CASE WHEN by_style IS NOT NULL OR by_title IS NOT NULL THEN 1.0 WHEN f.pid IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence
+    FROM exact e LEFT JOIN fuzzy f ON e.brand = f.brand AND e.name = f.name
+"""
+
+
+def _whole_brand_catalog(spark, sf):
+    return v.catalog(spark, sf)
+
+
+@query("resolve_cascade", _RESOLVE, ("listing", "catalog"))
+def resolve_cascade(spark, sf):
+    out = resolve.resolve(_listings(spark, sf), v.catalog(spark, sf))
+    return out.select("style_code", "brand", "name", F.col("product.product_id").alias("product_id"), "method", "confidence")
+
+
+@query("exact_code_match", """
+    WITH hit AS (SELECT code, min_by(product_id, ordinal) AS product_id FROM catalog
+                 WHERE style_id <> '' AND (p_partkey % 7 <> 0 OR p_partkey % 14 <> 0) GROUP BY code)
+    SELECT l.style_code, count(*) AS listings, any_value(h.product_id) AS product_id
+    FROM listing l JOIN hit h ON l.style_code = h.code GROUP BY l.style_code
+""", ("listing", "catalog"))
+def exact_code_match(spark, sf):
+    """Listings per code that its style id alone identifies."""
+    matched = resolve.attach(
+        v.listing(spark, sf), resolve.resolve(v.listing(spark, sf), v.catalog(spark, sf), fuzzy=False)
+    ).filter("method = 'style'")
+    return matched.groupBy("style_code").agg(
+        F.count(F.lit(1)).alias("listings"), F.min("product.product_id").alias("product_id")
+    )
+
+
+@query("fuzzy_name_match", r"""
+    WITH names AS (SELECT DISTINCT split_part(brand, ' ', 1) || ' ' || brand AS brand, name || ' ' || category || ' ' || split_part(brand, ' ', 1) AS name FROM listing),
+    w AS (SELECT *, lower(split_part(brand, ' ', 1)) AS b,
+            list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: length(x) > 1)) AS want FROM names),
+    cat AS (SELECT product_id, ordinal, lower(split_part(brand, ' ', 1)) AS cb,
+                   list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || product_type || ' brand'), '[a-z0-9]+'), lambda x: length(x) > 1)) AS got
+            FROM (SELECT c.*, p_type AS product_type FROM catalog c JOIN part USING (p_partkey)))
+    SELECT w.brand, w.name, min_by(product_id, ordinal) AS product_id
+    FROM w JOIN cat ON cat.cb = w.b AND len(list_intersect(want, got)) / len(want) >= 0.6 GROUP BY w.brand, w.name
+""", ("listing", "catalog"))
+def fuzzy_name_match(spark, sf):
+    """One brand holds every row: the skewed case of the fuzzy match."""
+    names = v.listing(spark, sf).select(
+        F.concat_ws(" ", F.split("brand", " ")[0], "brand").alias("brand"),
+        F.concat_ws(" ", "name", "category", F.split("brand", " ")[0]).alias("name"),
+    ).distinct()
+    catalog = v.catalog(spark, sf).withColumns(
+        {"brand": F.split("brand", " ")[0], "title": F.concat_ws(" ", "title", "product_type", F.lit("brand"))}
+    )
+    out = resolve.match_names(names, catalog)
+    return out.select("brand", "name", F.col("hit.product_id").alias("product_id"))
+
+
+@query("fuzzy_match_texts", r"""
+    WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+          lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'shoes', 'shoe', 'sneakers', 'retro'))) AS want FROM benchmark),
+    d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+          lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'shoes', 'shoe', 'sneakers', 'retro'))) AS got FROM documents WHERE lang = 'en')
+    SELECT item_id, min(doc_id) AS doc_id FROM w JOIN d ON len(want) > 0 AND len(list_intersect(want, got)) / len(want) >= 0.6 GROUP BY item_id
+""")
+def fuzzy_match_texts(spark, sf):
+    """First document that covers 60 % of a benchmark text's words."""
+    items = v.table(spark, sf, "benchmark").select("item_id", F.lit("en").alias("brand"), F.col("text").alias("name"))
+    docs = v.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("product_id"), F.lit(None).cast("string").alias("style_id"),
+        F.col("text").alias("title"), F.col("lang").alias("brand"), F.lit(None).cast("string").alias("url_key"),
+        F.col("doc_id").alias("ordinal"),
+    )
+    hits = resolve.match_names(items, docs)
+    return hits.select("item_id", F.col("hit.product_id").cast("bigint").alias("doc_id"))
+
+
+def _cache(spark, sf):
+    """One cache row per part: every sixth a miss, every fourth fuzzy, and some
+    of the sure ones made under older, looser rules."""
+    code = "concat(replace(p_brand, '#', ''), '-', lpad(p_partkey, 7, '0'))"
+    return v.part(spark, sf).selectExpr(
+        f"{code} AS cache_key", "p_partkey % 6 <> 0 AS found", "concat('c', p_partkey) AS product_id",
+        f"""CASE WHEN p_partkey % 9 = 0 THEN 'OTHER-1' WHEN p_partkey % 5 = 0 THEN ''
+                 WHEN p_partkey % 7 = 0 THEN concat({code}, '/ALT', p_partkey) ELSE {code} END AS style_id""",
+        f"concat(p_name, CASE WHEN p_partkey % 14 = 0 THEN ' Set' ELSE '' END, ' ', {code}) AS title",
+        "replace(p_brand, '#', ' ') AS brand", "cast(NULL AS string) AS url_key",
+        "CASE WHEN p_partkey % 6 = 0 THEN 0.0D WHEN p_partkey % 4 = 0 THEN 0.5D ELSE 1.0D END AS confidence",
+        "timestamp'2024-01-31 00:00:00' - make_interval(0, 0, 0, cast(p_partkey % 7 AS int)) AS resolved_at",
+    )
+
+
+@query("resolution_cache", """
+    WITH c AS (SELECT p_partkey, p_partkey % 6 <> 0 AS found,
+        CASE WHEN p_partkey % 6 = 0 THEN 0.0 WHEN p_partkey % 4 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM part),
+    d AS (SELECT *, CASE WHEN NOT found THEN p_partkey % 7 <= 3 WHEN confidence < 0.95 THEN true
+        WHEN p_partkey % 9 = 0 THEN false WHEN p_partkey % 5 = 0 THEN p_partkey % 2 = 0
+        WHEN p_partkey % 14 = 0 THEN false ELSE true END AS ok FROM c)
+    SELECT 'c' || p_partkey AS asked, ok AS cached, CASE WHEN ok THEN found END AS found,
+           CASE WHEN ok AND found THEN 'c' || p_partkey END AS product_id,
+           CASE WHEN ok THEN confidence END AS confidence, NOT ok AS dropped FROM d
+""")
+def resolution_cache(spark, sf):
+    """Each lookup against its cache row: usable, expired, or no longer allowed.
+    Odd parts ask for another brand, which a title code does not survive."""
+    cache = _cache(spark, sf)
+    need = cache.select(
+        "cache_key", F.col("cache_key").alias("style_code"), F.col("product_id").alias("asked"),
+        F.expr("CASE WHEN cast(substr(product_id, 2) AS bigint) % 2 = 0 THEN brand ELSE 'Other' END").alias("brand"),
+        F.lit("x").alias("name"),
+    )
+    out = resolve.check_cache(need, cache, v.now(), 3)
+    return out.select("asked", "cached", "found", F.col("product.product_id").alias("product_id"), "confidence", "dropped")
+
+
+@query("negative_cache_due", """
+    SELECT product_id FROM catalog WHERE p_partkey % 6 = 0 AND p_partkey % 7 > 3
+""", ("catalog",))
+def negative_cache_due(spark, sf):
+    """Misses older than the limit come up for another try."""
+    cache = _cache(spark, sf).filter("NOT found").withColumn("cache_key", F.col("product_id"))
+    need = cache.select("cache_key", F.col("cache_key").alias("style_code"), "brand", F.lit("x").alias("name"))
+    return resolve.due_for_resolution(need, cache, v.now(), 3).select(
+        F.col("cache_key").alias("product_id")
+    )
+
+
+@query("confidence_split", """
+    WITH hit AS (SELECT *, CASE WHEN part_id % 4 = 0 THEN 0.5 WHEN part_id % 4 = 1 THEN 0.9 ELSE 1.0 END::DOUBLE AS c FROM offer)
+    SELECT retailer, url, CASE WHEN c >= 0.9 THEN 'go' ELSE 'low_match_confidence' END AS branch FROM hit WHERE part_id % 5 <> 0
+""", ("offer",))
+def confidence_split(spark, sf):
+    rows = v.offer(spark, sf).withColumns(
+        {
+            "confidence": F.expr("CASE WHEN part_id % 4 = 0 THEN 0.5D WHEN part_id % 4 = 1 THEN 0.9D ELSE 1.0D END"),
+            "product": F.expr("CASE WHEN part_id % 5 <> 0 THEN struct(product_id, name AS title) END"),
+        }
+    )
+    go, unsure = resolve.split_by_confidence(rows, 0.9)
+    low = review.rows(unsure, review.LOW_CONFIDENCE, v.now(), confidence=F.col("confidence"), catalog_title=F.col("product.title"))
+    return go.select("retailer", "url", F.lit("go").alias("branch")).unionByName(
+        low.select("retailer", "url", F.col("reason").alias("branch"))
+    )
+
+
+# -- barcodes -------------------------------------------------------------------------
+
+def _gtin_map(spark, sf):
+    """Barcodes of the parts that have one: every fourth is a known miss, every
+    fifth names another product."""
+    return v.part(spark, sf).filter("p_partkey % 3 = 0").selectExpr(
+        "concat('4006381', lpad(p_partkey, 6, '0')) AS gtin", "p_partkey % 4 <> 0 AS found",
+        "CASE WHEN p_partkey % 4 <> 0 THEN concat('c', CASE WHEN p_partkey % 5 = 0 THEN p_partkey + 1 ELSE p_partkey END) END AS product_id",
+        "CASE WHEN p_partkey % 4 <> 0 THEN concat('g', p_partkey) END AS variant_id",
+        "timestamp'2024-01-01 00:00:00' AS looked_up_at",
+    )
+
+
+@query("clean_gtins", """
+    SELECT c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) >= 4 THEN '40' || c_custkey || '81' END AS gtin,
+           length(CAST(c_custkey AS VARCHAR)) BETWEEN 4 AND 10 AS looks FROM customer
+""")
+def clean_gtins(spark, sf):
+    raw = F.concat(F.lit(" 40-"), F.col("c_custkey").cast("string"), F.lit(".81 "))
+    digits = F.concat(F.lit(" 40"), F.col("c_custkey").cast("string"), F.lit("81 "))
+    return v.table(spark, sf, "customer").select(
+        "c_custkey", barcode.clean_gtin(raw).alias("gtin"), barcode.looks_like_ean(digits).alias("looks")
+    )
+
+
+@query("barcode_match", """
+    SELECT retailer, url, CASE WHEN style_code IS NOT NULL THEN 'style'
+             WHEN part_id % 3 = 0 AND part_id % 4 <> 0 AND g.pid IS NOT NULL THEN 'barcode' END AS method,
+           CASE WHEN style_code IS NOT NULL THEN 'x' WHEN part_id % 3 = 0 AND part_id % 4 <> 0 THEN g.pid END AS product_id
+    FROM offer LEFT JOIN (SELECT p_partkey, 'c' || p_partkey AS pid FROM part) g
+      ON g.p_partkey = CASE WHEN part_id % 5 = 0 THEN part_id + 1 ELSE part_id END
+""", ("offer",))
+def barcode_match(spark, sf):
+    """Listings without a code match fall back to the product their barcode names."""
+    by_code = F.expr("CASE WHEN style_code IS NOT NULL THEN struct('x' AS product_id, name AS title) END")
+    rows = v.offer(spark, sf).drop("product_id").withColumns(
+        {
+            "product": by_code, "method": F.expr("CASE WHEN style_code IS NOT NULL THEN 'style' END"),
+            "confidence": F.expr("CASE WHEN style_code IS NOT NULL THEN 1.0D ELSE 0.0D END"),
+        }
+    )
+    out = barcodes.match_by_barcode(rows, _gtin_map(spark, sf), v.catalog(spark, sf))
+    return out.select("retailer", "url", "method", F.col("product.product_id").alias("product_id"))
+
+
+@query("gtin_crosscheck", """
+    SELECT retailer, url, CASE WHEN part_id % 3 <> 0 OR part_id % 4 = 0 THEN 'unknown'
+           WHEN part_id % 5 = 0 THEN 'other' ELSE 'same' END AS verdict,
+           part_id % 3 = 0 AS known
+    FROM offer
+""", ("offer",))
+def gtin_crosscheck(spark, sf):
+    rows = v.offer(spark, sf).withColumn("code_product", F.concat(F.lit("c"), F.col("part_id").cast("string")))
+    out = barcodes.attach_gtin(rows, "ean", _gtin_map(spark, sf))
+    return out.select(
+        "retailer", "url", barcodes.verdict(F.col("code_product")).alias("verdict"), F.col("gtin_known").alias("known")
+    )
+
+
+@query("gtin_lookups_due", """
+    SELECT DISTINCT ean AS gtin FROM offer WHERE part_id % 3 = 0 AND part_id % 2 = 1
+""", ("offer",))
+def gtin_lookups_due(spark, sf):
+    known = _gtin_map(spark, sf).filter("cast(substr(gtin, 8) AS int) % 2 = 0")
+    return barcodes.lookups_due(v.offer(spark, sf), "ean", known)
+
+
+# -- sizes -----------------------------------------------------------------------------
+
+_LABEL = """CASE l_linenumber WHEN 1 THEN concat('EU ', 38 + l_orderkey % 9) WHEN 2 THEN concat(38 + l_orderkey % 9, ',5')
+            WHEN 3 THEN concat(38 + l_orderkey % 9, ' 2/3') WHEN 4 THEN concat(38 + l_orderkey % 9, '⅓')
+            WHEN 5 THEN element_at(array('2XL', 'xxl', 'Large', 'l', 'One Size', 'OSFA', '2XS', 's.'), cast(1 + l_orderkey % 8 AS int))
+            WHEN 6 THEN 'FOO' ELSE concat(l_orderkey % 50, '/0') END"""
+_KEY_SQL = """CASE l_linenumber WHEN 1 THEN 'N:' || CAST(38 + l_orderkey % 9 AS DOUBLE)
+            WHEN 2 THEN 'N:' || CAST(38 + l_orderkey % 9 + 0.5 AS DOUBLE)
+            WHEN 3 THEN 'N:' || ((38 + l_orderkey % 9)::DOUBLE + 2::DOUBLE / 3::DOUBLE)
+            WHEN 4 THEN 'N:' || ((38 + l_orderkey % 9)::DOUBLE + 1::DOUBLE / 3::DOUBLE)
+            WHEN 5 THEN 'L:' || ['XXL', 'XXL', 'L', 'L', 'OS', 'OS', 'XXS', 'S'][1 + l_orderkey % 8]
+            WHEN 6 THEN NULL ELSE 'N:' || CAST(l_orderkey % 50 AS DOUBLE) END"""
+
+
+@query("size_keys", f"""
+    SELECT l_orderkey, l_linenumber, {_KEY_SQL} AS size_key FROM lineitem
+""")
+def size_keys(spark, sf):
+    return v.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", size.size_key(F.expr(_LABEL)).alias("size_key")
+    )
+
+
+_SIDES = (
+    "CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE 7 + l_orderkey % 4 END AS r_us",
+    "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 40 + l_linenumber % 3 END AS r_eu",
+    "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 7 + l_linenumber % 4 END AS v_us",
+    "CASE WHEN l_linenumber = 5 THEN NULL ELSE 40 + l_orderkey % 3 END AS v_eu",
+)
+
+
+@query("size_confidence", f"""
+    WITH s AS (SELECT l_orderkey, l_linenumber, {', '.join(_SIDES)} FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE
+      WHEN r_us IS NOT NULL AND v_us IS NOT NULL THEN
+        CASE WHEN r_us <> v_us THEN 0.0 WHEN r_eu <> v_eu THEN 0.5 ELSE 1.0 END
+      WHEN r_eu = v_eu THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence FROM s
+""")
+def size_confidence(spark, sf):
+    rows = v.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_SIDES)
+    us, eu = F.concat(F.col("r_us").cast("string"), F.lit(" ")), F.concat(F.lit("EU "), F.col("r_eu").cast("string"))
+    conf = size.size_confidence(us, eu, F.col("v_us").cast("string"), F.col("v_eu").cast("string"))
+    return rows.select("l_orderkey", "l_linenumber", conf.alias("confidence"))
+
+
+def _sized_listing(spark, sf):
+    """Retail sizes in four systems."""
+    return v.listing(spark, sf).selectExpr(
+        "l_orderkey", "l_linenumber", "product_id", "size_label",
+        "element_at(array('EU', 'us', 'UK', 'letter'), cast(1 + part_id % 4 AS int)) AS size_system",
+        "CASE WHEN part_id % 3 = 0 THEN size_label WHEN part_id % 3 = 1 THEN '' END AS us_size",
+    )
+
+
+_ROUTED = """
+    WITH r AS (SELECT l_orderkey, l_linenumber, product_id,
+        CASE WHEN part_id % 3 = 0 THEN size_label WHEN part_id % 4 IN (1, 3) THEN size_label ELSE '' END AS us,
+        CASE WHEN part_id % 4 = 0 THEN size_label ELSE '' END AS eu FROM listing)
+"""
+
+
+@query("size_routing", _ROUTED + "SELECT l_orderkey, l_linenumber, us AS retail_us, eu AS retail_eu FROM r", ("listing",))
+def size_routing(spark, sf):
+    return sizes.with_retail_labels(_sized_listing(spark, sf)).select("l_orderkey", "l_linenumber", "retail_us", "retail_eu")
+
+
+def _variants(spark, sf):
+    """Every second variant is offered a second time under another id, so that
+    some labels fit two variants."""
+    base = v.variants(spark, sf)
+    twice = base.filter("cast(substr(variant_id, 2) AS int) % 2 = 0").withColumn("variant_id", F.concat("variant_id", F.lit("b")))
+    return base.unionByName(twice).withColumn(
+        "size", F.expr("CASE WHEN cast(regexp_extract(variant_id, '[0-9]+', 0) AS int) % 5 = 0 THEN NULL ELSE size END")
+    )
+
+
+@query("size_variant_match", _ROUTED + """,
+    var AS (
+      SELECT product_id, variant_id || s AS variant_id, CASE WHEN CAST(substr(variant_id, 2) AS INT) % 5 = 0 THEN NULL ELSE size END AS v_us, size AS v_eu
+      FROM variant, (VALUES (''), ('b')) x(s) WHERE s = '' OR CAST(substr(variant_id, 2) AS INT) % 2 = 0),
+    pair AS (
+      SELECT DISTINCT r.product_id, r.us, r.eu, variant_id, CASE WHEN us <> '' AND v_us IS NOT NULL THEN
+          CASE WHEN us <> v_us THEN 0.0 WHEN eu <> '' AND eu <> v_eu THEN 0.5 ELSE 1.0 END
+        WHEN eu <> '' AND eu = v_eu THEN 1.0 ELSE 0.0 END AS fit
+      FROM r JOIN var ON r.product_id = var.product_id),
+    best AS (SELECT product_id, us, eu, count(*) FILTER (fit = 1) AS full_fits, min_by(variant_id, (-fit, variant_id)) AS variant_id, max(fit) AS fit
+             FROM pair WHERE fit > 0 GROUP BY product_id, us, eu)
+    SELECT l_orderkey, l_linenumber, b.variant_id, CASE WHEN full_fits > 1 THEN 0.5 ELSE coalesce(fit, 0) END::DOUBLE AS size_confidence
+    FROM r LEFT JOIN best b ON r.product_id = b.product_id AND r.us = b.us AND r.eu = b.eu
+""", ("listing", "variant"))
+def size_variant_match(spark, sf):
+    out = sizes.attach_variant(_sized_listing(spark, sf), _variants(spark, sf))
+    return out.select("l_orderkey", "l_linenumber", "variant_id", "size_confidence")
+
+
+@query("size_conflicts", _ROUTED + """,
+    var AS (SELECT product_id, size, count(*) * 2 AS n FROM variant WHERE CAST(substr(variant_id, 2) AS INT) % 10 IN (2, 4, 6, 8) GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber FROM r JOIN var ON r.product_id = var.product_id AND r.us = var.size
+    UNION ALL
+    SELECT l_orderkey, l_linenumber FROM r JOIN var ON r.product_id = var.product_id AND r.us = '' AND r.eu = var.size
+    UNION ALL
+    SELECT l_orderkey, l_linenumber FROM r JOIN variant x ON r.product_id = x.product_id AND r.eu = x.size AND CAST(substr(variant_id, 2) AS INT) % 10 = 0
+""", ("listing", "variant"))
+def size_conflicts(spark, sf):
+    """Sizes whose mapping is ambiguous or contradicted: for review, not alerts."""
+    _, conflicts = sizes.split_by_fit(sizes.attach_variant(_sized_listing(spark, sf), _variants(spark, sf)))
+    return conflicts.select("l_orderkey", "l_linenumber")
+
+
+@query("sizeless_products", """
+    WITH x AS (SELECT user_id, 'p' || (user_id % 40) AS product_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id < 60 OR user_id % 40 > 25)
+    SELECT product_id, 'v' || min(user_id) AS only_variant FROM x GROUP BY product_id HAVING count(*) = 1 AND min(user_id) % 2 = 0
+""")
+def sizeless_products(spark, sf):
+    users = v.table(spark, sf, "events").select("user_id").distinct().filter("user_id < 60 OR user_id % 40 > 25")
+    rows = users.selectExpr(
+        "concat('p', user_id % 40) AS product_id", "concat('v', user_id) AS variant_id",
+        "CASE WHEN user_id % 2 = 1 THEN '42' WHEN user_id % 4 = 0 THEN '  ' END AS size",
+    )
+    return sizes.sizeless_products(rows)
+
+
+@query("synthesised_sizes", """
+    SELECT retailer, url, size AS size_label, CASE WHEN CAST(substr(variant_id, 2) AS INT) % 3 = 0 THEN 'US' ELSE 'EU' END AS size_system
+    FROM offer JOIN variant USING (product_id) WHERE part_id % 10 = 0
+""", ("offer", "variant"))
+def synthesised_sizes(spark, sf):
+    """Listings of shops that publish no sizes get one candidate per variant."""
+    listing = v.offer(spark, sf).withColumns(
+        {"size_stock_unverified": F.col("part_id") % 10 == 0, "sizes": F.array().cast("array<struct<label:string>>")}
+    )
+    offered = v.variants(spark, sf).withColumn(
+        "conversions",
+        F.expr("CASE WHEN cast(substr(variant_id, 2) AS int) % 3 = 0 THEN map('uk', size) ELSE conversions END"),
+    )
+    return sizes.synthesised_sizes(listing, offered).select("retailer", "url", "size_label", "size_system")
+
+
+@query("sizes_not_gone", """
+    SELECT l_orderkey, l_linenumber, size_label FROM listing WHERE part_id % 4 <> 1
+""", ("listing",))
+def sizes_not_gone(spark, sf):
+    """Sizes known to be gone are dropped; unknown stock stays."""
+    stock = F.expr("CASE part_id % 4 WHEN 1 THEN false WHEN 2 THEN NULL ELSE true END")
+    one = F.struct(
+        F.col("size_label").alias("label"), F.lit("EU").alias("system"), F.lit(None).cast("string").alias("us_size"),
+        F.lit(None).cast("string").alias("ean"), stock.alias("in_stock"),
+    )
+    listing = v.listing(spark, sf).select("l_orderkey", "l_linenumber", F.array(one).alias("sizes"))
+    return sizes.explode_sizes(listing).select("l_orderkey", "l_linenumber", "size_label")

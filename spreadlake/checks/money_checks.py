@@ -129,19 +129,14 @@ def second_venue(spark, sf):
     )
 
 
-_GATE = "30.0::DOUBLE"
-
-
 @query("gate_profit", f"""
-    SELECT variant_id, {v.profit_sql('highest_bid', _GATE)} AS live, greatest({v.profit_sql('highest_bid', _GATE)},
-           {v.profit_sql('greatest(lowest_ask - 5.0::DOUBLE, 0.0::DOUBLE)', _GATE)}) AS either,
-           coalesce(greatest({v.profit_sql('highest_bid', _GATE)},
-           {v.profit_sql('greatest(lowest_ask - 5.0::DOUBLE, 0.0::DOUBLE)', _GATE)}), 0) AS best
-    FROM market WHERE lowest_ask IS NULL OR lowest_ask > 5
+    WITH s AS (SELECT variant_id, {v.profit_sql('highest_bid', _COST)} AS live, CASE WHEN lowest_ask > 0 THEN
+           {v.payout_sql('greatest(lowest_ask - 5.0::DOUBLE, 0.0::DOUBLE)')} - {_COST} END AS listed FROM market)
+    SELECT variant_id, live, greatest(live, listed) AS either, coalesce(greatest(live, listed), 0) AS best FROM s
 """, ("market",))
 def gate_profit(spark, sf):
     fees = replace(FEES, undercut=5.0)
-    m = v.market(spark, sf).filter("lowest_ask IS NULL OR lowest_ask > 5")
+    m = v.market(spark, sf)
     sell = money.sell_now(F.col("highest_bid"), F.lit(30.0), fees, VAT)["profit"]
     ask = money.list_ask(F.col("lowest_ask"), F.lit(30.0), fees, VAT)["profit"]
     return m.select(
