@@ -1 +1,272 @@
-"""Placeholder."""
+"""State tables: changes, merges, appends, reviews."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spreadlake import schemas
+from spreadlake.checks import views as v
+from spreadlake.checks.quote_checks import snapshots
+from spreadlake.checks.registry import query
+from spreadlake.operators import monitor, review, state
+from spreadlake.plans import jobs
+from spreadlake.session import new_shared_path
+
+
+def store(spark) -> jobs.Store:
+    return jobs.Store(spark, new_shared_path(spark, "store"))
+
+
+_SNAPS = """
+    WITH o AS (SELECT retailer, url, min(price) AS price, bool_or(in_stock) AS s, min(seen_at) AS f, max(seen_at) AS t FROM listing WHERE seen_at < TIMESTAMP '1998-01-01' GROUP BY ALL),
+    n AS (SELECT retailer, url, min(price) AS price, bool_or(in_stock) AS s, min(seen_at) AS f, max(seen_at) AS t FROM listing WHERE seen_at >= TIMESTAMP '1998-01-01' GROUP BY ALL)
+"""
+
+
+@query("listing_changes", _SNAPS + """
+    SELECT n.retailer, n.url, o.url IS NULL AS is_new, coalesce(n.price < o.price - 0.01::DOUBLE, false) AS price_dropped,
+           coalesce(NOT o.s AND n.s, false) AS restocked, o.price AS old_price
+    FROM n LEFT JOIN o ON n.retailer = o.retailer AND n.url = o.url
+""", ("listing",))
+def listing_changes(spark, sf):
+    return state.listing_changes(*snapshots(spark, sf)).select(
+        "retailer", "url", "is_new", "price_dropped", "restocked", "old_price"
+    )
+
+
+@query("listing_merge", _SNAPS + """
+    SELECT coalesce(n.retailer, o.retailer) AS retailer, coalesce(n.url, o.url) AS url, coalesce(n.price, o.price) AS price,
+           coalesce(n.s, o.s) AS in_stock, epoch_us(coalesce(o.f, n.f)) AS first_us, epoch_us(coalesce(n.t, o.t)) AS last_us
+    FROM n FULL JOIN o ON n.retailer = o.retailer AND n.url = o.url
+""", ("listing",))
+def listing_merge(spark, sf):
+    """Upsert of listings that keeps the first sighting, through two versions."""
+    new, old = snapshots(spark, sf)
+    schema = "retailer string, url string, price double, in_stock boolean, name string, style_code string, first_seen timestamp, last_seen timestamp"
+    table = store(spark).table("listing", schema)
+    table.replace(old)
+    table.replace(state.merge_listings(table.read(), new))
+    return table.read().select(
+        "retailer", "url", "price", "in_stock", F.unix_micros("first_seen").alias("first_us"),
+        F.unix_micros("last_seen").alias("last_us"),
+    )
+
+
+def _resolution_rows(spark, sf, when, keep):
+    return v.part(spark, sf).filter(keep).selectExpr(
+        "concat('k', p_partkey) AS cache_key", f"p_partkey % 4 <> {when % 4} AS found", f"concat('c', p_partkey, '-{when}') AS product_id",
+        "'' AS style_id", "p_name AS title", "p_brand AS brand", "cast(NULL AS string) AS url_key", f"cast({when} AS double) AS confidence",
+        f"timestamp'2024-01-0{when} 00:00:00' AS resolved_at",
+    )
+
+
+@query("resolution_put_drop", """
+    SELECT 'k' || p_partkey AS cache_key, 'c' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '-2' ELSE '-1' END AS product_id,
+           CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 4 <> 2 ELSE p_partkey % 4 <> 1 END AS found
+    FROM part WHERE p_partkey % 7 <> 3
+""")
+def resolution_put_drop(spark, sf):
+    """Cache rows put twice, then some dropped."""
+    s = store(spark)
+    jobs.put_resolution(s, _resolution_rows(spark, sf, 1, "true"))
+    jobs.put_resolution(s, _resolution_rows(spark, sf, 2, "p_partkey % 2 = 0"))
+    jobs.drop_resolution(s, v.part(spark, sf).filter("p_partkey % 7 = 3").selectExpr("concat('k', p_partkey) AS cache_key"))
+    return s.resolution.read().select("cache_key", "product_id", "found")
+
+
+@query("watch_put", """
+    SELECT 'p' || c_custkey AS product_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS best_profit FROM customer
+""")
+def watch_put(spark, sf):
+    """Watch rows replaced by a later look, a look without any bid included."""
+    s = store(spark)
+    rows = v.table(spark, sf, "customer").selectExpr(
+        "concat('p', c_custkey) AS product_id", "c_acctbal AS best_profit", "timestamp'2024-01-01 00:00:00' AS checked_at", "c_custkey"
+    )
+    jobs.put_watch(s, rows)
+    jobs.put_watch(s, rows.filter("c_custkey % 3 = 0").withColumns(
+        {"best_profit": F.lit(None).cast("double"), "checked_at": F.col("checked_at") + F.expr("INTERVAL 1 DAY")}
+    ))
+    return s.watch.read().select("product_id", "best_profit")
+
+
+@query("gtin_put", """
+    SELECT '4006381' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS gtin, p_partkey % 4 <> 0 OR p_partkey % 8 = 0 AS found FROM part
+""")
+def gtin_put(spark, sf):
+    """Barcode answers, misses included; a later answer replaces a miss."""
+    s = store(spark)
+    rows = v.part(spark, sf).selectExpr(
+        "concat('4006381', lpad(p_partkey, 6, '0')) AS gtin", "p_partkey % 4 <> 0 AS found", "concat('c', p_partkey) AS product_id",
+        "concat('g', p_partkey) AS variant_id", "timestamp'2024-01-01 00:00:00' AS looked_up_at", "p_partkey",
+    )
+    jobs.put_gtins(s, rows)
+    jobs.put_gtins(s, rows.filter("p_partkey % 8 = 0").withColumn("found", F.lit(True)))
+    return s.gtin_map.read().select("gtin", "found")
+
+
+@query("variants_put", """
+    SELECT product_id, variant_id, CASE WHEN CAST(substr(variant_id, 2) AS INT) % 3 = 0 THEN size || '.5' ELSE size END AS size,
+           size AS eu FROM variant
+""", ("variant",))
+def variants_put(spark, sf):
+    s = store(spark)
+    rows = v.variants(spark, sf)
+    jobs.put_variants(s, rows)
+    jobs.put_variants(s, rows.filter("cast(substr(variant_id, 2) AS int) % 3 = 0").withColumn("size", F.concat("size", F.lit(".5"))))
+    return s.variants.read().select("product_id", "variant_id", "size", F.try_element_at("conversions", F.lit("eu")).alias("eu"))
+
+
+@query("quote_history_append", """
+    SELECT strftime(fetched_at, '%Y-%m-%d') AS quote_date, count(*) AS n, count(DISTINCT variant_id) AS variants FROM quote_history GROUP BY 1
+""", ("quote_history",))
+def quote_history_append(spark, sf):
+    """Quotes appended to files by date, and read back."""
+    s = store(spark)
+    jobs.put_quotes(s, v.quote_history(spark, sf))
+    back = spark.read.parquet(f"{s.root}/quote_history")
+    return back.groupBy(F.col("quote_date").cast("string").alias("quote_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("variant_id").alias("variants")
+    )
+
+
+# -- first and last of a key -------------------------------------------------------------
+
+@query("keep_first", """
+    SELECT retailer, part_id, min(ordinal) AS ordinal FROM listing GROUP BY ALL
+""", ("listing",))
+def keep_first(spark, sf):
+    rows = v.listing(spark, sf).select("retailer", "part_id", "ordinal")
+    return state.first_per_key(rows, ["retailer", "part_id"], ["ordinal"])
+
+
+@query("keep_last", """
+    SELECT retailer, part_id, max(ordinal) AS ordinal FROM listing GROUP BY ALL
+""", ("listing",))
+def keep_last(spark, sf):
+    rows = v.listing(spark, sf).select("retailer", "part_id", "ordinal")
+    return state.first_per_key(rows, ["retailer", "part_id"], ["ordinal"], keep_last=True)
+
+
+# -- review queue ---------------------------------------------------------------------------
+
+_REASONS = (review.LOW_CONFIDENCE, review.GTIN_MISMATCH, review.REGION, review.SIZE_CONFLICT, "other")
+
+
+def review_rows(spark, sf):
+    """Error events as review entries: five reasons, few urls, many repeats."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    reason = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), (k % 5 + 1).cast("int"))
+    return v.events(spark, sf).filter("event_type = 'error'").select(
+        F.col("ts").alias("created_at"), F.concat(F.lit("shop"), (F.col("user_id") % 4).cast("string")).alias("retailer"),
+        F.concat(F.lit("https://x/"), (F.col("user_id") % 40).cast("string")).alias("url"),
+        F.lit("AB-1").alias("style_code"), reason.alias("reason"),
+        F.to_json(F.struct("event_id", "value")).alias("detail"), "event_id",
+    )
+
+
+_REVIEW = f"""
+    WITH r AS (SELECT event_id, ts, 'shop' || (user_id % 4) AS retailer, 'https://x/' || (user_id % 40) AS url,
+        {list(_REASONS)}[1 + CAST(json_extract_string(props, '$.k') AS INT) % 5] AS reason FROM events WHERE event_type = 'error'),
+    a AS (SELECT url, reason, min(ts) AS ts, min_by(retailer, ts) AS retailer, min_by(event_id, ts) AS event_id
+          FROM r WHERE ts < TIMESTAMP '2024-01-10' GROUP BY url, reason),
+    b AS (SELECT url, reason, min(ts) AS ts, min_by(retailer, ts) AS retailer, min_by(event_id, ts) AS event_id
+          FROM r WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY url, reason),
+    queue AS (
+      SELECT a.*, event_id % 3 = 0 AS resolved FROM a
+      UNION ALL SELECT b.*, false FROM b LEFT JOIN a USING (url, reason) WHERE a.url IS NULL OR a.event_id % 3 = 0)
+"""
+
+
+def review_store(spark, sf) -> jobs.Store:
+    """Two rounds of entries; every third of the first round resolved between."""
+    s = store(spark)
+    rows = review_rows(spark, sf)
+    cut = F.col("created_at") < F.lit("2024-01-10").cast("timestamp")
+    jobs.add_reviews(s, rows.filter(cut).drop("event_id"))
+    opened = jobs.reviews(s).filter(F.get_json_object("detail", "$.event_id").cast("bigint") % 3 == 0)
+    jobs.resolve_reviews(s, opened.select("review_id"), v.now())
+    jobs.add_reviews(s, rows.filter(~cut).drop("event_id"))
+    return s
+
+
+@query("review_append", _REVIEW + "SELECT url, reason, retailer, epoch_us(ts) AS at_us, resolved FROM queue")
+def review_append(spark, sf):
+    return jobs.reviews(review_store(spark, sf)).select(
+        "url", "reason", "retailer", F.unix_micros("created_at").alias("at_us"), "resolved"
+    )
+
+
+@query("review_list", _REVIEW + """
+    SELECT url, reason, retailer, epoch_us(ts) AS at_us FROM queue WHERE NOT resolved AND reason = 'size_mapping_conflict'
+    ORDER BY ts DESC LIMIT 20
+""")
+def review_list(spark, sf):
+    entries = jobs.reviews(review_store(spark, sf))
+    return review.listing(entries, reason=review.SIZE_CONFLICT, limit=20).select(
+        "url", "reason", "retailer", F.unix_micros("created_at").alias("at_us")
+    )
+
+
+@query("review_by_reason", _REVIEW + "SELECT reason, count(*) AS n FROM queue WHERE NOT resolved GROUP BY reason")
+def review_by_reason(spark, sf):
+    return review.counts_by_reason(jobs.reviews(review_store(spark, sf)))
+
+
+@query("review_resolve", _REVIEW + """
+    SELECT url, reason FROM queue WHERE NOT resolved AND retailer = 'shop2'
+""")
+def review_resolve(spark, sf):
+    """Resolving a shop's entries: those that were still open are reported."""
+    s = review_store(spark, sf)
+    before = jobs.reviews(s).filter("retailer = 'shop2'")
+    events = review.resolve(before, before.select("review_id"), v.now())
+    return before.join(events.select("review_id"), "review_id").select("url", "reason")
+
+
+@query("review_union", """
+    SELECT 'low_match_confidence' AS reason, count(*) AS n FROM offer WHERE part_id % 4 = 0
+    UNION ALL SELECT 'region_marker_unconfirmed', count(*) FROM offer WHERE part_id % 4 = 1
+    UNION ALL SELECT 'gtin_product_mismatch', count(*) FROM offer WHERE part_id % 4 = 2
+""", ("offer",))
+def review_union(spark, sf):
+    """Rows of three gates in one queue."""
+    rows = v.offer(spark, sf)
+    parts = [
+        review.rows(rows.filter(F.col("part_id") % 4 == i), reason, v.now(), part=F.col("part_id"))
+        for i, reason in enumerate((review.LOW_CONFIDENCE, review.REGION, review.GTIN_MISMATCH))
+    ]
+    return review.union(*parts).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- scan log and sales -----------------------------------------------------------------------
+
+def scan_rows(spark, sf):
+    """Orders as scan runs: a shop per customer, counts from the total."""
+    return v.table(spark, sf, "orders").selectExpr(
+        "cast(o_orderdate AS timestamp) AS started_at", "concat('shop', o_custkey % 11) AS retailer",
+        "o_orderkey AS products_seen", "o_orderkey % 100 AS candidates", "o_orderkey % 10 AS opportunities",
+        "o_orderkey % 3 AS alerts_sent",
+    )
+
+
+@query("scan_log_append", """
+    SELECT 'shop' || (o_custkey % 11) AS retailer, count(*) AS scans, sum(o_orderkey)::BIGINT AS seen, sum(o_orderkey % 3)::BIGINT AS alerts FROM orders GROUP BY 1
+""")
+def scan_log_append(spark, sf):
+    s = store(spark)
+    jobs.log_scan(s, scan_rows(spark, sf))
+    return s.log("scan_log", schemas.SCAN_LOG).groupBy("retailer").agg(
+        F.count(F.lit(1)).alias("scans"), F.sum("products_seen").alias("seen"), F.sum("alerts_sent").alias("alerts")
+    )
+
+
+@query("recent_scans", """
+    SELECT 'shop' || (o_custkey % 11) AS retailer, o_orderkey AS products_seen, epoch_us(o_orderdate) AS at_us FROM orders
+    ORDER BY o_orderdate DESC, retailer, o_orderkey LIMIT 20
+""")
+def recent_scans(spark, sf):
+    log = scan_rows(spark, sf).withColumn("retailer", F.concat_ws("#", "retailer", F.lpad(F.col("products_seen").cast("string"), 20, "0")))
+    return monitor.recent_scans(log).select(
+        F.split("retailer", "#")[0].alias("retailer"), "products_seen", F.unix_micros("started_at").alias("at_us")
+    )

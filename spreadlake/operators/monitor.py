@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions.times import age_seconds
-from spreadlake.operators.ordered import LastKnown, RowNumber, with_ordered
+from spreadlake.operators.ordered import LastKnown, RowNumber, RunningSum, with_ordered
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -45,18 +45,41 @@ def coverage(listing: DataFrame, resolution: DataFrame, approximate: bool = Fals
     ).withColumn("percent", percent(F.col("checked"), F.col("distinct_style_codes")))
 
 
+def exact_median(values: DataFrame, value: str) -> DataFrame:
+    """One row, `median`: the middle value, or the mean of the two middle ones.
+
+    An exact percentile aggregate would hold every distinct value in one task.
+    Values are counted instead, the counts are summed along the order, and only
+    the values the middle positions fall on are looked at.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    placed = with_ordered(counted, [], [F.col("_v")], _upto=RunningSum(F.col("_n")))
+    total = placed.agg(F.coalesce(F.max("_upto"), F.lit(0)).alias("_all")).withColumn("_one", F.lit(1))
+    before = F.col("_upto") - F.col("_n")
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((before < place) & (place <= F.col("_upto")), F.col("_v")))
+
+    joined = placed.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    return joined.agg(((at(lower) + at(upper)) / 2).alias("median"))
+
+
 def market_health(quotes: DataFrame, now: Column, refresh_minutes: int) -> DataFrame:
     """Snapshot counts and the exact median of bid over ask."""
     bid, ask = F.col("highest_bid"), F.col("lowest_ask")
-    ratio = F.when((bid != 0) & (ask != 0), bid / ask)
     cutoff = now - F.expr(f"INTERVAL {int(refresh_minutes)} MINUTES")
     out = quotes.agg(
         F.count(F.lit(1)).alias("variant_snapshots"),
         F.count_if(F.col("fetched_at") >= cutoff).alias("fresh"),
         F.count_if(bid != 0).alias("with_live_bid"),
-        F.percentile(ratio, F.lit(0.5)).alias("median_bid_ask"),
     )
-    return out.withColumn("with_live_bid_pct", percent(F.col("with_live_bid"), F.col("variant_snapshots")))
+    ratios = quotes.filter((bid != 0) & (ask != 0)).select((bid / ask).alias("ratio"))
+    median = exact_median(ratios, "ratio").withColumnRenamed("median", "median_bid_ask")
+    both = out.withColumn("_one", F.lit(1)).join(median.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumn("with_live_bid_pct", percent(F.col("with_live_bid"), F.col("variant_snapshots")))
 
 
 def gtin_hit_rate(gtin_map: DataFrame) -> DataFrame:
