@@ -1 +1,552 @@
-"""Placeholder."""
+"""Extraction. The driver's pages hold no product data, so Spark first writes
+each part into the payload a shop would serve, and the extractor has to read
+back what the SQL takes from `part` directly. Link and title extraction run on
+the driver's pages themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from spreadlake.checks import views as v
+from spreadlake.checks.registry import query
+from spreadlake.functions import text
+from spreadlake.sources import feeds, jsonld, landed, market, markup, sitemap
+
+Q = '"'
+
+
+def pages(spark, sf, body: str, shop: str = "'shop1'", where: str = "true") -> DataFrame:
+    """One landed page per part; `body` is a SQL expression over `part`."""
+    return v.part(spark, sf).filter(where).withColumn("brandname", F.expr("replace(p_brand, '#', ' ')")).select(
+        "*", F.expr(shop).alias("retailer"),
+        F.expr("concat('https://shop1.example/p/item-', p_partkey)").alias("url"),
+        F.lit(v.NOW).alias("fetched_at"), F.expr(body).alias("body"),
+    )
+
+
+def _script(json: str) -> str:
+    return f"""concat('<html><script type="application/ld+json">', {json}, '</script></html>')"""
+
+
+# A product node as JSON text. The price is text with a decimal comma for odd
+# parts and a number for even ones; the brand an object for every third.
+_NODE = """concat('{"@type":', CASE WHEN p_partkey % 4 = 1 THEN '["Thing","Product"]' ELSE '"Product"' END,
+    ',"name":"', p_name, ' ', 40000 + p_partkey % 50000, '","category":"', CASE WHEN p_size % 10 = 0 THEN 'Kids Books' ELSE p_type END,
+    '","sku":"', p_partkey, '","brand":', CASE WHEN p_partkey % 3 = 0 THEN concat('{"name":" ', brandname, ' "}') ELSE concat('"', brandname, '"') END,
+    CASE WHEN p_partkey % 5 = 0 THEN ',"gtin":"12 34"' WHEN p_partkey % 5 = 1 THEN concat(',"gtin12":"12345', lpad(p_partkey, 7, '0'), '","gtin":"99999999"')
+         ELSE concat(',"gtin13":', 4000000000000 + p_partkey) END,
+    ',"offers":', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '[' END, '{"price":',
+    CASE WHEN p_partkey % 2 = 0 THEN concat(cast(p_size AS string), '.5') ELSE concat('"', p_size, ',25"') END,
+    ',"priceCurrency":"', CASE WHEN p_partkey % 7 = 0 THEN 'SEK' ELSE 'EUR' END, '","availability":"https://schema.org/',
+    element_at(array('InStock', 'PreOrder', 'OutOfStock'), cast(p_size % 3 + 1 AS int)), '"}', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ']' END, '}')"""
+
+# The four shapes a block may have, and a broken block in front of each.
+_SHAPED = f"""concat('<script type="application/ld+json">{{broken</script><script id="a" type="application/ld+json">',
+    CASE p_partkey % 4 WHEN 0 THEN node WHEN 1 THEN concat('[{{"@type":"BreadcrumbList"}},', node, ']')
+      WHEN 2 THEN concat('{{"@graph":[{{"@type":"WebPage"}},', node, ',', node, ']}}')
+      ELSE concat('{{"mainEntity":{{"@type":"ItemList","itemListElement":[', node, ']}}}}') END, '</script>')"""
+
+
+def _ld_pages(spark, sf):
+    return pages(spark, sf, _NODE).withColumnRenamed("body", "node").withColumn("body", F.expr(_SHAPED))
+
+
+_LD = """
+    WITH n AS (SELECT *, p_name || ' ' || (40000 + p_partkey % 50000) AS name, replace(p_brand, '#', ' ') AS brand,
+      CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '12345' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') ELSE CAST(4000000000000 + p_partkey AS VARCHAR) END AS gtin,
+      p_size + CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0.25 END::DOUBLE AS price, p_size % 3 < 2 AS in_stock,
+      CASE WHEN p_partkey % 7 = 0 THEN 'SEK' ELSE 'EUR' END AS currency, 'https://shop1.example/p/item-' || p_partkey AS url FROM part)
+"""
+
+
+@query("jsonld_products", """
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 1 END AS found, CAST(p_partkey AS VARCHAR) AS first_sku, false AS nodes_below FROM part
+""")
+def jsonld_products(spark, sf):
+    """Product nodes in all shapes, in document order, broken blocks skipped."""
+    out = jsonld.with_products(_ld_pages(spark, sf))
+    return out.select(
+        "p_partkey", F.size("products").alias("found"),
+        F.try_variant_get(F.get("products", F.lit(0)), "$.sku", "string").alias("first_sku"), "nodes_below",
+    )
+
+
+@query("jsonld_fields", _LD + "SELECT p_partkey, brand, gtin, price, in_stock FROM n")
+def jsonld_fields(spark, sf):
+    node = F.get("products", F.lit(0))
+    out = jsonld.with_products(_ld_pages(spark, sf)).withColumn("node", node)
+    return out.select(
+        "p_partkey", jsonld.brand_of(F.col("node")).alias("brand"), jsonld.gtin_of(F.col("node")).alias("gtin"),
+        jsonld.price_of(F.col("node")).alias("price"), jsonld.in_stock(F.col("node")).alias("in_stock"),
+    )
+
+
+@query("barcode_products", _LD + """
+    SELECT url, name, brand, price, currency, in_stock, gtin AS ean FROM
+      (SELECT * REPLACE (CASE WHEN p_partkey % 2 = 0 THEN currency ELSE 'EUR' END AS currency) FROM n) WHERE gtin IS NOT NULL
+""")
+def barcode_products(spark, sf):
+    """Products with a barcode as their only key."""
+    return jsonld.barcode_products(_ld_pages(spark, sf)).select(
+        "url", "name", "brand", "price", "currency", "in_stock", "ean"
+    )
+
+
+@query("boxed_sets", _LD + """
+    SELECT url, name, split_part(name, ' ', 1) AS brand, CAST(40000 + p_partkey % 50000 AS VARCHAR) AS style_code, price, currency, in_stock, gtin AS ean
+    FROM n WHERE p_size % 10 <> 0 AND p_partkey % 2 = 0
+""")
+def boxed_sets(spark, sf):
+    """Sets by the number in their name; books and unreadable prices dropped."""
+    return jsonld.boxed_sets(_ld_pages(spark, sf)).select(
+        "url", "name", "brand", "style_code", "price", "currency", "in_stock", "ean"
+    )
+
+
+# Offers per size: one per US size, the first without a readable price.
+_US_OFFERS = _script("""concat('[{"@type":"Product","name":"', p_name, '","sku":"AB', lpad(p_partkey, 5, '0'), '-100","brand":{"name":"', brandname, '"},"offers":[',
+    '{"sku":"X-9","price":"ask"},',
+    array_join(transform(sequence(1, 3), i -> concat('{"sku":"AB', lpad(p_partkey, 5, '0'), '-100-', 7 + i, CASE WHEN i = 2 THEN '.5' ELSE '' END,
+      '","price":"', p_size + i, '.00","priceCurrency":"EUR","gtin12":"00', p_partkey * 10 + i, '","availability":"http://schema.org/',
+      CASE WHEN (p_partkey + i) % 3 = 0 THEN 'InStock' ELSE 'SoldOut' END, '"}')), ','), ']}]')""")
+
+
+@query("jsonld_offer", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size + 1.0::DOUBLE AS price, 'EUR' AS currency, (p_partkey + 1) % 3 = 0 AS in_stock FROM part
+""")
+def jsonld_offer(spark, sf):
+    """First offer with a readable price."""
+    return jsonld.page_offer(pages(spark, sf, _US_OFFERS)).select("url", "price", "currency", "in_stock")
+
+
+@query("jsonld_us_sizes", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, 'AB' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') || '-100' AS style_code,
+           p_size + 1.0::DOUBLE AS price, true AS in_stock, replace(p_brand, '#', ' ') AS brand,
+           CASE i WHEN 2 THEN '9.5' ELSE CAST(7 + i AS VARCHAR) END AS label, '00' || (p_partkey * 10 + i) AS size_ean, (p_partkey + i) % 3 = 0 AS size_in_stock
+    FROM part, range(1, 4) t(i)
+""")
+def jsonld_us_sizes(spark, sf):
+    out = jsonld.us_size_offers(pages(spark, sf, _US_OFFERS))
+    return out.select("url", "style_code", "price", "in_stock", "brand", F.explode("sizes").alias("s")).select(
+        "url", "style_code", "price", "in_stock", "brand", F.col("s.label").alias("label"), F.col("s.ean").alias("size_ean"),
+        F.col("s.in_stock").alias("size_in_stock"),
+    )
+
+
+_EU_OFFERS = """concat('<meta property="og:description" content="Shoe | IE', lpad(p_partkey, 4, '0'), ' 100 | new"><p><b>',
+    CASE WHEN p_partkey % 3 = 0 THEN concat('Manufacturer-#</b>: DQ', lpad(p_partkey, 6, '0'), ' 001') WHEN p_partkey % 3 = 1 THEN 'none</b>' ELSE 'none</b>' END, '</p>',
+    '<script type="application/ld+json">{"@type":"Product","name":"A &amp; ', p_name, '","sku":"', p_partkey, '-36","brand":"', brandname, '","offers":[',
+    '{"sku":"', p_partkey, '-36","price":', p_size, '.0,"gtin13":"4', p_partkey, '","availability":"x/InStock"},',
+    '{"sku":"', p_partkey, '-36-5","price":', p_size + 2, ',"availability":"x/OutOfStock"},{"sku":"', p_partkey, '-XL","price":1.5,"availability":"x/InStock"}]}</script>')"""
+
+
+@query("jsonld_eu_sizes", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, 'A & ' || p_name AS name,
+           CASE WHEN p_partkey % 3 = 0 THEN 'DQ' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-001' ELSE 'IE' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '-100' END AS style_code,
+           least(p_size, 1.5)::DOUBLE AS price, label, label = '36' AS size_in_stock
+    FROM part, (VALUES ('36'), ('36.5')) t(label)
+""")
+def jsonld_eu_sizes(spark, sf):
+    out = jsonld.eu_size_offers(pages(spark, sf, _EU_OFFERS))
+    return out.select("url", "name", "style_code", "price", F.explode("sizes").alias("s")).select(
+        "url", "name", "style_code", "price", F.col("s.label").alias("label"), F.col("s.in_stock").alias("size_in_stock")
+    )
+
+
+@query("microdata", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, 'Shop ' || p_name AS name, replace(p_brand, '#', ' ') AS brand,
+           'BQ' || p_partkey || '-100' AS style_code, p_size + 0.99::DOUBLE AS price, CASE WHEN p_partkey % 2 = 0 THEN 'CZK' ELSE 'EUR' END AS currency,
+           p_type AS colorway, p_size % 2 = 0 AS in_stock FROM part WHERE p_partkey % 9 <> 0
+""")
+def microdata(spark, sf):
+    body = """concat('<title>Shop ', p_name, ' | more</title>', CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat('<meta itemProp="sku" content="bq', p_partkey, ' 100">') END,
+        '<meta itemProp="brand" content="', brandname, '"><meta itemProp="price" content="', p_size, '.99">',
+        CASE WHEN p_partkey % 2 = 0 THEN '<meta itemProp="priceCurrency" content="CZK">' ELSE '' END,
+        '<link itemProp="availability" href="https://schema.org/', CASE WHEN p_size % 2 = 0 THEN 'InStock' ELSE 'OutOfStock' END, '"><i class="_colorWay_x1">', p_type, ' </i>')"""
+    return markup.microdata(pages(spark, sf, body)).select(
+        "url", "name", "brand", "style_code", "price", "currency", "colorway", "in_stock"
+    )
+
+
+_SWATCH_BODY = """concat('<title>', upper(p_name), ' &amp;quot;x&amp;quot; | shop</title><span ', CASE p_partkey % 3
+      WHEN 0 THEN concat('data-price-amount="', p_size, '.5" id="q" data-price-type="finalPrice"')
+      WHEN 1 THEN concat('data-price-type="finalPrice" data-price-amount="', p_size, '.5"') ELSE 'data-price-amount="0" data-price-type="finalPrice"' END,
+    '></span> Tootekood: if', ' IF', lpad(p_partkey, 4, '0'), ' 103 <script>{"x":{"jsonConfig": {"attributes":{"93":{"code":"color","options":[{"label":"r{e}d"}]},"141":{"code":"size","options":[',
+    '{"label":"', p_size, ',5","products":["1"],"brand":"', brandname, '","default_size_type":"us"},{"label":"43","products":[],"gender":"men"},{"label":" "}]}}}, "y":1}}</script>')"""
+
+
+@query("swatch_pages", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size + 0.5::DOUBLE AS price, 'IF' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '-103' AS style_code,
+           replace(p_brand, '#', ' ') AS brand, upper(substr(p_name, 1, 1)) || substr(p_name, 2, strpos(p_name, ' ') - 1) || upper(substr(p_name, strpos(p_name, ' ') + 1, 1)) || substr(p_name, strpos(p_name, ' ') + 2) || ' X' AS name,
+           CASE i WHEN 0 THEN p_size || '.5' ELSE '43' END AS label, CASE i WHEN 0 THEN 'US' ELSE 'EU' END AS system,
+           CASE i WHEN 0 THEN p_size || '.5' END AS us_size, i = 0 AS size_in_stock
+    FROM part, range(2) t(i) WHERE p_partkey % 3 <> 2 AND length(CAST(p_partkey AS VARCHAR)) <= 6
+""")
+def swatch_pages(spark, sf):
+    """Price attribute either way round, style label, size buttons."""
+    out = markup.swatch_pages(pages(spark, sf, _SWATCH_BODY))
+    return out.select("url", "price", "style_code", "brand", "name", F.explode("sizes").alias("s")).select(
+        "url", "price", "style_code", "brand", "name", "s.label", "s.system", "s.us_size", F.col("s.in_stock").alias("size_in_stock")
+    )
+
+
+@query("tile_pages", """
+    WITH t AS (SELECT p_partkey, p_partkey // 20 AS page, p_partkey % 20 AS pos, p_size, p_name, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 1 ELSE p_partkey END AS k FROM part),
+    f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page, pos) AS rn FROM t)
+    SELECT 'https://www.tiles.example/ee/' || CASE WHEN k % 2 = 0 THEN 'shoe-ab' || lpad(CAST(k AS VARCHAR), 5, '0') || '-100' ELSE 'shoe-' || k END AS url,
+           'AB' || lpad(CAST(k AS VARCHAR), 5, '0') || '-100' AS style_code, p_size + 0.5::DOUBLE AS price FROM f WHERE rn = 1
+""")
+def tile_pages(spark, sf):
+    """Category pages of twenty tiles; a link seen again keeps its first tile."""
+    k = "(CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 1 ELSE p_partkey END)"
+    tile = f"""concat('class="product-item-info"><a href="https://www.tiles.example/ee/', CASE WHEN {k} % 2 = 0 THEN concat('shoe-ab', lpad({k}, 5, '0'), '-100') ELSE concat('shoe-', {k}) END,
+        '"><img src="/m/AB', lpad({k}, 5, '0'), '-100_2.jpg" alt="', p_name, '"><i data-price-amount="0"></i><i data-price-amount="', p_size + 9, '"></i><i data-price-amount="', p_size, '.5"></i>')"""
+    tiles = v.part(spark, sf).select((F.col("p_partkey").cast("long") / 20).cast("long").alias("page"), "p_partkey", F.expr(tile).alias("tile"))
+    # twenty tiles a page, a fixed page size
+    grid = tiles.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "tile"))).alias("t")).select(
+        F.lit("tiles").alias("retailer"), F.concat(F.lit("https://www.tiles.example/c?p="), F.lpad(F.col("page").cast("string"), 9, "0")).alias("url"),
+        F.lit(v.NOW).alias("fetched_at"), F.concat(F.lit("<html>"), F.array_join(F.transform("t", lambda x: x["tile"]), "")).alias("body"),
+    )
+    return markup.tile_pages(grid).select("url", "style_code", "price")
+
+
+@query("inline_options", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size::DOUBLE AS price, label, stock AS size_in_stock, true AS in_stock
+    FROM part, (VALUES ('8.5', true), ('9', false)) t(label, stock)
+""")
+def inline_options(spark, sf):
+    body = """concat('data-price-amount="', p_size + 5, '" data-price-amount="', p_size, '" x:[{"id":"1","label":"8,5","products":["', p_partkey, '"]},{"id":"2","label":"9","products":[]}]')"""
+    out = markup.inline_option_detail(pages(spark, sf, body))
+    return out.select("url", "price", "in_stock", F.explode("sizes").alias("s")).select(
+        "url", "price", "s.label", F.col("s.in_stock").alias("size_in_stock"), "in_stock"
+    )
+
+
+@query("grid_items", f"""
+    WITH g AS (SELECT *, p_size + 0.99::DOUBLE AS regular, p_partkey % 4 * 10 AS off FROM part)
+    SELECT 'https://shop1.example/en/product/k-' || p_partkey AS url, replace(p_brand, '#', '') || '-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS style_code,
+           replace(p_brand, '#', ' ') AS brand, {v.round_sql('(regular * (1 - off / 100.0::DOUBLE))', 100)} AS price, off > 0 AS on_sale,
+           CASE WHEN off > 0 THEN regular END AS list_price, p_partkey % 3 > 0 AS in_stock,
+           CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '42:EU' ELSE '42 2/3:EU,XL:letter' END AS sizes
+    FROM g
+""")
+def grid_items(spark, sf):
+    """Grid fields that are scalars or lists; discount to the cent."""
+    body = """concat('[{"sku":', CASE WHEN p_partkey % 2 = 0 THEN '["",' ELSE '' END, '"', replace(p_brand, '#', ''), '_', lpad(p_partkey % 1000, 3, '0'), '_8.5_CNF"', CASE WHEN p_partkey % 2 = 0 THEN ']' ELSE '' END,
+        ',"url_key":["k-', p_partkey, '"],"name":"', p_name, '","brands_value":["', brandname, '"],"regular_price":"', p_size, '.99","discount_percentage":', p_partkey % 4 * 10,
+        ',"size_value":', CASE p_partkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN '[42]' ELSE '["42 2/3","XL"]' END, '},{"sku":"","url_key":"none"}]')"""
+    out = feeds.grid_items(pages(spark, sf, body, "'shop1.example'"))
+    shown = F.array_join(F.transform("sizes", lambda s: F.concat_ws(":", s["label"], s["system"])), ",")
+    return out.select("url", "style_code", "brand", "price", "on_sale", "list_price", "in_stock", shown.alias("sizes"))
+
+
+@query("variant_sizes", """
+    SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '42.5' ELSE 'M' END AS label, CASE WHEN p_partkey % 2 = 0 THEN 'EU' ELSE 'letter' END AS system,
+           CASE WHEN p_size < 100 AND p_partkey % 2 = 0 THEN p_size || '.5' END AS us_size, p_size % 2 = 0 AS in_stock FROM part
+""")
+def variant_sizes(spark, sf):
+    body = """concat('[{"attributes":[{"code":"color","label":"red"},{"code":"size","label":" ', CASE WHEN p_partkey % 2 = 0 THEN '42.5' ELSE 'M' END, '"}],"product":{"sku":"A_', p_partkey, '_',
+        CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, '.5') ELSE 'M' END, '","stock_status":"', CASE WHEN p_size % 2 = 0 THEN 'IN_STOCK' ELSE 'OUT' END, '"}},{"attributes":[]}]')"""
+    out = pages(spark, sf, body).select("p_partkey", F.explode(feeds.variant_sizes(F.col("body"))).alias("s"))
+    return out.select("p_partkey", "s.label", "s.system", "s.us_size", "s.in_stock")
+
+
+@query("variant_detail", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, CASE WHEN p_partkey % 3 > 0 THEN p_size::DOUBLE END AS price, p_partkey % 3 > 0 AS price_verified,
+           CASE WHEN p_partkey % 2 = 0 THEN p_size % 2 = 0 ELSE p_size % 3 = 0 END AS in_stock FROM part
+""")
+def variant_detail(spark, sf):
+    """Sizes decide the stock where there are any, else the page's offer."""
+    body = """concat('[', CASE WHEN p_partkey % 2 = 0 THEN concat('{"attributes":[{"code":"size","label":"42"}],"product":{"sku":"A_9","stock_status":"', CASE WHEN p_size % 2 = 0 THEN 'IN_STOCK' ELSE 'OUT' END, '"}}') ELSE '' END, ']')"""
+    rows = pages(spark, sf, body).withColumns(
+        {
+            "price": F.expr("CASE WHEN p_partkey % 3 > 0 THEN cast(p_size AS double) END"),
+            "currency": F.lit(None).cast("string"), "offer_in_stock": F.expr("p_size % 3 = 0"),
+        }
+    )
+    return feeds.variant_detail(rows).select("url", "price", "price_verified", "in_stock")
+
+
+_API = """concat('{"title":" ', p_name, ' ","product_code":" m', p_partkey, 'c ","hidden":', CASE WHEN p_partkey % 10 = 0 THEN 'true' ELSE 'false' END,
+    ',"archived_at":', CASE WHEN p_partkey % 11 = 0 THEN '"2024-01-01"' ELSE 'null' END, ',"in_stock":true,"brands":[{"title":"', brandname, '"}],"prices":[{"type":"default","value":', p_size + 10,
+    '},{"type":"client_extra","value":1},{"type":"sale","value":', CASE WHEN p_partkey % 2 = 0 THEN cast(p_size + 0.125 AS string) ELSE '0' END, '}],"variations":[{"type":"size","enabled":true,"value":42,"ean":"4', p_partkey,
+    '","in_stock":true},{"type":"size","enabled":true,"value":"43","ean":null,"in_stock":', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '},{"type":"size","enabled":false,"value":"44","in_stock":true},{"type":"colour","enabled":true,"value":"x"}]}')"""
+
+
+def _api_price(size: str = "p_size") -> str:
+    return f"CASE WHEN p_partkey % 2 = 0 THEN {size} + 0.12 ELSE {size} + 10 END::DOUBLE"
+
+
+@query("product_api", f"""
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_name AS name, 'M' || p_partkey || 'C' AS style_code, replace(p_brand, '#', ' ') AS brand,
+           {_api_price()} AS price, label, CASE WHEN label = '42' THEN '4' || p_partkey END AS size_ean, CASE WHEN label = '42' THEN true ELSE p_size % 2 = 0 END AS size_in_stock
+    FROM part, (VALUES ('42'), ('43')) t(label) WHERE p_partkey % 10 <> 0 AND p_partkey % 11 <> 0
+""")
+def product_api(spark, sf):
+    out = feeds.product_api(pages(spark, sf, _API))
+    return out.select("url", "name", "style_code", "brand", "price", F.explode("sizes").alias("s")).select(
+        "url", "name", "style_code", "brand", "price", "s.label", F.col("s.ean").alias("size_ean"), F.col("s.in_stock").alias("size_in_stock")
+    )
+
+
+@query("confirmed_quantities", """
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, label, in_stock, CASE label
+      WHEN '42' THEN CASE WHEN p_partkey % 3 > 0 THEN p_size % 3 > 0 ELSE true END ELSE p_size % 2 = 0 END AS size_in_stock
+    FROM (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN p_size % 3 > 0 OR p_size % 2 = 0 ELSE true END AS in_stock FROM part), (VALUES ('42'), ('43')) t(label)
+    WHERE p_partkey % 10 <> 0 AND p_partkey % 11 <> 0
+""")
+def confirmed_quantities(spark, sf):
+    """Sizes need a positive quantity over all shops, where one is given."""
+    listing = feeds.product_api(pages(spark, sf, _API))
+    counts = """concat('[{"variation":{"value":"42"},"quantity":', p_size % 3, '},{"variation":{"value":"42"},"quantity":0}]')"""
+    quantities = pages(spark, sf, counts, where="p_partkey % 3 > 0").select("retailer", "url", "body")
+    out = feeds.confirm_quantities(listing, quantities)
+    return out.select("url", "in_stock", F.explode("sizes").alias("s")).select(
+        "url", "in_stock", "s.label", F.col("s.in_stock").alias("size_in_stock")
+    )
+
+
+_ITEMS = """concat('[{"sku":"', replace(p_brand, '#', ''), '_', lpad(p_partkey % 1000, 3, '0'), '","name":"', p_name, '","url_key":"', CASE WHEN p_partkey % 13 = 0 THEN '' ELSE concat('k_', p_partkey) END,
+    '","stock_status":"', CASE WHEN p_size % 2 = 0 THEN 'IN_STOCK' ELSE 'OUT_OF_STOCK' END, '","price_range":{"minimum_price":{"final_price":{"value":', p_size, '.5,"currency":"EUR"},"regular_price":{"value":',
+    CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, '.505') ELSE concat(p_size + 5, '') END, '}}},"configurable_options":[{"attribute_code":"footwear_size","values":[{"label":"42","value_index":6372},{"label":"44,5","value_index":6377},{"label":"42","value_index":6399}]},{"attribute_code":"color","values":[{"label":"red","value_index":1}]}],"variants":',
+    CASE p_partkey % 4 WHEN 0 THEN '[]' WHEN 1 THEN concat('[{"product":{"sku":"a","footwear_size":"6372","stock_status":"OUT_OF_STOCK"}},{"product":{"sku":"b","footwear_size":6399,"stock_status":"', CASE WHEN p_size % 3 = 0 THEN 'IN_STOCK' ELSE 'OUT' END, '"}}]')
+      WHEN 2 THEN '[{"product":{"sku":"a","footwear_size":"6377","stock_status":"IN_STOCK"}},{"product":{"sku":"b","footwear_size":"9999","stock_status":"IN_STOCK"}}]'
+      ELSE '[{"product":{"sku":"a","footwear_size":"6377","stock_status":"OUT"}}]' END, '}]')"""
+
+
+@query("option_index_join", """
+    SELECT p_partkey, p_partkey % 4 IN (0, 2) AS unresolved, label,
+           CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_size % 3 = 0 WHEN 2 THEN true ELSE false END AS in_stock
+    FROM part, (VALUES ('42', 1), ('42', 2), ('44.5', 1)) t(label, n)
+    WHERE CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN label = '42' AND n = 1 ELSE label = '44.5' END
+""")
+def option_index_join(spark, sf):
+    """Variant option indexes joined to labels; what does not join is said so."""
+    out = feeds.with_option_sizes(feeds.parse_items(pages(spark, sf, _ITEMS)))
+    return out.select("p_partkey", "unresolved", F.explode("option_sizes").alias("s")).select(
+        "p_partkey", "unresolved", "s.label", "s.in_stock"
+    )
+
+
+@query("option_detail", """
+    WITH d AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END WHEN 2 THEN 1 ELSE 0 END AS held,
+                 CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS n, p_partkey % 4 IN (0, 2) AS unresolved FROM part)
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size + 0.5::DOUBLE AS price, p_partkey % 2 = 1 AS on_sale,
+           p_size % 2 = 0 AND n > 0 AND (held > 0 OR unresolved) AS in_stock, unresolved AS size_stock_unverified,
+           held || '/' || n || CASE WHEN unresolved THEN ' sizes in stock — size-level stock could not be resolved for this product, CHECK the page' ELSE ' sizes in stock (per-size verified)' END AS stock_note
+    FROM d
+""")
+def option_detail(spark, sf):
+    out = feeds.option_detail(feeds.parse_items(pages(spark, sf, _ITEMS)))
+    return out.select("url", "price", "on_sale", "in_stock", "size_stock_unverified", "stock_note")
+
+
+@query("item_list", """
+    SELECT 'https://shop1/product/k_' || p_partkey AS url, replace(p_brand, '#', '') || '-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS style_code,
+           p_size + 0.5::DOUBLE AS price, p_partkey % 2 = 1 AS on_sale, p_size % 2 = 0 AS in_stock,
+           CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size || '.505' AS DOUBLE) ELSE p_size + 5 END::DOUBLE AS list_price FROM part WHERE p_partkey % 13 <> 0
+""")
+def item_list(spark, sf):
+    return feeds.item_list(pages(spark, sf, _ITEMS)).select("url", "style_code", "price", "on_sale", "in_stock", "list_price")
+
+
+_PREFIXED = """concat('[{"sku":"NIDM', lpad(p_partkey, 6, '0'), '-100","name":" ', p_name, '","url_key":"u-', p_partkey, '","type_id":', CASE WHEN p_partkey % 5 = 0 THEN '"simple"' WHEN p_partkey % 5 = 1 THEN 'null' ELSE '"configurable"' END,
+    ',"stock_status":"IN_STOCK","price_range":{"minimum_price":{"final_price":{"value":', p_size, ',"currency":"EUR"},"regular_price":{"value":', p_size + p_partkey % 2, '}}},"variants":[{"product":{"sku":"NIDM', lpad(p_partkey, 6, '0'), '-100/38,5","stock_status":"IN_STOCK"}},{"product":{"sku":"NIDM', lpad(p_partkey, 6, '0'), '-100","stock_status":"IN_STOCK"}}]}]')"""
+
+
+@query("prefixed_items", """
+    SELECT 'https://shop1/u-' || p_partkey || '.html' AS url, 'DM' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-100' AS style_code, 'New' AS brand,
+           p_size::DOUBLE AS price, p_partkey % 2 = 1 AS on_sale FROM part WHERE p_partkey % 5 <> 0
+""")
+def prefixed_items(spark, sf):
+    rows = pages(spark, sf, _PREFIXED).withColumn("brand", F.lit("new balance"))
+    return feeds.prefixed_items(rows).select("url", "style_code", "brand", "price", "on_sale")
+
+
+@query("prefixed_detail", """
+    SELECT 'NIDM' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-100' AS retailer_sku, p_size::DOUBLE AS price, '38.5' AS labels FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 > 0
+""")
+def prefixed_detail(spark, sf):
+    """An answer for another SKU confirms nothing."""
+    asked = feeds.prefixed_items(pages(spark, sf, _PREFIXED).withColumn("brand", F.lit("nike")))
+    answers = feeds.parse_items(
+        pages(spark, sf, _PREFIXED).withColumn(
+            "retailer_sku", F.expr("concat('NIDM', lpad(p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END, 6, '0'), '-100')")
+        )
+    )
+    out = feeds.prefixed_detail(asked, answers)
+    return out.select("retailer_sku", "price", F.array_join(F.transform("sizes", lambda s: s["label"]), ",").alias("labels"))
+
+
+# -- slugs, links, rotation -------------------------------------------------------------------
+
+def _sitemaps(spark, sf):
+    """The parts' urls in sitemaps of fifty, each part listed twice."""
+    part = v.part(spark, sf).select("p_partkey", (F.col("p_partkey") % F.lit(7)).cast("string").alias("shop"))
+    locs = part.selectExpr(
+        "concat('shop', shop) AS retailer", "p_partkey",
+        "explode(array(p_partkey div 50, p_partkey div 50 + 1)) AS ordinal",
+        "concat('<url><loc>https://x.example/toode/', lower(replace(p_partkey, ' ', '-')), '-item</loc></url><url><loc>https://x.example/about</loc></url>') AS loc",
+    )
+    return locs.groupBy("retailer", "ordinal").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "loc"))), lambda x: x["loc"]), "").alias("body")
+    )
+
+
+_SLUGS = """
+    WITH s AS (SELECT 'shop' || (p_partkey % 7) AS retailer, p_partkey || '-item' AS slug, p_partkey // 50 AS ordinal, p_partkey FROM part)
+"""
+
+
+@query("sitemap_slugs", _SLUGS + "SELECT retailer, slug, ordinal FROM s")
+def sitemap_slugs(spark, sf):
+    """Distinct product slugs, at their first place."""
+    return sitemap.sitemap_slugs(_sitemaps(spark, sf), r"^https://x\.example/toode/([a-z0-9\-]{3,80})$").select(
+        "retailer", "slug", "ordinal"
+    )
+
+
+@query("slug_filters", """
+    SELECT p_partkey, contains(p_name, 'widget') OR contains(p_name, 'bolt') AS wanted, true AS any_wanted,
+           NOT (p_type = 'PROMO' OR p_type = 'SMALL') AS allowed, 'item-' || p_partkey AS tail FROM part
+""")
+def slug_filters(spark, sf):
+    url = F.concat(F.lit("https://x.example/"), F.lower("p_type"), F.lit("/item-"), F.col("p_partkey").cast("string"))
+    return v.part(spark, sf).select(
+        "p_partkey", text.slug_wanted(F.col("p_name"), ["widget", "bolt"]).alias("wanted"),
+        text.slug_wanted(F.col("p_name"), []).alias("any_wanted"),
+        text.path_allowed(url, ["/promo/", "/small/"]).alias("allowed"), text.last_segment(url).alias("tail"),
+    )
+
+
+@query("rotation_slice", _SLUGS + """,
+    n AS (SELECT *, row_number() OVER (PARTITION BY retailer ORDER BY ordinal, p_partkey) - 1 AS i, count(*) OVER (PARTITION BY retailer) AS size FROM s),
+    t AS (SELECT *, ((i - 25 * CAST(substr(retailer, 5) AS INT)) % size + size) % size AS turn FROM n)
+    SELECT retailer, slug, turn FROM t WHERE turn < 120
+""")
+def rotation_slice(spark, sf):
+    """The window of slugs each shop visits this time, wrapping at the end."""
+    slugs = sitemap.sitemap_slugs(_sitemaps(spark, sf), r"^https://x\.example/toode/([a-z0-9\-]{3,80})$")
+    return sitemap.rotation_slice(slugs, _offsets(spark), 120).select("retailer", "slug", "turn")
+
+
+def _offsets(spark):
+    return spark.createDataFrame([(f"shop{k}", 25 * k) for k in range(7)], "retailer string, offset bigint")
+
+
+@query("rotation_advance", """
+    SELECT 'shop' || (p_partkey % 7) AS retailer, (25 * (p_partkey % 7) % count(*) + least(120, count(*))) % count(*) AS offset FROM part GROUP BY p_partkey % 7
+""".replace("AS offset", 'AS "offset"'))
+def rotation_advance(spark, sf):
+    slugs = v.part(spark, sf).selectExpr("concat('shop', p_partkey % 7) AS retailer")
+    return sitemap.next_offsets(slugs, _offsets(spark), 120)
+
+
+@query("fresh_union_rotation", """
+    WITH f AS (SELECT 'shop' || (p_partkey % 7) AS retailer, p_partkey || '-item' AS slug, 0 AS part, p_partkey AS place FROM part WHERE p_size < 10),
+    r AS (SELECT 'shop' || (p_partkey % 7) AS retailer, p_partkey || '-item' AS slug, 1 AS part, p_partkey // 2 AS place FROM part WHERE p_size < 20 AND p_type <> 'PROMO'),
+    u AS (SELECT * FROM f UNION ALL SELECT * FROM r)
+    SELECT retailer, slug, min(part) AS part, min_by(place, part) AS place FROM u GROUP BY retailer, slug
+""")
+def fresh_union_rotation(spark, sf):
+    """Fresh slugs first, then the rotation, each once; promotions are left out
+    of the rotation."""
+    base = v.part(spark, sf).selectExpr("concat('shop', p_partkey % 7) AS retailer", "concat(p_partkey, '-item') AS slug", "p_partkey", "p_size", "p_type")
+    fresh = base.filter("p_size < 10").withColumn("pos", F.col("p_partkey"))
+    rotation = sitemap.without(
+        base.filter("p_size < 20"), base.filter("p_type = 'PROMO'")
+    ).withColumn("turn", F.expr("p_partkey div 2"))
+    return sitemap.fresh_then_rotation(fresh, rotation)
+
+
+@query("page_links", r"""
+    WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"<>]{1,80})"', 1)) AS slug FROM pages)
+    SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS retailer, slug, min(page_id) AS ordinal FROM l JOIN pages USING (page_id) GROUP BY 1, 2
+""")
+def page_links(spark, sf):
+    """Linked slugs of every landed page, per host, at their first page."""
+    landed_pages = v.table(spark, sf, "pages").select(
+        F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("retailer"), F.col("page_id").alias("ordinal"), F.col("html").alias("body")
+    )
+    return sitemap.link_slugs(landed_pages, r'href="/([^"<>]{1,80})"').select("retailer", "slug", "ordinal")
+
+
+@query("page_titles", r"""
+    SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<|]{3,90})', 1)), '') AS title FROM pages
+""")
+def page_titles(spark, sf):
+    return v.table(spark, sf, "pages").select("page_id", F.trim(text.first_group(F.col("html"), markup.TITLE)).alias("title"))
+
+
+@query("newest_page", """
+    SELECT regexp_replace(url, '[?#].*$', '') AS url, max(page_id) AS page_id FROM pages GROUP BY 1
+""")
+def newest_page(spark, sf):
+    """The last read of each address, query and fragment aside."""
+    reads = v.table(spark, sf, "pages").select(
+        F.lit("web").alias("retailer"), F.regexp_replace("url", "[?#].*$", "").alias("url"),
+        F.timestamp_seconds("page_id").alias("fetched_at"), F.col("html").alias("body"), "page_id",
+    )
+    return landed.newest_page(reads).select("url", "page_id")
+
+
+@query("display_names", """
+    SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' & Co''S ' || c_custkey || 'Th' AS name FROM customer
+""")
+def display_names(spark, sf):
+    raw = F.concat(F.lit("“"), "c_mktsegment", F.lit('" &amp;amp; co&amp;#39;s '), F.col("c_custkey").cast("string"), F.lit("TH"))
+    return v.table(spark, sf, "customer").select("c_custkey", text.display_name(raw).alias("name"))
+
+
+# -- marketplace responses -----------------------------------------------------------------------
+
+@query("catalog_hits", """
+    SELECT 'c' || p_partkey AS product_id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'S-' || p_partkey END AS style_id, p_name AS title, 'men' AS gender,
+           p_retailprice AS retail_price, p_partkey * 1048576 AS ordinal FROM part
+""")
+def catalog_hits(spark, sf):
+    body = """concat('[{"productId":"c', p_partkey, '","styleId":', CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE concat('"S-', p_partkey, '"') END, ',"title":"', p_name, '","brand":"x","urlKey":"u","productType":"sneakers","productAttributes":{"gender":"men","retailPrice":', p_retailprice, '}},{"styleId":"none"}]')"""
+    out = market.catalog_products(pages(spark, sf, body).withColumn("ordinal", F.col("p_partkey")))
+    return out.select("product_id", "style_id", "title", "gender", "retail_price", "ordinal")
+
+
+@query("catalog_variants", """
+    SELECT 'v' || p_partkey AS variant_id, CAST(p_size AS VARCHAR) AS size, CASE WHEN p_partkey % 2 = 0 THEN p_size || '.5' ELSE CAST(p_size AS VARCHAR) END AS eu,
+           CASE WHEN p_partkey % 2 = 0 THEN p_size || '.5' ELSE CAST(p_size AS VARCHAR) END AS eu_chosen, 2 AS systems FROM part
+""")
+def catalog_variants(spark, sf):
+    """Size charts as maps: lower-case keys, blanks dropped, the last of two
+    entries kept."""
+    from spreadlake.functions.size import eu_conversion
+
+    body = """concat('[{"productId":"c', p_partkey, '","variantId":"v', p_partkey, '","variantValue":"', p_size, '","sizeChart":{"availableConversions":[{"type":"EU","size":"', p_size, '"},{"type":"us m","size":7},{"type":"uk","size":""}',
+        CASE WHEN p_partkey % 2 = 0 THEN concat(',{"type":"eu","size":"', p_size, '.5"}') ELSE '' END, ']}}]')"""
+    out = market.catalog_variants(pages(spark, sf, body))
+    return out.select(
+        "variant_id", "size", F.try_element_at("conversions", F.lit("eu")).alias("eu"),
+        eu_conversion(F.col("conversions")).alias("eu_chosen"), F.size("conversions").alias("systems"),
+    )
+
+
+_QUOTES = """concat('[{"variantId":"v', event_id, '","currencyCode":null,"lowestAskAmount":', CASE event_id % 4 WHEN 0 THEN '"null"' WHEN 1 THEN '""' ELSE concat('"', value, '"') END,
+    ',"highestBidAmount":', CASE event_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"n/a"' ELSE concat(value, '') END, '},{"variantId":""}]')"""
+
+
+def _quote_pages(spark, sf):
+    return v.events(spark, sf).selectExpr(
+        "concat('p', user_id) AS product_id", "ts AS fetched_at", f"{_QUOTES} AS body"
+    )
+
+
+@query("quote_rows", """
+    SELECT 'v' || event_id AS variant_id, 'EUR' AS currency, CASE WHEN event_id % 4 > 1 THEN value END AS lowest_ask, CASE WHEN event_id % 3 = 2 THEN value END AS highest_bid FROM events
+""")
+def quote_rows(spark, sf):
+    return market.quotes(_quote_pages(spark, sf)).select("variant_id", "currency", "lowest_ask", "highest_bid")
+
+
+@query("quote_gaps", """
+    SELECT 'p' || user_id AS product_id, count(*) AS variants, count(*) FILTER (event_id % 4 < 2 AND event_id % 3 < 2) AS without_quote FROM events GROUP BY user_id
+""")
+def quote_gaps(spark, sf):
+    return market.quote_gaps(market.quotes(_quote_pages(spark, sf)))

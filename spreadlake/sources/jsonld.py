@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import style, text
 from spreadlake.functions.barcode import clean_gtin
+from spreadlake.functions.binding import evaluated_once
 from spreadlake.sources import jsonvalue as jv
 from spreadlake.sources.base import any_in_stock, as_listing, extractor, size_struct
 
@@ -66,9 +67,8 @@ def with_products(pages: DataFrame, body: str = "body") -> DataFrame:
         lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0),
     )
     deeper = F.exists(f"_level{DEPTH}", lambda e: F.size(_inside(e)) > 0)
-    return level.withColumns(
-        {"products": F.transform(hits, lambda e: e["node"]), "nodes_below": deeper}
-    ).drop(*[f"_level{d}" for d in range(DEPTH + 1)])
+    walked = F.struct(F.transform(hits, lambda e: e["node"]).alias("products"), deeper.alias("nodes_below"))
+    return evaluated_once(level, "_walked", walked).select(*pages.columns, "_walked.*")
 
 
 def with_top_product(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -76,7 +76,7 @@ def with_top_product(pages: DataFrame, body: str = "body") -> DataFrame:
     Product itself. Pages without one are dropped."""
     tops = F.flatten(F.transform(blocks(F.col(body), ANY_SCRIPT), jv.as_list))
     hit = F.filter(tops, lambda v: jv.is_object(v) & (jv.text(v, "$['@type']") == "Product"))
-    return pages.withColumn("node", F.get(hit, F.lit(0))).filter(F.col("node").isNotNull())
+    return evaluated_once(pages, "node", F.get(hit, F.lit(0))).filter(F.col("node").isNotNull())
 
 
 # -- fields of one product node -------------------------------------------------
@@ -127,7 +127,7 @@ def _offer_in_stock(o: Column) -> Column:
 
 def page_offer(pages: DataFrame) -> DataFrame:
     """Page confirmation from one JSON-LD offer: price, currency, stock."""
-    found = with_top_product(pages).withColumn("o", first_offer(F.col("node"))).filter(F.col("o").isNotNull())
+    found = evaluated_once(with_top_product(pages), "o", first_offer(F.col("node"))).filter(F.col("o").isNotNull())
     return found.select("retailer", "url", "fetched_at", "o.price", "o.currency", "o.in_stock")
 
 
@@ -172,7 +172,7 @@ def us_size_offers(pages: DataFrame) -> DataFrame:
     sku = F.coalesce(jv.text(F.col("node"), "$.sku"), F.lit(""))
     by_sku = F.get(style.sku_candidates(F.replace(sku, F.lit("-"), F.lit("_"))), F.lit(0))
     by_handle = F.upper(text.first_group(handle, r"([a-z]{1,3}[0-9]{4,6}-[0-9]{3})$"))
-    found = with_top_product(pages).withColumn("_offers", _priced_offers(read)).filter(F.size("_offers") > 0)
+    found = evaluated_once(with_top_product(pages), "_offers", _priced_offers(read)).filter(F.size("_offers") > 0)
     sizes = F.transform("_offers", lambda o: o["size"])
     brand = jv.get(F.col("node"), "$.brand")
     return as_listing(
@@ -212,10 +212,9 @@ def eu_size_offers(pages: DataFrame) -> DataFrame:
     code = F.coalesce(
         F.regexp_replace(F.trim(by_text), "[ ]+", "-"), F.regexp_replace(F.trim(by_description), r"\s+", "-")
     )
-    found = (
-        with_top_product(pages).withColumn("_parent", parent).withColumn("_code", F.upper(code))
-        .withColumn("_offers", _priced_offers(read))
-        .filter(F.col("_code").isNotNull() & (F.size("_offers") > 0))
+    coded = evaluated_once(with_top_product(pages).withColumn("_parent", parent), "_code", F.upper(code))
+    found = evaluated_once(coded.filter(F.col("_code").isNotNull()), "_offers", _priced_offers(read)).filter(
+        F.size("_offers") > 0
     )
     sizes = F.filter(F.transform("_offers", lambda o: o["size"]), lambda s: s["label"].isNotNull())
     brand = jv.get(F.col("node"), "$.brand")
@@ -247,16 +246,14 @@ def boxed_sets(pages: DataFrame) -> DataFrame:
     anything without such a number are dropped."""
     node = F.col("node")
     name = F.trim(F.coalesce(jv.text(node, "$.name"), F.lit("")))
-    found = (
-        _first_product(pages)
-        .withColumn("_name", name)
-        .withColumn("_code", text.set_number(F.col("_name")))
-        .withColumn("_price", text.to_double(jv.text(offer(node), "$.price")))
-        .filter(
-            ~F.coalesce(jv.text(node, "$.category"), F.lit("")).rlike(SKIPPED_CATEGORY)
-            & F.col("_code").isNotNull() & (F.col("_price") > 0)
-        )
+    kept = _first_product(pages).filter(
+        ~F.coalesce(jv.text(node, "$.category"), F.lit("")).rlike(SKIPPED_CATEGORY)
+    )
+    named = evaluated_once(kept, "_name", name).withColumn("_code", text.set_number(F.col("_name")))
+    priced = evaluated_once(
+        named.filter(F.col("_code").isNotNull()), "_price", text.to_double(jv.text(offer(node), "$.price"))
     )
+    found = priced.filter(F.col("_price") > 0)
     return as_listing(
         found, name=F.col("_name"), brand=text.first_word(F.col("_name")), style_code=F.col("_code"),
         category=F.lit("collectibles"), url=_page_url(), price=F.col("_price"),
@@ -269,15 +266,15 @@ def boxed_sets(pages: DataFrame) -> DataFrame:
 def barcode_products(pages: DataFrame) -> DataFrame:
     """Products whose only key is a barcode; none or no price means dropped."""
     node = F.col("node")
-    found = (
-        _first_product(pages).withColumn("_gtin", gtin_of(node)).withColumn("_price", price_of(node))
-        .filter(F.col("_gtin").isNotNull() & F.col("_price").isNotNull())
+    read = F.struct(gtin_of(node).alias("gtin"), price_of(node).alias("price"))
+    found = evaluated_once(_first_product(pages), "_read", read).filter(
+        F.col("_read.gtin").isNotNull() & F.col("_read.price").isNotNull()
     )
     offers = jv.get(node, "$.offers")
     currency = F.when(jv.is_object(offers), text.empty_to_null(jv.text(offers, "$.priceCurrency")))
     return as_listing(
         found, name=F.trim(F.coalesce(jv.text(node, "$.name"), F.lit(""))), brand=brand_of(node),
-        category=F.lit("electronics"), url=_page_url(), price=F.col("_price"),
+        category=F.lit("electronics"), url=_page_url(), price=F.col("_read.price"),
         currency=F.coalesce(currency, F.lit("EUR")), in_stock=in_stock(node),
-        price_verified=F.lit(True), ean=F.col("_gtin"),
+        price_verified=F.lit(True), ean=F.col("_read.gtin"),
     )
