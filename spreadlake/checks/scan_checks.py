@@ -1 +1,87 @@
-"""Placeholder."""
+"""A whole scan over the derived tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spreadlake.checks import views as v
+from spreadlake.checks.registry import query
+from spreadlake.plans.scan import ScanInputs, ScanResult, scan
+
+CODE = "concat(replace(p_brand, '#', ''), '-', lpad(p_partkey, 7, '0'))"
+
+
+def inputs(spark, sf) -> ScanInputs:
+    """Every offer with its sizes, and a catalog in which every tenth part is
+    known by name only."""
+    lines = v.listing(spark, sf)
+    sizes = lines.groupBy("retailer", "url", "size_label").agg(F.bool_or("in_stock").alias("s")).groupBy(
+        "retailer", "url"
+    ).agg(
+        # seven labels at most
+        F.array_sort(F.collect_list(F.struct(
+            F.col("size_label").alias("label"), F.lit("EU").alias("system"), F.lit(None).cast("string").alias("us_size"),
+            F.lit(None).cast("string").alias("ean"), F.col("s").alias("in_stock"),
+        ))).alias("sizes")
+    )
+    listing = v.offer(spark, sf).drop("product_id", "style_code").join(sizes, ["retailer", "url"]).withColumns(
+        {
+            "brand": F.replace("brand", F.lit(" "), F.lit("")),
+            "style_code": F.concat(F.replace("brand", F.lit(" "), F.lit("")), F.lit("-"), F.lpad(F.col("part_id").cast("string"), 7, "0")),
+            "price_verified": F.lit(True), "size_stock_unverified": F.lit(False), "stock_note": F.lit(None).cast("string"),
+        }
+    )
+    catalog = v.part(spark, sf).selectExpr(
+        "concat('p', p_partkey % 15) AS product_id",
+        f"CASE WHEN p_partkey % 10 = 0 THEN concat('NONE-', p_partkey) ELSE {CODE} END AS style_id", "p_name AS title",
+        "replace(p_brand, '#', '') AS brand", "cast(NULL AS string) AS url_key", "p_partkey AS ordinal",
+    )
+    market = v.market(spark, sf).drop("size")
+    return ScanInputs(
+        listing=listing, policy=v.config().policy_frame(spark), catalog=catalog, variants=v.variants(spark, sf), quotes=market
+    )
+
+
+def run(spark, sf) -> ScanResult:
+    return scan(inputs(spark, sf), v.config(), v.now())
+
+
+_SIZED = f"""
+    WITH size_row AS (SELECT retailer, url, size_label, bool_or(in_stock) AS stocked FROM listing GROUP BY ALL),
+    cand AS (SELECT o.* FROM offer_costed o JOIN policy p USING (retailer) WHERE p.enabled AND o.in_stock AND o.price > 0 AND o.price <= 500),
+    opp AS (SELECT c.retailer, c.url, c.retailer || '|' || variant_id || '|' || size_label AS key, discount_rank, ordinal, size_label,
+                   {v.profit_sql('highest_bid', 'landed_cost')} AS gate_profit
+            FROM cand c JOIN size_row s ON c.retailer = s.retailer AND c.url = s.url AND stocked
+            JOIN market m ON m.product_id = c.product_id AND m.size = s.size_label
+            WHERE part_id % 10 <> 0 AND num_bids >= 1 AND {v.profit_sql('highest_bid', 'landed_cost')} >= 0)
+"""
+
+
+@query("scan_opportunities", _SIZED + "SELECT retailer, url, key, gate_profit FROM opp", ("offer_costed", "market"))
+def scan_opportunities(spark, sf):
+    return run(spark, sf).opportunities.select("retailer", "url", "key", "gate_profit")
+
+
+@query("scan_alerts", _SIZED + """
+    SELECT key, url, gate_profit FROM opp QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, size_label, key) <= 20
+""", ("offer_costed", "market"))
+def scan_alerts(spark, sf):
+    """The first alerts of each shop in scan order."""
+    return run(spark, sf).alerts.select("key", "url", "gate_profit")
+
+
+@query("scan_reviews", _SIZED + """
+    SELECT retailer, url, 'low_match_confidence' AS reason FROM cand WHERE part_id % 10 = 0
+""", ("offer_costed", "market"))
+def scan_reviews(spark, sf):
+    """Offers that only a name matched go to a person."""
+    return run(spark, sf).reviews.select("retailer", "url", "reason")
+
+
+@query("scan_statistics", _SIZED + """
+    SELECT l.retailer, count(*) AS products_seen, any_value(c.n) AS candidates, coalesce(any_value(o.n), 0) AS opportunities, least(coalesce(any_value(o.n), 0), 20) AS alerts_sent
+    FROM offer l LEFT JOIN (SELECT retailer, count(*) AS n FROM cand GROUP BY 1) c USING (retailer) LEFT JOIN (SELECT retailer, count(*) AS n FROM opp GROUP BY 1) o USING (retailer)
+    GROUP BY l.retailer
+""".replace("any_value(c.n) AS candidates", "coalesce(any_value(c.n), 0) AS candidates"), ("offer_costed", "market"))
+def scan_statistics(spark, sf):
+    return run(spark, sf).stats

@@ -1 +1,181 @@
-"""Placeholder."""
+"""Streams: run over the whole table in time order, then compared as a batch.
+
+The input is written to a folder in three parts by time; after each part the
+stream runs to the end of what is there, on one checkpoint, so that state has to
+carry over between runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from spreadlake.checks import views as v
+from spreadlake.checks.registry import query
+from spreadlake.sources.landed import stream_table
+from spreadlake.streaming import alerts, budget, changes, position_watch
+from spreadlake.streaming.batches import BatchOutput, StateLog, append_to_files, run_to_end, scratch
+
+CUTS = ("2024-01-11", "2024-01-21")
+
+
+def _parts(rows: DataFrame, at: str, cuts: tuple[str, str]) -> list[DataFrame]:
+    first, second = (F.lit(c).cast("timestamp") for c in cuts)
+    t = F.col(at)
+    return [rows.filter(t < first), rows.filter((t >= first) & (t < second)), rows.filter(t >= second)]
+
+
+def _run(rows: DataFrame, schema: str, at: str, make_step, cuts=CUTS) -> DataFrame:
+    spark = rows.sparkSession
+    out, checkpoint = scratch(spark, "stream")
+    folder = f"{out}-input"
+    output = BatchOutput(spark, out)
+    step = make_step(f"{out}-state", output)
+    for part in _parts(rows, at, cuts):
+        part.write.mode("append").parquet(folder)
+        run_to_end(stream_table(spark, folder, schema), step, checkpoint)
+    return output.read()
+
+
+@query("alerts_stream", """
+    WITH e AS (SELECT 'k' || user_id AS key, ts, value, event_id % 4 <> 0 AS in_stock,
+                 CASE WHEN event_type IN ('purchase', 'click') THEN 'offer' WHEN event_type = 'view' THEN 'delivered' ELSE 'gone' END AS kind
+               FROM events WHERE event_type <> 'error'),
+    s AS (SELECT *, last_value(CASE WHEN kind = 'delivered' THEN value END IGNORE NULLS) OVER w AS last_profit,
+                 last_value(CASE WHEN kind = 'delivered' THEN in_stock WHEN kind = 'gone' THEN false END IGNORE NULLS) OVER w AS was
+          FROM e WINDOW w AS (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    r AS (SELECT *, CASE WHEN last_profit IS NULL THEN 'new' WHEN NOT was AND in_stock THEN 'restock'
+                         WHEN abs(value - last_profit) >= 10 THEN 'profit_change' ELSE 'duplicate' END AS reason FROM s)
+    SELECT key, epoch_us(ts) AS at_us, value AS profit, reason FROM r WHERE kind = 'offer' AND reason <> 'duplicate'
+""")
+def alerts_stream(spark, sf):
+    """Offers against delivery receipts: only a receipt moves the state."""
+    rows = v.events(spark, sf).filter("event_type <> 'error'").selectExpr(
+        "concat('k', user_id) AS key", "ts AS at",
+        "CASE WHEN event_type IN ('purchase', 'click') THEN 'offer' WHEN event_type = 'view' THEN 'delivered' ELSE 'gone' END AS kind",
+        "value AS profit", "event_id % 4 <> 0 AS in_stock", "cast(event_id AS string) AS payload",
+    )
+
+    def make(state_path, output):
+        return alerts.step(StateLog(spark, state_path, alerts.STATE, ["key"], "at"), output, 10.0)
+
+    out = _run(rows, alerts.INPUT, "at", make)
+    return out.select("key", F.unix_micros("at").alias("at_us"), "profit", "reason")
+
+
+@query("position_watch_stream", f"""
+    WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('purchase', 'click', 'view') THEN value END AS bid FROM events
+               WHERE user_id % 3 = 0 AND (user_id % 2 = 0 OR ts < TIMESTAMP '2024-01-25')),
+    l AS (SELECT *, lag(bid) OVER w AS last_bid, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    e AS (SELECT *, CASE WHEN rn = 1 THEN 'baseline' WHEN bid IS NULL AND last_bid IS NOT NULL THEN 'bid_gone'
+      WHEN bid IS NOT NULL AND last_bid IS NULL THEN 'bid_back' WHEN abs(bid - last_bid) >= 25 THEN 'bid_moved'
+      WHEN {v.profit_sql('bid', '40.0::DOUBLE')} < 0 AND {v.profit_sql('last_bid', '40.0::DOUBLE')} >= 0 THEN 'underwater' ELSE 'none' END AS event FROM l)
+    SELECT 'v' || user_id AS variant_id, epoch_us(ts) AS at_us, last_bid, bid, event FROM e WHERE event NOT IN ('baseline', 'none')
+""")
+def position_watch_stream(spark, sf):
+    """Bid transitions of owned positions until their watch ends."""
+    rows = v.events(spark, sf).selectExpr(
+        "concat('v', user_id) AS variant_id", "ts AS at",
+        "CASE WHEN event_type IN ('purchase', 'click', 'view') THEN value END AS bid",
+    )
+    positions = v.table(spark, sf, "events").filter("user_id % 3 = 0").select("user_id").distinct().selectExpr(
+        "concat('v', user_id) AS variant_id", "40.0D AS paid", "25.0D AS move",
+        "CASE WHEN user_id % 2 = 1 THEN timestamp'2024-01-25 00:00:00' END AS until",
+    )
+
+    def make(state_path, output):
+        state = StateLog(spark, state_path, position_watch.STATE, ["variant_id"], "at")
+        return position_watch.step(state, output, positions, v.config())
+
+    out = _run(rows, position_watch.INPUT, "at", make)
+    return out.select("variant_id", F.unix_micros("at").alias("at_us"), "last_bid", "bid", "event")
+
+
+@query("listing_changes_stream", """
+    WITH s AS (SELECT retailer, url, seen_at, min(price) AS price, bool_or(in_stock) AS in_stock FROM listing GROUP BY ALL),
+    l AS (SELECT *, row_number() OVER w AS rn, lag(price) OVER w AS old_price, lag(in_stock) OVER w AS old_stock FROM s WINDOW w AS (PARTITION BY retailer, url ORDER BY seen_at))
+    SELECT retailer, url, epoch_us(seen_at) AS at_us, price, old_price, rn = 1 AS is_new, coalesce(price < old_price - 0.01::DOUBLE, false) AS price_dropped,
+           coalesce(NOT old_stock AND in_stock, false) AS restocked
+    FROM l WHERE rn = 1 OR price < old_price - 0.01::DOUBLE OR (NOT old_stock AND in_stock)
+""", ("listing",))
+def listing_changes_stream(spark, sf):
+    """New, cheaper and restocked listings, one sighting per day."""
+    rows = v.listing(spark, sf).groupBy("retailer", "url", F.col("seen_at").alias("at")).agg(
+        F.min("price").alias("price"), F.bool_or("in_stock").alias("in_stock")
+    )
+
+    def make(state_path, output):
+        return changes.step(StateLog(spark, state_path, changes.STATE, changes.KEYS, "at"), output)
+
+    out = _run(rows, changes.INPUT, "at", make, cuts=("1997-01-01", "1999-01-01"))
+    return out.select(
+        "retailer", "url", F.unix_micros("at").alias("at_us"), "price", "old_price", "is_new", "price_dropped", "restocked"
+    )
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    )
+
+
+def _to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    spark = stream.sparkSession
+    out, checkpoint = scratch(spark, "table")
+    query_ = (
+        stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query_.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("budget_stream", """
+    WITH c AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) AS cell, count(*) AS n FROM events GROUP BY 1),
+    s AS (SELECT cell + to_minutes(15 * (1 + k)) AS span_end, n FROM c, range(96) t(k))
+    SELECT epoch_us(span_end) AS end_us, sum(n)::BIGINT AS used FROM s GROUP BY span_end
+    HAVING span_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def budget_stream(spark, sf):
+    """Requests per sliding day, as far as the watermark has closed the spans."""
+    spans = _to_table(budget.rolling_requests(_event_stream(spark, sf)))
+    return spans.select(F.unix_micros("span_end").alias("end_us"), "used")
+
+
+@query("quote_history_stream", """
+    SELECT strftime(ts, '%Y-%m-%d') AS quote_date, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1
+""")
+def quote_history_stream(spark, sf):
+    """Quotes filed under their date as they arrive."""
+    quotes = _event_stream(spark, sf).filter("event_type <> 'error'").selectExpr(
+        "concat('v', user_id) AS variant_id", "value AS highest_bid", "ts AS fetched_at"
+    )
+    out, checkpoint = scratch(spark, "quotes")
+    append_to_files(budget.dated_quotes(quotes), out, checkpoint, ["quote_date"]).awaitTermination()
+    return spark.read.parquet(out).groupBy(F.col("quote_date").cast("string").alias("quote_date")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("negative_expiry_stream", "SELECT DISTINCT 'k' || user_id AS cache_key FROM events")
+def negative_expiry_stream(spark, sf):
+    """Each code is tried once while its limit runs."""
+    misses = _event_stream(spark, sf).selectExpr("concat('k', user_id) AS cache_key", "ts AS at")
+    return _to_table(budget.retry_due(misses, 40)).select("cache_key")
+
+
+@query("heartbeat_stream", "SELECT 'shop' || (user_id % 11) AS retailer, epoch_us(max(ts)) AS beat_us FROM events GROUP BY 1")
+def heartbeat_stream(spark, sf):
+    """Last finished scan per shop, kept up to date."""
+    finished = _event_stream(spark, sf).selectExpr("concat('shop', user_id % 11) AS retailer", "ts AS at")
+    out, checkpoint = scratch(spark, "beats")
+    output = BatchOutput(spark, out)
+
+    def keep(batch, batch_id):
+        output.put(0, batch)
+
+    stream = budget.last_beats(finished)
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return output.read().select("retailer", F.unix_micros("last_beat").alias("beat_us"))
