@@ -142,9 +142,8 @@ def snapshots(spark, sf):
     """(new, old) sightings of each (shop, url)."""
 
     def snap(condition):
-        return v.listing(spark, sf).filter(condition).groupBy("retailer", "url").agg(
-            F.min("price").alias("price"), F.bool_or("in_stock").alias("in_stock"), F.min("name").alias("name"),
-            F.min("style_code").alias("style_code"), F.min("seen_at").alias("first_seen"),
+        return v.listing(spark, sf).filter(condition).groupBy("retailer", "url", "name", "style_code").agg(
+            F.min("price").alias("price"), F.bool_or("in_stock").alias("in_stock"), F.min("seen_at").alias("first_seen"),
             F.max("seen_at").alias("last_seen"),
         )
 

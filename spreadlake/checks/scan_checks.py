@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spreadlake.checks import views as v
 from spreadlake.checks.registry import query
 from spreadlake.plans.scan import ScanInputs, ScanResult, scan
+from spreadlake.session import materialize
 
 CODE = "concat(replace(p_brand, '#', ''), '-', lpad(p_partkey, 7, '0'))"
 
@@ -37,8 +38,10 @@ def inputs(spark, sf) -> ScanInputs:
         "replace(p_brand, '#', '') AS brand", "cast(NULL AS string) AS url_key", "p_partkey AS ordinal",
     )
     market = v.market(spark, sf).drop("size")
+    # a scan starts from tables; here Spark writes them first
     return ScanInputs(
-        listing=listing, policy=v.config().policy_frame(spark), catalog=catalog, variants=v.variants(spark, sf), quotes=market
+        listing=materialize(listing), policy=v.config().policy_frame(spark), catalog=catalog, variants=materialize(v.variants(spark, sf)),
+        quotes=materialize(market),
     )
 
 

@@ -71,14 +71,12 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (shop, part): lowest price, any stock."""
-    return listing(spark, sf_dir).groupBy("retailer", "url").agg(
-        F.min("part_id").alias("part_id"), F.min("name").alias("name"), F.min("brand").alias("brand"),
-        F.min("style_code").alias("style_code"), F.min("ean").alias("ean"), F.min("category").alias("category"),
-        F.min("price").alias("price"), F.min("list_price").alias("list_price"),
-        F.max("on_sale").alias("on_sale"), F.bool_or("in_stock").alias("in_stock"),
-        F.min("product_id").alias("product_id"), F.min("ordinal").alias("ordinal"),
-        F.max("seen_at").alias("scraped_at"), F.lit("EUR").alias("currency"),
+    """One row per (shop, part): lowest price, any stock. What follows from shop
+    and part is grouped by, which keeps the aggregate a plain hash one."""
+    fixed = ("retailer", "url", "part_id", "name", "brand", "style_code", "ean", "category", "list_price", "product_id")
+    return listing(spark, sf_dir).groupBy(*fixed).agg(
+        F.min("price").alias("price"), F.max("on_sale").alias("on_sale"), F.bool_or("in_stock").alias("in_stock"),
+        F.min("ordinal").alias("ordinal"), F.max("seen_at").alias("scraped_at"), F.lit("EUR").alias("currency"),
     )
 
 

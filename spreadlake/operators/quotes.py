@@ -8,6 +8,7 @@ from spreadlake.config import EngineConfig, FilterConfig, VenueConfig
 from spreadlake.functions import money
 from spreadlake.functions.times import is_fresh
 from spreadlake.operators.ordered import LastKnown, top_n_per_group, with_ordered
+from spreadlake.operators.skew import lookup_join
 
 
 def latest(history: DataFrame) -> DataFrame:
@@ -127,7 +128,10 @@ def best_upside(cost: Column, config: EngineConfig) -> Column:
 def assess(listing: DataFrame, quotes: DataFrame, now: Column, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
     """(listings with `best_upside`, watch rows). A product's watch row holds the
     best figure any of its listings reached."""
-    scored = listing.join(best_prices(quotes), "product_id", "left").withColumn(
+    fees = config.fees.transaction_fee_pct + config.fees.processing_fee_pct
+    if fees + (config.vat.rate if config.vat.enabled else 0.0) >= 1:
+        raise ValueError("percentage fees of 100 % or more: the dearest quote is not the best one")
+    scored = lookup_join(listing, best_prices(quotes), ["product_id"]).withColumn(
         "best_upside", best_upside(F.col("landed_cost"), config)
     ).drop("top_bid", "top_ask")
     watch = scored.groupBy("product_id").agg(F.max("best_upside").alias("best_profit")).withColumn("checked_at", now)

@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import style, text
+from spreadlake.functions.binding import evaluated_once
 from spreadlake.operators.skew import lookup_join
+from spreadlake.session import materialize
 
 PRODUCT = ("product_id", "style_id", "title", "brand", "url_key")
 EXACT, SECONDARY, FUZZY = 1.0, 0.95, 0.5
 LOOKUP = ["style_code", "brand", "name"]
 
+# Titles up to this many distinct tokens are verified without a second join.
+INLINE_TOKENS = 40
+
 
 def _product(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(c) for c in PRODUCT])
@@ -48,9 +53,11 @@ def title_index(catalog: DataFrame) -> DataFrame:
 
 def lookups(listing: DataFrame) -> DataFrame:
     """Distinct (code, brand, name) with the candidate codes to try."""
+    distinct = listing.filter(F.col("style_code") != "").select(*LOOKUP).distinct()
+    # without the barrier the filter below would take the parsing of the codes
+    # under the distinct, to every listing
     return (
-        listing.filter(F.col("style_code") != "").select(*LOOKUP).distinct()
-        .withColumn("codes", style.lookup_codes(F.col("style_code")))
+        evaluated_once(distinct, "codes", style.lookup_codes(F.col("style_code")))
         .withColumn("cache_key", F.get("codes", F.lit(0)))
         .filter(F.col("cache_key").isNotNull())
     )
@@ -92,22 +99,27 @@ def match_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     the candidates are then verified on the whole token sets. Equal names, and
     catalog products with equal brand and tokens, are handled once.
     """
-    wanted = (
-        names.withColumn("fuzzy_brand", text.brand_key(F.col("brand")))
-        .withColumn("want", F.array_sort(text.tokens(F.col("name"))))
-        .filter(F.col("fuzzy_brand").isNotNull() & (F.size("want") > 0))
+    # both sides are used several times, and cutting text into words is the
+    # dear part, so each is written once
+    split = evaluated_once(
+        names.withColumn("fuzzy_brand", text.brand_key(F.col("brand"))), "want",
+        F.array_sort(text.tokens(F.col("name"))),
     )
+    wanted = materialize(split.filter(F.col("fuzzy_brand").isNotNull() & (F.size("want") > 0)))
     # m / n >= 0.6 for whole numbers: m is 3n/5 rounded up
     sets = wanted.select("fuzzy_brand", "want").distinct().withColumn(
         "at_least", F.floor((F.size("want") * 3 + 4) / 5).cast("int")
     )
-    have = (
-        catalog.withColumn("fuzzy_brand", F.lower(F.coalesce(F.col("brand"), F.lit(""))))
-        .withColumn("got", F.array_sort(text.tokens(F.coalesce(F.col("title"), F.lit("")))))
-        .groupBy("fuzzy_brand", "got")
+    worded = evaluated_once(
+        catalog.withColumn("fuzzy_brand", F.lower(F.coalesce(F.col("brand"), F.lit("")))), "got",
+        F.array_sort(text.tokens(F.coalesce(F.col("title"), F.lit("")))),
+    )
+    have = materialize(
+        worded.groupBy("fuzzy_brand", "got")
         .agg(F.min(F.struct("ordinal", "product_id")).alias("at"), _first().alias("hit"))
     )
-    postings = have.select("fuzzy_brand", "at", F.size("got").alias("n_got"), F.explode("got").alias("token"))
+    n_got = F.size("got")
+    postings = have.select("fuzzy_brand", "at", "got", "hit", n_got.alias("n_got"), F.explode("got").alias("token"))
     spread = postings.groupBy("fuzzy_brand", "token").agg(F.count(F.lit(1)).alias("holders"))
     scored = lookup_join(
         sets.select("fuzzy_brand", "want", "at_least", F.explode("want").alias("token")),
@@ -123,14 +135,22 @@ def match_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
         .filter(F.col("p.n") > 0)
         .select("fuzzy_brand", "want", "at_least", F.col("p.token").alias("token"))
     )
-    pairs = (
-        rarest.join(postings, ["fuzzy_brand", "token"])
-        .filter(F.col("n_got") >= F.col("at_least"))
-        .select("fuzzy_brand", "want", "at_least", "at").distinct()
-    )
-    verified = pairs.join(have.select("fuzzy_brand", "at", "got", "hit"), ["fuzzy_brand", "at"]).filter(
-        F.size(F.array_intersect("want", "got")) >= F.col("at_least")
+    covers = F.size(F.array_intersect("want", "got")) >= F.col("at_least")
+    long_enough = F.col("n_got") >= F.col("at_least")
+    # a short title travels with its postings and is verified on the spot; a long
+    # text would be copied once per word, so it is fetched again for its candidates
+    short = rarest.join(
+        postings.filter(F.col("n_got") <= INLINE_TOKENS), ["fuzzy_brand", "token"]
+    ).filter(long_enough & covers).select("fuzzy_brand", "want", "at", "hit")
+    long = (
+        rarest.join(
+            postings.filter(F.col("n_got") > INLINE_TOKENS).drop("got", "hit"), ["fuzzy_brand", "token"]
+        )
+        .filter(long_enough).select("fuzzy_brand", "want", "at_least", "at").distinct()
+        .join(have.filter(n_got > INLINE_TOKENS), ["fuzzy_brand", "at"])
+        .filter(covers).select("fuzzy_brand", "want", "at", "hit")
     )
+    verified = short.unionByName(long)
     best = verified.groupBy("fuzzy_brand", "want").agg(F.min_by("hit", "at").alias("hit"))
     return (
         wanted.join(best, ["fuzzy_brand", "want"])
@@ -140,10 +160,9 @@ def match_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def resolve(listing: DataFrame, catalog: DataFrame, fuzzy: bool = True, need: DataFrame | None = None) -> DataFrame:
     """The full cascade: one row per lookup, `found` false when nothing fits."""
-    need = lookups(listing) if need is None else need
-    exact = match_codes(need, catalog)
-    keyed = _null_safe_left(need, exact, LOOKUP)
-    out = keyed
+    # the distinct lookups and their exact answers each feed two branches
+    need = materialize(lookups(listing) if need is None else need)
+    keyed = materialize(_null_safe_left(need, match_codes(need, catalog), LOOKUP))
     if fuzzy:
         open_ = (
             keyed.filter(F.col("hit").isNull() & (F.col("brand") != "") & (F.col("name") != ""))
@@ -175,7 +194,21 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def attach(listing: DataFrame, resolved: DataFrame) -> DataFrame:
     """Give every listing its catalog product; NULL where there is none."""
     slim = resolved.filter("found").select(*LOOKUP, "product", "method", "confidence")
-    return _null_safe_left(listing, slim, LOOKUP)
+    keyed = _with_set_keys(listing)
+    return lookup_join(keyed, _with_set_keys(slim).drop("brand", "name"), ["style_code", *_SET_KEYS]).select(
+        *listing.columns, "product", "method", "confidence"
+    )
+
+
+_SET_KEYS = ["_brand_key", "_name_key"]
+
+
+def _with_set_keys(df: DataFrame) -> DataFrame:
+    """Brand and name as join keys that are never NULL, as a missing one has to
+    meet a missing one."""
+    return df.withColumns(
+        {k: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for k, c in zip(_SET_KEYS, ("brand", "name"))}
+    )
 
 
 # -- resolution cache ---------------------------------------------------------

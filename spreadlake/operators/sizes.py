@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spreadlake.functions import size as sz
 from spreadlake.functions.text import empty_to_null
 from spreadlake.operators.skew import lookup_join
+from spreadlake.session import materialize
 
 COMBO = ["product_id", "retail_us", "retail_eu"]
 
@@ -90,7 +91,9 @@ def match_sizes(combos: DataFrame, variants: DataFrame) -> DataFrame:
 def attach_variant(sizes: DataFrame, variants: DataFrame) -> DataFrame:
     """Add `variant_id`, `variant_size`, `size_confidence` to size rows."""
     labelled = with_retail_labels(sizes)
-    out = lookup_join(labelled, match_sizes(labelled, variants), COMBO)
+    # written out, the matches have a known size, which decides how they are joined
+    matched = materialize(match_sizes(labelled, variants))
+    out = lookup_join(labelled, matched, COMBO)
     return out.withColumn("size_confidence", F.coalesce("size_confidence", F.lit(0.0)))
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spreadlake.session import empty_table
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str, partition_by: tuple[str, ...] = ()):
@@ -31,14 +33,14 @@ class VersionedTable:
     def read(self) -> DataFrame:
         current = self.version()
         if current == 0:
-            return self.spark.createDataFrame([], self.schema)
+            return empty_table(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{current}")
 
     def replace(self, rows: DataFrame) -> int:
         """Write the next version and point to it. The pointer is an empty file
         named after the version; creating it fails if another writer was first."""
         number = self.version() + 1
-        names = rows.sparkSession.createDataFrame([], self.schema).columns
+        names = empty_table(self.spark, self.schema).columns
         writer = rows.select(*names).write.mode("overwrite")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/v{number}")
         where, fs = self._pointer()

@@ -10,6 +10,7 @@ from spreadlake import schemas
 from spreadlake.config import EngineConfig
 from spreadlake.operators import alerts, monitor, report, review, sales, state
 from spreadlake.operators.state import VersionedTable, append
+from spreadlake.session import empty_table
 
 
 @dataclass
@@ -47,7 +48,7 @@ class Store:
         path = f"{self.root}/{name}"
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
         return self.spark.read.schema(schema).parquet(path)
 
 
@@ -125,7 +126,7 @@ def log_scan(store: Store, rows: DataFrame) -> None:
 
 
 def record_sales(store: Store, rows: DataFrame, config: EngineConfig) -> None:
-    names = store.spark.createDataFrame([], schemas.SALE).columns
+    names = empty_table(store.spark, schemas.SALE).columns
     append(sales.with_prediction(rows, config).select(*names), f"{store.root}/sales")
 
 

@@ -13,7 +13,7 @@ from spreadlake.operators import (
     alerts, barcodes, monitor, opportunity, quotes, resolve, review, screen, sizes, state,
 )
 from spreadlake.operators.skew import lookup_join
-from spreadlake.session import materialize
+from spreadlake.session import empty_table, materialize
 
 
 @dataclass
@@ -49,10 +49,6 @@ class ScanResult:
 QUOTE_COLUMNS = ("lowest_ask", "highest_bid", "num_asks", "num_bids", "sales_72h", "last_sale", "fetched_at")
 
 
-def _empty(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
-
-
 def candidates(inputs: ScanInputs, config: EngineConfig) -> DataFrame:
     """Screened listings with cost, discount rank and the change flags."""
     stamped = screen.enabled_only(screen.stamp_policy(inputs.listing, inputs.policy), inputs.policy)
@@ -130,7 +126,7 @@ def scan(
     lifts them."""
     if backfill:
         calls = resolutions = None
-    spark_frame = inputs.listing
+    spark = inputs.listing.sparkSession
     cands = candidates(inputs, config)
     listed, new_cache = resolved_listings(cands, inputs, config, now, resolutions)
     # the confidence split feeds two branches; the match behind it is run once
@@ -152,8 +148,8 @@ def scan(
         gated = quotes.upside_gate(again, config)
     gated = materialize(gated)
 
-    gtin_map = inputs.gtin_map if inputs.gtin_map is not None else _empty(
-        spark_frame, "gtin string, found boolean, product_id string, variant_id string"
+    gtin_map = inputs.gtin_map if inputs.gtin_map is not None else empty_table(
+        spark, "gtin string, found boolean, product_id string, variant_id string"
     )
     single = sizes.sizeless_products(inputs.variants)
     marked = lookup_join(gated, single, ["product_id"])
@@ -221,11 +217,11 @@ def scan(
     opportunities = materialize(opportunity.collapse_unverified(flat))
 
     due = opportunities
-    alert_state = inputs.alert_state if inputs.alert_state is not None else _empty(
-        spark_frame, "key string, last_profit double, was_in_stock boolean"
+    alert_state = inputs.alert_state if inputs.alert_state is not None else empty_table(
+        spark, "key string, last_profit double, was_in_stock boolean"
     )
     due = alerts.due(due, alert_state, config.alerts.re_alert_delta)
-    gone_keys = _empty(spark_frame, "key string")
+    gone_keys = empty_table(spark, "key string")
     if inputs.detail is not None:
         # a listing the page read left unverified is judged once more; one that
         # fails does not use up the cap, which counts alerts sent

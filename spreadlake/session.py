@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -67,12 +68,19 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage: write the rows to a table in the shared folder, read it back.
 
-    The rows are written once and read back, so values that depend on how a
-    shuffle placed them (partition ids) stay fixed when an executor is lost.
+    Values that depend on how a shuffle placed the rows (partition ids) stay
+    fixed when an executor is lost. Unlike a checkpoint of rows, the table is
+    columnar, so later steps read only the columns they use, and its size is
+    known, so Spark's choice between broadcast and shuffle rests on a fact.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = new_shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, and known to the optimizer to have none: joins with it fold away."""
+    fields = StructType.fromDDL(schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])

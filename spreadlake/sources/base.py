@@ -8,9 +8,10 @@ never needs a shuffle and the size of a group is the size of a page.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from spreadlake import schemas
 
@@ -30,14 +31,15 @@ def extractor(name: str):
     return register
 
 
-def listing_type(df: DataFrame) -> StructType:
-    return df.sparkSession.createDataFrame([], schemas.LISTING).schema
+@cache
+def listing_fields() -> tuple[StructField, ...]:
+    return tuple(StructType.fromDDL(schemas.LISTING).fields)
 
 
 def as_listing(df: DataFrame, **values: Column) -> DataFrame:
     """Select the listing columns; absent ones get their default or NULL."""
     out = []
-    for f in listing_type(df).fields:
+    for f in listing_fields():
         if f.name in values:
             c = values[f.name]
         elif f.name in ("retailer", "url"):

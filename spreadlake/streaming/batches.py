@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spreadlake.session import new_shared_path
+from spreadlake.session import empty_table, new_shared_path
 
 FOLD_EVERY = 16
 
@@ -45,7 +45,7 @@ class StateLog:
         paths = [f"{self.path}/full/{base}"] if full else []
         paths += [f"{self.path}/delta/{b}" for b in self._complete("delta") if base < b < batch_id]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return empty_table(self.spark, self.schema)
         rows = self.spark.read.schema(self.schema).parquet(*paths)
         names = [c for c in rows.columns if c not in self.keys]
         return rows.groupBy(*self.keys).agg(
