@@ -93,6 +93,22 @@ def ttl_tier(spark, sf):
     return quotes.with_ttl(rows, _watch(spark, sf), v.config())
 
 
+@query("refresh_due", f"""
+    WITH w AS (SELECT product_id, CASE CAST(substr(product_id, 2) AS INT) % 4 WHEN 0 THEN 45 WHEN 1 THEN 720 WHEN 2 THEN 45 ELSE 180 END AS ttl_minutes FROM (SELECT DISTINCT product_id FROM variant))
+    SELECT w.product_id, w.ttl_minutes, count(*) AS n_variants, count(*) FILTER (coalesce(fetched_at >= {v.NOW_SQL} - to_minutes(ttl_minutes), false)) AS n_fresh
+    FROM w JOIN variant x USING (product_id) LEFT JOIN market m ON x.variant_id = m.variant_id GROUP BY ALL HAVING n_fresh < n_variants
+""", ("variant", "market"))
+def refresh_due(spark, sf):
+    """Products whose quotes are older than their tier allows."""
+    variants = v.variants(spark, sf)
+    n = F.substring("product_id", 2, 10).cast("int") % 4
+    watch = variants.select("product_id").distinct().filter(n != 0).withColumn(
+        "best_profit", F.when(n == 2, 5.0).when(n == 3, -30.0)
+    )
+    out = quotes.refresh_due(variants, v.market(spark, sf), watch, v.now(), v.config())
+    return out.select("product_id", "ttl_minutes", "n_variants", "n_fresh")
+
+
 @query("budget_cut", """
     WITH n AS (SELECT *, part_id % 3 <> 0 AS needs FROM offer_costed),
     r AS (SELECT *, row_number() OVER (PARTITION BY retailer, needs ORDER BY discount_rank DESC, ordinal, url) AS rn FROM n)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from spreadlake.checks import views as v
 from spreadlake.checks.registry import query
 from spreadlake.sources.landed import stream_table
-from spreadlake.streaming import alerts, budget, changes, position_watch
+from spreadlake.streaming import alerts, budget, cadence, changes, position_watch
+from spreadlake.session import empty_table
 from spreadlake.streaming.batches import BatchOutput, StateLog, append_to_files, run_to_end, scratch
 
 CUTS = ("2024-01-11", "2024-01-21")
@@ -179,3 +180,25 @@ def heartbeat_stream(spark, sf):
         availableNow=True
     ).start().awaitTermination()
     return output.read().select("retailer", F.unix_micros("last_beat").alias("beat_us"))
+
+
+@query("refresh_due_stream", """
+    WITH now_ AS (SELECT max(ts) AS t FROM events WHERE event_type <> 'error'),
+    q AS (SELECT 'v' || user_id AS variant_id, max(ts) AS fetched_at FROM events WHERE event_type <> 'error' GROUP BY 1)
+    SELECT x.product_id, count(*) AS n_variants, count(*) FILTER (coalesce(fetched_at >= t - INTERVAL 45 MINUTES, false)) AS n_fresh
+    FROM variant x LEFT JOIN q USING (variant_id), now_ GROUP BY 1 HAVING n_fresh < n_variants
+""", ("variant",))
+def refresh_due_stream(spark, sf):
+    """Products due after the last quote, all of them on the shortest cadence."""
+    rows = v.events(spark, sf).filter("event_type <> 'error'").selectExpr(
+        "concat('v', user_id) AS variant_id", "ts AS fetched_at"
+    )
+    watch = empty_table(spark, "product_id string, best_profit double")
+
+    def make(state_path, output):
+        state = StateLog(spark, state_path, cadence.STATE, ["variant_id"], "fetched_at")
+        return cadence.step(state, output, v.variants(spark, sf), watch, v.config())
+
+    out = _run(rows, cadence.INPUT, "fetched_at", make)
+    last = out.agg(F.max("as_of").alias("as_of"))
+    return out.join(F.broadcast(last), "as_of", "left_semi").select("product_id", "n_variants", "n_fresh")

@@ -248,11 +248,12 @@ def profit_sql(sale: str, cost: str, wedge: str = "0.0::DOUBLE") -> str:
 def round_sql(x: str, unit: int) -> str:
     """Exact half-even rounding of a double, by integers."""
     scaled = f"((abs({x}) - floor(abs({x}))) * 4503599627370496.0::DOUBLE)"
-    product = f"(CAST(floor({scaled}) AS HUGEINT) * {unit})"
+    under = f"(({scaled} - floor({scaled})) * {unit}.0::DOUBLE)"
+    product = f"(CAST(floor({scaled}) AS HUGEINT) * {unit} + CAST(floor({under}) AS HUGEINT))"
     down = f"({product} // 4503599627370496)"
     rest = f"(({product} % 4503599627370496) * 2)"
     up = (
         f"CASE WHEN {rest} > 4503599627370496 OR ({rest} = 4503599627370496 AND "
-        f"({scaled} > floor({scaled}) OR {down} % 2 = 1)) THEN 1 ELSE 0 END"
+        f"({under} > floor({under}) OR {down} % 2 = 1)) THEN 1 ELSE 0 END"
     )
     return f"(sign({x}) * ((CAST(floor(abs({x})) AS HUGEINT) * {unit} + {down} + {up})::DOUBLE / {unit}.0::DOUBLE))"

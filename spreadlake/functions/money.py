@@ -34,8 +34,10 @@ def round_half_even(x: Column, digits: int) -> Column:
         return bind((F.abs(v) - whole) * F.lit(float(1 << _MANTISSA)), lambda f: F.signum(v) * of_fraction(whole, f))
 
     def of_fraction(whole: Column, scaled: Column) -> Column:
-        product = F.floor(scaled) * F.lit(unit)
-        beyond = scaled > F.floor(scaled)
+        # a fraction below one half has bits under the scale; they are scaled apart
+        under = (scaled - F.floor(scaled)) * F.lit(float(unit))
+        product = F.floor(scaled) * F.lit(unit) + F.floor(under)
+        beyond = under > F.floor(under)
         return bind(product, lambda p: (whole * F.lit(unit) + step(p, beyond)) / F.lit(float(unit)))
 
     def step(product: Column, beyond: Column) -> Column:

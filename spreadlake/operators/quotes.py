@@ -85,6 +85,14 @@ def freshness(variants: DataFrame, quotes: DataFrame, product_ttl: DataFrame, no
     )
 
 
+def refresh_due(variants: DataFrame, quotes: DataFrame, watch: DataFrame, now: Column, config: EngineConfig) -> DataFrame:
+    """Products to read anew, with their cadence: not every variant has a quote
+    as fresh as the product's tier asks for."""
+    products = with_ttl(variants.select("product_id").distinct(), watch, config)
+    state = freshness(variants, quotes, products, now)
+    return state.filter(~F.col("all_fresh")).join(products, "product_id")
+
+
 def within_budget(candidates: DataFrame, needs_call: Column, order: list[Column], calls: int) -> DataFrame:
     """Candidates the call budget of their shop's scan still reaches: those that
     need no call, and the first `calls` that do."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,6 +10,7 @@ from spreadlake import schemas
 from spreadlake.config import EngineConfig
 from spreadlake.operators import alerts, monitor, report, review, sales, state
 from spreadlake.operators.state import VersionedTable, append
+from spreadlake.plans.scan import ScanInputs, ScanResult, scan
 from spreadlake.session import empty_table
 
 
@@ -136,6 +137,28 @@ def sold_report(store: Store) -> tuple[DataFrame, DataFrame]:
     return sales.outcomes(sales.by_date(every)), sales.calibration(every)
 
 
+def scan_job(
+    store: Store, inputs: ScanInputs, config: EngineConfig, now: Column, calls: int | None = None,
+    resolutions: int | None = None, backfill: bool = False, force_fresh: bool = False,
+) -> ScanResult:
+    """Scan with the stored caches and state, and store what it found: cache
+    rows, watch rows, reviews, the scan log, and alerts to be sent. The alert
+    state stays as it is until `record_alerts` is told what was delivered."""
+    state_now = replace(
+        inputs, resolution=store.resolution.read(), watch=store.watch.read(), alert_state=store.alerts.read(),
+        gtin_map=store.gtin_map.read(), previous=None if force_fresh else inputs.previous,
+    )
+    result = scan(state_now, config, now, calls, resolutions, backfill)
+    put_resolution(store, result.resolution)
+    put_watch(store, result.watch)
+    add_reviews(store, result.reviews)
+    append(result.alerts.select("key", "retailer", "url", "gate_profit", "in_stock", "reason", "text", now.alias("made_at")),
+           f"{store.root}/alert_outbox")
+    mark_out_of_stock(store, result.out_of_stock)
+    log_scan(store, result.stats.withColumn("started_at", now))
+    return result
+
+
 def live_report(alerts_table: DataFrame, listing: DataFrame, quotes: DataFrame, config: EngineConfig, limit: int):
     """(live opportunities, the rest with the reason)."""
     checked = report.verify(alerts_table, listing, quotes, config)

@@ -22,6 +22,9 @@ SPEED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the caps per scan are larger than the default limit up to which a ranking
+    # is cut before its shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

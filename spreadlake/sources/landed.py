@@ -14,7 +14,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def read_files_as_pages(spark: SparkSession, path: str, retailer: str) -> DataFrame:
     """One whole file per page; the file name stands for the url."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.lit(retailer).alias("retailer"),
         F.col("_metadata.file_path").alias("url"),

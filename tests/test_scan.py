@@ -61,3 +61,40 @@ def test_second_scan_is_silent(spark, result):
     again = scan(inputs, config, F.lit(fixtures.NOW))
     assert again.opportunities.count() == 2
     assert again.alerts.count() == 0
+
+
+def test_stored_scan_repeats_until_delivered(spark, tmp_path):
+    from spreadlake.plans import jobs
+
+    config = _config()
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    t = fixtures.tables(spark)
+    inputs = ScanInputs(
+        listing=t["listing"], policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"], quotes=t["quotes"],
+    )
+    now = F.lit(fixtures.NOW)
+    first = jobs.scan_job(store, inputs, config, now)
+    assert first.alerts.count() == 2
+    cached = {r.cache_key: (r.found, r.product_id) for r in store.resolution.read().collect()}
+    assert cached["75192"] == (True, "p-falcon") and len(cached) == 4
+    assert {r.product_id for r in store.watch.read().collect()} >= {"p-aj1", "p-falcon"}
+    # nothing was delivered, so both come again; the matches come from the cache
+    second = jobs.scan_job(store, inputs, config, now)
+    assert second.alerts.count() == 2 and second.resolution.count() == 0
+    assert jobs.reviews(store).count() == 1
+    jobs.record_alerts(store, second.alerts.withColumn("payload", F.col("text")), now)
+    assert jobs.scan_job(store, inputs, config, now).alerts.count() == 0
+    log = store.log("scan_log", "started_at timestamp, retailer string, alerts_sent bigint")
+    assert sorted(r.alerts_sent for r in log.filter("retailer = 'alpha'").collect()) == [0, 1, 1]
+
+
+def test_call_budget_and_caps(spark):
+    config = _config()
+    t = fixtures.tables(spark)
+    inputs = ScanInputs(
+        listing=t["listing"], policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"], quotes=t["quotes"],
+    )
+    none = scan(inputs, config, F.lit(fixtures.NOW), calls=0)
+    assert none.opportunities.count() == 0
+    assert scan(inputs, config, F.lit(fixtures.NOW), calls=0, backfill=True).opportunities.count() == 2
+    assert scan(inputs, config, F.lit(fixtures.NOW), resolutions=1).resolution.count() == 1
