@@ -101,5 +101,9 @@ def test_lookup_join_picks_by_size(spark, rows):
     plan = lookup_join(rows, small, ["key"])._jdf.queryExecution().toString()
     assert "_salt" not in plan
     unknown = spark.createDataFrame([("hot", 1)], "key string, x int")
-    plan = lookup_join(rows, unknown, ["key"])._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.defaultSizeInBytes", str(1 << 40))
+    try:
+        plan = lookup_join(rows, unknown, ["key"])._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.defaultSizeInBytes", "1000")
     assert "_salt" in plan
