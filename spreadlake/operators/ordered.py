@@ -69,9 +69,9 @@ def _carried(spec, name: str, earlier) -> Column:
 
 def with_ordered(df: DataFrame, keys: list[str], order: list[Column], **specs) -> DataFrame:
     """Add one column per spec. `order` must be a total order inside a key."""
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *[F.col(k) for k in keys], *order)
+    # without a number of its own the shuffle is sized by the session, and adaptive
+    # execution may merge neighbouring ranges that turn out small
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     window = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     previous = {n: s for n, s in specs.items() if isinstance(s, Previous)}
     local = materialize(

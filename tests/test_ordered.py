@@ -10,6 +10,14 @@ from spreadlake.operators.ordered import LastKnown, Previous, RowNumber, Running
 from spreadlake.operators.skew import lookup_join, salted_join
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_ranges(spark):
+    """Keep the ranges of this small input apart, or there would be one segment."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     """Key "hot" holds a third of the rows, one key is NULL, some values too."""
