@@ -141,7 +141,7 @@ def synthesised_sizes(listing: DataFrame, variants: DataFrame) -> DataFrame:
         F.lit(None).cast("boolean").alias("size_in_stock"),
         F.col("variant_id").alias("_order"),
     )
-    return bare.join(offered, "product_id").withColumn("size_pos", F.xxhash64("_order").cast("bigint")).drop("_order")
+    return lookup_join(bare, offered, ["product_id"], "inner").withColumn("size_pos", F.xxhash64("_order").cast("bigint")).drop("_order")
 
 
 def split_by_fit(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:

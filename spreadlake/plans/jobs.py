@@ -14,6 +14,12 @@ from spreadlake.plans.scan import ScanInputs, ScanResult, scan
 from spreadlake.session import empty_table
 
 
+OUTBOX = """
+    key string, retailer string, url string, size_label string, gate_profit double, in_stock boolean,
+    reason string, text string, made_at timestamp
+"""
+
+
 @dataclass
 class Store:
     """The state tables under one folder."""
@@ -144,6 +150,9 @@ def scan_job(
     """Scan with the stored caches and state, and store what it found: cache
     rows, watch rows, reviews, the scan log, and alerts to be sent. The alert
     state stays as it is until `record_alerts` is told what was delivered."""
+    sent = store.log("alert_outbox", OUTBOX).select("key", "retailer", "url", "size_label").distinct()
+    # what sold out since it was alerted is new again when it comes back
+    mark_out_of_stock(store, alerts.sold_out(sent, inputs.listing))
     state_now = replace(
         inputs, resolution=store.resolution.read(), watch=store.watch.read(), alert_state=store.alerts.read(),
         gtin_map=store.gtin_map.read(), previous=None if force_fresh else inputs.previous,
@@ -152,8 +161,12 @@ def scan_job(
     put_resolution(store, result.resolution)
     put_watch(store, result.watch)
     add_reviews(store, result.reviews)
-    append(result.alerts.select("key", "retailer", "url", "gate_profit", "in_stock", "reason", "text", now.alias("made_at")),
-           f"{store.root}/alert_outbox")
+    append(
+        result.alerts.select(
+            "key", "retailer", "url", "size_label", "gate_profit", "in_stock", "reason", "text", now.alias("made_at")
+        ),
+        f"{store.root}/alert_outbox",
+    )
     mark_out_of_stock(store, result.out_of_stock)
     log_scan(store, result.stats.withColumn("started_at", now))
     return result

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.config import EngineConfig
 from spreadlake.operators import watch
+from spreadlake.operators.skew import lookup_join
 from spreadlake.streaming.batches import BatchOutput, StateLog
 
 INPUT = "variant_id string, at timestamp, bid double"
@@ -15,7 +16,7 @@ POSITIONS = "variant_id string, paid double, move double, until timestamp"
 
 def relevant(checks: DataFrame, positions: DataFrame) -> DataFrame:
     """Checks of owned variants before their watch ends."""
-    joined = checks.join(positions, "variant_id")
+    joined = lookup_join(checks, positions, ["variant_id"], "inner")
     return joined.filter(F.col("until").isNull() | (F.col("at") < F.col("until"))).drop("until")
 
 

@@ -78,12 +78,16 @@ def test_stored_scan_repeats_until_delivered(spark, tmp_path):
     cached = {r.cache_key: (r.found, r.product_id) for r in store.resolution.read().collect()}
     assert cached["75192"] == (True, "p-falcon") and len(cached) == 4
     assert {r.product_id for r in store.watch.read().collect()} >= {"p-aj1", "p-falcon"}
-    # nothing was delivered, so both come again; the matches come from the cache
-    second = jobs.scan_job(store, inputs, config, now)
-    assert second.alerts.count() == 2 and second.resolution.count() == 0
+    # one of the two is delivered; the other comes again, matched from the cache,
+    # while the first sold out in the meantime
+    jobs.record_alerts(store, first.alerts.filter("retailer = 'boxes'").withColumn("payload", F.col("text")), now)
+    gone = replace(inputs, listing=t["listing"].withColumn("in_stock", F.col("retailer") != "boxes"))
+    second = jobs.scan_job(store, gone, config, now)
+    assert [r.retailer for r in second.alerts.collect()] == ["alpha"] and second.resolution.count() == 0
     assert jobs.reviews(store).count() == 1
     jobs.record_alerts(store, second.alerts.withColumn("payload", F.col("text")), now)
-    assert jobs.scan_job(store, inputs, config, now).alerts.count() == 0
+    # back again: the state remembers that it was gone
+    assert [(r.key, r.reason) for r in jobs.scan_job(store, inputs, config, now).alerts.collect()] == [("boxes|v-falcon", "restock")]
     log = store.log("scan_log", "started_at timestamp, retailer string, alerts_sent bigint")
     assert sorted(r.alerts_sent for r in log.filter("retailer = 'alpha'").collect()) == [0, 1, 1]
 
@@ -94,7 +98,6 @@ def test_call_budget_and_caps(spark):
     inputs = ScanInputs(
         listing=t["listing"], policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"], quotes=t["quotes"],
     )
-    none = scan(inputs, config, F.lit(fixtures.NOW), calls=0)
-    assert none.opportunities.count() == 0
-    assert scan(inputs, config, F.lit(fixtures.NOW), calls=0, backfill=True).opportunities.count() == 2
-    assert scan(inputs, config, F.lit(fixtures.NOW), resolutions=1).resolution.count() == 1
+    none = scan(inputs, config, F.lit(fixtures.NOW), calls=0, resolutions=1)
+    assert none.opportunities.count() == 0 and none.resolution.count() == 1
+    assert scan(inputs, config, F.lit(fixtures.NOW), calls=0, resolutions=1, backfill=True).opportunities.count() == 2
