@@ -198,10 +198,6 @@ _RESOLVE = r"""
 """
 
 
-def _whole_brand_catalog(spark, sf):
-    return v.catalog(spark, sf)
-
-
 @query("resolve_cascade", _RESOLVE, ("listing", "catalog"))
 def resolve_cascade(spark, sf):
     out = resolve.resolve(_listings(spark, sf), v.catalog(spark, sf))

@@ -10,14 +10,14 @@ from spreadlake.checks import views as v
 from spreadlake.checks.money_checks import costed_offers
 from spreadlake.checks.registry import query
 from spreadlake.functions import times
-from spreadlake.operators import quotes, resolve, state
+from spreadlake.operators import quotes, state
 from spreadlake.operators.ordered import top_n_per_group
 
 
 @query("quote_latest", """
-    SELECT variant_id, max(fetched_at) AS m, epoch_us(max(fetched_at)) AS fetched_us,
+    SELECT variant_id, epoch_us(max(fetched_at)) AS fetched_us,
            max_by(event_id, fetched_at) AS event_id FROM quote_history GROUP BY variant_id
-""".replace("max(fetched_at) AS m, ", ""), ("quote_history",))
+""", ("quote_history",))
 def quote_latest(spark, sf):
     out = quotes.latest(v.quote_history(spark, sf))
     return out.select("variant_id", F.unix_micros("fetched_at").alias("fetched_us"), "event_id")

@@ -12,9 +12,6 @@ from spreadlake.checks.registry import query
 from spreadlake.functions import text
 from spreadlake.sources import feeds, jsonld, landed, market, markup, sitemap
 
-Q = '"'
-
-
 def pages(spark, sf, body: str, shop: str = "'shop1'", where: str = "true") -> DataFrame:
     """One landed page per part; `body` is a SQL expression over `part`."""
     return v.part(spark, sf).filter(where).withColumn("brandname", F.expr("replace(p_brand, '#', ' ')")).select(
@@ -171,16 +168,16 @@ def microdata(spark, sf):
 _SWATCH_BODY = """concat('<title>', upper(p_name), ' &amp;quot;x&amp;quot; | shop</title><span ', CASE p_partkey % 3
       WHEN 0 THEN concat('data-price-amount="', p_size, '.5" id="q" data-price-type="finalPrice"')
       WHEN 1 THEN concat('data-price-type="finalPrice" data-price-amount="', p_size, '.5"') ELSE 'data-price-amount="0" data-price-type="finalPrice"' END,
-    '></span> Tootekood: if', ' IF', lpad(p_partkey, 4, '0'), ' 103 <script>{"x":{"jsonConfig": {"attributes":{"93":{"code":"color","options":[{"label":"r{e}d"}]},"141":{"code":"size","options":[',
+    '></span> Tootekood: if', ' IF', lpad(p_partkey % 10000, 4, '0'), ' 103 <script>{"x":{"jsonConfig": {"attributes":{"93":{"code":"color","options":[{"label":"r{e}d"}]},"141":{"code":"size","options":[',
     '{"label":"', p_size, ',5","products":["1"],"brand":"', brandname, '","default_size_type":"us"},{"label":"43","products":[],"gender":"men"},{"label":" "}]}}}, "y":1}}</script>')"""
 
 
 @query("swatch_pages", """
-    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size + 0.5::DOUBLE AS price, 'IF' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '-103' AS style_code,
+    SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size + 0.5::DOUBLE AS price, 'IF' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || '-103' AS style_code,
            replace(p_brand, '#', ' ') AS brand, upper(substr(p_name, 1, 1)) || substr(p_name, 2, strpos(p_name, ' ') - 1) || upper(substr(p_name, strpos(p_name, ' ') + 1, 1)) || substr(p_name, strpos(p_name, ' ') + 2) || ' X' AS name,
            CASE i WHEN 0 THEN p_size || '.5' ELSE '43' END AS label, CASE i WHEN 0 THEN 'US' ELSE 'EU' END AS system,
            CASE i WHEN 0 THEN p_size || '.5' END AS us_size, i = 0 AS size_in_stock
-    FROM part, range(2) t(i) WHERE p_partkey % 3 <> 2 AND length(CAST(p_partkey AS VARCHAR)) <= 6
+    FROM part, range(2) t(i) WHERE p_partkey % 3 <> 2
 """)
 def swatch_pages(spark, sf):
     """Price attribute either way round, style label, size buttons."""
@@ -435,8 +432,8 @@ def _offsets(spark):
 
 
 @query("rotation_advance", """
-    SELECT 'shop' || (p_partkey % 7) AS retailer, (25 * (p_partkey % 7) % count(*) + least(120, count(*))) % count(*) AS offset FROM part GROUP BY p_partkey % 7
-""".replace("AS offset", 'AS "offset"'))
+    SELECT 'shop' || (p_partkey % 7) AS retailer, (25 * (p_partkey % 7) % count(*) + least(120, count(*))) % count(*) AS "offset" FROM part GROUP BY p_partkey % 7
+""")
 def rotation_advance(spark, sf):
     slugs = v.part(spark, sf).selectExpr("concat('shop', p_partkey % 7) AS retailer")
     return sitemap.next_offsets(slugs, _offsets(spark), 120)

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.config import EngineConfig
-from spreadlake.functions.times import is_fresh
 from spreadlake.operators import (
     alerts, barcodes, monitor, opportunity, quotes, resolve, review, screen, sizes, state,
 )
