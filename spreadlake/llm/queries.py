@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import substring
+from spreadlake.llm import simhash, substring
 from spreadlake.llm.common import table
 from spreadlake.session import configure
 
@@ -57,3 +57,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document after repeated windows of 20 words are removed."""
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_simhash_components")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
