@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import simhash, substring
-from spreadlake.llm.common import table
+from spreadlake.llm import langid, simhash, substring
+from spreadlake.llm.common import crc_of_id, table
 from spreadlake.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_language_id")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
+    found = langid.predict(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
