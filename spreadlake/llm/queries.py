@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import langid, simhash, substring
+from spreadlake.llm import langid, packing, simhash, substring
 from spreadlake.llm.common import crc_of_id, table
 from spreadlake.session import configure
 
@@ -72,3 +73,9 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
     found = langid.predict(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_best_fit_packing")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
