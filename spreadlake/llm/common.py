@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spreadlake.session import configure
+
 # Python words are split at exactly the characters Arrow calls ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -21,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Session settings the results depend on, and this package on the path of Python
+    workers that a driver on this machine starts (a cluster gets it with the job)."""
+    root = str(Path(__file__).resolve().parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, root]))
+    return configure(spark)
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, ...) of every row that has an id; other columns, whatever
     their names, are left behind here so that they cannot clash."""

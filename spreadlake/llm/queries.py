@@ -7,9 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import langid, packing, simhash, substring
-from spreadlake.llm.common import crc_of_id, table
-from spreadlake.session import configure
+from spreadlake.llm import langid, packing, ppm, simhash, substring
+from spreadlake.llm.common import crc_of_id, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +19,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -79,3 +78,11 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_ppm_score")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM log10 probability of every document, learned from those not held out."""
+    held_out = F.pmod(crc_of_id(), F.lit(5)) == 1
+    scored = ppm.pretrained(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
