@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import langid, packing, ppm, simhash, substring
+from spreadlake.llm import langid, packing, ppm, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,27 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(crc_of_id(), F.lit(5)) == 1
     scored = ppm.pretrained(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, unnest(range(len(e))) AS i, unnest(e) AS x FROM v),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
+@query("op1_top_k", OP1_SQL)
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the highest inner product for every twentieth vector."""
+    vectors = (
+        table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & topk.usable(F.col("embedding")))
+        .select(F.col("vec_id").cast("long").alias("id"), topk.integer_weights(F.col("embedding")).alias("weights"))
+    )
+    return topk.top_k(vectors, vectors.filter(F.pmod("id", F.lit(20)) == 0), 20)
