@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import langid, packing, ppm, simhash, substring, topk
+from spreadlake.llm import decontaminate, langid, packing, ppm, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,9 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("vec_id").cast("long").alias("id"), topk.integer_weights(F.col("embedding")).alias("weights"))
     )
     return topk.top_k(vectors, vectors.filter(F.pmod("id", F.lit(20)) == 0), 20)
+
+
+@query("op8_benchmark_leaks")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, replaced words allowed."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
