@@ -26,9 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.llm import common
+from spreadlake.operators.ordered import top_n_per_group
 
 SAMPLE_ROWS = 64
 SAMPLE_BYTES = 32 << 10
@@ -168,12 +169,9 @@ def labelled_sample(docs: DataFrame, learn: Column) -> tuple[tuple[str, bytes],
     """(language, text) of the bounded sample, by language."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     place = F.xxhash64("doc_id", "lang")
-    first = Window.partitionBy("lang").orderBy("place", "doc_id")
-    # ids alone are ranked, each partition's first rows only reach the shuffle
-    chosen = (
-        rows.select("doc_id", "lang").distinct().withColumn("place", place)
-        .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_ROWS)
-    )
+    # ids alone are ranked, in slices first, so that a common language is no single task
+    ids = rows.select("doc_id", "lang").distinct().withColumn("place", place)
+    chosen = top_n_per_group(ids, ["lang"], [F.col("place"), F.col("doc_id")], SAMPLE_ROWS, rank="rank")
     texts = (
         rows.join(F.broadcast(chosen), ["doc_id", "lang"])
         .groupBy("lang", "rank").agg(F.min(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES)).alias("text"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import decontaminate, langid, packing, ppm, simhash, substring, topk
-from spreadlake.llm.common import crc_of_id, prepared, table
+from spreadlake.llm import decontaminate, langid, linededup, packing, ppm, simhash, substring, topk
+from spreadlake.llm.common import crc_of_id, documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,3 +116,37 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, replaced words allowed."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL AND text <> '')),
+w AS (
+  SELECT doc_id, line, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+s AS (
+  SELECT doc_id, line, list_distinct(list_transform(range(greatest(len(w) - 4, 1)),
+    lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS k FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, line, len(k) AS n, unnest(k) AS k FROM s),
+p AS (
+  SELECT y.doc_id, y.line, x.doc_id AS xd, x.line AS xl, any_value(y.n) AS n, any_value(x.n) AS m, count(*) AS c
+  FROM e AS y JOIN e AS x ON y.k = x.k AND (x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND x.line < y.line))
+  GROUP BY ALL),
+g AS (SELECT DISTINCT doc_id, line FROM p WHERE c >= ceil(0.8 * (n + m - c) - 1e-9)),
+r AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.removed, '') AS removed
+FROM documents AS d LEFT JOIN r ON d.doc_id = r.doc_id WHERE d.doc_id IS NOT NULL
+"""
+
+
+@query("op7_line_dedup", OP7_SQL)
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that match an earlier line."""
+    docs = table(spark, sf_dir, "documents")
+    gone = linededup.per_document(docs)
+    count = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n")))
+    counted = documents(docs).select("doc_id", count.cast("long").alias("n_lines"))
+    return counted.join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
