@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import decontaminate, langid, linededup, packing, ppm, simhash, substring, topk
+from spreadlake.llm import decontaminate, langid, linededup, packing, ppm, secrets, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,50 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(gone, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
+
+
+def _op5_sql() -> str:
+    """Each kind's matches and what lies between them, as lists; positions add both up."""
+    kinds = []
+    for rank, k in enumerate(secrets.KINDS):
+        pattern = k.pattern.replace("'", "''")
+        kinds.append(f"""
+  SELECT doc_id, '{k.name}' AS kind, {rank} AS rank, regexp_extract_all(t, '{pattern}', {k.group}) AS c,
+    regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS p,
+    {k.least} AS least, {k.most} AS most FROM t""")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+f AS ({' UNION ALL '.join(kinds)}),
+g AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+h AS (
+  SELECT doc_id, kind, rank, length(m[i]) AS n, length(c[i]) AS size, least, most,
+    CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT)
+      + CAST(coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM g),
+a AS (SELECT doc_id, kind, rank, s, s + n AS e FROM h WHERE size BETWEEN least AND most),
+b AS (
+  SELECT a.*, coalesce(bool_or(o.kind IN ('access', 'id')), false) AS ids,
+    coalesce(bool_or(o.kind IN ('assign', 'hex', 'key')), false) AS secrets
+  FROM a LEFT JOIN a AS o ON a.doc_id = o.doc_id AND o.s <= a.e + {secrets.SCOPE} AND o.e >= a.s - {secrets.SCOPE}
+  GROUP BY ALL),
+k AS (
+  SELECT *, kind || ':' || s || ':' || e AS w FROM b
+  WHERE rank < 3 OR (kind = 'id' AND secrets) OR (kind = 'key' AND ids) OR (kind = 'endpoint' AND ids AND secrets)),
+d AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, coalesce(string_agg(w, ',' ORDER BY s, rank) FILTER (rank < 3), '') AS base,
+    string_agg(w, ',' ORDER BY s, rank) AS spans FROM k GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN d ON t.doc_id = d.doc_id
+"""
+
+
+@query("op5_secret_spans", _op5_sql())
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and weak parts of credentials beside what completes them."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = F.transform("strong", lambda s: s["kind"])
+    count = [F.size(F.array_remove(F.transform(kinds, lambda x: x == F.lit(k)), False)).cast("long").alias(f"n_{k}")
+             for k in secrets.STRONG]
+    return found.select(
+        "doc_id", *count, F.sha2(secrets.written(F.col("strong")).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.sort_array(F.concat("strong", "linked"))).alias("spans"))
