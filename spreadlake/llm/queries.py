@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import decontaminate, langid, linededup, packing, ppm, secrets, simhash, substring, topk
+from spreadlake.llm import decontaminate, langid, linededup, packing, ppm, preferences, secrets, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,47 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *count, F.sha2(secrets.written(F.col("strong")).cast("binary"), 256).alias("base_sha256"),
         secrets.written(F.sort_array(F.concat("strong", "linked"))).alias("spans"))
+
+
+def _turns_sql(column: str) -> str:
+    """Rendered turns, and the spans of what assistants say."""
+    return f"""array_to_string(list_transform({column}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '')"""
+
+
+def _learned_sql(column: str) -> str:
+    size = "length(x.role) + length(x.text) + 13"
+    before = f"CAST(coalesce(list_sum(list_transform({column}[1:i-1], lambda x: {size})), 0) AS BIGINT)"
+    return f"""array_to_string(list_transform(
+      list_filter(range(1, len({column}) + 1), lambda i: {column}[i].role = 'assistant'),
+      lambda i: ({before} + length({column}[i].role) + 5) || ':' || ({before} + length({column}[i].role) + length({column}[i].text) + 12)), ',')"""
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+t AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS t FROM d GROUP BY conv_id),
+n AS (
+  SELECT conv_id, t, t[1].role AS r, t[1].text AS x,
+    (row_number() OVER (PARTITION BY t[1].role, t[1].text ORDER BY conv_id) - 1) AS n FROM t),
+p AS (
+  SELECT a.conv_id AS pair_id, a.t AS a, b.t AS b FROM n AS a
+  LEFT JOIN n AS b ON a.r = b.r AND a.x = b.x AND b.n = a.n + 1 WHERE a.n % 2 = 0),
+c AS (
+  SELECT *, CASE WHEN b IS NULL THEN 0 ELSE least(len(a) - 1, len(b) - 1,
+    len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))) END AS k FROM p),
+s AS (SELECT pair_id, k, a[1:k] AS q, a[k+1:] AS a, b[k+1:] AS b FROM c)
+SELECT pair_id, CAST(k AS BIGINT) AS n_common, {_turns_sql('q')} AS prompt, {_turns_sql('a')} AS chosen,
+  {_learned_sql('a')} AS chosen_spans, {_turns_sql('b')} AS rejected, {_learned_sql('b')} AS rejected_spans FROM s
+"""
+
+
+@query("op3_preference_pairs", OP3_SQL)
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and masked completions of conversations paired by their opening."""
+    pairs = preferences.format_pairs(*preferences.paired_by_opening(table(spark, sf_dir, "conversations")))
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(spans)
+
+    return pairs.select("pair_id", "n_common", "prompt", "chosen", written("chosen_spans"), "rejected", written("rejected_spans"))
