@@ -40,26 +40,35 @@ def _alert_state(rows):
     )
 
 
-_REASON = """CASE WHEN u % 3 = 0 THEN 'new' WHEN u % 3 = 1 THEN 'restock'
-             WHEN abs(gate_profit - (gate_profit - CASE WHEN u % 2 = 0 THEN 4.0 ELSE 10.0 END::DOUBLE)) >= 10 THEN 'profit_change' ELSE 'duplicate' END"""
+_DUE = _KEYED + f""",
+    o AS (SELECT retailer || '|' || variant_id || '|' || c.size_label AS key, retailer, ordinal,
+                 CAST(substr(variant_id, 2) AS INT) AS u, {v.profit_sql('highest_bid', 'landed_cost')} AS g {_OPP}),
+    r AS (SELECT o.key, o.retailer, o.ordinal, g,
+                 CASE WHEN o.u % 3 = 0 THEN 'new' WHEN o.u % 3 = 1 THEN 'restock'
+                      WHEN abs(g - (gate_profit - CASE WHEN o.u % 2 = 0 THEN 4.0 ELSE 10.0 END::DOUBLE)) >= 10 THEN 'profit_change'
+                      ELSE 'duplicate' END AS reason FROM o JOIN k USING (key)),
+    d AS (SELECT * FROM r WHERE reason <> 'duplicate' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ordinal, g DESC) = 1)
+"""
+
+
+def _due(spark, sf):
+    """Every opportunity judged, repeated keys included, and the first due one of each."""
+    state = _alert_state(_keyed_opportunities(spark, sf))
+    rows = alerts.due(opportunities(spark, sf), state, 10.0)
+    return alerts.first_per_key(rows, [F.asc("ordinal"), F.desc("gate_profit")])
 
 
-@query("alert_dedup", _KEYED + f"SELECT key, {_REASON} AS reason FROM k", ("costed", "market"))
+@query("alert_dedup", _DUE + "SELECT key, reason FROM d", ("costed", "market"))
 def alert_dedup(spark, sf):
-    rows = _keyed_opportunities(spark, sf)
-    return alerts.with_reason(rows, _alert_state(rows), 10.0).select("key", "reason")
+    return _due(spark, sf).select("key", "reason")
 
 
-@query("alert_cap", _KEYED + f""",
-    d AS (SELECT *, {_REASON} AS reason FROM k)
-    SELECT key, reason FROM d WHERE reason <> 'duplicate'
-    QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY ordinal, key) <= 5
+@query("alert_cap", _DUE + """
+    SELECT key, reason FROM d QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY ordinal, key) <= 5
 """, ("costed", "market"))
 def alert_cap(spark, sf):
     """First due alerts of each shop; the others come back next time."""
-    rows = _keyed_opportunities(spark, sf)
-    due = alerts.due(rows, _alert_state(rows), 10.0)
-    return alerts.cap(due, 5, [F.asc("ordinal"), F.asc("key")]).select("key", "reason")
+    return alerts.cap(_due(spark, sf), 5, [F.asc("ordinal"), F.asc("key")]).select("key", "reason")
 
 
 @query("alert_record", _KEYED + f"""

@@ -243,11 +243,10 @@ def sale_outcomes(spark, sf):
 
 
 @query("calibration", _SALES + """
-    SELECT count(predicted) AS n, sum(CAST(round((payout - predicted) * 100) AS BIGINT))::BIGINT AS gap_cents,
-           sum(CAST(round((payout - predicted) * 100) AS BIGINT))::BIGINT / count(predicted) / 100.0::DOUBLE AS mean_gap FROM p
+    SELECT count(predicted) AS n, round(avg(payout - predicted), 6) AS mean_gap FROM p
 """)
 def calibration(spark, sf):
-    return sales.calibration(sales.with_prediction(_sales(spark, sf), v.config()))
+    return sales.calibration(sales.with_prediction(_sales(spark, sf), v.config())).withColumn("mean_gap", F.round("mean_gap", 6))
 
 
 @query("sales_by_date", """

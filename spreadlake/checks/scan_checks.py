@@ -66,7 +66,8 @@ def scan_opportunities(spark, sf):
 
 
 @query("scan_alerts", _SIZED + """
-    SELECT key, url, gate_profit FROM opp QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, size_label, key) <= 20
+    , first AS (SELECT * FROM opp QUALIFY row_number() OVER (PARTITION BY key ORDER BY discount_rank DESC, ordinal, size_label) = 1)
+    SELECT key, url, gate_profit FROM first QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, size_label, key) <= 20
 """, ("offer_costed", "market"))
 def scan_alerts(spark, sf):
     """The first alerts of each shop in scan order."""
@@ -82,8 +83,8 @@ def scan_reviews(spark, sf):
 
 
 @query("scan_statistics", _SIZED + """
-    SELECT l.retailer, count(*) AS products_seen, coalesce(any_value(c.n), 0) AS candidates, coalesce(any_value(o.n), 0) AS opportunities, least(coalesce(any_value(o.n), 0), 20) AS alerts_sent
-    FROM offer l LEFT JOIN (SELECT retailer, count(*) AS n FROM cand GROUP BY 1) c USING (retailer) LEFT JOIN (SELECT retailer, count(*) AS n FROM opp GROUP BY 1) o USING (retailer)
+    SELECT l.retailer, count(*) AS products_seen, coalesce(any_value(c.n), 0) AS candidates, coalesce(any_value(o.n), 0) AS opportunities, least(coalesce(any_value(o.keys), 0), 20) AS alerts_sent
+    FROM offer l LEFT JOIN (SELECT retailer, count(*) AS n FROM cand GROUP BY 1) c USING (retailer) LEFT JOIN (SELECT retailer, count(*) AS n, count(DISTINCT key) AS keys FROM opp GROUP BY 1) o USING (retailer)
     GROUP BY l.retailer
 """, ("offer_costed", "market"))
 def scan_statistics(spark, sf):

@@ -5,15 +5,18 @@ line is one shingle). Two lines match when the Jaccard similarity of their token
 is at least `threshold`; a line that matches an earlier one (smaller doc_id, or same
 document and earlier line) is removed, whether or not that one stays.
 
-A line's tokens are ordered by rarity: by the class of their slot in a table of SLOTS
-counts over the tokens of all lines (its size does not depend on the input), then by
-hash. Two matching lines share one of their first n - ceil(t * n) + 1 tokens, so only
-those are compared (prefix filter); a token that no second line has among them leads
-nowhere. Every line is first held against the earliest line of each of its prefix
-tokens, which settles copies without pairing them with each other. Only lines left are
-held against all earlier lines with a common prefix token, as far as the length and
-positional filters let them. Lines with equal token sets match; other candidates are
-verified on the words themselves.
+A line's tokens are ordered by rarity: by the key of their first word, which is the
+class of its slot in a table of SLOTS word counts over all texts (its size does not
+depend on the input), then its hash; then by the token itself. Two matching lines share
+one of their first n - ceil(t * n) + 1 tokens, so only those are compared (prefix
+filter). The prefix is cut by keys: it holds every token whose first word is among so
+many of the line's smallest keys. Only tokens of the prefix are hashed, and a token
+that no second line has in its prefix leads nowhere.
+
+Every line is first held against the earliest line of each of its prefix tokens, which
+settles copies without pairing them with each other. Only lines left are held against
+all earlier lines with a common prefix token. Pairs pass the length and the positional
+filter before they are verified on the words themselves.
 
 Defined cases: null and empty texts have no lines; lines without a word hold no token
 and stay; rows without a doc_id are left out; rows that share a doc_id are one
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,38 +40,45 @@ SLOTS = 1 << 16
 LINES = 1 << 32  # line numbers are below this
 
 
-def split_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, w): the words of every line that has some."""
-    lines = common.documents(docs).filter("text <> ''").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    split = F.split(F.regexp_replace("text", rf"^{common.SPACES}|{common.SPACES}$", ""), common.SPACES)
-    return lines.filter(F.col("text").rlike(common.WORD)).select("doc_id", "line", split.alias("w"))
+def split(text: Column) -> Column:
+    """The words of a text; a plain split where the space is the only white space."""
+    other = [F.contains(text, F.lit(c)) for c in "\t\n\x0b\x0c\r"]
+    parts = F.when(reduce(lambda a, b: a | b, other), F.split(text, common.SPACES)).otherwise(F.split(text, " "))
+    return F.array_remove(parts, "")
 
 
-def _each(w: str, words: int, of) -> Column:
-    """`of` of every shingle of the word array column `w`."""
-    starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
-    return F.transform(starts, lambda x, i: of(F.slice(w, i + 1, words)))
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, text) of every line that has a word."""
+    each = common.documents(docs).filter("text <> ''").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return each.filter(F.col("text").rlike(common.WORD))
 
 
-def hashed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, line, h): the hashes of every line's shingles."""
-    return split_words(docs).select("doc_id", "line", _each("w", words, F.xxhash64).alias("h"))
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(SLOTS - 1))
 
 
-def slot_classes(docs: DataFrame, words: int) -> list[int]:
-    """The class (log of the count, in quarters) of every slot of token hashes."""
-    # the outer form, so that no filter evaluates the shingles a second time
-    counted = (
-        hashed(docs, words).select(F.explode_outer("h").alias("h"))
-        .groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count()
-    )
+def slot_classes(docs: DataFrame) -> list[int]:
+    """The class (log of the count, in quarters) of every slot of word hashes."""
+    # the outer form, so that no filter splits the texts a second time
+    words = common.documents(docs).select(F.explode_outer(split(F.col("text"))).alias("word"))
+    counted = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count()
     out = [0] * SLOTS
     for row in counted.collect():  # SLOTS rows at most
         out[row["slot"]] = int(4 * math.log2(row["count"] + 1))
     return out
 
 
+def _key(classes: Column, word: Column) -> Column:
+    """Rarer words have smaller keys."""
+    hashed = F.xxhash64(word)
+    return F.shiftleft(F.get(classes, _slot(hashed).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+
+
+def _starts(w: str, words: int) -> Column:
+    return F.slice(w, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
+
+
 def position() -> Column:
     """Lines in order, as one number."""
     return F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")
@@ -77,69 +88,67 @@ def _need(n: Column, threshold: float) -> Column:
     return F.ceil(F.lit(threshold) * n - F.lit(1e-9))
 
 
-def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(pos, n, whole, prefix): number of tokens, a hash of the whole set, and the
-    tokens of the prefix, rarest first."""
-    classes = F.from_json(F.lit(json.dumps(slot_classes(docs, words))), "array<int>")
-
-    def key(h: Column) -> Column:
-        by = F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long")
-        return F.shiftleft(by, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    sets = hashed(docs, words).select("doc_id", "line", F.sort_array(F.array_distinct(F.transform("h", key))).alias("k"))
-    n = F.size("k")
-    return sets.select(
-        position().alias("pos"), n.alias("n"), F.xxhash64("k").alias("whole"),
-        F.slice("k", F.lit(1), (n - _need(n, threshold) + 1).cast("int")).alias("prefix"),
-    )
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(pos) of the lines of `pairs` (pos, other) whose sets reach the threshold."""
-    mine, theirs = texts.select("pos", "tokens"), texts.select(F.col("pos").alias("other"), F.col("tokens").alias("others"))
-    common_ = F.size(F.array_intersect("tokens", "others"))
-    both = F.size("tokens") + F.size("others") - common_
-    return pairs.join(mine, "pos").join(theirs, "other").filter(common_ >= _need(both, threshold)).select("pos")
+def prefixes(docs: DataFrame, classes: Column, words: int, threshold: float) -> DataFrame:
+    """(pos, prefix): hashes of the tokens in the prefix of every line."""
+    each = lines(docs).select("doc_id", "line", split(F.col("text")).alias("w"))
+    keyed = each.select("doc_id", "line", "w", F.transform(_starts("w", words), lambda x: _key(classes, x)).alias("keys"))
+    # distinct first words are distinct tokens, so the cut leaves tokens enough
+    length = (F.size("keys") - _need(F.size("keys"), threshold) + 1).cast("int")
+    cut = F.get(F.sort_array(F.array_distinct("keys")), length - 1)
+    at = F.transform("keys", lambda k, i: F.when(F.col("cut").isNull() | (k <= F.col("cut")), i + 1))
+    chosen = keyed.withColumn("cut", cut).select("doc_id", "line", "w", F.array_compact(at).alias("at"))
+    return chosen.select(position().alias("pos"), F.array_distinct(
+        F.transform("at", lambda i: F.xxhash64(F.slice("w", i, words)))).alias("prefix"))
+
+
+def _ordered_tokens(classes: Column, words: int) -> Column:
+    """The distinct shingles of the words in column `w`, rarest first, as (key, shingle)."""
+    each = F.transform(_starts("w", words), lambda x, i: F.struct(
+        _key(classes, x).alias("key"), F.array_join(F.slice("w", i + 1, words), " ").alias("shingle")))
+    return F.transform(F.sort_array(F.array_distinct(each)), lambda t: t["shingle"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(pos) of the lines of `pairs` (pos, other, token) whose sets reach the threshold;
+    each pair comes with one token it shares."""
+    mine = sets.select("pos", F.col("tokens").alias("x"), F.col("hashes").alias("p"))
+    theirs = sets.select(F.col("pos").alias("other"), F.col("tokens").alias("y"), F.col("hashes").alias("q"))
+    n, m = F.size("x"), F.size("y")
+    length = F.least(n, m) >= _need(F.greatest(n, m), threshold)
+    # tokens before a shared one, itself, and tokens after it bound what two lines share
+    i, j = F.array_position("p", F.col("token")), F.array_position("q", F.col("token"))
+    reach = F.least(i, j) + F.least(n - i, m - j)
+    place = reach >= F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
+    shared = F.size(F.array_intersect("x", "y"))
+    fits = F.when(length & place, shared >= _need(n + m - shared, threshold)).otherwise(False)
+    return pairs.join(mine, "pos").join(theirs, "other").filter(fits).select("pos").distinct()
 
 
 def removed_lines(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(pos) of the lines that match an earlier one."""
-    lines = materialize(prefixes(docs, words, threshold))
-    postings = lines.select("pos", "n", "whole", F.posexplode_outer("prefix").alias("i", "token"))
+    classes = F.from_json(F.lit(json.dumps(slot_classes(docs))), "array<int>")
+    postings = materialize(
+        prefixes(docs, classes, words, threshold).select("pos", F.explode_outer("prefix").alias("token")))
     shared = (
         postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("pos").alias("first"))
         .filter("holders > 1").select("token", "first")
     )
     held = materialize(postings.join(shared, "token"))
-
-    # against the earliest line of each token; lines with the same set need no look at words
-    firsts = held.filter("pos = first").select("first", F.col("n").alias("first_n"), F.col("whole").alias("first_whole")).distinct()
-    early = held.filter("pos > first").select("pos", "n", "whole", "first").distinct().join(firsts, "first")
-    equal = early.filter("whole = first_whole").select("pos").distinct()
-    fits = F.least("n", "first_n") >= _need(F.greatest("n", "first_n"), threshold)
-    pairs = materialize(
-        early.filter("whole <> first_whole").filter(fits).select("pos", F.col("first").alias("other"))
-        .join(equal, "pos", "left_anti"))
-    same = materialize(equal)
-
-    # candidates past the first: all earlier lines, for lines that have no match yet
-    wanted = held.select("pos").distinct().join(same, "pos", "left_anti").unionByName(
-        pairs.select(F.col("other").alias("pos"))).unionByName(held.filter("pos = first").select("pos")).distinct()
-    tokens = F.array_distinct(_each("w", words, lambda s: F.array_join(s, " ")))
-    texts = materialize(
-        split_words(docs).withColumn("pos", position()).join(wanted, "pos", "left_semi").select("pos", tokens.alias("tokens")))
-    near = materialize(_verified(pairs, texts, threshold).distinct())
-    left = held.join(same, "pos", "left_anti").join(near, "pos", "left_anti")
-    earlier = held.select("token", F.col("pos").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
-    reach = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - F.lit(1e-9))
-    more = (
-        left.join(earlier, "token").filter("other < pos AND other <> first")
-        .filter((F.least("n", "m") >= _need(F.greatest("n", "m"), threshold)) & (reach >= overlap))
-        .select("pos", "other").distinct()
-    )
-    late = _verified(more, texts, threshold)
-    return same.unionByName(near).unionByName(late).distinct()
+    wanted = held.select("pos").distinct()
+    found = lines(docs).withColumn("pos", position()).join(wanted, "pos", "left_semi").select(
+        "pos", split(F.col("text")).alias("w")).select("pos", _ordered_tokens(classes, words).alias("tokens"))
+    hashed = F.transform("tokens", lambda t: F.xxhash64(F.split(t, " ")))
+    sets = materialize(found.select("pos", "tokens", hashed.alias("hashes")))
+
+    # against the earliest line of each token
+    early = held.filter("pos > first").groupBy("pos", F.col("first").alias("other")).agg(F.min("token").alias("token"))
+    near = materialize(_verified(early, sets, threshold))
+    # then against all earlier lines, for lines that have no match yet
+    left = held.join(near, "pos", "left_anti")
+    earlier = held.select("token", F.col("pos").alias("other"))
+    more = left.join(earlier, "token").filter("other < pos AND other <> first").groupBy("pos", "other").agg(
+        F.min("token").alias("token"))
+    return near.unionByName(_verified(more, sets, threshold))
 
 
 def per_document(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:

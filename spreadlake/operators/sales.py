@@ -29,14 +29,14 @@ def outcomes(sales: DataFrame) -> DataFrame:
 
 
 def calibration(sales: DataFrame) -> DataFrame:
-    """Mean gap of payout to prediction, over sales that have one. Summed in
-    integer cents, so the row order cannot change the figure."""
+    """Mean gap of payout to prediction, over sales that have one. Gaps are summed as
+    decimals of twelve places, so the row order cannot change the figure, and only the
+    mean is a double again."""
     gap = F.when(
-        F.col("predicted_payout").isNotNull(), money.cents(F.col("payout_eur") - F.col("predicted_payout"))
-    )
-    return sales.agg(F.count(gap).alias("n"), F.sum(gap).alias("gap_cents")).withColumn(
-        "mean_gap", F.try_divide(F.col("gap_cents"), F.col("n")) / 100.0
+        F.col("predicted_payout").isNotNull(), (F.col("payout_eur") - F.col("predicted_payout")).cast("decimal(28,12)")
     )
+    return sales.agg(F.count(gap).alias("n"), F.sum(gap).alias("gap")).select(
+        "n", F.try_divide(F.col("gap").cast("double"), F.col("n").cast("double")).alias("mean_gap"))
 
 
 def by_date(sales: DataFrame) -> DataFrame:

@@ -220,6 +220,7 @@ def scan(
         spark, "key string, last_profit double, was_in_stock boolean"
     )
     due = alerts.due(due, alert_state, config.alerts.re_alert_delta)
+    due = alerts.first_per_key(due, opportunity.report_order(due))
     gone_keys = empty_table(spark, "key string")
     if inputs.detail is not None:
         # a listing the page read left unverified is judged once more; one that
