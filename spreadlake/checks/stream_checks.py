@@ -18,10 +18,18 @@ from spreadlake.streaming.batches import BatchOutput, StateLog, append_to_files,
 CUTS = ("2024-01-11", "2024-01-21")
 
 
+# Every thirteenth event comes one part late.
+LATE = "event_id % 13 = 0"
+PART = f"""least(2, CASE WHEN ts < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END
+    + CASE WHEN {LATE} THEN 1 ELSE 0 END)"""
+
+
 def _parts(rows: DataFrame, at: str, cuts: tuple[str, str]) -> list[DataFrame]:
     first, second = (F.lit(c).cast("timestamp") for c in cuts)
     t = F.col(at)
-    return [rows.filter(t < first), rows.filter((t >= first) & (t < second)), rows.filter(t >= second)]
+    late = F.col("late").cast("int") if "late" in rows.columns else F.lit(0)
+    part = F.least(F.lit(2), (t >= first).cast("int") + (t >= second).cast("int") + late)
+    return [rows.filter(part == i).drop("late") for i in range(3)]
 
 
 def _run(rows: DataFrame, schema: str, at: str, make_step, cuts=CUTS) -> DataFrame:
@@ -36,23 +44,26 @@ def _run(rows: DataFrame, schema: str, at: str, make_step, cuts=CUTS) -> DataFra
     return output.read()
 
 
-@query("alerts_stream", """
-    WITH e AS (SELECT 'k' || user_id AS key, ts, value, event_id % 4 <> 0 AS in_stock,
+@query("alerts_stream", f"""
+    WITH e AS (SELECT 'k' || user_id AS key, ts, value, event_id % 4 <> 0 AS in_stock, {PART} AS part,
                  CASE WHEN event_type IN ('purchase', 'click') THEN 'offer' WHEN event_type = 'view' THEN 'delivered' ELSE 'gone' END AS kind
                FROM events WHERE event_type <> 'error'),
     s AS (SELECT *, last_value(CASE WHEN kind = 'delivered' THEN value END IGNORE NULLS) OVER w AS last_profit,
-                 last_value(CASE WHEN kind = 'delivered' THEN in_stock WHEN kind = 'gone' THEN false END IGNORE NULLS) OVER w AS was
-          FROM e WINDOW w AS (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+                 last_value(CASE WHEN kind = 'delivered' THEN in_stock WHEN kind = 'gone' THEN false END IGNORE NULLS) OVER w AS was,
+                 count(*) FILTER (kind <> 'offer') OVER w AS news
+          FROM e WINDOW w AS (PARTITION BY key ORDER BY part, ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     r AS (SELECT *, CASE WHEN last_profit IS NULL THEN 'new' WHEN NOT was AND in_stock THEN 'restock'
                          WHEN abs(value - last_profit) >= 10 THEN 'profit_change' ELSE 'duplicate' END AS reason FROM s)
     SELECT key, epoch_us(ts) AS at_us, value AS profit, reason FROM r WHERE kind = 'offer' AND reason <> 'duplicate'
+    QUALIFY row_number() OVER (PARTITION BY key, part, news ORDER BY ts) = 1
 """)
 def alerts_stream(spark, sf):
-    """Offers against delivery receipts: only a receipt moves the state."""
+    """Offers against delivery receipts, some of either late: only a receipt moves the
+    state, and offers with no news between them are one alert a batch."""
     rows = v.events(spark, sf).filter("event_type <> 'error'").selectExpr(
         "concat('k', user_id) AS key", "ts AS at",
         "CASE WHEN event_type IN ('purchase', 'click') THEN 'offer' WHEN event_type = 'view' THEN 'delivered' ELSE 'gone' END AS kind",
-        "value AS profit", "event_id % 4 <> 0 AS in_stock", "cast(event_id AS string) AS payload",
+        "value AS profit", "event_id % 4 <> 0 AS in_stock", "cast(event_id AS string) AS payload", f"{LATE} AS late",
     )
 
     def make(state_path, output):
@@ -91,17 +102,19 @@ def position_watch_stream(spark, sf):
 
 
 @query("listing_changes_stream", """
-    WITH s AS (SELECT retailer, url, seen_at, min(price) AS price, bool_or(in_stock) AS in_stock FROM listing GROUP BY ALL),
-    l AS (SELECT *, row_number() OVER w AS rn, lag(price) OVER w AS old_price, lag(in_stock) OVER w AS old_stock FROM s WINDOW w AS (PARTITION BY retailer, url ORDER BY seen_at))
+    WITH s AS (SELECT retailer, url, seen_at, min(price) AS price, bool_or(in_stock) AS in_stock,
+                 least(2, CASE WHEN seen_at < TIMESTAMP '1997-01-01' THEN 0 WHEN seen_at < TIMESTAMP '1999-01-01' THEN 1 ELSE 2 END
+                   + CASE WHEN dayofyear(seen_at) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM listing GROUP BY ALL),
+    l AS (SELECT *, row_number() OVER w AS rn, lag(price) OVER w AS old_price, lag(in_stock) OVER w AS old_stock FROM s WINDOW w AS (PARTITION BY retailer, url ORDER BY part, seen_at))
     SELECT retailer, url, epoch_us(seen_at) AS at_us, price, old_price, rn = 1 AS is_new, coalesce(price < old_price - 0.01::DOUBLE, false) AS price_dropped,
            coalesce(NOT old_stock AND in_stock, false) AS restocked
     FROM l WHERE rn = 1 OR price < old_price - 0.01::DOUBLE OR (NOT old_stock AND in_stock)
 """, ("listing",))
 def listing_changes_stream(spark, sf):
-    """New, cheaper and restocked listings, one sighting per day."""
+    """New, cheaper and restocked listings, one sighting per day, some a part late."""
     rows = v.listing(spark, sf).groupBy("retailer", "url", F.col("seen_at").alias("at")).agg(
         F.min("price").alias("price"), F.bool_or("in_stock").alias("in_stock")
-    )
+    ).withColumn("late", F.dayofyear("at") % 7 == 0)
 
     def make(state_path, output):
         return changes.step(StateLog(spark, state_path, changes.STATE, changes.KEYS, "at"), output)
@@ -158,28 +171,44 @@ def quote_history_stream(spark, sf):
     )
 
 
-@query("negative_expiry_stream", "SELECT DISTINCT 'k' || user_id AS cache_key FROM events")
+@query("negative_expiry_stream", """
+    WITH RECURSIVE e AS (SELECT 'k' || user_id AS cache_key, ts FROM events),
+    t AS (
+      SELECT cache_key, min(ts) AS ts FROM e GROUP BY cache_key
+      UNION ALL
+      SELECT e.cache_key, min(e.ts) FROM t JOIN e ON e.cache_key = t.cache_key AND e.ts > t.ts + INTERVAL 4 DAYS GROUP BY e.cache_key)
+    SELECT cache_key, epoch_us(ts) AS at_us FROM t
+""")
 def negative_expiry_stream(spark, sf):
-    """Each code is tried once while its limit runs."""
-    misses = _event_stream(spark, sf).selectExpr("concat('k', user_id) AS cache_key", "ts AS at")
-    return _to_table(budget.retry_due(misses, 40)).select("cache_key")
+    """Each code is tried, left alone for four days, and tried again after them."""
+    rows = v.events(spark, sf).selectExpr("concat('k', user_id) AS cache_key", "ts AS at")
+
+    def make(state_path, output):
+        return budget.retry_step(StateLog(spark, state_path, budget.RETRY_STATE, ["cache_key"], "at"), output, 4)
+
+    return _run(rows, budget.RETRY_STATE, "at", make).select("cache_key", F.unix_micros("at").alias("at_us"))
 
 
-@query("heartbeat_stream", "SELECT 'shop' || (user_id % 11) AS retailer, epoch_us(max(ts)) AS beat_us FROM events GROUP BY 1")
+@query("heartbeat_stream", f"""
+    WITH b AS (SELECT 'shop' || (user_id % 11) AS retailer, max(ts) AS beat FROM events GROUP BY 1)
+    SELECT retailer, epoch_us(beat) AS beat_us,
+      epoch({v.NOW_SQL}) - epoch(beat) < (SELECT greatest(coalesce(min(CASE WHEN enabled THEN scan_interval_minutes END), 15) * 120, 1800) FROM policy) AS up
+    FROM b
+""", ("policy",))
 def heartbeat_stream(spark, sf):
-    """Last finished scan per shop, kept up to date."""
+    """Last finished scan per shop, kept up to date, and whether the shop is up."""
     finished = _event_stream(spark, sf).selectExpr("concat('shop', user_id % 11) AS retailer", "ts AS at")
     out, checkpoint = scratch(spark, "beats")
     output = BatchOutput(spark, out)
 
     def keep(batch, batch_id):
-        output.put(0, batch)
+        output.put(0, budget.liveness(batch, v.config().policy_frame(spark), v.now()))
 
     stream = budget.last_beats(finished)
     stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
     ).start().awaitTermination()
-    return output.read().select("retailer", F.unix_micros("last_beat").alias("beat_us"))
+    return output.read().select("retailer", F.unix_micros("last_beat").alias("beat_us"), "up")
 
 
 @query("refresh_due_stream", """

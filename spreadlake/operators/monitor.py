@@ -177,12 +177,17 @@ def current_failures(runs: DataFrame, at: str) -> DataFrame:
     )
 
 
+def stale_after(policy: DataFrame) -> DataFrame:
+    """One row: seconds without a finished scan after which a scanner is down."""
+    return policy.agg(F.min(F.when(F.col("enabled"), F.col("scan_interval_minutes"))).alias("fastest")).select(
+        F.greatest(F.coalesce("fastest", F.lit(15)) * 120, F.lit(1800)).alias("stale_after_s")
+    )
+
+
 def heartbeat(finished: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
     """Up while the last finished scan is younger than twice the fastest enabled
     interval, and at least half an hour."""
-    limit = policy.agg(F.min(F.when(F.col("enabled"), F.col("scan_interval_minutes"))).alias("fastest")).select(
-        F.greatest(F.coalesce("fastest", F.lit(15)) * 120, F.lit(1800)).alias("stale_after_s"), F.lit(1).alias("_one")
-    )
+    limit = stale_after(policy).withColumn("_one", F.lit(1))
     beat = finished.agg(F.max("at").alias("last_beat")).withColumn("_one", F.lit(1))
     age = age_seconds(F.col("last_beat"), now)
     return beat.join(limit, "_one").select(

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spreadlake.operators import alerts
-from spreadlake.operators.ordered import LastKnown, with_ordered
+from spreadlake.operators.ordered import LastKnown, RunningSum, top_n_per_group, with_ordered
+from spreadlake.session import materialize
 from spreadlake.streaming.batches import BatchOutput, StateLog
 
 OFFER, DELIVERED, GONE = "offer", "delivered", "gone"
@@ -20,15 +21,22 @@ INPUT = "key string, at timestamp, kind string, profit double, in_stock boolean,
 STATE = "key string, at timestamp, last_profit double, was_in_stock boolean"
 
 
+def _order() -> list:
+    """What was known before the batch comes first, whatever its time, so that a
+    late row is judged against it; then by time, receipts and losses before offers."""
+    side = F.when(F.col("kind") == OFFER, 1).otherwise(0)
+    return [F.when(F.col("_anchor"), 0).otherwise(1), F.col("at"), side, F.xxhash64("kind", "profit", "in_stock", "payload")]
+
+
 def decide(line: DataFrame, delta: float) -> DataFrame:
     """Add the state before each row and, for offers, the reason. Receipts and
     losses at the same time as an offer come first."""
-    side = F.when(F.col("kind") == OFFER, 1).otherwise(0)
     received = F.col("kind") == DELIVERED
     known = with_ordered(
-        line, ["key"], [F.col("at"), side, F.xxhash64("kind", "profit", "in_stock", "payload")],
+        line, ["key"], _order(),
         last_profit=LastKnown(F.when(received, F.col("profit"))),
         was_in_stock=LastKnown(F.when(received, F.col("in_stock")).when(F.col("kind") == GONE, F.lit(False))),
+        news=RunningSum((F.col("kind") != OFFER).cast("bigint")),
     )
     reason = alerts.alert_reason(
         F.col("last_profit").isNotNull(), F.col("was_in_stock"), F.col("in_stock"), F.col("last_profit"),
@@ -42,25 +50,19 @@ def step(state: StateLog, output: BatchOutput, delta: float):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         anchors = state.touched(batch_id, batch).select(
-            "key", "at", F.explode(F.array(
-                F.struct(F.lit(DELIVERED).alias("kind"), F.col("last_profit").alias("profit"),
-                         F.col("was_in_stock").alias("in_stock")),
-            )).alias("s"), F.lit(None).cast("string").alias("payload"),
-        ).select("key", "at", "s.kind", "s.profit", "s.in_stock", "payload", F.lit(True).alias("_anchor"))
-        decided = decide(batch.withColumn("_anchor", F.lit(False)).unionByName(anchors), delta)
-        output.put(
-            batch_id,
-            decided.filter(
-                ~F.col("_anchor") & (F.col("kind") == OFFER) & (F.col("reason") != alerts.DUPLICATE)
-            ).select("key", "at", "profit", "in_stock", "payload", "reason"),
+            "key", "at", F.lit(DELIVERED).alias("kind"), F.col("last_profit").alias("profit"),
+            F.col("was_in_stock").alias("in_stock"), F.lit(None).cast("string").alias("payload"), F.lit(True).alias("_anchor"),
         )
-        side = F.when(F.col("kind") == OFFER, 1).otherwise(0)
+        decided = materialize(decide(batch.withColumn("_anchor", F.lit(False)).unionByName(anchors), delta))
+        due = decided.filter(~F.col("_anchor") & (F.col("kind") == OFFER) & (F.col("reason") != alerts.DUPLICATE))
+        # offers with no receipt or loss between them would be one alert told twice
+        first = top_n_per_group(due, ["key", "news"], _order(), 1)
+        output.put(batch_id, first.select("key", "at", "profit", "in_stock", "payload", "reason"))
         state.put(
             batch_id,
             decided.filter("last_profit IS NOT NULL").groupBy("key").agg(
-                F.max("at").alias("at"),
-                F.max_by(F.struct("last_profit", "was_in_stock"), F.struct(F.col("at"), side)).alias("s"),
-            ).select("key", "at", "s.last_profit", "s.was_in_stock"),
+                F.max_by(F.struct("at", "last_profit", "was_in_stock"), F.struct(*_order())).alias("s"),
+            ).select("key", "s.at", "s.last_profit", "s.was_in_stock"),
         )
 
     return run

@@ -11,6 +11,7 @@ id, so a repeated batch overwrites its own work and reads what came before it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,15 +43,17 @@ class StateLog:
         """The newest row per key from the batches before this one."""
         full = [b for b in self._complete("full") if b < batch_id]
         base = max(full, default=-1)
-        paths = [f"{self.path}/full/{base}"] if full else []
-        paths += [f"{self.path}/delta/{b}" for b in self._complete("delta") if base < b < batch_id]
+        paths = [(base, f"{self.path}/full/{base}")] if full else []
+        paths += [(b, f"{self.path}/delta/{b}") for b in self._complete("delta") if base < b < batch_id]
         if not paths:
             return empty_table(self.spark, self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(*paths)
-        names = [c for c in rows.columns if c not in self.keys]
+        read = self.spark.read.schema(self.schema)
+        # ranked by batch, not by time: a late row does not take a key back
+        rows = reduce(DataFrame.unionByName, [read.parquet(p).withColumn("_batch", F.lit(b)) for b, p in paths])
+        names = [c for c in rows.columns if c not in (*self.keys, "_batch")]
         return rows.groupBy(*self.keys).agg(
-            F.max_by(F.struct(*names), F.col(self.at)).alias("_r")
-        ).select(*self.keys, "_r.*").select(*rows.columns)
+            F.max_by(F.struct(*names), F.col("_batch")).alias("_r")
+        ).select(*self.keys, "_r.*").select(*[c for c in rows.columns if c != "_batch"])
 
     def touched(self, batch_id: int, batch: DataFrame) -> DataFrame:
         """State of the keys in a micro-batch only."""

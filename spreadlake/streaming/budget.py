@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from spreadlake.functions.times import age_seconds
+from spreadlake.operators.monitor import stale_after
+from spreadlake.session import materialize
+from spreadlake.streaming.batches import BatchOutput, StateLog
 
 GRAIN = "15 minutes"
 
@@ -16,10 +23,35 @@ def rolling_requests(requests: DataFrame, late: str = "1 hour") -> DataFrame:
     return spans.select(F.col("window.start").alias("span_start"), F.col("window.end").alias("span_end"), "used")
 
 
-def retry_due(misses: DataFrame, days: int = 3) -> DataFrame:
-    """Lookups to try: a code that was tried is left alone for `days`, then may
-    come again. The state of a code ends when the watermark passes its limit."""
-    return misses.withWatermark("at", f"{int(days)} days").dropDuplicatesWithinWatermark(["cache_key"])
+RETRY_STATE = "cache_key string, at timestamp"
+
+
+def retry_step(state: StateLog, output: BatchOutput, days: int = 3):
+    """The `foreachBatch` function for lookups to try: a code that was tried is left
+    alone for `days`, then may come again. State is the time of a code's last try. In
+    a batch that spans several limits a code may come more than once: each round finds
+    the next try of every code, so there are as many rounds as limits in the batch."""
+    limit = F.make_interval(days=F.lit(int(days)))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch.select("cache_key", "at").distinct())
+        last, tries = state.touched(batch_id, rows), []
+        while True:
+            known = last.select("cache_key", F.col("at").alias("_last"))
+            joined = rows.join(known, "cache_key", "left" if not tries else "inner")
+            due = materialize(
+                joined.filter(F.col("_last").isNull() | (F.col("at") > F.col("_last") + limit))
+                .groupBy("cache_key").agg(F.min("at").alias("at"))
+            )
+            tries.append(due)
+            if due.isEmpty():
+                break
+            last = due
+        every = reduce(DataFrame.unionByName, tries)
+        output.put(batch_id, every)
+        state.put(batch_id, every.groupBy("cache_key").agg(F.max("at").alias("at")))
+
+    return run
 
 
 def dated_quotes(quotes: DataFrame) -> DataFrame:
@@ -30,3 +62,12 @@ def dated_quotes(quotes: DataFrame) -> DataFrame:
 def last_beats(finished: DataFrame) -> DataFrame:
     """Last finished scan per shop, as a running aggregate."""
     return finished.groupBy("retailer").agg(F.max("at").alias("last_beat"))
+
+
+def liveness(beats: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
+    """Add `up`: the shop's last finished scan is younger than twice the fastest
+    enabled interval, and at least half an hour. `policy` has a row for each shop."""
+    limit = stale_after(policy)
+    age = age_seconds(F.col("last_beat"), now)
+    return beats.crossJoin(F.broadcast(limit)).withColumn(
+        "up", F.coalesce(age < F.col("stale_after_s"), F.lit(False))).drop("stale_after_s")
