@@ -97,26 +97,27 @@ class Parser:
 
     def _table(self, text: np.ndarray) -> np.ndarray:
         moves = suffix_automaton(self.symbol[text].tolist())
-        # states from 1, the initial one first; 0 says that there is no transition
-        out = np.zeros((len(moves) + 1, self.width), dtype=np.int32)
+        # row 1 is between phrases, row 2 the initial state; 0 says that there is no transition
+        out = np.zeros((len(moves) + 2, self.width), dtype=np.int32)
         for state, to in enumerate(moves):
-            out[state + 1, list(to)] = [x + 1 for x in to.values()]
+            out[state + 2, list(to)] = [x + 2 for x in to.values()]
         out[:, -1] = np.arange(len(out))
         return out.ravel() * self.width  # entries are row offsets
 
     def phrases(self, columns: np.ndarray) -> np.ndarray:
-        """Phrases of each piece for each language; columns: symbols by place and piece."""
+        """Phrases of each piece for each language; columns: symbols by place and piece.
+        A symbol that the sample does not hold is a phrase of its own."""
+        between, start = np.int32(self.width), np.int32(2 * self.width)
         out = np.zeros((len(self.tables), columns.shape[1]), dtype=np.int64)
         for k, moves in enumerate(self.tables):
-            start = np.int32(self.width)
-            state = np.full(columns.shape[1], start, dtype=np.int32)
-            count = np.ones(columns.shape[1], dtype=np.int32)
+            state = np.full(columns.shape[1], between, dtype=np.int32)
+            count = np.zeros(columns.shape[1], dtype=np.int32)
             for symbols in columns:
                 to = moves[state + symbols]
                 stuck = to == 0
                 if stuck.any():
                     again = moves[start + symbols[stuck]]
-                    to[stuck] = np.where(again == 0, start, again)
+                    to[stuck] = np.where(again == 0, between, again)
                     count += stuck
                 state = to
             out[k] = count
