@@ -4,8 +4,8 @@ A seed is a fixed mask over SPAN consecutive words that ignores some positions.
 at the kept positions are hashed at every place of every text and of every benchmark
 item; a hash that both have is a hit, whatever stands at the ignored positions, so
 that a copy with words replaced is still hit where a plain n-gram would not be: the
-masks here hit every window of 20 words in which any four were replaced. A hit
-fixes which word of the text lies against which word of the item. Around it the two are
+masks here hit every window of 12 to 20 words in which any fifth of them was replaced.
+A hit fixes which word of the text lies against which word of the item. Around it the two are
 compared word by word: an item leaks when, in some window of `window` words (the whole
 item where it has fewer), at least `share` of the words against each other agree.
 
@@ -15,9 +15,9 @@ passes over the texts.
 
 Words are compared in lower case, without what is not a letter or digit at their ends.
 
-Defined cases: null texts have no words; texts and items of fewer words than the
-shortest seed, but at least MIN_WORDS, leak when all words of the item stand in the
-text in a row; shorter items are never found; rows without an id are left out;
+Defined cases: null texts have no words; items of fewer than TOLERANT_WORDS words leak
+when all of them stand in the text in a row; items of fewer than MIN_WORDS are never
+found; rows without an id are left out;
 repeated rows, and items with the same id, are reported once; an empty table gives no
 rows; other columns are ignored.
 """
@@ -35,8 +35,10 @@ from pyspark.sql import DataFrame, functions as F
 from spreadlake.llm import common, words
 
 # Kept positions of each mask.
-SEEDS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 9), (0, 2, 3, 4, 8, 10), (0, 1, 2, 3, 4, 5))
+SEEDS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
 MIN_WORDS = 5
+# Items of fewer words have to stand in a text as they are.
+TOLERANT_WORDS = 12
 WINDOW = 20
 SHARE = 0.8
 # Words of the benchmark in one block.
@@ -78,12 +80,10 @@ class Index:
         self.hashes, w = compared(pa.array(texts, pa.string()))
         self.items, self.first, self.count = np.array(items, dtype=np.int64), w.first, w.count
         self.seeds = []
-        for mask in (*SEEDS, tuple(range(MIN_WORDS))):
+        for mask in SEEDS:
             found = seed_hashes(self.hashes, mask)
             item = w.doc[: len(found)]
             inside = item == w.doc[len(w.doc) - len(found):] if len(found) else np.empty(0, bool)
-            if mask[-1] < MIN_WORDS:  # only for items too short for the others
-                inside &= self.count[item] <= max(m[-1] for m in SEEDS)
             at = np.flatnonzero(inside)
             order = at[np.argsort(found[at], kind="stable")]
             keys = found[order]
@@ -125,7 +125,7 @@ class Index:
             same = np.cumsum(np.r_[0, h[i:i + b - a] == self.hashes[j:j + b - a]])
             agreed = same[need:] - same[:-need]
             best = int(agreed.argmax())
-            short = self.count[item] <= max(m[-1] for m in SEEDS)
+            short = self.count[item] < TOLERANT_WORDS
             if agreed[best] >= (need if short else math.ceil(self.share * need - 1e-9)):
                 yield doc, item, a + best, need, int(agreed[best])
 
