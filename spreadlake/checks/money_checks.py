@@ -262,7 +262,7 @@ def liquidity_floors(spark, sf):
     FROM offer_costed JOIN market USING (product_id) GROUP BY retailer, url
 """, ("offer_costed", "market"))
 def best_upside(spark, sf):
-    scored, _ = quotes.assess(costed_offers(spark, sf), v.market(spark, sf), v.now(), v.config())
+    scored = quotes.assess(costed_offers(spark, sf), v.market(spark, sf), v.config())
     return scored.select("retailer", "url", "best_upside")
 
 
@@ -272,7 +272,7 @@ def best_upside(spark, sf):
 """, ("offer_costed", "market"))
 def upside_gate(spark, sf):
     c = replace(v.config(), filters=replace(FILTERS, min_profit=60.0))
-    scored, _ = quotes.assess(costed_offers(spark, sf), v.market(spark, sf), v.now(), c)
+    scored = quotes.assess(costed_offers(spark, sf), v.market(spark, sf), c)
     return quotes.upside_gate(scored, c).select("retailer", "url", "landed_cost")
 
 
@@ -281,8 +281,8 @@ def upside_gate(spark, sf):
     FROM offer_costed JOIN market USING (product_id) GROUP BY product_id
 """, ("offer_costed", "market"))
 def watch_figures(spark, sf):
-    _, watch = quotes.assess(costed_offers(spark, sf), v.market(spark, sf), v.now(), v.config())
-    return watch.select("product_id", "best_profit")
+    scored = quotes.assess(costed_offers(spark, sf), v.market(spark, sf), v.config())
+    return quotes.watch_rows(scored, v.now()).select("product_id", "best_profit")
 
 
 @query("scan_order", """

@@ -110,15 +110,20 @@ def refresh_due(spark, sf):
 
 
 @query("budget_cut", """
-    WITH n AS (SELECT *, part_id % 3 <> 0 AS needs FROM offer_costed),
-    r AS (SELECT *, row_number() OVER (PARTITION BY retailer, needs ORDER BY discount_rank DESC, ordinal, url) AS rn FROM n)
-    SELECT retailer, url, needs FROM r WHERE NOT needs OR rn <= 150
+    WITH n AS (SELECT *, part_id % 3 = 0 AS needs, part_id % 5 <> 0 AS stale FROM offer_costed),
+    t AS (SELECT *, row_number() OVER (PARTITION BY retailer, product_id ORDER BY discount_rank DESC, ordinal, url) AS turn FROM n WHERE needs OR stale),
+    c AS (SELECT *, row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, url) AS rn FROM t WHERE needs OR turn = 1)
+    SELECT retailer, url, needs FROM n WHERE NOT needs AND NOT stale
+    UNION ALL SELECT retailer, url, needs FROM c WHERE rn <= 20
+    UNION ALL SELECT retailer, url, needs FROM t WHERE NOT needs AND turn > 1
+      AND EXISTS (SELECT 1 FROM c WHERE c.rn <= 20 AND c.retailer = t.retailer AND c.product_id = t.product_id)
 """, ("offer_costed",))
 def budget_cut(spark, sf):
-    """Offers the quote budget still reaches, deepest discount first."""
-    rows = costed_offers(spark, sf).withColumn("needs", F.col("part_id") % 3 != 0)
+    """Offers the quote budget still reaches, deepest discount first; stale quotes of a
+    product are paid for once in a shop."""
+    rows = costed_offers(spark, sf).withColumn("needs", F.col("part_id") % 3 == 0)
     order = [F.desc("discount_rank"), F.asc("ordinal"), F.asc("url")]
-    return quotes.within_budget(rows, F.col("needs"), order, 150).select("retailer", "url", "needs")
+    return quotes.within_budget(rows, F.col("needs"), order, 20, F.col("part_id") % 5 != 0).select("retailer", "url", "needs")
 
 
 @query("resolution_cap", """

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spreadlake.config import EngineConfig, FilterConfig, VenueConfig
 from spreadlake.functions import money
 from spreadlake.functions.times import is_fresh
-from spreadlake.operators.ordered import LastKnown, top_n_per_group, with_ordered
+from spreadlake.operators.ordered import LastKnown, RowNumber, top_n_per_group, with_ordered
 from spreadlake.operators.skew import lookup_join
+from spreadlake.session import materialize
 
 
 def latest(history: DataFrame) -> DataFrame:
@@ -93,12 +94,33 @@ def refresh_due(variants: DataFrame, quotes: DataFrame, watch: DataFrame, now: C
     return state.filter(~F.col("all_fresh")).join(products, "product_id")
 
 
-def within_budget(candidates: DataFrame, needs_call: Column, order: list[Column], calls: int) -> DataFrame:
+def within_budget(
+    candidates: DataFrame, needs_call: Column, order: list[Column], calls: int, stale: Column | None = None
+) -> DataFrame:
     """Candidates the call budget of their shop's scan still reaches: those that
-    need no call, and the first `calls` that do."""
-    marked = candidates.withColumn("_needs", F.coalesce(needs_call, F.lit(False)))
-    spending = top_n_per_group(marked.filter("_needs"), ["retailer"], order, calls)
-    return marked.filter(~F.col("_needs")).unionByName(spending).drop("_needs")
+    need no call, and the first `calls` that do.
+
+    `stale` marks listings whose product's quotes are too old. One call brings those
+    of a product, so they are charged once for each shop and product, to the first
+    listing in order that costs a call; later ones are served by it, if it was reached.
+    """
+    marked = candidates.withColumns({
+        "_needs": F.coalesce(needs_call, F.lit(False)),
+        "_stale": F.coalesce(stale, F.lit(False)) if stale is not None else F.lit(False),
+    })
+    costly = marked.filter(F.col("_needs") | F.col("_stale"))
+    if stale is None:
+        charged, served = costly, None
+    else:
+        turned = materialize(with_ordered(costly, ["retailer", "product_id"], order, _turn=RowNumber()))
+        first = F.col("_turn") == 1
+        charged, served = turned.filter(F.col("_needs") | first).drop("_turn"), turned.filter(~F.col("_needs") & ~first).drop("_turn")
+    reached = top_n_per_group(charged, ["retailer"], order, calls)
+    out = marked.filter(~F.col("_needs") & ~F.col("_stale")).unionByName(reached)
+    if served is not None:
+        reached_products = reached.select("retailer", "product_id").distinct()
+        out = out.unionByName(served.join(reached_products, ["retailer", "product_id"], "left_semi"))
+    return out.drop("_needs", "_stale")
 
 
 def variant_gate(quotes: DataFrame, cost: Column, config: EngineConfig) -> DataFrame:
@@ -133,17 +155,21 @@ def best_upside(cost: Column, config: EngineConfig) -> Column:
     return money.gate_profit(bid["profit"], ask["profit"], config.filters)
 
 
-def assess(listing: DataFrame, quotes: DataFrame, now: Column, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
-    """(listings with `best_upside`, watch rows). A product's watch row holds the
-    best figure any of its listings reached."""
+def assess(listing: DataFrame, quotes: DataFrame, config: EngineConfig) -> DataFrame:
+    """Listings with `best_upside`."""
     fees = config.fees.transaction_fee_pct + config.fees.processing_fee_pct
     if fees + (config.vat.rate if config.vat.enabled else 0.0) >= 1:
         raise ValueError("percentage fees of 100 % or more: the dearest quote is not the best one")
-    scored = lookup_join(listing, best_prices(quotes), ["product_id"]).withColumn(
+    return lookup_join(listing, best_prices(quotes), ["product_id"]).withColumn(
         "best_upside", best_upside(F.col("landed_cost"), config)
     ).drop("top_bid", "top_ask")
-    watch = scored.groupBy("product_id").agg(F.max("best_upside").alias("best_profit")).withColumn("checked_at", now)
-    return scored, watch
+
+
+def watch_rows(assessed: DataFrame, now: Column) -> DataFrame:
+    """A product's watch row holds the best figure any of its listings reached. Only
+    listings whose quotes were in hand may be passed: a product nobody looked at has
+    no watch row."""
+    return assessed.groupBy("product_id").agg(F.max("best_upside").alias("best_profit")).withColumn("checked_at", now)
 
 
 def upside_gate(listing: DataFrame, config: EngineConfig) -> DataFrame:

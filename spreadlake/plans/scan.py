@@ -11,6 +11,7 @@ from spreadlake.config import EngineConfig
 from spreadlake.operators import (
     alerts, barcodes, monitor, opportunity, quotes, resolve, review, screen, sizes, state,
 )
+from spreadlake.operators.ordered import top_n_per_group
 from spreadlake.operators.skew import lookup_join
 from spreadlake.session import empty_table, materialize
 
@@ -48,6 +49,11 @@ class ScanResult:
 QUOTE_COLUMNS = ("lowest_ask", "highest_bid", "num_asks", "num_bids", "sales_72h", "last_sale", "fetched_at")
 
 
+def scan_order() -> list[Column]:
+    """The order in which a scan spends its calls."""
+    return [F.desc("discount_rank"), F.asc("ordinal"), F.asc("url")]
+
+
 def candidates(inputs: ScanInputs, config: EngineConfig) -> DataFrame:
     """Screened listings with cost, discount rank and the change flags."""
     stamped = screen.enabled_only(screen.stamp_policy(inputs.listing, inputs.policy), inputs.policy)
@@ -73,7 +79,7 @@ def resolved_listings(cands: DataFrame, inputs: ScanInputs, config: EngineConfig
         )
         need = checked.filter("NOT cached").select(*need.columns)
     if cap is not None:
-        need = need.orderBy("cache_key", "brand", "name").limit(cap)
+        need = _first_lookups(need, cands, cap)
     new = resolve.resolve(cands, inputs.catalog, need=need)
     every = new if cached_rows is None else new.unionByName(cached_rows)
     listed = resolve.attach(cands, every)
@@ -82,6 +88,17 @@ def resolved_listings(cands: DataFrame, inputs: ScanInputs, config: EngineConfig
     return listed, resolve.cache_rows(new, now)
 
 
+def _first_lookups(need: DataFrame, cands: DataFrame, cap: int) -> DataFrame:
+    """The lookups a scan gets to: for each shop the first `cap` in scan order. One
+    that several shops ask for is charged to each of them."""
+    by = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in resolve.LOOKUP]
+    asked = cands.select(*resolve.LOOKUP, "retailer", "discount_rank", "ordinal", "url").alias("l").join(
+        need.select(*resolve.LOOKUP).alias("r"), by, "left_semi")
+    once = top_n_per_group(asked, ["retailer", *resolve.LOOKUP], scan_order(), 1)
+    turn = top_n_per_group(once, ["retailer"], scan_order(), cap).select(*resolve.LOOKUP).distinct()
+    return need.alias("l").join(turn.alias("r"), by, "left_semi")
+
+
 def affordable(sure: DataFrame, inputs: ScanInputs, config: EngineConfig, now: Column, calls: int | None) -> DataFrame:
     """Listings whose quotes may be used: fresh for every variant, or read anew
     within the call budget. A profitable-looking cached figure costs a call."""
@@ -92,12 +109,9 @@ def affordable(sure: DataFrame, inputs: ScanInputs, config: EngineConfig, now: C
     )
     fresh = quotes.freshness(inputs.variants, inputs.quotes, ttl, now).select("product_id", "all_fresh")
     joined = lookup_join(sure, fresh, ["product_id"])
-    needs = (
-        F.col("forced") | ~F.coalesce("all_fresh", F.lit(False))
-        | F.coalesce(F.col("best_upside") >= config.filters.min_profit, F.lit(False))
-    )
-    order = [F.desc("discount_rank"), F.asc("ordinal"), F.asc("url")]
-    return quotes.within_budget(joined, needs, order, calls).drop("all_fresh")
+    needs = F.col("forced") | F.coalesce(F.col("best_upside") >= config.filters.min_profit, F.lit(False))
+    stale = ~F.coalesce("all_fresh", F.lit(False))
+    return quotes.within_budget(joined, needs, scan_order(), calls, stale).drop("all_fresh")
 
 
 def sized_rows(listing: DataFrame, inputs: ScanInputs) -> DataFrame:
@@ -137,12 +151,15 @@ def scan(
     sure = sure.withColumn("product_id", F.col("product.product_id"))
     known = inputs.variants.select("product_id").distinct()
     sure = lookup_join(sure, known.withColumn("_known", F.lit(True)), ["product_id"], "inner").drop("_known")
-    scored, watch = quotes.assess(sure, inputs.quotes, now, config)
-    gated = quotes.upside_gate(affordable(scored, inputs, config, now, calls), config)
+    scored = quotes.assess(sure, inputs.quotes, config)
+    # what the budget does not reach is not looked at, and gets no watch row
+    looked_at = materialize(affordable(scored, inputs, config, now, calls))
+    watch = quotes.watch_rows(looked_at, now)
+    gated = quotes.upside_gate(looked_at, config)
     if inputs.detail is not None:
         confirmed = screen.confirm(gated, inputs.detail, config).drop("landed_cost", "best_upside")
-        again, _ = quotes.assess(
-            confirmed.withColumn("landed_cost", screen.landed_cost_column()), inputs.quotes, now, config
+        again = quotes.assess(
+            confirmed.withColumn("landed_cost", screen.landed_cost_column()), inputs.quotes, config
         )
         gated = quotes.upside_gate(again, config)
     gated = materialize(gated)
@@ -190,9 +207,12 @@ def scan(
     )
     by_chart = sizes.attach_variant(per_size.filter(F.col("_verdict") != barcodes.OTHER), inputs.variants)
     exact = F.col("_verdict") == barcodes.SAME
+    # a barcode names its variant, and with it the size that is printed
+    barcoded = inputs.variants.select(F.col("variant_id").alias("gtin_variant"), F.col("size").alias("_gtin_size"))
     mapped = materialize(
-        by_chart.withColumns(
+        lookup_join(by_chart, barcoded, ["gtin_variant"]).withColumns(
             {
+                "variant_size": F.when(exact, F.col("_gtin_size")).otherwise(F.col("variant_size")),
                 "variant_id": F.when(exact, F.col("gtin_variant")).otherwise(F.col("variant_id")),
                 "size_confidence": F.when(exact, F.lit(1.0)).otherwise(F.col("size_confidence")),
                 "size_match_method": F.when(exact, "barcode").otherwise("size chart"),

@@ -10,6 +10,9 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Folders of single-process sessions without the setting, by application.
+_OWN_FOLDERS: dict[str, str] = {}
+
 # Settings the results depend on: timestamps are UTC, a repeated map key keeps
 # its last value (size charts may list one system twice).
 RESULT_CONF = {
@@ -59,11 +62,14 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="spreadlake-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    # one process, so its own folder is shared; remembered here, as a running
+    # session does not take the setting any more
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spreadlake-")
+    return _OWN_FOLDERS[app]
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:

@@ -11,8 +11,6 @@ def spark(tmp_path_factory):
     from spreadlake.session import local_session
 
     session = local_session(cores=4, partitions=4, app="spreadlake-tests")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     # rows made in a test have no known size, which would send every lookup
     # through the salted join; tests of that join undo this
     session.conf.set("spark.sql.defaultSizeInBytes", "1000")

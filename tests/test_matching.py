@@ -176,7 +176,7 @@ def test_best_upside_matches_every_variant(spark):
         c = cfg.EngineConfig()
         c = replace(c, filters=replace(c.filters, require_live_bid=live))
         listing = spark.createDataFrame([(f"p{i}", 10.0 * i + 5) for i in range(5)], "product_id string, landed_cost double")
-        got = {r.product_id: r.best_upside for r in quotes.assess(listing, q, F.lit(fixtures.NOW), c)[0].collect()}
+        got = {r.product_id: r.best_upside for r in quotes.assess(listing, q, c).collect()}
         each = quotes.variant_gate(listing.join(q, "product_id", "left"), F.col("landed_cost"), c)
         want = {r.product_id: r.g for r in each.groupBy("product_id").agg(F.max("gate_profit").alias("g")).collect()}
         assert got == want
@@ -185,4 +185,4 @@ def test_best_upside_matches_every_variant(spark):
 def test_fees_of_all_of_the_price_are_refused(spark):
     c = cfg.EngineConfig(fees=cfg.FeeConfig(transaction_fee_pct=0.99, processing_fee_pct=0.02))
     with pytest.raises(ValueError):
-        quotes.assess(spark.range(0), spark.range(0), F.lit(fixtures.NOW), c)
+        quotes.assess(spark.range(0), spark.range(0), c)
