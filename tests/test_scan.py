@@ -98,6 +98,7 @@ def test_call_budget_and_caps(spark):
     inputs = ScanInputs(
         listing=t["listing"], policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"], quotes=t["quotes"],
     )
+    # one lookup for each of the three shops
     none = scan(inputs, config, F.lit(fixtures.NOW), calls=0, resolutions=1)
-    assert none.opportunities.count() == 0 and none.resolution.count() == 1 and none.watch.count() == 0
+    assert none.opportunities.count() == 0 and none.resolution.count() == 3 and none.watch.count() == 0
     assert scan(inputs, config, F.lit(fixtures.NOW), calls=0, resolutions=1, backfill=True).opportunities.count() == 2
