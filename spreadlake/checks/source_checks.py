@@ -57,14 +57,22 @@ _LD = """
 
 
 @query("jsonld_products", """
-    SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 1 END AS found, CAST(p_partkey AS VARCHAR) AS first_sku, false AS nodes_below FROM part
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 1 END AS found, CAST(p_partkey AS VARCHAR) AS first_sku, p_partkey % 31 AS depth FROM part
 """)
 def jsonld_products(spark, sf):
-    """Product nodes in all shapes, in document order, broken blocks skipped."""
-    out = jsonld.with_products(_ld_pages(spark, sf))
+    """Product nodes in all shapes, up to thirty lists and objects deeper than those, in
+    document order, broken blocks skipped."""
+    deeper = F.expr("""concat(repeat('{"mainEntity":', cast(p_partkey % 31 AS int)), shaped, repeat('}', cast(p_partkey % 31 AS int)))""")
+    shaped = F.expr("""CASE p_partkey % 4 WHEN 0 THEN node WHEN 1 THEN concat('[{"@type":"BreadcrumbList"},', node, ']')
+        WHEN 2 THEN concat('{"@graph":[{"@type":"WebPage"},', node, ',', node, ']}')
+        ELSE concat('{"mainEntity":{"@type":"ItemList","itemListElement":[', node, ']}}') END""")
+    nested = _ld_pages(spark, sf).withColumn("shaped", shaped).withColumn("deeper", deeper).withColumn("body", F.expr(
+        """concat('<script type="application/ld+json">{broken</script><script type="application/ld+json">', deeper, '</script>')"""))
+    out = jsonld.with_products(nested)
     return out.select(
         "p_partkey", F.size("products").alias("found"),
-        F.try_variant_get(F.get("products", F.lit(0)), "$.sku", "string").alias("first_sku"), "nodes_below",
+        F.try_variant_get(F.get("products", F.lit(0)), "$.sku", "string").alias("first_sku"),
+        (F.col("p_partkey") % 31).alias("depth"),
     )
 
 
@@ -487,12 +495,23 @@ def newest_page(spark, sf):
     return landed.newest_page(reads).select("url", "page_id")
 
 
-@query("display_names", """
-    SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' & Co''S ' || c_custkey || 'Th' AS name FROM customer
+# Ways to write one name, and the letters they stand for.
+_WRITTEN = {"&auml;": "ä", "&#228;": "ä", "&#xE4;": "ä", "&Eacute": "é", "&#8217;": "’", "&#x27;": "'", "&sum;": "∑", "&#150;": "–",
+            "&nosuch;": "&Nosuch;", "&ampx;": "&X;"}
+
+
+@query("display_names", f"""
+    SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' & Co''S ' || c_custkey || 'Th'
+      || [{', '.join("'" + ("Ä" if x == "ä" else "É" if x == "é" else x).replace("'", "''") + "'" for x in _WRITTEN.values())}][1 + c_custkey % {len(_WRITTEN)}] AS name FROM customer
 """)
 def display_names(spark, sf):
-    raw = F.concat(F.lit("“"), "c_mktsegment", F.lit('" &amp;amp; co&amp;#39;s '), F.col("c_custkey").cast("string"), F.lit("TH"))
-    return v.table(spark, sf, "customer").select("c_custkey", text.display_name(raw).alias("name"))
+    """Twice escaped names, with named, numeric and unknown entities behind them."""
+    forms = F.array(*[F.lit(f"1{x.replace('&', '&amp;')}") for x in _WRITTEN])
+    raw = F.concat(F.lit("“"), "c_mktsegment", F.lit('" &amp;amp; co&amp;#39;s '), F.col("c_custkey").cast("string"), F.lit("TH"),
+                   F.get(forms, (F.col("c_custkey") % len(_WRITTEN)).cast("int")))
+    # the digit keeps the letter behind it apart from the word before
+    return v.table(spark, sf, "customer").select(
+        "c_custkey", F.regexp_replace(text.display_name(raw), "^(.*Th)1", "$1").alias("name"))
 
 
 # -- marketplace responses -----------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -83,18 +85,52 @@ def last_segment(url: Column) -> Column:
     return F.substring_index(url, "/", -1)
 
 
-# The entities that occur in product names.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&amp;", "&"),
-)
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_LONGEST_NAME = 32
+
+
+def _names() -> Column:
+    """All named entities of HTML, with the semicolon where they need one."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _character(code: Column) -> Column:
+    """The character of a number as browsers read it: the C1 range is Windows-1252,
+    what is no character is replaced, and control characters are left out."""
+    remapped = [bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0)]
+    at = F.get(F.array(*[F.lit(c) for c in remapped]), (code - 0x80).cast("int"))
+    control = (code.between(1, 8)) | (code == 0x0B) | (code.between(0x0E, 0x1F)) | (code == 0x7F)
+    none = control | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code.between(0x80, 0x9F), at).when(none, "").otherwise(plain)
+    )
+
+
+def _decoded(entity: Column) -> Column:
+    """One entity, ampersand included; an unknown name keeps its text, but for the
+    longest entity it begins with."""
+    body = F.substring(entity, 2, 1 << 30)
+    number = F.regexp_replace(body, "^#[xX]?0*|;$", "")
+    hexadecimal = F.conv(F.when(F.length(number) <= 8, number), 16, 10).try_cast("bigint")
+    decimal = F.when(F.length(number) <= 12, F.when(number == "", "0").otherwise(number)).try_cast("bigint")
+    code = F.when(body.rlike("^#[xX]"), F.when(number == "", F.lit(0).cast("bigint")).otherwise(hexadecimal)).otherwise(decimal)
+    names = _names()
+    known = F.element_at(names, body)
+    sizes = F.sequence(F.least(F.length(body), F.lit(_LONGEST_NAME)), F.lit(1))
+    begins = F.get(F.filter(sizes, lambda n: F.element_at(names, F.substr(body, F.lit(1), n)).isNotNull()), F.lit(0))
+    part = F.concat(F.element_at(names, F.substr(body, F.lit(1), begins)), F.substr(body, begins + 1))
+    return F.when(body.startswith("#"), _character(code)).otherwise(F.coalesce(known, part, entity))
 
 
 def html_unescape(c: Column) -> Column:
-    """One pass of entity decoding; the ampersand goes last so that a doubly
-    escaped entity needs a second pass, as in HTML."""
-    return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, c)
+    """One pass of entity decoding, named and numeric; a doubly escaped entity needs a
+    second pass, as in HTML."""
+    between = F.split(c, _ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _decoded)
+    whole = F.array_join(F.zip_with(between, found, lambda b, e: F.concat(b, F.coalesce(e, F.lit("")))), "")
+    return F.when(c.contains("&"), whole).otherwise(c)
 
 
 def title_case(c: Column) -> Column:

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import style, text
 from spreadlake.functions.barcode import clean_gtin
 from spreadlake.functions.binding import evaluated_once
 from spreadlake.sources import jsonvalue as jv
+from spreadlake.session import materialize
 from spreadlake.sources.base import any_in_stock, as_listing, extractor, size_struct
 
+# How a page marks its blocks.
 SCRIPT = r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 ANY_SCRIPT = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
 
 # Keys under which further nodes sit, in reading order.
 NESTING_KEYS = ("@graph", "mainEntity", "itemListElement")
 
-# List and object steps followed from the top of a block.
-DEPTH = 8
+# List and object steps followed in one pass over the pages.
+STEPS = 8
 
 # Barcode fields by trust.
 GTIN_FIELDS = ("gtin13", "gtin12", "gtin14", "gtin", "gtin8")
@@ -41,34 +45,48 @@ def _entry(path: Column, node: Column) -> Column:
 def _inside(entry: Column) -> Column:
     listed = F.transform(
         jv.items(entry["node"]),
-        lambda x, i: _entry(F.concat(entry["path"], F.lit("."), F.lpad(i.cast("string"), 6, "0")), x),
+        lambda x, i: _entry(F.concat(entry["path"], F.array(i)), x),
     )
     keyed = F.array(
         *[
-            _entry(F.concat(entry["path"], F.lit(f".{i}")), jv.get(entry["node"], f"$['{key}']"))
+            _entry(F.concat(entry["path"], F.array(F.lit(i))), jv.get(entry["node"], f"$['{key}']"))
             for i, key in enumerate(NESTING_KEYS)
         ]
     )
     return F.coalesce(listed, F.filter(keyed, lambda e: e["node"].isNotNull()))
 
 
-def with_products(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Add `products`, every Product node of the page in document order, and
-    `nodes_below`, true when nodes lie deeper than the steps followed."""
-    level = pages.withColumn(
-        "_level0",
-        F.transform(blocks(F.col(body)), lambda v, i: _entry(F.lpad(i.cast("string"), 6, "0"), v)),
-    )
-    for d in range(DEPTH):
+def _walked(pages: DataFrame, columns: list[str]) -> DataFrame:
+    """One pass: `_hits` gains the Product nodes on `_level0` and the steps below it,
+    and `_level0` becomes what lies below those."""
+    level = pages
+    for d in range(STEPS):
         level = level.withColumn(f"_level{d + 1}", F.flatten(F.transform(f"_level{d}", _inside)))
-    every = F.concat(*[F.col(f"_level{d}") for d in range(DEPTH + 1)])
-    hits = F.array_sort(
-        F.filter(every, lambda e: _is_product(e["node"])),
-        lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0),
+    every = F.concat(*[F.col(f"_level{d}") for d in range(STEPS)])
+    walked = F.struct(
+        F.concat("_hits", F.filter(every, lambda e: _is_product(e["node"]))).alias("_hits"),
+        F.col(f"_level{STEPS}").alias("_level0"),
     )
-    deeper = F.exists(f"_level{DEPTH}", lambda e: F.size(_inside(e)) > 0)
-    walked = F.struct(F.transform(hits, lambda e: e["node"]).alias("products"), deeper.alias("nodes_below"))
-    return evaluated_once(level, "_walked", walked).select(*pages.columns, "_walked.*")
+    return evaluated_once(level, "_walked", walked).select(*columns, "_walked.*")
+
+
+def with_products(pages: DataFrame, body: str = "body") -> DataFrame:
+    """Add `products`, every Product node of the page in document order, however deep
+    it lies. Pages with nodes below the steps of a pass, and only those, go through
+    another one."""
+    start = F.transform(blocks(F.col(body)), lambda v, i: _entry(F.array(i), v))
+    rest = pages.withColumn("_level0", start).withColumn("_hits", F.filter("_level0", lambda e: F.lit(False)))
+    done = []
+    while True:
+        walked = materialize(_walked(rest, pages.columns))
+        done.append(walked.filter(F.size("_level0") == 0))
+        rest = walked.filter(F.size("_level0") > 0)
+        if rest.isEmpty():
+            break
+    hits = F.array_sort(
+        "_hits", lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+    every = reduce(DataFrame.unionByName, done)
+    return every.select(*pages.columns, F.transform(hits, lambda e: e["node"]).alias("products"))
 
 
 def with_top_product(pages: DataFrame, body: str = "body") -> DataFrame:

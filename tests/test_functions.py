@@ -251,3 +251,12 @@ def test_config_from_mapping():
     assert built.filters.min_profit == 3.0 and built.retailers[0].slug_filters == ("x",)
     with pytest.raises(ValueError):
         cfg.from_mapping({"filters": {"nope": 1}})
+
+
+def test_entities_decode_as_in_html(evaluate):
+    import html
+
+    texts = ["a &amp; b", "&lt;&gt;&quot;&#39;&#x27;&apos;", "&auml;&Auml;&#228;&#xe4;&#XE4", "&#0;&#128;&#150;&#x110000;&#55296;&#1;&#127;&#64976;",
+             "&notit; &ampx &nosuch; & &; &#; &#x; &#99999999999999;", "&eacute&nbsp", "&#x1F600;&CounterClockwiseContourIntegral;", "plain", "",
+             "&amp;amp;", "&#65534;&#x1FFFF;&#11;&#13;&#000065;"]
+    assert evaluate(lambda df: text.html_unescape(F.col('c')), "c string", [(t,) for t in texts]) == [html.unescape(t) for t in texts]
