@@ -2,78 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 256
-SALTS = 32
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join a large side to a lookup table with one row, or few, for each key.
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate for a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    text = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(text)
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    """The largest keys, at most MAX_HOT_KEYS of them: a fixed bound."""
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-
-
-def row_salt(df: DataFrame, salts: int) -> Column:
-    """A salt that spreads equal rows too: it mixes the map partition in, and is
-    the same when a task is run again."""
-    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns if _hashable(df, c)]), F.lit(salts))
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    kind = df.schema[name].dataType.simpleString()
-    return "map<" not in kind and "variant" not in kind
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-    min_rows: int = HOT_ROWS, salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join where the hot keys of `left` are spread over `salts` tasks and
-    only the matching rows of `right` are repeated. Rows with a NULL key match
-    nothing, so they are spread as well."""
-    hot = F.broadcast(hot_keys(left.filter(_all_set(keys)), keys, min_rows))
-    spread = F.coalesce(F.col("_hot"), F.lit(False)) | ~_all_set(keys)
-    salted = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(spread, row_salt(left, salts)).otherwise(F.lit(0).cast("bigint"))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    repeated = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))),
-    ).drop("_hot")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def _all_set(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Join a large side to a lookup table. A lookup whose estimated size is
-    under Spark's broadcast limit is left to Spark, which broadcasts it; a
-    larger one gets the salted join."""
-    if estimated_bytes(right) <= _broadcast_limit(right):
-        return left.join(right, keys, how)
-    return salted_join(left, right, keys, how, min_rows)
+    Spark broadcasts a lookup table under its limit. Beyond it both sides are shuffled,
+    and adaptive execution cuts a partition of the large side that turns out skewed into
+    pieces, each joined with the same lookup rows; inner and left joins allow that. No
+    count of keys is needed beforehand, so each input is read once.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("a skewed side can be cut in inner and left joins only")
+    return left.join(right, keys, how)

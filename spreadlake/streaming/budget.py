@@ -67,7 +67,7 @@ def last_beats(finished: DataFrame) -> DataFrame:
 def liveness(beats: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
     """Add `up`: the shop's last finished scan is younger than twice the fastest
     enabled interval, and at least half an hour. `policy` has a row for each shop."""
-    limit = stale_after(policy)
+    limit = stale_after(policy).withColumn("_one", F.lit(1))
     age = age_seconds(F.col("last_beat"), now)
-    return beats.crossJoin(F.broadcast(limit)).withColumn(
-        "up", F.coalesce(age < F.col("stale_after_s"), F.lit(False))).drop("stale_after_s")
+    return beats.withColumn("_one", F.lit(1)).join(limit, "_one").withColumn(
+        "up", F.coalesce(age < F.col("stale_after_s"), F.lit(False))).drop("stale_after_s", "_one")

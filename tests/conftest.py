@@ -7,13 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from spreadlake.session import local_session
 
     session = local_session(cores=4, partitions=4, app="spreadlake-tests")
-    # rows made in a test have no known size, which would send every lookup
-    # through the salted join; tests of that join undo this
-    session.conf.set("spark.sql.defaultSizeInBytes", "1000")
     yield session
     session.stop()
 

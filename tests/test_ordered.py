@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from spreadlake.operators.ordered import LastKnown, Previous, RowNumber, RunningSum, rolling_count, top_n_per_group, with_ordered
-from spreadlake.operators.skew import lookup_join, salted_join
+from spreadlake.operators.skew import lookup_join
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -90,28 +90,29 @@ def test_rolling_count(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_join_equals_join(spark, rows, how):
-    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("zz", 4), (None, 5)], "key string, tag int")
-    got = salted_join(rows.repartition(5), right, ["key"], how, min_rows=50, salts=4)
-    want = rows.join(right, ["key"], how)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-
-
-def test_copies_of_one_row_are_spread(spark):
-    from spreadlake.operators.skew import row_salt
-
-    same = spark.range(4000, numPartitions=16).select(F.lit("hot").alias("key"))
-    assert same.withColumn("s", row_salt(same, 8)).select("s").distinct().count() > 3
-
-
-def test_lookup_join_picks_by_size(spark, rows):
-    small = spark.range(0).select(F.lit("a").alias("key"), F.lit(1).alias("x"))
-    plan = lookup_join(rows, small, ["key"])._jdf.queryExecution().toString()
-    assert "_salt" not in plan
-    unknown = spark.createDataFrame([("hot", 1)], "key string, x int")
-    spark.conf.set("spark.sql.defaultSizeInBytes", str(1 << 40))
+def test_a_hot_key_of_a_shuffled_lookup_is_cut(spark, how):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    left = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 != 0, F.lit(7)).otherwise(F.col("id")).alias("key"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    right = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("key"), (F.col("id") * 2).alias("tag"))
     try:
-        plan = lookup_join(rows, unknown, ["key"])._jdf.queryExecution().toString()
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        joined = lookup_join(left, right, ["key"], how)
+        assert joined.filter("tag = key * 2").count() == 60_000
+        joined = lookup_join(left, right, ["key"], how)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.defaultSizeInBytes", "1000")
-    assert "_salt" in plan
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def test_a_join_that_cannot_be_cut_is_refused(spark):
+    with pytest.raises(ValueError):
+        lookup_join(spark.range(1), spark.range(1), ["id"], "full")
