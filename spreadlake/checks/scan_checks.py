@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from spreadlake.checks import views as v
 from spreadlake.checks.registry import query
+from spreadlake.operators import opportunity
+from spreadlake.plans import jobs
 from spreadlake.plans.scan import ScanInputs, ScanResult, scan
-from spreadlake.session import materialize
+from spreadlake.session import materialize, new_shared_path
 
 CODE = "concat(replace(p_brand, '#', ''), '-', lpad(p_partkey, 7, '0'))"
 
@@ -89,3 +91,24 @@ def scan_reviews(spark, sf):
 """, ("offer_costed", "market"))
 def scan_statistics(spark, sf):
     return run(spark, sf).stats
+
+
+@query("stored_scan", _SIZED + f"""
+    , f AS (SELECT * FROM opp QUALIFY row_number() OVER (PARTITION BY key ORDER BY discount_rank DESC, ordinal, size_label) = 1),
+    one AS (SELECT *, row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, size_label, key) AS rn FROM f QUALIFY rn <= 20),
+    sent AS (SELECT key, gate_profit AS told FROM one WHERE rn % 2 = 0),
+    due AS (SELECT opp.* FROM opp LEFT JOIN sent USING (key) WHERE told IS NULL OR abs(gate_profit - told) >= {v.config().alerts.re_alert_delta}),
+    g AS (SELECT * FROM due QUALIFY row_number() OVER (PARTITION BY key ORDER BY discount_rank DESC, ordinal, size_label) = 1),
+    two AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, size_label, key) <= 20)
+    SELECT 'one' AS scan_id, key, url, gate_profit FROM one UNION ALL SELECT 'two', key, url, gate_profit FROM two
+""", ("offer_costed", "market"))
+def stored_scan(spark, sf):
+    """The outbox after two stored scans, with every second alert of the first delivered."""
+    store = jobs.Store(spark, new_shared_path(spark, "store"))
+    given = inputs(spark, sf)
+    first = jobs.scan_job(store, given, v.config(), v.now(), scan_id="one")
+    turn = Window.partitionBy("retailer").orderBy(*opportunity.report_order(first.alerts))
+    delivered = first.alerts.withColumn("rn", F.row_number().over(turn)).filter("rn % 2 = 0")
+    jobs.record_alerts(store, delivered.withColumn("payload", F.col("text")), v.now())
+    jobs.scan_job(store, given, v.config(), v.now(), scan_id="two")
+    return store.log("alert_outbox", jobs.OUTBOX).select("scan_id", "key", "url", "gate_profit")

@@ -255,7 +255,7 @@ def scan_rows(spark, sf):
 """)
 def scan_log_append(spark, sf):
     s = store(spark)
-    jobs.log_scan(s, scan_rows(spark, sf))
+    jobs.log_scan(s, scan_rows(spark, sf), "one")
     return s.log("scan_log", schemas.SCAN_LOG).groupBy("retailer").agg(
         F.count(F.lit(1)).alias("scans"), F.sum("products_seen").alias("seen"), F.sum("alerts_sent").alias("alerts")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,12 +12,12 @@ from spreadlake.config import EngineConfig
 from spreadlake.operators import alerts, monitor, report, review, sales, state
 from spreadlake.operators.state import VersionedTable, append
 from spreadlake.plans.scan import ScanInputs, ScanResult, scan
-from spreadlake.session import empty_table
+from spreadlake.session import empty_table, materialize
 
 
 OUTBOX = """
     key string, retailer string, url string, size_label string, gate_profit double, in_stock boolean,
-    reason string, text string, made_at timestamp
+    reason string, text string, made_at timestamp, scan_id string
 """
 
 
@@ -50,6 +51,14 @@ class Store:
     def alerts(self) -> VersionedTable:
         return self.table("alert_state", schemas.ALERT_STATE)
 
+    @property
+    def listing(self) -> VersionedTable:
+        return self.table("listing", schemas.LISTING_STATE)
+
+    def put_scan(self, name: str, scan_id: str, rows: DataFrame) -> None:
+        """What one scan adds to a log; the same scan run again replaces it."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/scan_id={scan_id}")
+
     def log(self, name: str, schema: str) -> DataFrame:
         """An append-only table; empty before its first row."""
         path = f"{self.root}/{name}"
@@ -94,6 +103,14 @@ def put_gtins(store: Store, rows: DataFrame) -> int:
     return table.replace(state.keep_latest(table.read(), rows, ["gtin"], "looked_up_at"))
 
 
+def put_listings(store: Store, seen: DataFrame, now: Column) -> int:
+    """Listing upsert: what a scan saw, with the time each listing was first seen."""
+    table = store.listing
+    names = [c for c in table.read().columns if c not in ("first_seen", "last_seen")]
+    rows = seen.select(*names).dropDuplicates(["retailer", "url"]).withColumns({"first_seen": now, "last_seen": now})
+    return table.replace(state.merge_listings(table.read(), rows))
+
+
 def put_quotes(store: Store, rows: DataFrame) -> None:
     """Quotes are appended; the latest one is derived by an aggregate."""
     dated = rows.withColumn("quote_date", F.to_date("fetched_at"))
@@ -127,9 +144,9 @@ def resolve_reviews(store: Store, ids: DataFrame, now: Column) -> DataFrame:
     return store.log("review_events", schemas.REVIEW_EVENT).join(ids, "review_id", "left_semi")
 
 
-def log_scan(store: Store, rows: DataFrame) -> None:
-    append(rows.select("started_at", "retailer", "products_seen", "candidates", "opportunities", "alerts_sent"),
-           f"{store.root}/scan_log")
+def log_scan(store: Store, rows: DataFrame, scan_id: str) -> None:
+    store.put_scan("scan_log", scan_id, rows.select(
+        "started_at", "retailer", "products_seen", "candidates", "opportunities", "alerts_sent"))
 
 
 def record_sales(store: Store, rows: DataFrame, config: EngineConfig) -> None:
@@ -145,30 +162,40 @@ def sold_report(store: Store) -> tuple[DataFrame, DataFrame]:
 
 def scan_job(
     store: Store, inputs: ScanInputs, config: EngineConfig, now: Column, calls: int | None = None,
-    resolutions: int | None = None, backfill: bool = False, force_fresh: bool = False,
+    resolutions: int | None = None, backfill: bool = False, force_fresh: bool = False, scan_id: str | None = None,
 ) -> ScanResult:
-    """Scan with the stored caches and state, and store what it found: cache
-    rows, watch rows, reviews, the scan log, and alerts to be sent. The alert
-    state stays as it is until `record_alerts` is told what was delivered."""
-    sent = store.log("alert_outbox", OUTBOX).select("key", "retailer", "url", "size_label").distinct()
+    """Scan with the stored caches and state, and store what it found: listings, cache
+    rows, watch rows, reviews, the scan log, and alerts to be sent. Listings are compared
+    with those stored by the scan before, unless `inputs` brings its own. The alert state
+    stays as it is until `record_alerts` is told what was delivered. A job that is run
+    again under the same `scan_id` replaces its own outbox and log rows."""
+    scan_id = scan_id or uuid.uuid4().hex
+    sent = store.log("alert_outbox", OUTBOX).filter(F.col("scan_id") != scan_id).select("key", "retailer", "url", "size_label").distinct()
     # what sold out since it was alerted is new again when it comes back
-    mark_out_of_stock(store, alerts.sold_out(sent, inputs.listing))
+    sold_out = materialize(alerts.sold_out(sent, inputs.listing))
+    if not sold_out.isEmpty():
+        mark_out_of_stock(store, sold_out)
+    previous = inputs.previous
+    if previous is None and store.listing.version():
+        previous = store.listing.read()
     state_now = replace(
         inputs, resolution=store.resolution.read(), watch=store.watch.read(), alert_state=store.alerts.read(),
-        gtin_map=store.gtin_map.read(), previous=None if force_fresh else inputs.previous,
+        gtin_map=store.gtin_map.read(), previous=None if force_fresh else previous,
     )
     result = scan(state_now, config, now, calls, resolutions, backfill)
+    # each part is computed once, then stored
+    result = replace(result, **{
+        part: materialize(getattr(result, part)) for part in ("resolution", "watch", "reviews", "alerts", "out_of_stock", "stats")})
+    store.put_scan("alert_outbox", scan_id, result.alerts.select(
+        "key", "retailer", "url", "size_label", "gate_profit", "in_stock", "reason", "text", now.alias("made_at")))
+    log_scan(store, result.stats.withColumn("started_at", now), scan_id)
     put_resolution(store, result.resolution)
     put_watch(store, result.watch)
     add_reviews(store, result.reviews)
-    append(
-        result.alerts.select(
-            "key", "retailer", "url", "size_label", "gate_profit", "in_stock", "reason", "text", now.alias("made_at")
-        ),
-        f"{store.root}/alert_outbox",
-    )
-    mark_out_of_stock(store, result.out_of_stock)
-    log_scan(store, result.stats.withColumn("started_at", now))
+    if not result.out_of_stock.isEmpty():
+        mark_out_of_stock(store, result.out_of_stock)
+    # last, as it is what the next run of this scan would be compared with
+    put_listings(store, inputs.listing, now)
     return result
 
 

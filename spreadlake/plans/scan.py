@@ -80,7 +80,8 @@ def resolved_listings(cands: DataFrame, inputs: ScanInputs, config: EngineConfig
         need = checked.filter("NOT cached").select(*need.columns)
     if cap is not None:
         need = _first_lookups(need, cands, cap)
-    new = resolve.resolve(cands, inputs.catalog, need=need)
+    # the match feeds the listings and the cache; it is run once
+    new = materialize(resolve.resolve(cands, inputs.catalog, need=need))
     every = new if cached_rows is None else new.unionByName(cached_rows)
     listed = resolve.attach(cands, every)
     if inputs.gtin_map is not None:
@@ -248,7 +249,7 @@ def scan(
         due, gone_keys, _ = alerts.recheck(due, screen.newest_detail(inputs.detail), config)
     capped = alerts.cap(due, config.alerts.max_per_scan, opportunity.report_order(due))
     noted = alerts.with_sibling(capped, inputs.policy, inputs.listing)
-    fired = noted.withColumn("text", alerts.alert_text(config))
+    fired = materialize(noted.withColumn("text", alerts.alert_text(config)))
     stats = monitor.scan_stats(inputs.listing, cands, opportunities, fired)
     return ScanResult(
         candidates=cands, resolution=new_cache, opportunities=opportunities, alerts=fired,

@@ -56,6 +56,12 @@ ALERT_STATE = """
     was_in_stock boolean, payload string
 """
 
+# What the next scan compares a listing with.
+LISTING_STATE = """
+    retailer string, url string, name string, brand string, style_code string, currency string,
+    price double, in_stock boolean, first_seen timestamp, last_seen timestamp
+"""
+
 SCAN_LOG = """
     started_at timestamp, retailer string, products_seen bigint, candidates bigint,
     opportunities bigint, alerts_sent bigint

@@ -73,8 +73,14 @@ def test_stored_scan_repeats_until_delivered(spark, tmp_path):
         listing=t["listing"], policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"], quotes=t["quotes"],
     )
     now = F.lit(fixtures.NOW)
-    first = jobs.scan_job(store, inputs, config, now)
+    first = jobs.scan_job(store, inputs, config, now, scan_id="first")
     assert first.alerts.count() == 2
+    # the listings are stored, and running the same scan again doubles nothing
+    seen = store.listing.read().count()
+    assert seen == t["listing"].select("retailer", "url").distinct().count()
+    first = jobs.scan_job(store, inputs, config, now, scan_id="first")
+    assert first.alerts.count() == 2 and store.log("alert_outbox", jobs.OUTBOX).count() == 2
+    assert first.candidates.filter("forced").count() == 0 and store.listing.read().count() == seen
     cached = {r.cache_key: (r.found, r.product_id) for r in store.resolution.read().collect()}
     assert cached["75192"] == (True, "p-falcon") and len(cached) == 4
     assert {r.product_id for r in store.watch.read().collect()} >= {"p-aj1", "p-falcon"}
