@@ -32,6 +32,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, root]))
+    # every cut of a lineage is a written table, so the shuffles behind it can go at once
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return configure(spark)
 
 
@@ -68,6 +70,18 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, kinds[k]) for n, k in (part.split() for part in ddl.split(", "))])
 
 
+_HELD: dict = {}
+
+
+def held(key, build):
+    """The one object a Python worker keeps between its tasks, such as a tokenizer or a
+    model; asking for another drops it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
