@@ -21,7 +21,6 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,12 +138,6 @@ class Parser:
         return total * np.array(self.bits)[:, None] / np.maximum(size, 1)
 
 
-@lru_cache(maxsize=2)
-def _parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
-    """One parser in each Python worker."""
-    return Parser(samples)
-
-
 def _predict(samples):
     schema = common.schema_of(PREDICTIONS)
 
@@ -155,7 +148,7 @@ def _predict(samples):
             letters = np.flatnonzero(pc.fill_null(batch.column("letters"), False).to_numpy(zero_copy_only=False))
             known = samples.value
             if known and len(letters):
-                parser = _parser(known)
+                parser = common.held(("parser", known), lambda: Parser(known))
                 bits = parser.entropies(batch.column("text").take(pa.array(letters)))
                 best = bits.argmin(axis=0)
                 langs[letters] = np.array(parser.langs, dtype=object)[best]

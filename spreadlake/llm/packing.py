@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spreadlake.llm import common
@@ -44,7 +44,6 @@ NODES = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=1)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -63,9 +62,10 @@ class Encoder:
 
     # A space at an end of the text or beside other white space.
     ODD = r"^ | $| [\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
-    # Parts encoded in one call, and parts remembered by a worker.
+    # Parts encoded in one call, and parts remembered by a worker (by 64-bit hashes, some
+    # 40 bytes each).
     JOINED = 2000
-    KEPT = 1_500_000
+    KEPT = 2_000_000
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -76,7 +76,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,13 +84,16 @@ class Encoder:
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())), size
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str], hashes: np.ndarray) -> None:
         """Remember the ids of " " + part for each part."""
         spaced = [" " + p for p in parts]
         ids, _ = self._encode(["".join(spaced[i:i + self.JOINED]) for i in range(0, len(spaced), self.JOINED)])
         stop = np.cumsum(pc.binary_length(pa.array(spaced)).to_numpy().astype(np.int64))
         upto = np.searchsorted(np.cumsum(self.bytes[ids]), stop, side="right")
-        self.place.update(zip(parts, range(len(self.place), len(self.place) + len(parts)), strict=True))
+        hashes = np.concatenate([self.hashes, hashes])
+        place = np.concatenate([self.place, np.arange(len(self.place), len(hashes), dtype=np.int32)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.place = hashes[order], place[order]
         self.pool = np.concatenate([self.pool, ids])
         self.first = np.concatenate([self.first, len(self.pool) - len(ids) + np.r_[0, upto[:-1]]])
         self.size = np.concatenate([self.size, np.diff(upto, prepend=0)])
@@ -103,26 +106,29 @@ class Encoder:
         per = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         head = np.cumsum(per) - per
         coded = split.flatten().dictionary_encode()
-        parts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        parts, code = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
         # a text's first part has no space before it; odd texts are one part
         rest = np.ones(len(code), bool)
         rest[head] = False
         asked = np.zeros(len(parts), bool)
         asked[code[rest]] = True
-        used = np.flatnonzero(asked).tolist()
-        if len(self.place) + len(used) > self.KEPT:
+        used = np.flatnonzero(asked)
+        if len(self.hashes) + len(used) > self.KEPT:
             self._forget()
-        new = [parts[i] for i in used if parts[i] not in self.place]
-        if new:
-            self._learn(new)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(parts[i]) for i in used), dtype=np.uint64, count=len(used))
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] != hashes) if len(self.hashes) else np.arange(len(used))
+        if len(new):
+            self._learn([parts[used[i]].decode() for i in new], hashes[new])
         known = np.zeros(len(parts), dtype=np.int64)
-        known[used] = [self.place[parts[i]] for i in used]
+        if len(used):
+            known[used] = self.place[np.searchsorted(self.hashes, hashes)]
         whole = texts.to_pylist() if odd.any() else None
-        alone, alone_size = self._encode([whole[i] if odd[i] else parts[code[h]] for i, h in enumerate(head)])
+        alone, alone_size = self._encode([whole[i] if odd[i] else parts[code[h]].decode() for i, h in enumerate(head)])
         base = len(self.pool)
         first = np.empty(len(code), dtype=np.int64)
         size = np.empty(len(code), dtype=np.int64)
-        if used:
+        if len(used):
             at = known[code[rest]]
             first[rest], size[rest] = self.first[at], self.size[at]
         first[head], size[head] = base + np.cumsum(alone_size) - alone_size, alone_size
@@ -135,16 +141,11 @@ class Encoder:
         return ids, np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _pieces(path: str, size: int):
     schema = common.schema_of(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = common.held(("encoder", path), lambda: Encoder(path))
         for batch in common.tables_of(batches):
             texts = pc.fill_null(batch.column("text"), "")
             ids, count = encoder.encode(texts)
