@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spreadlake.session import configure
+from spreadlake.session import configure, materialize
 
 # Python words are split at exactly the characters Arrow calls ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,8 @@ def prepared(spark: SparkSession) -> SparkSession:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, root]))
     # every cut of a lineage is a written table, so the shuffles behind it can go at once
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    # what a Python task and its JVM side hold of the texts at once
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return configure(spark)
 
 
@@ -44,6 +46,23 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
                        *[F.col(c) for c in more]).filter(F.col("doc_id").isNotNull())
 
 
+# Rows of a side that is sent to all tasks, at a few dozen bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def checked(side: DataFrame) -> DataFrame:
+    """Broadcast a written side of few rows, counted first; a larger one is left to a
+    shuffle."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `docs` that have an id, but for those whose id is in `dropped`. The
+    texts stay where they are as long as few are dropped."""
+    ids = materialize(dropped.select("doc_id").distinct())
+    return docs.filter(F.col("doc_id").isNotNull()).join(checked(ids), "doc_id", "left_anti").select(*docs.columns)
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

@@ -180,5 +180,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows no benchmark item leaks into."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return common.without(docs, leaks(docs, benchmark))

@@ -138,27 +138,42 @@ class Parser:
         return total * np.array(self.bits)[:, None] / np.maximum(size, 1)
 
 
+def _languages(samples, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each row's text."""
+    langs = np.array([UNKNOWN] * batch.num_rows, dtype=object)
+    score = np.zeros(batch.num_rows)
+    text = pc.fill_null(batch.column("text"), "")
+    letters = np.flatnonzero(pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False))
+    known = samples.value
+    if known and len(letters):
+        parser = common.held(("parser", known), lambda: Parser(known))
+        bits = parser.entropies(text.take(pa.array(letters)))
+        best = bits.argmin(axis=0)
+        langs[letters] = np.array(parser.langs, dtype=object)[best]
+        least = np.sort(bits, axis=0)[:2]
+        score[letters] = 1.0 if len(parser.langs) == 1 else least[1] / (least[0] + least[1])
+    return langs, score
+
+
 def _predict(samples):
     schema = common.schema_of(PREDICTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.tables_of(batches):
-            langs = np.array([UNKNOWN] * batch.num_rows, dtype=object)
-            score = np.zeros(batch.num_rows)
-            letters = np.flatnonzero(pc.fill_null(batch.column("letters"), False).to_numpy(zero_copy_only=False))
-            known = samples.value
-            if known and len(letters):
-                parser = common.held(("parser", known), lambda: Parser(known))
-                bits = parser.entropies(batch.column("text").take(pa.array(letters)))
-                best = bits.argmin(axis=0)
-                langs[letters] = np.array(parser.langs, dtype=object)[best]
-                least = np.sort(bits, axis=0)[:2]
-                score[letters] = 1.0 if len(parser.langs) == 1 else least[1] / (least[0] + least[1])
+            langs, score = _languages(samples, batch)
             yield common.rows(schema, batch.column("doc_id"), langs.tolist(), score)
 
     return run
 
 
+def _known(samples):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.tables_of(batches):
+            yield batch.filter(pa.array(_languages(samples, batch)[0] != UNKNOWN))
+
+    return run
+
+
 def labelled_sample(docs: DataFrame, learn: Column) -> tuple[tuple[str, bytes], ...]:
     """(language, text) of the bounded sample, by language."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -181,11 +196,10 @@ def predict(docs: DataFrame, learn: Column) -> DataFrame:
     which documents may be learned from."""
     docs = common.documents(docs, "lang")
     samples = docs.sparkSession.sparkContext.broadcast(labelled_sample(docs, learn))
-    texts = docs.select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("letters"))
-    return texts.mapInArrow(_predict(samples), PREDICTIONS)
+    return docs.select("doc_id", "text").mapInArrow(_predict(samples), PREDICTIONS)
 
 
 def reject_unknown(docs: DataFrame, learn: Column) -> DataFrame:
-    """The rows whose text has a language."""
-    known = predict(docs, learn).filter(F.col("lang_pred") != UNKNOWN).select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi").select(*docs.columns)
+    """The rows that have an id and whose text has a language."""
+    samples = docs.sparkSession.sparkContext.broadcast(labelled_sample(common.documents(docs, "lang"), learn))
+    return docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_known(samples), docs.schema)

@@ -41,8 +41,6 @@ from spreadlake.session import materialize
 WORDS = 5
 THRESHOLD = 0.8
 SLOTS = 1 << 16
-# Rows of a side that is sent to all tasks, at a few dozen bytes each.
-BROADCAST_ROWS = 500_000
 
 
 def split(text: Column) -> Column:
@@ -107,15 +105,10 @@ def prefixes(docs: DataFrame, classes: Column, words: int, threshold: float) ->
     return keyed.select("doc_id", "line", "t1", "t2", F.array_distinct(F.array_compact(chosen)).alias("prefix"))
 
 
-def _checked(side: DataFrame) -> DataFrame:
-    """Broadcast a side of few rows, counted first; a larger one is left to a shuffle."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
-
 def token_sets(docs: DataFrame, wanted: DataFrame, classes: Column, words: int) -> DataFrame:
     """(doc_id, line, tokens): all tokens of the wanted lines, rarest first."""
     per = materialize(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
-    some = common.documents(docs).join(_checked(per), "doc_id")
+    some = common.documents(docs).join(common.checked(per), "doc_id")
     each = some.select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(
         F.array_contains("wanted", F.col("line"))).select("doc_id", "line", split(F.col("text")).alias("w"))
     tokens = F.transform(_keys(classes, _starts("w", words)), lambda k, i: _token(k, "w", i + 1, words))
@@ -233,7 +226,7 @@ def remove_lines(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     gone = per_document(docs, words, threshold).select(F.col("doc_id").alias("gone_id"), "removed")
     # one struct, so that no column of the input can clash with a name used here
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(_checked(materialize(gone)), F.col("row.doc_id") == F.col("gone_id"), "left")
+    joined = rows.join(common.checked(materialize(gone)), F.col("row.doc_id") == F.col("gone_id"), "left")
     left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     changed = {"text": left}
     if "n_chars" in docs.columns:

@@ -242,5 +242,4 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of one document of each component, the one with the smallest id."""
-    kept = near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return common.without(docs, near_duplicates(docs, words, radius).filter("doc_id <> component_id"))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spreadlake.llm import linededup
+from spreadlake.llm import common, linededup
 
 
 def tokens(line, words):
@@ -51,7 +51,7 @@ def test_equals_all_pairs(docs):
 
 
 def test_large_sides_are_shuffled(docs, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = made(4)
     assert run(docs(rows)) == brute(rows)
 

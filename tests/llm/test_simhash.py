@@ -42,7 +42,13 @@ def close(prints, radius=3):
 def test_forest_connects_what_all_pairs_connect(n):
     rng = random.Random(n)
     centre = [rng.getrandbits(64) for _ in range(3)]
-    prints = sorted({rng.choice(centre) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for _ in range(n)} & set(range(1 << 64)))
+    prints = set()
+    for _ in range(n):
+        near = rng.choice(centre)
+        for _ in range(rng.randrange(4)):
+            near ^= 1 << rng.randrange(64)
+        prints.add(near)
+    prints = sorted(prints)
     pairs = simhash.forest(np.array(prints, dtype=np.uint64), 3)
     named = dict(enumerate(prints))
     assert len(pairs) < max(1, len(prints))
