@@ -34,6 +34,8 @@ SAMPLE_ROWS = 64
 SAMPLE_BYTES = 32 << 10
 PIECE = 256
 UNKNOWN = "und"
+# Text parsed at once by a task; places of all its pieces are held several times over.
+SLICE_BYTES = 1 << 20
 
 PREDICTIONS = "doc_id long, lang_pred string, score double"
 
@@ -159,7 +161,7 @@ def _predict(samples):
     schema = common.schema_of(PREDICTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.tables_of(batches):
+        for batch in common.tables_of(batches, limit=SLICE_BYTES):
             langs, score = _languages(samples, batch)
             yield common.rows(schema, batch.column("doc_id"), langs.tolist(), score)
 
@@ -168,7 +170,7 @@ def _predict(samples):
 
 def _known(samples):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.tables_of(batches):
+        for batch in common.tables_of(batches, limit=SLICE_BYTES):
             yield batch.filter(pa.array(_languages(samples, batch)[0] != UNKNOWN))
 
     return run
