@@ -44,20 +44,23 @@ PRINTS = "doc_id long, fp long"
 EDGES = "a long, b long"
 
 
-def fingerprint(text: str | None, words: int) -> int:
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order and as often as they come."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        stop = np.cumsum(size + 1) - 1
-        start = stop - size
-        digest, seed = xxhash.xxh64_intdigest, SEED
-        hashes = np.array([digest(joined[a:b], seed) for a, b in
-                           zip(start[: len(tokens) - words + 1].tolist(), stop[words - 1:].tolist(), strict=True)], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    stop = np.cumsum(size + 1) - 1
+    start = stop - size
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return np.array([digest(joined[a:b], seed) for a, b in
+                     zip(start[: len(tokens) - words + 1].tolist(), stop[words - 1:].tolist(), strict=True)], dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         part = np.ascontiguousarray(hashes[at:at + 4096]).view(np.uint8).reshape(-1, 8)
@@ -66,6 +69,10 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(bits.view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    return _majority(shingles(text, words))
+
+
 def _fingerprints(words: int):
     schema = common.schema_of(PRINTS)
 
