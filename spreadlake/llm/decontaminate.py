@@ -11,7 +11,8 @@ item where it has fewer), at least `share` of the words against each other agree
 
 The benchmark is hashed in blocks of bounded size. The hashes of one block are sent to
 all tasks, which join them to the hashes of their texts; further blocks are further
-passes over the texts.
+passes over the texts. What a block finds is written, and its hashes are released,
+before the next block is fetched.
 
 Words are compared in lower case, without what is not a letter or digit at their ends.
 
@@ -33,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from spreadlake.llm import common, words
+from spreadlake.session import new_shared_path
 
 # Kept positions of each mask.
 SEEDS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
@@ -160,19 +162,29 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield held, texts
 
 
+def _write_leaks(docs: DataFrame, index: Index, path: str) -> None:
+    """Append what the items of one block find to the table; no task and no plan needs
+    the block after this."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    try:
+        docs.mapInArrow(_leaks(sent), LEAKS).write.mode("append").parquet(path)
+    finally:
+        sent.destroy()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, start, words, agreed): the best window of each text and item
     that leaks; `start` counts compared words of the text."""
     docs = common.documents(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = None
+    path, blocks = new_shared_path(spark, "table"), 0
     for held, texts in _blocks(items.filter(F.col("item_id").isNotNull())):
-        index = spark.sparkContext.broadcast(Index(held, texts, share, window))
-        part = docs.mapInArrow(_leaks(index), LEAKS)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        _write_leaks(docs, Index(held, texts, share, window), path)
+        blocks += 1
+    if not blocks:
         return spark.createDataFrame([], LEAKS)
+    found = spark.read.schema(LEAKS).parquet(path)
     best = F.max(F.struct("agreed", (-F.col("start")).alias("back"), "words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.words", "best.agreed")

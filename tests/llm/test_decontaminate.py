@@ -69,3 +69,24 @@ def test_odd_rows(ready, docs, odd):
     assert got == [(7, 3), (11, 4)]
     assert D.leaks(docs(odd), bench.limit(0)).collect() == []
     assert D.leaks(docs(odd).limit(0), bench).collect() == []
+
+
+def test_blocks_are_written_and_released_one_by_one(ready, docs, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 30)
+    items = [(i, " ".join(f"b{i}x{k}" for k in range(20))) for i in range(8)]
+    log = []
+    context = ready.sparkContext
+    make = context.broadcast
+
+    def logged(value):
+        log.append("sent")
+        kept = make(value)
+        destroy = kept.destroy
+        kept.destroy = lambda: (log.append("released"), destroy())
+        return kept
+
+    monkeypatch.setattr(context, "broadcast", logged)
+    out = D.leaks(docs([(i, t) for i, t in items] + [(99, "none of them")]), ready.createDataFrame(items, BENCH))
+    assert log == ["sent", "released"] * 8
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(i, i) for i, _ in items]
