@@ -10,7 +10,10 @@ ends the search. Branches whose unavoidable waste cannot beat the incumbent are
 A best-fit-decreasing filling is the first incumbent, and a filling is used as often
 as the numbers allow, so the search runs once for each kind of filling. If the whole
 needs more sequences than a lower bound, best-fit decreasing over all lengths is
-compared and the better one kept.
+compared, and the better one is the incumbent of a search over whole plans: it goes
+back over the undominated fillings of each longest piece and how often each is used.
+That search is exact unless it ends at PLAN_NODES; then the incumbent stays, which may
+be above the optimum.
 
 The plan says, for each length, which run of its pieces goes to which filling. Pieces
 are numbered within their length in parallel, by counts of each partition, and looked
@@ -40,6 +43,8 @@ SIZE = 1024
 END = 2
 # Fillings looked at in one search for the best completion.
 NODES = 20_000
+# Steps of the search over whole plans, those that list fillings included.
+PLAN_NODES = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -218,6 +223,83 @@ def complete(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
     return best
 
 
+def _fillings(left: dict[int, int], room: int) -> Iterator[list[tuple[int, int]] | None]:
+    """Every maximal filling of `room` with the pieces left, longest first: one to which
+    no piece left can be added. A filling that is not maximal is dominated by one that is.
+    Each step on the way is a None, to be counted."""
+    lengths = sorted((n for n, k in left.items() if k and 0 < n <= room), reverse=True)
+    stack = [(0, room, ())]
+    while stack:
+        yield None
+        at, rest, chosen = stack.pop()
+        while at < len(lengths) and lengths[at] > rest:
+            at += 1
+        if at == len(lengths):
+            used = dict(chosen)
+            if all(n > rest or used.get(n, 0) == left[n] for n in lengths):
+                yield list(chosen)
+            continue
+        n = lengths[at]
+        for times in range(min(left[n], rest // n) + 1):
+            stack.append((at + 1, rest - times * n, (*chosen, (n, times)) if times else chosen))
+
+
+def _improved(counts: np.ndarray, size: int, best: list) -> list:
+    """A plan of fewer sequences than `best`, or `best`. Sequences are filled in the order
+    of their longest piece; a plan stands for all orders of its sequences."""
+    total = int((np.arange(len(counts)) * counts).sum())
+    fewest = sum(t for _, t in best)
+    bound = -(-total // size)
+    start = {int(n): int(counts[n]) for n in np.flatnonzero(counts)}
+    looked = 0
+
+    def branches(left: dict[int, int], held: int, used: int):
+        nonlocal looked
+        n = max(left)
+        left[n] -= 1
+        found = []
+        for rest in _fillings(left, size - n):
+            looked += 1
+            if looked >= PLAN_NODES:
+                break
+            if rest is not None:
+                uses = {n: 1}
+                for k, times in rest:
+                    uses[k] = uses.get(k, 0) + times
+                found.append((sum(k * t for k, t in uses.items()), uses))
+        left[n] += 1
+        # the fullest first, and each as often as it goes first
+        for full, uses in sorted(found, key=lambda f: -f[0]):
+            for often in range(min(left[k] // t for k, t in uses.items()), 0, -1):
+                rest = {k: c - often * uses.get(k, 0) for k, c in left.items()}
+                yield {k: c for k, c in rest.items() if c}, held - often * full, used + often, (uses, often)
+
+    steps = [branches(start, total, 0)]
+    path: list = []
+    seen: dict = {}
+    while steps and fewest > bound and looked < PLAN_NODES:
+        step = next(steps[-1], None)
+        if step is None:
+            steps.pop()
+            if path:
+                path.pop()
+            continue
+        looked += 1
+        left, held, used, taken = step
+        if used + -(-held // size) >= fewest:
+            continue
+        if not left:
+            fewest, best = used, [(sorted(u.items(), reverse=True), t) for u, t in [*path, taken]]
+            continue
+        key = tuple(left.items())
+        if seen.get(key, fewest) <= used:
+            continue
+        seen[key] = used
+        path.append(taken)
+        steps.append(branches(left, held, used))
+    return best
+
+
 def plan(counts: np.ndarray, size: int = SIZE, search: bool = True) -> list[tuple[list[tuple[int, int]], int]]:
     """Fillings and how often each is used, for counts[n] pieces of each length n."""
     left = np.array(counts, dtype=np.int64)
@@ -240,7 +322,8 @@ def plan(counts: np.ndarray, size: int = SIZE, search: bool = True) -> list[tupl
     if search and sum(t for _, t in out) > -(-int((np.arange(len(counts)) * counts).sum()) // size):
         other = plan(counts, size, search=False)
         if sum(t for _, t in other) < sum(t for _, t in out):
-            return other
+            out = other
+        out = _improved(np.array(counts, dtype=np.int64), size, out)
     return out
 
 

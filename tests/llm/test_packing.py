@@ -99,3 +99,25 @@ def test_odd_rows(docs, odd, encoder):
     got = packing.pack(docs(odd), PATH).collect()
     check(encoder, [(i, t) for i, t in odd if i is not None], got, 1024)
     assert packing.pack(docs(odd).limit(0), PATH).collect() == []
+
+
+@pytest.mark.parametrize(("size", "lengths", "sequences"), [
+    (50, [2, 13, 21, 14] * 4, 4),
+])
+def test_plans_go_back_over_fillings_of_earlier_sequences(size, lengths, sequences):
+    made = packing.plan(np.bincount(lengths, minlength=size + 1), size)
+    assert sum(t for _, t in made) == sequences
+    used = np.zeros(size + 1, dtype=int)
+    for parts, often in made:
+        assert sum(n * k for n, k in parts) <= size
+        for n, k in parts:
+            used[n] += k * often
+    assert used.tolist() == np.bincount(lengths, minlength=size + 1).tolist()
+
+
+def test_a_plan_search_that_ends_early_keeps_every_piece(monkeypatch):
+    monkeypatch.setattr(packing, "PLAN_NODES", 10)
+    counts = np.bincount([2, 13, 21, 14] * 4, minlength=51)
+    made = packing.plan(counts, 50)
+    assert sum(t for _, t in made) <= sum(t for _, t in packing.plan(counts, 50, search=False))
+    assert sum(n * k * t for parts, t in made for n, k in parts) == 200
