@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import decontaminate, langid, linededup, packing, ppm, preferences, secrets, simhash, substring, topk
+from spreadlake.llm import decontaminate, langid, linededup, manifest_queries, packing, ppm, preferences, secrets, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,3 +241,6 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(spans)
 
     return pairs.select("pair_id", "n_common", "prompt", "chosen", written("chosen_spans"), "rejected", written("rejected_spans"))
+
+
+query("op11_merkle_manifest", manifest_queries.SQL)(manifest_queries.op11)
