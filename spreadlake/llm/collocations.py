@@ -45,7 +45,7 @@ SCALE = 2_000_000
 
 # Bits of the filter sent to the tasks: 8 MiB, whatever the corpus.
 FILTER_BITS, FILTER_PARTS = 1 << 26, 256
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 COUNTS = "lang string, phrase string, n long"
 INSIDE, SPACE, BREAK = 0, 1, 2
@@ -75,30 +75,49 @@ class Pieces:
         inside = kind == INSIDE
         fresh = np.zeros(len(data) + 1, bool)  # where a text begins
         fresh[first] = True
-        starts = inside.copy()
-        starts[1:] &= ~inside[:-1] | fresh[1:-1]
-        at = np.flatnonzero(starts)
-        size = np.bincount(np.cumsum(starts)[inside] - 1, minlength=len(at))
+        fresh[len(data)] = True
+        # a word goes on where two bytes of one text both stand in a word
+        on = inside[:-1] & inside[1:] & ~fresh[1:-1]
+        edge = np.zeros(1, bool)
+        at = np.flatnonzero(inside & ~np.concatenate([edge[:len(data)], on]))
+        stop = np.flatnonzero(inside & ~np.concatenate([on, edge[:len(data)]])) + 1
         flat = pa.LargeStringArray.from_buffers(
-            len(at), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data[inside]))
+            len(at), pa.py_buffer(np.concatenate([[0], np.cumsum(stop - at)])), pa.py_buffer(data[inside]))
         spelled = flat.dictionary_encode()
         self.spelling = spelled.dictionary
         langs = pc.fill_null(lang, "und").dictionary_encode()
         self.langs = langs.dictionary
-        doc = np.searchsorted(first, at, side="right") - 1
-        self.lang = langs.indices.to_numpy()[doc].astype(np.int64)
-        self.word = spelled.indices.to_numpy().astype(np.int64)
-        breaks = np.cumsum(kind == BREAK)[at]
+        begin = np.searchsorted(at, first)
+        self.lang = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(np.append(begin, len(at))))
+        self.word = spelled.indices.to_numpy()
+        breaks = np.cumsum(kind == BREAK, dtype=np.int32)[at]
         self.joined = np.zeros(len(at), bool)
-        self.joined[1:] = (doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1])
+        self.joined[1:] = breaks[1:] == breaks[:-1]
+        self.joined[begin[begin < len(at)]] = False
 
     def hashes(self) -> np.ndarray:
-        each = words.word_hashes(self.spelling.cast(pa.string()))
-        return each[self.word]
+        return word_hashes(self.spelling)[self.word]
 
     def marks(self) -> np.ndarray:
         """A hash of each word's language."""
-        return words.word_hashes(self.langs, seed=1)[self.lang]
+        return lang_hashes(self.langs)[self.lang]
+
+
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, as a sum over its bytes. Words that share one only make
+    the filter let through more than it could."""
+    flat = flat.cast(pa.large_binary())
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    size = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)
+    each = words.mixed((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+    return total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]
+
+
+def lang_hashes(langs: pa.Array) -> np.ndarray:
+    return words.mixed(word_hashes(langs))
 
 
 def _places(hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +149,13 @@ def _windows(found: Pieces, length: int, bits: np.ndarray | None) -> np.ndarray:
 def _slice_counts(found: Pieces, length: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(start of one occurrence, count) of each distinct window of a slice."""
     starts = _windows(found, length, bits)
-    code = found.lang[starts]
-    first, count = np.arange(len(starts)), np.ones(len(starts), np.int64)
-    for k in range(length):
-        # number the windows so far, one more word each time
-        _, first, code, count = np.unique(
-            code * len(found.spelling) + found.word[starts + k], return_index=True, return_inverse=True, return_counts=True)
+    size = np.int64(len(found.spelling))
+    code = found.lang[starts] * size + found.word[starts]
+    for k in range(1, length):
+        if k > 1:  # numbered again, so that one more word still fits
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * size + found.word[starts + k]
+    _, first, count = np.unique(code, return_index=True, return_counts=True)
     return starts[first], count
 
 
@@ -171,8 +191,8 @@ def _marker():
                 continue
             lists = pc.split_pattern(batch.column("phrase"), " ")
             length = pc.list_value_length(lists)[0].as_py()
-            hashes = words.sequence_hashes(words.word_hashes(lists.flatten()), length)
-            marks = words.word_hashes(batch.column("lang"), seed=1)
+            hashes = words.sequence_hashes(word_hashes(lists.flatten()), length)
+            marks = lang_hashes(batch.column("lang"))
             for place in _places(hashes[::length], marks):
                 yield common.rows(schema, place >> 6, (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))
 
