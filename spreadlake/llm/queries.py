@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import collocation_queries, decontaminate, langid, linededup, manifest_queries, packing, ppm, preferences, secrets, simhash, substring, topk
+from spreadlake.llm import collocation_queries, decontaminate, langid, linededup, manifest_queries, packing, personal_queries, ppm, preferences, secrets, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,3 +245,4 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("op11_merkle_manifest", manifest_queries.SQL)(manifest_queries.op11)
 query("op13_collocations", collocation_queries.SQL)(collocation_queries.op13)
+query("op12_personal_data")(personal_queries.op12)
