@@ -7,6 +7,8 @@ joins against an index with one row per key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import style, text
@@ -21,6 +23,10 @@ LOOKUP = ["style_code", "brand", "name"]
 # Titles up to this many distinct tokens are verified without a second join.
 INLINE_TOKENS = 40
 
+# Longs in the bit map of a token set, and holders of a token that share a join key.
+MAP_WORDS = 2
+SPLIT_HOLDERS = 2_000
+
 
 def _product(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(c) for c in PRODUCT])
@@ -89,27 +95,66 @@ def match_codes(need: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def match_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
+def token_map(tokens: Column) -> Column:
+    """MAP_WORDS longs in which every token sets one bit."""
+    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(64 * MAP_WORDS)))
+
+    def word(k: int) -> Column:
+        own = F.filter(places, lambda p: F.floor(p / 64) == k)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda bits, p: bits.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(p, F.lit(64)).cast("int"))))
+
+    return F.struct(*[word(k).alias(f"m{k}") for k in range(MAP_WORDS)])
+
+
+def surely_missing(want: str, got: str) -> Column:
+    """At least so many tokens of one map are not among those of another: each bit that is
+    set in the first alone stands for one or more of them."""
+    return reduce(
+        lambda a, b: a + b,
+        [F.bit_count(F.col(f"{want}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{got}.m{k}")))) for k in range(MAP_WORDS)])
+
+
+def spread_postings(postings: DataFrame, probes: DataFrame, holders: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
+    """Add `part` to both sides of a join by (fuzzy_brand, token): the postings of a token
+    with many holders are dealt out over as many parts as it takes to have some `split` in
+    each, and a probe is repeated for each part. There are at most postings / `split` such
+    tokens."""
+    hot = holders.filter(F.col("holders") > split).select(
+        "fuzzy_brand", "token", F.ceil(F.col("holders") / split).cast("int").alias("_parts"))
+    keys = ["fuzzy_brand", "token"]
+    dealt = lookup_join(postings, hot, keys).withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("at"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    repeated = lookup_join(probes, hot, keys).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    # a number of its own: the join makes far more rows than it reads, so partitions must not
+    # be merged for being small
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, *keys, "part"), repeated
+
+
+def match_names(names: DataFrame, catalog: DataFrame, split: int = SPLIT_HOLDERS) -> DataFrame:
     """Fuzzy match of (brand, name): the catalog brand is the first word of the
     retail brand and the title covers at least 60 % of the name's tokens; the
     first such product in catalog order.
 
     A title that covers m of n tokens must hold one of any n - m + 1 of them, so
-    only the rarest n - m + 1 tokens of a name are joined with the catalog and
-    the candidates are then verified on the whole token sets. Equal names, and
-    catalog products with equal brand and tokens, are handled once.
+    only the rarest n - m + 1 tokens of a name are joined with the catalog. Bit maps
+    of the token sets tell at once of most pairs that too many tokens differ; only the
+    others are verified on the whole sets. Postings of a token that many titles of a brand
+    hold are dealt over several join keys. Equal names, and catalog products with equal
+    brand and tokens, are handled once.
     """
     # both sides are used several times, and cutting text into words is the
     # dear part, so each is written once
-    split = evaluated_once(
+    split_names = evaluated_once(
         names.withColumn("fuzzy_brand", text.brand_key(F.col("brand"))), "want",
         F.array_sort(text.tokens(F.col("name"))),
     )
-    wanted = materialize(split.filter(F.col("fuzzy_brand").isNotNull() & (F.size("want") > 0)))
+    wanted = materialize(split_names.filter(F.col("fuzzy_brand").isNotNull() & (F.size("want") > 0)))
     # m / n >= 0.6 for whole numbers: m is 3n/5 rounded up
-    sets = wanted.select("fuzzy_brand", "want").distinct().withColumn(
-        "at_least", F.floor((F.size("want") * 3 + 4) / 5).cast("int")
-    )
+    sets = wanted.select("fuzzy_brand", "want").distinct().withColumns({
+        "at_least": F.floor((F.size("want") * 3 + 4) / 5).cast("int"), "want_map": token_map(F.col("want"))})
     worded = evaluated_once(
         catalog.withColumn("fuzzy_brand", F.lower(F.coalesce(F.col("brand"), F.lit("")))), "got",
         F.array_sort(text.tokens(F.coalesce(F.col("title"), F.lit("")))),
@@ -117,47 +162,58 @@ def match_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     have = materialize(
         worded.groupBy("fuzzy_brand", "got")
         .agg(F.min(F.struct("ordinal", "product_id")).alias("at"), _first().alias("hit"))
+        .withColumn("got_map", token_map(F.col("got")))
     )
     n_got = F.size("got")
-    postings = have.select("fuzzy_brand", "at", "got", "hit", n_got.alias("n_got"), F.explode("got").alias("token"))
-    spread = postings.groupBy("fuzzy_brand", "token").agg(F.count(F.lit(1)).alias("holders"))
+    # a short title travels with its postings and is verified on the spot; a long
+    # text would be copied once per word, so it is fetched again for its candidates
+    postings = have.select(
+        "fuzzy_brand", "at", F.when(n_got <= INLINE_TOKENS, F.col("got")).alias("got"), n_got.alias("n_got"), "got_map",
+        F.explode("got").alias("token"))
+    holders = have.select("fuzzy_brand", F.explode("got").alias("token")).groupBy("fuzzy_brand", "token").agg(
+        F.count(F.lit(1)).alias("holders"))
     scored = lookup_join(
-        sets.select("fuzzy_brand", "want", "at_least", F.explode("want").alias("token")),
-        spread, ["fuzzy_brand", "token"],
+        sets.select("fuzzy_brand", "want", "want_map", "at_least", F.explode("want").alias("token")),
+        holders, ["fuzzy_brand", "token"],
     )
+    by = F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("n"), "token"))).alias("by")
     rarest = (
-        scored.groupBy("fuzzy_brand", "want", "at_least")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("n"), "token"))).alias("by"))
+        scored.groupBy("fuzzy_brand", "want", "want_map", "at_least").agg(by)
         .select(
-            "fuzzy_brand", "want", "at_least",
+            "fuzzy_brand", "want", "want_map", "at_least",
             F.explode(F.slice("by", F.lit(1), F.size("want") - F.col("at_least") + 1)).alias("p"),
         )
         .filter(F.col("p.n") > 0)
-        .select("fuzzy_brand", "want", "at_least", F.col("p.token").alias("token"))
+        .select("fuzzy_brand", "want", "want_map", "at_least", F.col("p.token").alias("token"))
     )
+    dealt, probes = spread_postings(postings, rarest, holders, split)
+    near = (F.col("n_got") >= F.col("at_least")) & (
+        surely_missing("want_map", "got_map") <= F.size("want") - F.col("at_least"))
     covers = F.size(F.array_intersect("want", "got")) >= F.col("at_least")
-    long_enough = F.col("n_got") >= F.col("at_least")
-    # a short title travels with its postings and is verified on the spot; a long
-    # text would be copied once per word, so it is fetched again for its candidates
-    short = rarest.join(
-        postings.filter(F.col("n_got") <= INLINE_TOKENS), ["fuzzy_brand", "token"]
-    ).filter(long_enough & covers).select("fuzzy_brand", "want", "at", "hit")
-    long = (
-        rarest.join(
-            postings.filter(F.col("n_got") > INLINE_TOKENS).drop("got", "hit"), ["fuzzy_brand", "token"]
-        )
-        .filter(long_enough).select("fuzzy_brand", "want", "at_least", "at").distinct()
-        .join(have.filter(n_got > INLINE_TOKENS), ["fuzzy_brand", "at"])
-        .filter(covers).select("fuzzy_brand", "want", "at", "hit")
+    candidates = probes.join(dealt, ["fuzzy_brand", "token", "part"]).filter(near & (F.col("got").isNull() | covers))
+    found = (
+        candidates.groupBy("fuzzy_brand", "want", "at_least")
+        .agg(F.min(F.when(F.col("got").isNotNull(), F.col("at"))).alias("at"))
     )
-    verified = short.unionByName(long)
-    best = verified.groupBy("fuzzy_brand", "want").agg(F.min_by("hit", "at").alias("hit"))
+    if _any_long(have):
+        long = (
+            candidates.filter("got IS NULL").select("fuzzy_brand", "want", "at_least", "at").distinct()
+            .join(have.filter(n_got > INLINE_TOKENS).select("fuzzy_brand", "at", "got"), ["fuzzy_brand", "at"])
+            .filter(covers).groupBy("fuzzy_brand", "want", "at_least").agg(F.min("at").alias("at"))
+        )
+        found = found.unionByName(long).groupBy("fuzzy_brand", "want", "at_least").agg(F.min("at").alias("at"))
+    best = found.filter(F.col("at").isNotNull()).join(have.select("fuzzy_brand", "at", "hit"), ["fuzzy_brand", "at"])
     return (
-        wanted.join(best, ["fuzzy_brand", "want"])
+        wanted.join(best.select("fuzzy_brand", "want", "hit"), ["fuzzy_brand", "want"])
         .drop("fuzzy_brand", "want")
     )
 
 
+def _any_long(have: DataFrame) -> bool:
+    """Whether a catalog text is too long to be verified on the spot."""
+    return not have.filter(F.size("got") > INLINE_TOKENS).select("at").isEmpty()
+
+
 def resolve(listing: DataFrame, catalog: DataFrame, fuzzy: bool = True, need: DataFrame | None = None) -> DataFrame:
     """The full cascade: one row per lookup, `found` false when nothing fits."""
     # the distinct lookups and their exact answers each feed two branches

@@ -68,7 +68,7 @@ def test_fuzzy_equals_brute_force(spark, inline, monkeypatch):
     brands = ["Nike", "nike", "Adidas"]
     catalog = [(f"p{i}", None, t, brands[i % 3]) for i, t in enumerate(titles)]
     asked = [(b, n) for n in names for b in ("Nike Sportswear", "ADIDAS")]
-    got = resolve.match_names(spark.createDataFrame(asked, "brand string, name string"), _catalog(spark, catalog))
+    got = resolve.match_names(spark.createDataFrame(asked, "brand string, name string"), _catalog(spark, catalog), split=3 + inline)
     want = {}
     for b, n in asked:
         w = _tokens(n)
@@ -78,6 +78,34 @@ def test_fuzzy_equals_brute_force(spark, inline, monkeypatch):
     assert {(r.brand, r.name): r.hit.product_id for r in got.collect()} == want
 
 
+def test_a_token_that_most_titles_hold_is_dealt_over_all_tasks(spark):
+    postings = spark.range(6000).selectExpr(
+        "'b' AS fuzzy_brand", "CASE WHEN id % 10 < 9 THEN 'common' ELSE concat('t', id) END AS token", "struct(id AS ordinal, 'p' AS product_id) AS at")
+    holders = postings.groupBy("fuzzy_brand", "token").agg(F.count(F.lit(1)).alias("holders"))
+    probes = spark.createDataFrame([("b", "common"), ("b", "t9")], "fuzzy_brand string, token string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        dealt, repeated = resolve.spread_postings(postings, probes, holders, 100)
+        per_task = [r[1] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        joined = repeated.join(dealt, ["fuzzy_brand", "token", "part"])
+        assert len(per_task) == 8 and max(per_task) < 2 * 6000 / 8
+        assert {r["part"]: r["count"] for r in dealt.filter("token = 'common'").groupBy("part").count().collect()}.keys() == set(range(54))
+        assert joined.groupBy("token").count().orderBy("token").collect() == [("common", 5400), ("t9", 1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_maps_never_say_that_a_shared_token_is_missing(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(rnd.sample(words, rnd.randint(0, 12)), rnd.sample(words, rnd.randint(0, 200))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select(
+        "a", "b", resolve.token_map(F.col("a")).alias("am"), resolve.token_map(F.col("b")).alias("bm"))
+    got = df.select("a", "b", resolve.surely_missing("am", "bm").alias("n")).collect()
+    assert all(r.n <= len(set(r.a) - set(r.b)) for r in got) and any(r.n > 3 for r in got)
+
+
 def test_cap_reduces_a_cache_to_one_row_per_key(spark):
     resolved = resolve.resolve(
         _listing(spark, [("75192", "LEGO", "a"), ("75192", "Pokemon", "b")]), _catalog(spark, [("falcon", "", "LEGO 75192", "LEGO")])
