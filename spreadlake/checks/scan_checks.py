@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from dataclasses import replace
+
 from pyspark.sql import Window, functions as F
 
 from spreadlake.checks import views as v
@@ -10,6 +13,8 @@ from spreadlake.operators import opportunity
 from spreadlake.plans import jobs
 from spreadlake.plans.scan import ScanInputs, ScanResult, scan
 from spreadlake.session import materialize, new_shared_path
+from spreadlake.sources.landed import stream_table
+from spreadlake.streaming.shops import Shop, Supervisor, scan_step
 
 CODE = "concat(replace(p_brand, '#', ''), '-', lpad(p_partkey, 7, '0'))"
 
@@ -112,3 +117,42 @@ def stored_scan(spark, sf):
     jobs.record_alerts(store, delivered.withColumn("payload", F.col("text")), v.now())
     jobs.scan_job(store, given, v.config(), v.now(), scan_id="two")
     return store.log("alert_outbox", jobs.OUTBOX).select("scan_id", "key", "url", "gate_profit")
+
+
+@query("shop_scans_stream", _SIZED + """
+    , f AS (SELECT * FROM opp QUALIFY row_number() OVER (PARTITION BY key ORDER BY discount_rank DESC, ordinal, size_label) = 1),
+    one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY retailer ORDER BY discount_rank DESC, ordinal, size_label, key) <= 20)
+    SELECT CASE WHEN CAST(substr(retailer, 5) AS INTEGER) % 2 = 0 THEN 'even-0' ELSE 'odd-0' END AS scan_id, key, url, gate_profit FROM one
+""", ("offer_costed", "market"))
+def shop_scans_stream(spark, sf):
+    """Scans of two streams of shops over one store. One of them fails at first, after its
+    alerts were stored, and is started again; the other goes on."""
+    store = jobs.Store(spark, new_shared_path(spark, "shops"))
+    given, turn = inputs(spark, sf), threading.Lock()
+    prepared = replace(given, catalog=materialize(given.catalog))
+    broken = {"odd"}
+
+    def step(name):
+        scan_batch = scan_step(store, prepared, v.config(), name, v.now(), turn)
+
+        def run(batch, batch_id):
+            scan_batch(batch, batch_id)
+            if name in broken:
+                broken.discard(name)
+                raise RuntimeError("a shop that fails once")
+
+        return run
+
+    shops = {}
+    for name, rest in (("even", 0), ("odd", 1)):
+        folder = f"{store.root}/landed/{name}"
+        own = given.listing.filter(F.substring("retailer", 5, 9).cast("int") % 2 == rest)
+        own.write.parquet(folder)
+        shops[name] = Shop(stream_table(spark, folder, own.schema), step(name))
+    watched = Supervisor(spark, shops, store.root, first=0.1).start()
+    try:
+        if not watched.await_end(1800):
+            raise RuntimeError(f"scans that do not end: {watched.errors}")
+    finally:
+        watched.stop()
+    return store.log("alert_outbox", jobs.OUTBOX).select("scan_id", "key", "url", "gate_profit")

@@ -6,12 +6,14 @@ carry over between runs."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from spreadlake.checks import views as v
 from spreadlake.checks.registry import query
 from spreadlake.sources.landed import stream_table
-from spreadlake.streaming import alerts, budget, cadence, changes, position_watch
+from spreadlake.streaming import alerts, budget, cadence, changes, position_watch, timed
 from spreadlake.session import empty_table
 from spreadlake.streaming.batches import BatchOutput, StateLog, append_to_files, run_to_end, scratch
 
@@ -231,3 +233,107 @@ def refresh_due_stream(spark, sf):
     out = _run(rows, cadence.INPUT, "fetched_at", make)
     last = out.agg(F.max("as_of").alias("as_of"))
     return out.join(F.broadcast(last), "as_of", "left_semi").select("product_id", "n_variants", "n_fresh")
+
+
+def _run_timed(rows: DataFrame, schema: str, make_stream) -> DataFrame:
+    """The parts of the input one after the other on one checkpoint, by file sink."""
+    spark = rows.sparkSession
+    out, checkpoint = scratch(spark, "timed")
+    folder = f"{out}-input"
+    for part in _parts(rows, "at", CUTS):
+        part.write.mode("append").parquet(folder)
+        stream = make_stream(stream_table(spark, folder, schema))
+        timed.start(stream, out, checkpoint).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("miss_expiry_timers", """
+    WITH e AS (SELECT 'k' || user_id AS cache_key, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next_ts,
+                 (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed FROM events)
+    SELECT cache_key, epoch_us(ts) AS tried_us, epoch_us(ts + INTERVAL 2 DAYS) AS due_us FROM e
+    WHERE CASE WHEN next_ts IS NULL THEN ts + INTERVAL 2 DAYS <= closed ELSE next_ts > ts + INTERVAL 2 DAYS END
+""")
+def miss_expiry_timers(spark, sf):
+    """Codes fall due two days after they were last tried, also those not seen again."""
+    rows = v.events(spark, sf).selectExpr("concat('k', user_id) AS cache_key", "ts AS at")
+    out = _run_timed(rows, timed.MISSES, lambda stream: timed.expired_misses(stream, 2))
+    return out.select("cache_key", F.unix_micros("tried_at").alias("tried_us"), F.unix_micros("due_at").alias("due_us"))
+
+
+# Limits in minutes under which products of the test tables come and go.
+_TIERS = {"refresh_minutes_hot": 2 * 1440, "refresh_minutes_warm": 4 * 1440, "refresh_minutes_cold": 8 * 1440}
+
+
+@query("cadence_timers", f"""
+    WITH v AS (SELECT DISTINCT user_id % 50 AS p, user_id AS x FROM events),
+    w AS (SELECT DISTINCT p, CASE p % 4 WHEN 0 THEN {_TIERS['refresh_minutes_hot']} WHEN 1 THEN {_TIERS['refresh_minutes_cold']}
+            WHEN 2 THEN {_TIERS['refresh_minutes_warm']} ELSE {_TIERS['refresh_minutes_hot']} END AS ttl FROM v),
+    q AS (SELECT user_id % 50 AS p, user_id AS x, ts FROM events WHERE event_type <> 'error'),
+    t AS (SELECT p, ts, lead(ts) OVER (PARTITION BY p ORDER BY ts) AS next_ts FROM q),
+    a AS (SELECT t.p, t.ts, any_value(t.next_ts) AS next_ts, v.x, max(q.ts) AS seen
+          FROM t JOIN v ON t.p = v.p LEFT JOIN q ON q.p = v.p AND q.x = v.x AND q.ts <= t.ts GROUP BY t.p, t.ts, v.x),
+    m AS (SELECT p, ts, any_value(next_ts) AS next_ts, CASE WHEN count(seen) = count(*) THEN min(seen) END AS oldest FROM a GROUP BY p, ts),
+    d AS (SELECT m.p, m.ts, next_ts, oldest + to_minutes(ttl) AS due, ttl FROM m JOIN w USING (p)),
+    told AS (
+      SELECT p, due, ttl FROM d WHERE due >= ts AND CASE WHEN next_ts IS NULL THEN due <= (SELECT max(ts) FROM events WHERE event_type <> 'error') - INTERVAL 1 HOUR ELSE next_ts > due END
+      UNION ALL
+      SELECT p, TIMESTAMP '2023-12-31 00:00:00', {_TIERS['refresh_minutes_hot']} FROM w)
+    SELECT 'p' || p AS product_id, epoch_us(due) AS due_us, CAST(ttl AS INTEGER) AS ttl_minutes FROM told
+""")
+def cadence_timers(spark, sf):
+    """When each product falls due: first of all, as no variant has a quote, then whenever its
+    oldest quote passes the limit of its tier. Products are profitable, without a bid, near
+    the floor, or without a watch row."""
+    config = v.config()
+    config = replace(config, venue=replace(config.venue, **_TIERS))
+    named = v.events(spark, sf).selectExpr(
+        "concat('p', user_id % 50) AS product_id", "ts AS at", f"{cadence.QUOTE} AS kind", "concat('v', user_id) AS variant_id",
+        "cast(NULL AS double) AS best_profit", "user_id % 50 AS p", "event_type")
+    start = "timestamp'2023-12-31 00:00:00' AS at"
+    variants = named.selectExpr("product_id", start, f"{cadence.VARIANT} AS kind", "variant_id", "best_profit").distinct()
+    watch = named.filter("p % 4 < 3").selectExpr(
+        "product_id", start, f"{cadence.WATCH} AS kind", "cast(NULL AS string) AS variant_id",
+        f"CASE p % 4 WHEN 0 THEN {config.filters.min_profit + 1}D WHEN 2 THEN {config.filters.min_profit - config.venue.near_miss / 2}D END AS best_profit").distinct()
+    quotes = named.filter("event_type <> 'error'").drop("p", "event_type")
+    rows = variants.unionByName(watch).unionByName(quotes)
+    out = _run_timed(rows, cadence.LINES, lambda stream: timed.due_products(stream, config))
+    return out.select("product_id", F.unix_micros("due_at").alias("due_us"), "ttl_minutes")
+
+
+# Every fourth report is not delivered.
+_SENT = "event_id % 4 <> 0"
+
+
+@query("position_receipts_stream", f"""
+    WITH RECURSIVE c AS (
+      SELECT user_id, ts, CASE WHEN event_type IN ('purchase', 'click', 'view') THEN value END AS bid, {_SENT} AS sent, {PART} AS part
+      FROM events WHERE user_id % 3 = 0 AND (user_id % 2 = 0 OR ts < TIMESTAMP '2024-01-15')),
+    n AS (SELECT *, {v.profit_sql('bid', '40.0::DOUBLE')} AS profit, row_number() OVER (PARTITION BY user_id ORDER BY part, ts) AS rn FROM c),
+    s AS (
+      SELECT user_id, rn, ts, bid, CAST(NULL AS DOUBLE) AS last_bid, 'baseline' AS event, bid AS kept, profit AS kept_profit FROM n WHERE rn = 1
+      UNION ALL
+      SELECT user_id, rn, ts, bid, last_bid, event,
+        CASE WHEN event = 'none' OR sent THEN bid ELSE kept END, CASE WHEN event = 'none' OR sent THEN profit ELSE kept_profit END
+      FROM (SELECT n.*, s.kept, s.kept_profit, s.kept AS last_bid,
+              CASE WHEN n.bid IS NULL AND s.kept IS NOT NULL THEN 'bid_gone' WHEN n.bid IS NOT NULL AND s.kept IS NULL THEN 'bid_back'
+                WHEN abs(n.bid - s.kept) >= 25 THEN 'bid_moved'
+                WHEN n.bid IS NOT NULL AND coalesce(n.profit, -1) < 0 AND s.kept_profit >= 0 THEN 'underwater' ELSE 'none' END AS event
+            FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)),
+    ended AS (SELECT user_id, kept FROM s WHERE user_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)
+    SELECT 'v' || user_id AS variant_id, epoch_us(ts) AS at_us, last_bid, bid, event FROM s WHERE event NOT IN ('baseline', 'none')
+    UNION ALL
+    SELECT 'v' || user_id, epoch_us(TIMESTAMP '2024-01-15'), kept, NULL, 'watch_ended' FROM ended
+""")
+def position_receipts_stream(spark, sf):
+    """Bid transitions whose state waits for receipts, some of which never come; checks that
+    arrive a part late; and the ends of watches, told by a timer."""
+    checks = v.events(spark, sf).selectExpr(
+        "concat('v', user_id) AS variant_id", "ts AS at", f"{position_watch.CHECK} AS kind",
+        "CASE WHEN event_type IN ('purchase', 'click', 'view') THEN value END AS bid", f"{LATE} AS late", f"{_SENT} AS sent")
+    receipts = checks.filter("sent").withColumns({"kind": F.lit(position_watch.RECEIPT), "bid": F.lit(None).cast("double")})
+    rows = checks.unionByName(receipts).drop("sent")
+    positions = v.table(spark, sf, "events").filter("user_id % 3 = 0").select("user_id").distinct().selectExpr(
+        "concat('v', user_id) AS variant_id", "40.0D AS paid", "25.0D AS move",
+        "CASE WHEN user_id % 2 = 1 THEN timestamp'2024-01-15 00:00:00' END AS until")
+    out = _run_timed(rows, position_watch.LINES, lambda stream: timed.watched_positions(stream, positions, v.config(), "11 days"))
+    return out.select("variant_id", F.unix_micros("at").alias("at_us"), "last_bid", "bid", "event")
