@@ -95,11 +95,13 @@ def alert_record(spark, sf):
     WITH o AS (SELECT retailer, url, c.product_id, variant_id, l_orderkey, l_linenumber, part_id, ordinal, c.size_label,
                       {v.profit_sql('highest_bid', 'landed_cost')} AS g {_OPP})
     SELECT retailer || '|' || product_id || '|unverified' AS key, url, count(*) AS sizes, max(g) AS best FROM o WHERE part_id % 2 = 0 GROUP BY ALL
+    UNION ALL
+    SELECT retailer || '|' || variant_id || '|' || size_label, url, count(*) OVER (PARTITION BY url), g FROM o WHERE part_id % 2 = 1
 """, ("costed", "market"))
 def unverified_collapse(spark, sf):
-    """One product-level opportunity per listing whose sizes are unverified."""
-    rows = opportunities(spark, sf).filter("part_id % 2 = 0").withColumns(
-        {"size_stock_unverified": F.lit(True), "score": F.col("gate_profit"), "size_pos": F.col("ordinal")}
+    """One product-level opportunity per listing whose sizes are unverified; the others stay."""
+    rows = opportunities(spark, sf).withColumns(
+        {"size_stock_unverified": F.col("part_id") % 2 == 0, "score": F.col("gate_profit"), "size_pos": F.col("ordinal")}
     )
     sizes = rows.groupBy("url").agg(F.count(F.lit(1)).alias("sizes"))
     return opportunity.collapse_unverified(rows).join(sizes, "url").select(
@@ -140,7 +142,7 @@ def confirm_pages(spark, sf):
     WITH a AS (
       SELECT retailer, url, part_id, variant_id, o.price, o.landed_cost, highest_bid, num_bids, on_sale, o.discount_pct, o.sale_discount_pct, extra_cost_eur,
              CASE WHEN part_id % 2 = 0 THEN '42' ELSE '43' END AS label
-      FROM offer_costed o JOIN market m ON o.product_id = m.product_id AND m.size = '42'
+      FROM offer_costed o JOIN market m ON o.product_id = m.product_id
       WHERE part_id % 3 <> 0 AND num_bids >= 1 AND {v.profit_sql('highest_bid', 'landed_cost')} >= 0),
     p AS (SELECT *, price * CASE part_id % 7 WHEN 1 THEN 1.2 WHEN 2 THEN 0.9 ELSE 1.0 END::DOUBLE AS page_price,
              part_id % 5 = 0 OR (part_id % 13 <> 0 AND (label <> '42' OR part_id % 11 = 0)) AS gone FROM a),
@@ -151,7 +153,7 @@ def confirm_pages(spark, sf):
 def alert_recheck(spark, sf):
     """Alerts against the newest page read: still good, gone, or too dear now."""
     c = v.config()
-    m = v.market(spark, sf).filter("size = '42'").drop("fetched_at", "size")
+    m = v.market(spark, sf).drop("fetched_at", "size")
     label = F.expr("CASE WHEN part_id % 2 = 0 THEN '42' ELSE '43' END")
     rows = costed_offers(spark, sf).withColumn("size_label", label).withColumn("price_verified", F.lit(False))
     made = opportunity.build(rows.join(m, "product_id"), c).withColumn(
@@ -168,10 +170,10 @@ def alert_recheck(spark, sf):
 @query("preferred_sibling", """
     WITH sib AS (SELECT style_code, min_by(price, url) AS price, min(url) AS url, min_by(in_stock, url) AS s, min_by(part_id, url) AS part_id
                  FROM offer WHERE retailer = 'shop5' AND style_code IS NOT NULL GROUP BY style_code)
-    SELECT o.url, CASE WHEN s.s THEN 'BUY HERE FIRST → shop5 €' || printf('%.2f', floor(s.price * 100 + 0.5) / 100) || ' (' ||
-        CASE WHEN o.part_id % 4 = 0 THEN 'in stock' WHEN s.part_id % 3 = 0 THEN 'size availability unknown — check'
-             WHEN o.part_id % 4 = 1 THEN 'HAS EU 42' ELSE 'sizes: 42, 43' END
-        || '): ' || s.url END AS note
+    SELECT o.url, CASE WHEN s.s THEN 'shop5 sells it too, at ' || printf('%.2f', floor(s.price * 100 + 0.5) / 100) || ' EUR, ' ||
+        CASE WHEN o.part_id % 4 = 0 THEN 'in stock' WHEN s.part_id % 3 = 0 THEN 'stock of sizes not stated'
+             WHEN o.part_id % 4 = 1 THEN 'also in 42' ELSE 'but in 42, 43' END
+        || ' - ' || s.url END AS note
     FROM offer o LEFT JOIN sib s USING (style_code) WHERE o.retailer = 'shop6'
 """, ("offer",))
 def preferred_sibling(spark, sf):
@@ -194,16 +196,33 @@ def preferred_sibling(spark, sf):
     return out.select("url", F.col("prefer_note").alias("note"))
 
 
+def _cents(x: str) -> str:
+    return f"printf('%.2f', floor(({x}) * 100 + 0.5) / 100)"
+
+
+_SOLD, _ASKED = v.payout_sql("value"), v.payout_sql("(value + 20)")
+_SECOND = "0.876::DOUBLE"
+
+
 @query("alert_text", f"""
-    SELECT event_id,
-      CASE WHEN {v.profit_sql('value', '30.0::DOUBLE')} > 0 THEN '⚡ SELL NOW Shoe' ELSE '📈 Shoe' END || CASE WHEN event_id % 2 = 0 THEN '' ELSE '  [restock]' END AS header,
-      'AB-' || user_id || CASE event_id % 3 WHEN 0 THEN ' · one variant, no size · sneakers · Marketplace authenticates these SEALED'
-        WHEN 1 THEN ' · best-bid candidate: EU 42 / US ? — ⚠ IN-STOCK STATUS UNKNOWN, verify size on page' ELSE ' · size EU 42 / US ?' END AS size_line,
-      CASE WHEN event_id % 4 = 0 THEN 11 ELSE 10 END AS lines
-    FROM events
+    WITH t AS (SELECT event_id, user_id, value, event_id % 3 AS kind, {_SOLD} - 30.0::DOUBLE AS now_, {_ASKED} - 30.0::DOUBLE AS later,
+                 CASE WHEN value > 0 THEN {_SOLD} END AS paid FROM events)
+    SELECT event_id, concat_ws(chr(10),
+      'Shoe: ' || CASE WHEN value > 0 AND now_ > 0 THEN 'pays at the current bid' ELSE 'may pay if listed' END || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' (restock)' END,
+      'Code AB-' || user_id || CASE kind WHEN 0 THEN ', no sizes, sneakers; Marketplace takes it sealed only'
+        WHEN 1 THEN ', size 42 EU (? US) by its bid - the shop does not say whether it has it' ELSE ', size 42 EU (? US)' END,
+      'Price at shop1: 30.00 EUR',
+      CASE WHEN event_id % 4 = 0 THEN 'Buying: forwarded' END,
+      CASE WHEN value > 0 THEN 'At the bid: ' || {_cents('value')} || ' EUR, ' || {_cents(_SOLD)} || ' paid out, ' || {_cents('now_')} || ' gained' ELSE 'At the bid: nobody bids' END,
+      'At the ask: ' || {_cents('value + 20')} || ' EUR, ' || {_cents(_ASKED)} || ' paid out, ' || {_cents('later')} || ' gained',
+      'Market: bid ' || {_cents('value')} || ', ask ' || {_cents('value + 20')},
+      'Match 1.00' || CASE kind WHEN 0 THEN '' ELSE ', size by chart' END || ', score ' || {_cents(v.round_sql("(now_ * CASE WHEN now_ > 0 THEN 2.0 ELSE 1.0 END::DOUBLE)", 100))},
+      'Shop page: https://s/x', 'Marketplace page: https://marketplace.example/slug',
+      'Second venue is better from ' || {_cents(f'(coalesce(paid, {_ASKED}) + 5.0::DOUBLE + 7.0::DOUBLE) / {_SECOND}')} || ' EUR: https://second-venue.example/search?query=AB-' || user_id) AS text
+    FROM t WHERE value > 0
 """)
 def alert_text(spark, sf):
-    """Header, size line and number of lines of every message."""
+    """Every line of every message."""
     c = v.config()
     rows = v.events(spark, sf).selectExpr(
         "event_id", "concat('v', user_id) AS variant_id", "'shop1' AS retailer", "'https://s/x' AS url", "30.0D AS landed_cost",
@@ -217,37 +236,34 @@ def alert_text(spark, sf):
         "1.0D AS confidence", "'size chart' AS size_match_method", "'slug' AS url_key", "'S-1' AS style_id", "'p1' AS product_id",
     )
     low = replace(c, filters=replace(c.filters, min_profit=-1e9, min_bids=0))
-    lines = F.split(alerts.alert_text(c), "\n")
-    return opportunity.build(rows, low).select(
-        "event_id", lines[0].alias("header"), lines[1].alias("size_line"), F.size(lines).cast("bigint").alias("lines")
-    )
+    return opportunity.build(rows, low).select("event_id", alerts.alert_text(c).alias("text"))
 
 
 @query("live_report", f"""
-    WITH a AS (SELECT url, retailer, part_id, m.variant_id, m.highest_bid AS bid, CASE WHEN part_id % 6 = 0 THEN NULL ELSE '42' END AS label,
+    WITH a AS (SELECT url, retailer, part_id, m.variant_id, m.highest_bid AS bid, CASE WHEN part_id % 6 = 0 THEN NULL ELSE m.size END AS label,
                       o.discount_pct, o.sale_discount_pct, o.extra_cost_eur, o.on_sale, price, in_stock
-               FROM offer_costed o JOIN market m ON o.product_id = m.product_id AND m.size = '42'),
+               FROM offer_costed o JOIN market m ON o.product_id = m.product_id),
     c AS (SELECT *, CASE WHEN on_sale THEN price * (1 - discount_pct) * (1 - sale_discount_pct) ELSE price * (1 - discount_pct) END + extra_cost_eur AS cost FROM a)
-    SELECT url, CASE WHEN NOT in_stock OR part_id % 9 = 0 THEN 'out of stock' WHEN bid IS NULL THEN 'no live bid'
+    SELECT url, variant_id, CASE WHEN NOT in_stock OR part_id % 9 = 0 THEN 'out of stock' WHEN bid IS NULL THEN 'no live bid'
              WHEN {v.profit_sql('bid', 'cost')} < 0 THEN 'below floor' ELSE 'live' END AS status,
-           CASE WHEN label IS NULL THEN 'no size (single variant)' WHEN part_id % 9 = 0 OR part_id % 4 = 0 THEN 'size stock UNKNOWN'
-                WHEN part_id % 4 = 1 THEN 'size in stock' ELSE 'SIZE NOT IN STOCK' END AS size_flag,
+           CASE WHEN label IS NULL THEN 'no size (single variant)' WHEN part_id % 9 = 0 OR (part_id % 4 = 0 AND label = '42') THEN 'size stock UNKNOWN'
+                WHEN (part_id % 4 = 1 AND label = '42') OR (part_id % 4 = 3 AND label = '43') THEN 'size in stock' ELSE 'SIZE NOT IN STOCK' END AS size_flag,
            CASE WHEN part_id % 9 <> 0 THEN {v.profit_sql('bid', 'cost')} END AS live_profit
     FROM c
 """, ("offer_costed", "market"))
 def live_report(spark, sf):
     """Every recorded alert re-priced on the current listing and bid."""
-    return _verified(spark, sf).select("url", "status", "size_flag", "live_profit")
+    return _verified(spark, sf).select("url", "variant_id", "status", "size_flag", "live_profit")
 
 
 def _verified(spark, sf):
     c = v.config()
     m = v.market(spark, sf)
     recorded = costed_offers(spark, sf).join(
-        m.filter("size = '42'").select("product_id", "variant_id"), "product_id"
+        m.select("product_id", "variant_id", "size"), "product_id"
     ).selectExpr(
-        "retailer", "url", "variant_id", "CASE WHEN part_id % 6 = 0 THEN NULL ELSE '42' END AS size_label",
-        "discount_pct", "sale_discount_pct", "extra_cost_eur", "on_sale", "concat(retailer, '|', url) AS key",
+        "retailer", "url", "variant_id", "CASE WHEN part_id % 6 = 0 THEN NULL ELSE size END AS size_label",
+        "discount_pct", "sale_discount_pct", "extra_cost_eur", "on_sale", "concat(retailer, '|', url, '|', variant_id) AS key",
     )
     current = v.offer(spark, sf).filter("part_id % 9 <> 0").selectExpr(
         "retailer", "url", "price", "in_stock",
@@ -259,13 +275,13 @@ def _verified(spark, sf):
 
 
 @query("live_report_top", f"""
-    WITH c AS (SELECT o.url, retailer || '|' || o.url AS key, in_stock, part_id, landed_cost AS cost, m.highest_bid AS bid
-               FROM offer_costed o JOIN market m ON o.product_id = m.product_id AND m.size = '42')
-    SELECT url, {v.profit_sql('bid', 'cost')} AS live_profit FROM c
+    WITH c AS (SELECT o.url, variant_id, retailer || '|' || o.url || '|' || variant_id AS key, in_stock, part_id, landed_cost AS cost, m.highest_bid AS bid
+               FROM offer_costed o JOIN market m ON o.product_id = m.product_id)
+    SELECT url, variant_id, {v.profit_sql('bid', 'cost')} AS live_profit FROM c
     WHERE in_stock AND part_id % 9 <> 0 AND {v.profit_sql('bid', 'cost')} >= 0 ORDER BY live_profit DESC, key LIMIT 25
 """, ("offer_costed", "market"))
 def live_report_top(spark, sf):
-    return report.live(_verified(spark, sf), 25).select("url", "live_profit")
+    return report.live(_verified(spark, sf), 25).select("url", "variant_id", "live_profit")
 
 
 @query("bid_transitions", f"""

@@ -247,19 +247,21 @@ def fuzzy_name_match(spark, sf):
     WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
           lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'shoes', 'shoe', 'sneakers', 'retro'))) AS want FROM benchmark),
     d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
-          lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'shoes', 'shoe', 'sneakers', 'retro'))) AS got FROM documents WHERE lang = 'en')
-    SELECT item_id, min(doc_id) AS doc_id FROM w JOIN d ON len(want) > 0 AND len(list_intersect(want, got)) / len(want) >= 0.6 GROUP BY item_id
+          lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'shoes', 'shoe', 'sneakers', 'retro'))) AS got, lang FROM documents)
+    SELECT item_id, lang, min(doc_id) AS doc_id FROM w JOIN d ON len(want) > 0 AND len(list_intersect(want, got)) / len(want) >= 0.6 GROUP BY item_id, lang
 """)
 def fuzzy_match_texts(spark, sf):
-    """First document that covers 60 % of a benchmark text's words."""
-    items = v.table(spark, sf, "benchmark").select("item_id", F.lit("en").alias("brand"), F.col("text").alias("name"))
+    """First document of each language that covers 60 % of a benchmark text's words."""
+    langs = v.table(spark, sf, "documents").agg(F.collect_set("lang").alias("langs")).first()["langs"]
+    items = v.table(spark, sf, "benchmark").select(
+        "item_id", F.explode(F.array(*map(F.lit, sorted(langs)))).alias("brand"), F.col("text").alias("name"))
     docs = v.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("product_id"), F.lit(None).cast("string").alias("style_id"),
         F.col("text").alias("title"), F.col("lang").alias("brand"), F.lit(None).cast("string").alias("url_key"),
         F.col("doc_id").alias("ordinal"),
     )
     hits = resolve.match_names(items, docs)
-    return hits.select("item_id", F.col("hit.product_id").cast("bigint").alias("doc_id"))
+    return hits.select("item_id", F.col("brand").alias("lang"), F.col("hit.product_id").cast("bigint").alias("doc_id"))
 
 
 def _cache(spark, sf):
@@ -507,13 +509,13 @@ def size_conflicts(spark, sf):
 
 
 @query("sizeless_products", """
-    WITH x AS (SELECT user_id, 'p' || (user_id % 40) AS product_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id < 60 OR user_id % 40 > 25)
+    WITH x AS (SELECT user_id, CASE WHEN user_id < 60 OR user_id % 40 > 25 THEN 'p' || (user_id % 40) ELSE 'q' || user_id END AS product_id FROM (SELECT DISTINCT user_id FROM events))
     SELECT product_id, 'v' || min(user_id) AS only_variant FROM x GROUP BY product_id HAVING count(*) = 1 AND min(user_id) % 2 = 0
 """)
 def sizeless_products(spark, sf):
-    users = v.table(spark, sf, "events").select("user_id").distinct().filter("user_id < 60 OR user_id % 40 > 25")
+    users = v.table(spark, sf, "events").select("user_id").distinct()
     rows = users.selectExpr(
-        "concat('p', user_id % 40) AS product_id", "concat('v', user_id) AS variant_id",
+        "CASE WHEN user_id < 60 OR user_id % 40 > 25 THEN concat('p', user_id % 40) ELSE concat('q', user_id) END AS product_id", "concat('v', user_id) AS variant_id",
         "CASE WHEN user_id % 2 = 1 THEN '42' WHEN user_id % 4 = 0 THEN '  ' END AS size",
     )
     return sizes.sizeless_products(rows)

@@ -338,7 +338,7 @@ def option_index_join(spark, sf):
                  CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS n, p_partkey % 4 IN (0, 2) AS unresolved FROM part)
     SELECT 'https://shop1.example/p/item-' || p_partkey AS url, p_size + 0.5::DOUBLE AS price, p_partkey % 2 = 1 AS on_sale,
            p_size % 2 = 0 AND n > 0 AND (held > 0 OR unresolved) AS in_stock, unresolved AS size_stock_unverified,
-           held || '/' || n || CASE WHEN unresolved THEN ' sizes in stock — size-level stock could not be resolved for this product, CHECK the page' ELSE ' sizes in stock (per-size verified)' END AS stock_note
+           held || ' of ' || n || CASE WHEN unresolved THEN ' sizes known to be there, the rest not told apart' ELSE ' sizes there, each read' END AS stock_note
     FROM d
 """)
 def option_detail(spark, sf):
@@ -449,7 +449,7 @@ def rotation_advance(spark, sf):
 
 @query("fresh_union_rotation", """
     WITH f AS (SELECT 'shop' || (p_partkey % 7) AS retailer, p_partkey || '-item' AS slug, 0 AS part, p_partkey AS place FROM part WHERE p_size < 10),
-    r AS (SELECT 'shop' || (p_partkey % 7) AS retailer, p_partkey || '-item' AS slug, 1 AS part, p_partkey // 2 AS place FROM part WHERE p_size < 20 AND p_type <> 'PROMO'),
+    r AS (SELECT 'shop' || (p_partkey % 7) AS retailer, p_partkey || '-item' AS slug, 1 AS part, p_partkey // 2 AS place FROM part WHERE p_type <> 'PROMO'),
     u AS (SELECT * FROM f UNION ALL SELECT * FROM r)
     SELECT retailer, slug, min(part) AS part, min_by(place, part) AS place FROM u GROUP BY retailer, slug
 """)
@@ -459,7 +459,7 @@ def fresh_union_rotation(spark, sf):
     base = v.part(spark, sf).selectExpr("concat('shop', p_partkey % 7) AS retailer", "concat(p_partkey, '-item') AS slug", "p_partkey", "p_size", "p_type")
     fresh = base.filter("p_size < 10").withColumn("pos", F.col("p_partkey"))
     rotation = sitemap.without(
-        base.filter("p_size < 20"), base.filter("p_type = 'PROMO'")
+        base, base.filter("p_type = 'PROMO'")
     ).withColumn("turn", F.expr("p_partkey div 2"))
     return sitemap.fresh_then_rotation(fresh, rotation)
 

@@ -54,6 +54,11 @@ def cents(x: Column) -> Column:
     return F.round(x * F.lit(100.0)).cast("bigint")
 
 
+def cents(amount: Column) -> Column:
+    """To whole cents, half up, for messages."""
+    return F.floor(amount * 100 + 0.5) / 100
+
+
 def landed_cost(price: Column, discount: Column, sale_discount: Column, on_sale: Column, extra: Column) -> Column:
     """Price less the standing discount, less the sale discount on marked-down
     items only, plus forwarding cost."""

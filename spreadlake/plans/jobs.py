@@ -107,7 +107,9 @@ def put_listings(store: Store, seen: DataFrame, now: Column) -> int:
     """Listing upsert: what a scan saw, with the time each listing was first seen."""
     table = store.listing
     names = [c for c in table.read().columns if c not in ("first_seen", "last_seen")]
-    rows = seen.select(*names).dropDuplicates(["retailer", "url"]).withColumns({"first_seen": now, "last_seen": now})
+    place = [c for c in ("ordinal",) if c in seen.columns]
+    first = state.first_per_key(seen.select(*dict.fromkeys([*names, *place])), ["retailer", "url"], [*place, "price"])
+    rows = first.select(*names).withColumns({"first_seen": now, "last_seen": now})
     return table.replace(state.merge_listings(table.read(), rows))
 
 

@@ -57,13 +57,15 @@ def step(state: StateLog, output: BatchOutput, positions: DataFrame, config: Eng
             "variant_id", "at", "bid", "paid", "move", F.lit(True).alias("_anchor")
         )
         line = owned.select("variant_id", "at", "bid", "paid", "move", F.lit(False).alias("_anchor")).unionByName(anchors)
-        judged = watch.transitions(line, order or [F.col("at"), F.xxhash64("bid")], config)
+        # what was known before the batch comes first, so that a late check is judged against it
+        placed = [F.when(F.col("_anchor"), 0).otherwise(1), *(order or [F.col("at"), F.xxhash64("bid")])]
+        judged = watch.transitions(line, placed, config)
         reported = judged.filter(~F.col("_anchor") & ~F.col("event").isin(watch.NONE, watch.BASELINE))
         output.put(batch_id, reported.select("variant_id", "at", "last_bid", "bid", "event"))
         state.put(
             batch_id,
             judged.groupBy("variant_id").agg(
-                F.max_by(F.struct("at", "bid"), F.struct(F.col("at"), F.xxhash64("bid"))).alias("s")
+                F.max_by(F.struct("at", "bid"), F.struct(*placed)).alias("s")
             ).select("variant_id", "s.at", "s.bid"),
         )
 

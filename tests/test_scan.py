@@ -41,8 +41,8 @@ def test_unconfirmed_region_goes_to_review(result):
 
 def test_alert_text_and_stats(result):
     texts = {r["key"]: r["text"] for r in result.alerts.collect()}
-    assert "size EU 42 / US 8.5" in texts["alpha|v-aj1-8.5|42"]
-    assert "one variant, no size" in texts["boxes|v-falcon"] and "SEALED" in texts["boxes|v-falcon"]
+    assert "size 42 EU (8.5 US)" in texts["alpha|v-aj1-8.5|42"]
+    assert "no sizes" in texts["boxes|v-falcon"] and "sealed only" in texts["boxes|v-falcon"]
     stats = {r["retailer"]: r for r in result.stats.collect()}
     assert stats["alpha"]["candidates"] == 2 and stats["alpha"]["opportunities"] == 1
     assert stats["volts"]["opportunities"] == 0

@@ -106,11 +106,11 @@ def _alert_row(spark, **values):
 
 def test_alert_wording(spark):
     plain = _alert_row(spark)
-    assert "size EU 42 / US 8.5" in plain and "UNKNOWN" not in plain and "[new]" not in plain
-    assert "Sell now: sale €150 → payout €122.00 → profit €+22.00 (+22%)" in plain
+    assert "size 42 EU (8.5 US)" in plain and "does not say" not in plain and "(new)" not in plain
+    assert "At the bid: 150.00 EUR, 122.00 paid out, 22.00 gained" in plain
     unsure = _alert_row(spark, size_stock_unverified=True, reason="restock")
-    assert "IN-STOCK STATUS UNKNOWN" in unsure and "best-bid candidate" in unsure and "[restock]" in unsure
+    assert "by its bid - the shop does not say" in unsure and "(restock)" in unsure
     boxed = _alert_row(spark, size_label=None, us_size=None, title="PS5 (US Plug)")
-    assert "one variant, no size" in boxed and "SEALED" in boxed and "US Plug" in boxed and "size EU" not in boxed and "None" not in boxed
+    assert "no sizes" in boxed and "sealed only" in boxed and "US Plug" in boxed and "size 42" not in boxed and "None" not in boxed
     costed = _alert_row(spark, discount_pct=0.1, extra_cost_eur=13.0, price_verified=False, buy_note="forwarded")
-    assert "−10% +€13.00 ship = €100.00 to you (grid price, verify)" in costed and "📦 forwarded" in costed
+    assert "100.00 EUR, 10% off, forwarding 13.00, in all 100.00, as listed, page not read" in costed and "Buying: forwarded" in costed
