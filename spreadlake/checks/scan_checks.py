@@ -53,7 +53,7 @@ def inputs(spark, sf) -> ScanInputs:
 
 
 def run(spark, sf) -> ScanResult:
-    return scan(inputs(spark, sf), v.config(), v.now())
+    return scan(inputs(spark, sf), v.config(), v.now(), backfill=True)
 
 
 _SIZED = f"""
@@ -108,14 +108,16 @@ def scan_statistics(spark, sf):
     SELECT 'one' AS scan_id, key, url, gate_profit FROM one UNION ALL SELECT 'two', key, url, gate_profit FROM two
 """, ("offer_costed", "market"))
 def stored_scan(spark, sf):
-    """The outbox after two stored scans, with every second alert of the first delivered."""
+    """The outbox after two stored scans, with every second alert of the first delivered. The
+    second one is run twice, and must leave what it left at first."""
     store = jobs.Store(spark, new_shared_path(spark, "store"))
     given = inputs(spark, sf)
-    first = jobs.scan_job(store, given, v.config(), v.now(), scan_id="one")
+    first = jobs.scan_job(store, given, v.config(), v.now(), scan_id="one", backfill=True)
     turn = Window.partitionBy("retailer").orderBy(*opportunity.report_order(first.alerts))
     delivered = first.alerts.withColumn("rn", F.row_number().over(turn)).filter("rn % 2 = 0")
     jobs.record_alerts(store, delivered.withColumn("payload", F.col("text")), v.now())
-    jobs.scan_job(store, given, v.config(), v.now(), scan_id="two")
+    for _ in range(2):
+        jobs.scan_job(store, given, v.config(), v.now(), scan_id="two", backfill=True)
     return store.log("alert_outbox", jobs.OUTBOX).select("scan_id", "key", "url", "gate_profit")
 
 
@@ -133,7 +135,7 @@ def shop_scans_stream(spark, sf):
     broken = {"odd"}
 
     def step(name):
-        scan_batch = scan_step(store, prepared, v.config(), name, v.now(), turn)
+        scan_batch = scan_step(store, prepared, v.config(), name, v.now(), turn, backfill=True)
 
         def run(batch, batch_id):
             scan_batch(batch, batch_id)

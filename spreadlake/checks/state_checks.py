@@ -43,9 +43,9 @@ def listing_merge(spark, sf):
     """Upsert of listings that keeps the first sighting, through two versions."""
     new, old = snapshots(spark, sf)
     schema = "retailer string, url string, price double, in_stock boolean, name string, style_code string, first_seen timestamp, last_seen timestamp"
-    table = store(spark).table("listing", schema)
+    table = store(spark).table("listing", schema, "retailer", "url")
     table.replace(old)
-    table.replace(state.merge_listings(table.read(), new))
+    table.put(new, state.merge_listings)
     return table.read().select(
         "retailer", "url", "price", "in_stock", F.unix_micros("first_seen").alias("first_us"),
         F.unix_micros("last_seen").alias("last_us"),

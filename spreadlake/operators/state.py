@@ -1,55 +1,109 @@
-"""State tables without MERGE: a new version is written, then named current.
+"""State tables without MERGE: what changes is written as a new version, then named current.
 
-A table is a folder of immutable versions plus a pointer file. A version is
-complete before the pointer names it, so a lost job leaves the old version in
-place, and a reader that planned against a version keeps reading it.
+A table is a folder of versions plus a pointer folder. Rows are dealt over buckets by a hash
+of their key, and a version holds the buckets that changed, as partitions; what is current is
+the newest version of each bucket. A version is complete before the pointer names it, so a
+lost job leaves the old state in place, and a reader that planned against a version keeps
+reading it. Buckets that have been replaced for KEEP versions are removed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spreadlake.session import empty_table
+from spreadlake.session import empty_table, materialize
+
+BUCKETS, KEEP = 16, 32
+BUCKET = "bucket"
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: str, partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by
+    """`keys` name the columns that tell rows apart; a larger table takes more `buckets`, a
+    number that must stay as it is."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...], buckets: int = BUCKETS, keep: int = KEEP):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+        self.buckets, self.keep = buckets, keep
+
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _listed(self, *parts: str) -> list[str]:
+        where = self._at(*parts)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _versions(self) -> list[int]:
+        return sorted(int(name) for name in self._listed("_current"))
 
     def version(self) -> int:
         """Number of the current version, 0 before the first."""
-        where, fs = self._pointer()
-        if not fs.exists(where):
-            return 0
-        return max(int(s.getPath().getName()) for s in fs.listStatus(where))
-
-    def read(self) -> DataFrame:
-        current = self.version()
-        if current == 0:
-            return empty_table(self.spark, self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{current}")
+        return max(self._versions(), default=0)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _newest(self, upto: int) -> dict[int, int]:
+        """The version that holds each bucket; there are as many version folders as buckets,
+        and those kept, at most."""
+        out: dict[int, int] = {}
+        committed = {v for v in self._versions() if v <= upto}
+        folders = {int(name[1:]) for name in self._listed() if name.startswith("v")}
+        for v in sorted(committed & folders):
+            for name in self._listed(f"v{v}"):
+                if name.startswith(f"{BUCKET}="):
+                    out[int(name.partition("=")[2])] = v
+        return out
+
+    def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """The rows as of a version, of some buckets only if so asked."""
+        newest = self._newest(self.version() if version is None else version)
+        paths = [f"{self.path}/v{v}/{BUCKET}={b}" for b, v in sorted(newest.items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else empty_table(self.spark, self.schema)
 
     def replace(self, rows: DataFrame) -> int:
-        """Write the next version and point to it. The pointer is an empty file
-        named after the version; creating it fails if another writer was first."""
+        """All rows anew."""
+        return self._write(rows, list(range(self.buckets)))
+
+    def put(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """`merge(old, rows)` in place of the buckets that `rows` have a key in; no other
+        bucket is read or written."""
+        rows = materialize(rows)
+        touched = [r[0] for r in rows.select(self.bucket()).distinct().collect()]  # `buckets` at most
+        return self._write(merge(self.read(only=touched), rows), touched) if touched else self.version()
+
+    def _write(self, rows: DataFrame, touched: list[int]) -> int:
+        """Write the next version and point to it. The pointer is an empty file named after
+        the version; creating it fails if another writer was first."""
         number = self.version() + 1
         names = empty_table(self.spark, self.schema).columns
-        writer = rows.select(*names).write.mode("overwrite")
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/v{number}")
-        where, fs = self._pointer()
-        fs.mkdirs(where)
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path(where, str(number))
-        if not fs.createNewFile(mark):
+        dealt = rows.select(*names).withColumn(BUCKET, self.bucket()).hint("rebalance", BUCKET)
+        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/v{number}")
+        fs = self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for b in touched:  # a bucket without rows is an empty folder
+            fs.mkdirs(self._at(f"v{number}", f"{BUCKET}={b}"))
+        fs.mkdirs(self._at("_current"))
+        if not fs.createNewFile(self._at("_current", str(number))):
             raise RuntimeError(f"version {number} of {self.path} was written by another job")
+        self._remove_old(fs, number)
         return number
 
+    def _remove_old(self, fs, number: int) -> None:
+        """Remove what the oldest version that is kept does not show any more."""
+        oldest = number - self.keep
+        if oldest < 1:
+            return
+        newest = self._newest(oldest)
+        for v in (int(name[1:]) for name in self._listed() if name.startswith("v")):
+            if v < oldest and v not in newest.values():
+                fs.delete(self._at(f"v{v}"), True)
+            elif v < oldest:
+                for name in self._listed(f"v{v}"):
+                    if name.startswith(f"{BUCKET}=") and newest.get(int(name.partition("=")[2])) != v:
+                        fs.delete(self._at(f"v{v}", name), True)
+
 
 def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = rows.write.mode("append")
@@ -118,7 +172,3 @@ def merge_listings(old: DataFrame, new: DataFrame) -> DataFrame:
         *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names],
         F.coalesce("o.first_seen", "n.first_seen").alias("first_seen"),
     ).select(*old.columns)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

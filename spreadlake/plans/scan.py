@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.config import EngineConfig
+from spreadlake.functions.barcode import clean_gtin
 from spreadlake.operators import (
     alerts, barcodes, monitor, opportunity, quotes, resolve, review, screen, sizes, state,
 )
@@ -44,6 +45,8 @@ class ScanResult:
     watch: DataFrame
     out_of_stock: DataFrame
     stats: DataFrame
+    barcodes: DataFrame  # to be looked up, as far as the cap goes
+    seen: DataFrame  # every listing, as its page has it where that was read
 
 
 QUOTE_COLUMNS = ("lowest_ask", "highest_bid", "num_asks", "num_bids", "sales_72h", "last_sale", "fetched_at")
@@ -100,6 +103,26 @@ def _first_lookups(need: DataFrame, cands: DataFrame, cap: int) -> DataFrame:
     return need.alias("l").join(turn.alias("r"), by, "left_semi")
 
 
+def barcodes_due(asked: DataFrame, gtin_map: DataFrame, cap: int | None) -> DataFrame:
+    """(gtin, retailer) of barcodes nobody has looked up: for each shop the first `cap` in
+    scan order, one that several shops have is the first one's."""
+    place = F.struct(*[c.alias(n) for n, c in (("rank", -F.col("discount_rank")), ("ordinal", F.col("ordinal")), ("url", F.col("url")))])
+    coded = asked.select(clean_gtin(F.col("ean")).alias("gtin"), "retailer", place.alias("place")).filter("gtin IS NOT NULL")
+    once = coded.groupBy("gtin").agg(F.min(F.struct("place", "retailer")).alias("first"))
+    new = once.join(gtin_map.select("gtin"), "gtin", "left_anti").select("gtin", "first.retailer", "first.place")
+    kept = new if cap is None else top_n_per_group(new, ["retailer"], [F.col("place"), F.col("gtin")], cap)
+    return kept.select("gtin", "retailer")
+
+
+def as_read(listing: DataFrame, gated: DataFrame, detail: DataFrame) -> DataFrame:
+    """The listings, with price, stock and names of the pages that this scan read."""
+    fields = [c for c in ("name", "price", "list_price", "in_stock", "on_sale") if c in listing.columns and c in detail.columns]
+    newest = screen.newest_detail(detail).select("retailer", "url", F.struct(*fields).alias("_page"))
+    read = newest.join(gated.select("retailer", "url").distinct(), ["retailer", "url"], "left_semi")
+    out = lookup_join(listing, read, ["retailer", "url"])
+    return out.select(*[F.coalesce(F.col(f"_page.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in listing.columns])
+
+
 def affordable(sure: DataFrame, inputs: ScanInputs, config: EngineConfig, now: Column, calls: int | None) -> DataFrame:
     """Listings whose quotes may be used: fresh for every variant, or read anew
     within the call budget. A profitable-looking cached figure costs a call."""
@@ -136,10 +159,13 @@ def scan(
     inputs: ScanInputs, config: EngineConfig, now: Column,
     calls: int | None = None, resolutions: int | None = None, backfill: bool = False,
 ) -> ScanResult:
-    """Run the scan. `calls` and `resolutions` are the per-scan caps, `backfill`
-    lifts them."""
+    """Run the scan. `calls` and `resolutions` are caps for each shop's scan, those of the
+    configuration if not given; `backfill` lifts them."""
     if backfill:
         calls = resolutions = None
+    else:
+        calls = config.venue.calls_per_scan if calls is None else calls
+        resolutions = config.venue.resolutions_per_scan if resolutions is None else resolutions
     spark = inputs.listing.sparkSession
     cands = candidates(inputs, config)
     listed, new_cache = resolved_listings(cands, inputs, config, now, resolutions)
@@ -157,7 +183,9 @@ def scan(
     looked_at = materialize(affordable(scored, inputs, config, now, calls))
     watch = quotes.watch_rows(looked_at, now)
     gated = quotes.upside_gate(looked_at, config)
+    seen = inputs.listing
     if inputs.detail is not None:
+        seen = as_read(inputs.listing, gated, inputs.detail)
         confirmed = screen.confirm(gated, inputs.detail, config).drop("landed_cost", "best_upside")
         again = quotes.assess(
             confirmed.withColumn("landed_cost", screen.landed_cost_column()), inputs.quotes, config
@@ -251,8 +279,13 @@ def scan(
     noted = alerts.with_sibling(capped, inputs.policy, inputs.listing)
     fired = materialize(noted.withColumn("text", alerts.alert_text(config)))
     stats = monitor.scan_stats(inputs.listing, cands, opportunities, fired)
+    asked = whole.select("retailer", "discount_rank", "ordinal", "url", "ean").unionByName(
+        per_size.select("retailer", "discount_rank", "ordinal", "url", F.col("size_ean").alias("ean")))
+    if inputs.gtin_map is not None:
+        asked = asked.unionByName(listed.filter(F.col("product").isNull()).select(*asked.columns))
+    due_codes = barcodes_due(asked, gtin_map, None if backfill else config.venue.gtin_lookups_per_scan)
     return ScanResult(
         candidates=cands, resolution=new_cache, opportunities=opportunities, alerts=fired,
         reviews=review.union(low, whole_gtin, region, size_gtin, conflict), watch=watch,
-        out_of_stock=gone_keys, stats=stats,
+        out_of_stock=gone_keys, stats=stats, barcodes=due_codes, seen=seen,
     )

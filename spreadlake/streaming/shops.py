@@ -29,6 +29,7 @@ class Shop:
 
 def scan_step(
     store: jobs.Store, given: ScanInputs, config: EngineConfig, name: str, now: Column | None = None, turn: threading.Lock | None = None,
+    backfill: bool = False,
 ) -> Step:
     """The `foreachBatch` function of a shop: one stored scan a batch, under the shop's name
     and the batch's id, so that a batch run again replaces its own work. `turn` is shared by
@@ -41,7 +42,7 @@ def scan_step(
         with turn:
             jobs.scan_job(
                 store, replace(given, listing=materialize(batch)), config, F.current_timestamp() if now is None else now,
-                scan_id=f"{name}-{batch_id}")
+                scan_id=f"{name}-{batch_id}", backfill=backfill)
 
     return run
 

@@ -78,9 +78,12 @@ def test_stored_scan_repeats_until_delivered(spark, tmp_path):
     # the listings are stored, and running the same scan again doubles nothing
     seen = store.listing.read().count()
     assert seen == t["listing"].select("retailer", "url").distinct().count()
-    first = jobs.scan_job(store, inputs, config, now, scan_id="first")
-    assert first.alerts.count() == 2 and store.log("alert_outbox", jobs.OUTBOX).count() == 2
-    assert first.candidates.filter("forced").count() == 0 and store.listing.read().count() == seen
+    again = jobs.scan_job(store, inputs, config, now, scan_id="first")
+    assert again.alerts.count() == 2 and store.log("alert_outbox", jobs.OUTBOX).count() == 2
+    # it starts from where the first run started, so that all listings are new to it again
+    forced = first.candidates.filter("forced").count()
+    assert again.candidates.filter("forced").count() == forced > 0 and store.listing.read().count() == seen
+    assert jobs.scan_job(store, inputs, config, now, scan_id="next").candidates.filter("forced").count() == 0
     cached = {r.cache_key: (r.found, r.product_id) for r in store.resolution.read().collect()}
     assert cached["75192"] == (True, "p-falcon") and len(cached) == 4
     assert {r.product_id for r in store.watch.read().collect()} >= {"p-aj1", "p-falcon"}
@@ -95,7 +98,34 @@ def test_stored_scan_repeats_until_delivered(spark, tmp_path):
     # back again: the state remembers that it was gone
     assert [(r.key, r.reason) for r in jobs.scan_job(store, inputs, config, now).alerts.collect()] == [("boxes|v-falcon", "restock")]
     log = store.log("scan_log", "started_at timestamp, retailer string, alerts_sent bigint")
-    assert sorted(r.alerts_sent for r in log.filter("retailer = 'alpha'").collect()) == [0, 1, 1]
+    assert sorted(r.alerts_sent for r in log.filter("retailer = 'alpha'").collect()) == [0, 1, 1, 1]
+
+
+def test_caps_of_the_configuration_hold_unless_lifted(spark):
+    config = _config()
+    config = replace(config, venue=replace(config.venue, calls_per_scan=0, resolutions_per_scan=1, gtin_lookups_per_scan=1))
+    t = fixtures.tables(spark)
+    listing = t["listing"].withColumn("ean", F.concat(F.lit("4006381"), F.format_string("%06d", F.col("ordinal"))))
+    inputs = ScanInputs(
+        listing=listing, policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"], quotes=t["quotes"],
+        gtin_map=spark.createDataFrame([], "gtin string, found boolean, product_id string, variant_id string"),
+    )
+    none = scan(inputs, config, F.lit(fixtures.NOW))
+    assert none.opportunities.count() == 0 and none.resolution.count() == 3
+    per_shop = {r.retailer: r["count"] for r in none.barcodes.groupBy("retailer").count().collect()}
+    assert per_shop and set(per_shop.values()) == {1}
+    every = scan(inputs, config, F.lit(fixtures.NOW), backfill=True)
+    assert every.opportunities.count() == 2 and every.barcodes.count() >= len(per_shop)
+
+
+def test_a_page_that_was_read_is_what_is_stored(spark):
+    from spreadlake.plans.scan import as_read
+
+    listing = spark.createDataFrame([("s", "u", 10.0, True), ("s", "v", 20.0, True)], "retailer string, url string, price double, in_stock boolean")
+    pages = spark.createDataFrame(
+        [("s", "u", 11.0, False, fixtures.NOW), ("s", "v", 21.0, True, fixtures.NOW)], "retailer string, url string, price double, in_stock boolean, scraped_at timestamp")
+    got = as_read(listing, listing.filter("url = 'u'"), pages)
+    assert sorted(map(tuple, got.collect())) == [("s", "u", 11.0, False), ("s", "v", 20.0, True)]
 
 
 def test_call_budget_and_caps(spark):

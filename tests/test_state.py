@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadlake import config as cfg
-from spreadlake.operators import alerts, review
+from spreadlake.operators import alerts, review, state
 from spreadlake.operators.state import VersionedTable
 from spreadlake.plans import jobs
 
@@ -18,7 +18,7 @@ def _store(spark, tmp_path):
 
 
 def test_versions_do_not_disturb_readers(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"), "k string, n int")
+    table = VersionedTable(spark, str(tmp_path / "t"), "k string, n int", ("k",))
     assert table.read().count() == 0
     table.replace(spark.createDataFrame([("a", 1)], "k string, n int"))
     old = table.read()
@@ -27,23 +27,57 @@ def test_versions_do_not_disturb_readers(spark, tmp_path):
 
 
 def test_a_second_writer_of_one_version_fails(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"), "k string")
+    table = VersionedTable(spark, str(tmp_path / "t"), "k string", ("k",))
     table.replace(spark.createDataFrame([("a",)], "k string"))
-    late = VersionedTable(spark, str(tmp_path / "t"), "k string")
+    late = VersionedTable(spark, str(tmp_path / "t"), "k string", ("k",))
     late.version = lambda: 0
     with pytest.raises(RuntimeError):
         late.replace(spark.createDataFrame([("b",)], "k string"))
 
 
 def test_a_version_without_pointer_is_not_read(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"), "k string")
+    table = VersionedTable(spark, str(tmp_path / "t"), "k string", ("k",))
     table.replace(spark.createDataFrame([("a",)], "k string"))
-    spark.createDataFrame([("half",)], "k string").write.parquet(str(tmp_path / "t" / "v2"))
+    spark.createDataFrame([("half", 0)], "k string, bucket int").write.partitionBy("bucket").parquet(str(tmp_path / "t" / "v2"))
     assert [r.k for r in table.read().collect()] == ["a"]
     table.replace(spark.createDataFrame([("b",)], "k string"))
     assert [r.k for r in table.read().collect()] == ["b"]
 
 
+def test_a_put_reads_and_writes_the_buckets_of_its_keys(spark, tmp_path):
+    import os
+
+    table = VersionedTable(spark, str(tmp_path / "t"), "k string, n int", ("k",), buckets=8, keep=3)
+    table.replace(spark.createDataFrame([(f"k{i}", i) for i in range(200)], "k string, n int"))
+    read = []
+
+    def merge(old, new):
+        read.extend(old.inputFiles())
+        return state.keep_latest(old.withColumn("at", F.lit(0)), new.withColumn("at", F.lit(1)), ["k"], "at").drop("at")
+
+    def buckets(version):
+        return {n for n in os.listdir(tmp_path / "t" / f"v{version}") if n.startswith("bucket=")}
+
+    table.put(spark.createDataFrame([("k7", -7)], "k string, n int"), merge)
+    assert len(buckets(1)) == 8 and len(buckets(2)) == 1
+    assert read and all(f"/v1/{[*buckets(2)][0]}/" in f for f in read)
+    want = {f"k{i}": i for i in range(200)} | {"k7": -7}
+    assert {r.k: r.n for r in table.read().collect()} == want
+    assert {r.k: r.n for r in table.read(1).collect()} == want | {"k7": 7}
+    # a bucket that loses all its rows is empty, not what it was
+    for i in range(200):
+        want.pop(f"k{i}") if i % 2 else None
+    table.put(spark.createDataFrame([(f"k{i}",) for i in range(1, 200, 2)], "k string"), lambda old, gone: state.drop_keys(old, gone, ["k"]))
+    table.put(spark.createDataFrame([(f"k{i}",) for i in range(0, 200, 2)], "k string"), lambda old, gone: state.drop_keys(old, gone, ["k"]))
+    assert table.read().count() == 0 and {r.k: r.n for r in table.read(3).collect()} == want
+    # what no kept version shows goes
+    for n in range(5):
+        table.put(spark.createDataFrame([("k7", n)], "k string, n int"), merge)
+    assert [r.n for r in table.read().collect()] == [4] and table.version() == 9
+    assert {int(n[1:]) for n in os.listdir(tmp_path / "t") if n.startswith("v")} == {4, 6, 7, 8, 9}
+    assert table.put(spark.createDataFrame([], "k string, n int"), merge) == 9
+
+
 def test_review_round_trip(spark, tmp_path):
     store = _store(spark, tmp_path)
     schema = "created_at timestamp, retailer string, url string, style_code string, reason string, detail string"
@@ -65,12 +99,12 @@ def test_review_round_trip(spark, tmp_path):
 
 
 def test_alert_reasons(spark):
-    state = spark.createDataFrame([("dup", 50.0, True), ("gone", 50.0, False), ("moved", 50.0, True)], "key string, last_profit double, was_in_stock boolean")
+    known = spark.createDataFrame([("dup", 50.0, True), ("gone", 50.0, False), ("moved", 50.0, True)], "key string, last_profit double, was_in_stock boolean")
     opps = spark.createDataFrame(
         [("new", 1.0, True), ("dup", 59.99, True), ("gone", 50.0, True), ("moved", 40.0, True), ("gone", 50.0, False)],
         "key string, gate_profit double, in_stock boolean",
     )
-    got = sorted((r.key, r.reason) for r in alerts.with_reason(opps, state, 10.0).collect())
+    got = sorted((r.key, r.reason) for r in alerts.with_reason(opps, known, 10.0).collect())
     assert got == [("dup", "duplicate"), ("gone", "duplicate"), ("gone", "restock"), ("moved", "profit_change"), ("new", "new")]
 
 
