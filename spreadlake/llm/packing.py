@@ -52,9 +52,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -62,7 +60,8 @@ class Encoder:
 
     The word pattern of a byte-level BPE never joins what stands before a single
     space to what follows it. A text is cut at such spaces, and equal parts are
-    encoded once: new ones together, and told apart by the bytes of their tokens.
+    encoded once: new ones together, and told apart by the bytes of their tokens. A text that
+    holds an added token, such as a marker of the end of a text, is encoded as it is.
     """
 
     # A space at an end of the text or beside other white space.
@@ -74,6 +73,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -105,7 +105,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text)."""
-        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
         split = pc.split_pattern(plain, " ")
         per = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -21,11 +21,21 @@ def encoder():
 
 
 def plain(encoder, texts):
-    return [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PATH)
+    return [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_with_added_tokens(encoder):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endof text|>", "plain words", "a <|endoftext|><|endoftext|>"]
+    ids, count = encoder.encode(pa.array(texts, pa.string()))
+    want = plain(encoder, texts)
+    assert 50256 in want[0] and count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=" \t\n  ab1.'\u0085\x1c\x0bé€<|endoftext|>", max_size=30), min_size=1, max_size=8))
+@given(st.lists(st.lists(st.one_of(st.text(alphabet=" \t\n  ab1.'\u0085\x1c\x0bé€<|endoftext|>", max_size=8), st.just("<|endoftext|>")), max_size=5).map("".join), min_size=1, max_size=8))
 def test_cut_texts_encode_like_whole_ones(encoder, texts):
     ids, count = encoder.encode(pa.array(texts, pa.string()))
     want = plain(encoder, texts)
