@@ -27,6 +27,8 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,6 +43,8 @@ from spreadlake.session import materialize
 
 SIZE = 1024
 END = 2
+# Text encoded at once.
+SLICE_BYTES = 2 << 20
 # Fillings looked at in one search for the best completion.
 NODES = 20_000
 # Steps of the search over whole plans, those that list fillings included.
@@ -69,7 +73,7 @@ class Encoder:
     # Parts encoded in one call, and parts remembered by a worker (by 64-bit hashes, some
     # 40 bytes each).
     JOINED = 2000
-    KEPT = 2_000_000
+    KEPT = 1_000_000
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -149,12 +153,23 @@ class Encoder:
         return ids, np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
 
 
+def _give_back() -> None:
+    """Give memory that a worker has freed, now or in stages before, back to the system;
+    allocators keep it otherwise, and a worker lives on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def _pieces(path: str, size: int):
     schema = common.schema_of(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.held(("encoder", path), lambda: Encoder(path))
-        for batch in common.tables_of(batches):
+        _give_back()
+        for batch in common.tables_of(batches, limit=SLICE_BYTES):
             texts = pc.fill_null(batch.column("text"), "")
             ids, count = encoder.encode(texts)
             doc = np.repeat(np.arange(len(count)), count)
