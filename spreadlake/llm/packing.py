@@ -26,9 +26,9 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 import ctypes
 import gc
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
