@@ -163,12 +163,17 @@ def _give_back() -> None:
         trim(0)
 
 
+def _encoder(path: str) -> Encoder:
+    """An encoder in place of what the worker held before, which is given back first."""
+    _give_back()
+    return Encoder(path)
+
+
 def _pieces(path: str, size: int):
     schema = common.schema_of(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.held(("encoder", path), lambda: Encoder(path))
-        _give_back()
+        encoder = common.held(("encoder", path), lambda: _encoder(path))
         for batch in common.tables_of(batches, limit=SLICE_BYTES):
             texts = pc.fill_null(batch.column("text"), "")
             ids, count = encoder.encode(texts)
