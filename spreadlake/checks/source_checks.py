@@ -68,7 +68,7 @@ def jsonld_products(spark, sf):
         ELSE concat('{"mainEntity":{"@type":"ItemList","itemListElement":[', node, ']}}') END""")
     nested = _ld_pages(spark, sf).withColumn("shaped", shaped).withColumn("deeper", deeper).withColumn("body", F.expr(
         """concat('<script type="application/ld+json">{broken</script><script type="application/ld+json">', deeper, '</script>')"""))
-    out = jsonld.with_products(nested)
+    out = jsonld.with_products(nested.select("p_partkey", "body"))
     return out.select(
         "p_partkey", F.size("products").alias("found"),
         F.try_variant_get(F.get("products", F.lit(0)), "$.sku", "string").alias("first_sku"),
@@ -79,7 +79,7 @@ def jsonld_products(spark, sf):
 @query("jsonld_fields", _LD + "SELECT p_partkey, brand, gtin, price, in_stock FROM n")
 def jsonld_fields(spark, sf):
     node = F.get("products", F.lit(0))
-    out = jsonld.with_products(_ld_pages(spark, sf)).withColumn("node", node)
+    out = jsonld.with_products(_ld_pages(spark, sf).select("p_partkey", "body")).withColumn("node", node)
     return out.select(
         "p_partkey", jsonld.brand_of(F.col("node")).alias("brand"), jsonld.gtin_of(F.col("node")).alias("gtin"),
         jsonld.price_of(F.col("node")).alias("price"), jsonld.in_stock(F.col("node")).alias("in_stock"),

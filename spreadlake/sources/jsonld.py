@@ -71,14 +71,17 @@ def _walked(pages: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_products(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Add `products`, every Product node of the page in document order, however deep
-    it lies. Pages with nodes below the steps of a pass, and only those, go through
-    another one."""
+    """The columns of `pages` but for the body, and `products`, every Product node of the
+    page in document order, however deep it lies. Bodies are read once and never written:
+    passes work on the open nodes of a page, and only pages with nodes below the steps of
+    a pass go through another one."""
+    kept = [c for c in pages.columns if c != body]
     start = F.transform(blocks(F.col(body)), lambda v, i: _entry(F.array(i), v))
-    rest = pages.withColumn("_level0", start).withColumn("_hits", F.filter("_level0", lambda e: F.lit(False)))
+    opened = pages.select(*kept, start.alias("_level0"))
+    rest = opened.withColumn("_hits", F.filter("_level0", lambda e: F.lit(False)))
     done = []
     while True:
-        walked = materialize(_walked(rest, pages.columns))
+        walked = materialize(_walked(rest, kept))
         done.append(walked.filter(F.size("_level0") == 0))
         rest = walked.filter(F.size("_level0") > 0)
         if rest.isEmpty():
@@ -86,7 +89,7 @@ def with_products(pages: DataFrame, body: str = "body") -> DataFrame:
     hits = F.array_sort(
         "_hits", lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
     every = reduce(DataFrame.unionByName, done)
-    return every.select(*pages.columns, F.transform(hits, lambda e: e["node"]).alias("products"))
+    return every.select(*kept, F.transform(hits, lambda e: e["node"]).alias("products"))
 
 
 def with_top_product(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -251,7 +254,8 @@ SKIPPED_CATEGORY = r"(?iU)\b(books?|raamat|literature|magazine|stationery)\b"
 
 
 def _first_product(pages: DataFrame) -> DataFrame:
-    return with_products(pages).withColumn("node", F.get("products", F.lit(0))).filter(F.col("node").isNotNull())
+    read = pages.select("retailer", "url", "fetched_at", "body")
+    return with_products(read).select("*", F.get("products", F.lit(0)).alias("node")).filter(F.col("node").isNotNull())
 
 
 def _page_url() -> Column:

@@ -49,6 +49,25 @@ def test_products_below_one_pass_are_found(page, depth):
     assert sorted([json.loads(str(v.toJson()))["name"] for v in r.products] for r in rows) == [[], ["first", "second", "last"]]
 
 
+@pytest.mark.parametrize("depth", [1, 30])
+def test_no_body_is_written(page, depth, monkeypatch):
+    """Intermediate tables hold open nodes and hits, never the page they come from."""
+    written = []
+    write = jsonld.materialize
+    monkeypatch.setattr(jsonld, "materialize", lambda df: written.append(write(df)) or written[-1])
+    deep = {**PRODUCT, "mainEntity": None}
+    for _ in range(depth):
+        deep = {"@graph": [deep]}
+    out = jsonld.with_products(page("<p>shown text</p>" + _ld(deep), "shown text only"))
+    assert sorted(len(r.products) for r in out.collect()) == [0, 1]
+    # 30 graphs are 60 steps of list and object
+    assert len(written) == 1 + 2 * depth // jsonld.STEPS and "body" not in out.columns
+    for t in written:
+        assert "body" not in t.columns and not any("shown text" in str(r.asDict()) for r in t.select("retailer", "url", F.to_json("_hits")).collect())
+    # a page that is done is not written again
+    assert [t.count() for t in written] == [2] + [1] * (len(written) - 1)
+
+
 def test_fields(spark, evaluate):
     def run(fn, *items):
         return evaluate(lambda d: fn(F.parse_json(d.j)), "j string", [(json.dumps(i),) for i in items])
