@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spreadlake import schemas
 from spreadlake.checks import views as v
 from spreadlake.checks.registry import query
 from spreadlake.functions import text
+from spreadlake.session import new_shared_path
 from spreadlake.sources import feeds, jsonld, landed, market, markup, sitemap
 
 def pages(spark, sf, body: str, shop: str = "'shop1'", where: str = "true") -> DataFrame:
@@ -495,6 +497,52 @@ def newest_page(spark, sf):
     return landed.newest_page(reads).select("url", "page_id")
 
 
+# -- landed files ------------------------------------------------------------------------
+
+# How a listing is landed, by its place: cut off, in a list, priced by text, priced by
+# words, with a field nobody knows, without a url, or named by an object; else as it is.
+_LANDED = """CASE ordinal % 11 WHEN 0 THEN substr(good, 1, 40) WHEN 1 THEN concat('[', good, ']')
+    WHEN 2 THEN replace(good, concat('"price":', priced), concat('"price":"', priced, '"'))
+    WHEN 3 THEN replace(good, concat('"price":', priced), '"price":"on request"')
+    WHEN 4 THEN concat('{"basket":{"x":[1,2]},', substr(good, 2)) WHEN 5 THEN replace(good, '"url":', '"href":')
+    WHEN 6 THEN replace(good, '"name":"', '"title":null,"name":{"en":"') ELSE good END"""
+
+
+def _landed_folder(spark, sf) -> str:
+    """The offers as JSON lines, some of them broken, and a blank line after every ninth."""
+    offers = v.offer(spark, sf).withColumn("priced", F.to_json(F.struct(F.col("price").alias("p")))).withColumn(
+        "priced", F.expr("regexp_extract(priced, ':(.*)}', 1)"))
+    good = F.to_json(F.struct("retailer", "url", "name", "brand", "ean", "price", "currency", "in_stock", "on_sale", "scraped_at"))
+    line = offers.withColumn("good", good).select(F.expr(_LANDED).alias("line"), "ordinal")
+    # the object of a name is closed behind the name's text
+    closed = F.when(F.col("ordinal") % 11 == 6, F.regexp_replace("line", r'("name":\{"en":"[^"]*")', "$1}")).otherwise(F.col("line"))
+    path = new_shared_path(spark, "landed")
+    line.select(F.explode(F.when(F.col("ordinal") % 9 == 0, F.array(closed, F.lit("  "))).otherwise(F.array(closed))).alias("value")).write.text(path)
+    return path
+
+
+@query("landed_listings", """
+    SELECT retailer, url, CASE WHEN ordinal % 11 <> 6 THEN name END AS name, brand, ean, CASE WHEN ordinal % 11 <> 3 THEN price END AS price,
+           'EUR' AS currency, in_stock, on_sale, epoch_us(scraped_at) AS scraped_us
+    FROM offer WHERE ordinal % 11 NOT IN (0, 1, 5)
+""", ("offer",))
+def landed_listings(spark, sf):
+    """The good records of a landed folder with broken, drifted and blank lines."""
+    read = landed.read_listings(spark, _landed_folder(spark, sf), "json")
+    return read.select("retailer", "url", "name", "brand", "ean", "price", "currency", "in_stock", "on_sale", F.unix_micros("scraped_at").alias("scraped_us"))
+
+
+@query("landing_report", """
+    WITH o AS (SELECT ordinal % 11 AS k FROM offer)
+    SELECT unnest(CASE k WHEN 0 THEN ['rejected: not JSON'] WHEN 1 THEN ['rejected: not an object'] WHEN 5 THEN ['rejected: without url']
+                  WHEN 3 THEN ['accepted', 'drifted price'] WHEN 6 THEN ['accepted', 'drifted name'] ELSE ['accepted'] END) AS item, count(*) AS n
+    FROM o GROUP BY 1
+""", ("offer",))
+def landing_report(spark, sf):
+    """How many lines of that folder were taken, rejected and why, and which fields drifted."""
+    return landed.landing_report(landed.records(spark, _landed_folder(spark, sf), schemas.LISTING))
+
+
 # Ways to write one name, and the letters they stand for.
 _WRITTEN = {"&auml;": "ä", "&#228;": "ä", "&#xE4;": "ä", "&Eacute": "é", "&#8217;": "’", "&#x27;": "'", "&sum;": "∑", "&#150;": "–",
             "&nosuch;": "&Nosuch;", "&ampx;": "&X;"}

@@ -6,12 +6,67 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from spreadlake import schemas
 from spreadlake.sources import base, feeds, jsonld, jsonvalue, landed, market, markup, sitemap
 
 AT = datetime(2026, 8, 1, tzinfo=timezone.utc)
 PAGE = "retailer string, url string, fetched_at timestamp, body string"
 
 
+LINES = [
+    '{"retailer":"s","url":"u1","price":10,"sizes":[{"label":"42","system":"EU","in_stock":"true"}]}',
+    '{"retailer":"s","url":"u2","price":"12.5","sizes":[{"label":{}}],"new":{"a":[1]}}', '{"retailer":"s","url":null,"price":1}', '{"retailer":"s","url":["u"]}',
+    '{"retailer":"s","url":"u3","price":"soon","in_stock":null,"scraped_at":"2026-08-01T00:00:00Z"}', "", "  ", "{}", "[]", "3", "null", '{"retailer":"s"', "plain text", "\u0000",
+]
+
+
+def _judged(df):
+    return sorted((r._record, r.url, r.price, r._reason, tuple(r._drifted)) for r in df.collect())
+
+
+WANTED = sorted([
+    (LINES[0], "u1", 10.0, None, ()), (LINES[1], "u2", 12.5, None, ()), (LINES[2], None, 1.0, "without url", ()), (LINES[3], None, None, "without url", ("url",)),
+    (LINES[4], "u3", None, None, ("price",)), ("{}", None, None, "without retailer", ()), *[(x, None, None, "not an object", ()) for x in ("[]", "3", "null")],
+    *[(x, None, None, "not JSON", ()) for x in LINES[11:]],
+])
+
+
+@pytest.fixture
+def landed_folder(tmp_path):
+    for i in range(2):
+        (tmp_path / f"{i}.json").write_text("\n".join(LINES[i::2]))
+    return str(tmp_path)
+
+
+def test_every_landed_line_is_accepted_or_rejected(spark, landed_folder):
+    read = landed.records(spark, landed_folder, schemas.LISTING)
+    assert _judged(read) == WANTED
+    good = landed.read_listings(spark, landed_folder, "json")
+    assert good.columns == [f.name for f in base.listing_fields()]
+    rows = {r.url: r for r in good.collect()}
+    assert set(rows) == {"u1", "u2", "u3"} and rows["u1"].sizes[0].in_stock is True and rows["u3"].scraped_at is not None
+    bad = landed.rejected(read).collect()
+    assert len(bad) + len(rows) == len([x for x in LINES if x.strip(" ")]) and {r._file[-6:] for r in bad} == {"0.json", "1.json"}
+    report = {r["item"]: r.n for r in landed.landing_report(read).collect()}
+    assert report == {"accepted": 3, "drifted price": 1, "rejected: not an object": 3, "rejected: not JSON": 3, "rejected: without url": 2, "rejected: without retailer": 1}
+
+
+def test_an_empty_landed_folder(spark, tmp_path):
+    (tmp_path / "0.json").write_text("")
+    read = landed.records(spark, str(tmp_path), schemas.RAW_PAGE)
+    assert read.collect() == [] and landed.landing_report(read).collect() == []
+    assert landed.read_pages(spark, str(tmp_path), "json").columns == ["retailer", "url", "fetched_at", "body"]
+
+
+def test_a_stream_of_landed_lines_is_judged_alike(spark, landed_folder, tmp_path_factory):
+    got = []
+    stream = landed.records(spark, landed_folder, schemas.LISTING, stream=True)
+    query = stream.writeStream.foreachBatch(lambda b, _: got.extend(_judged(b))).trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path_factory.mktemp("checkpoint"))).start()
+    query.awaitTermination(120)
+    assert sorted(got) == WANTED
+
+
 @pytest.fixture
 def page(spark):
     def make(*bodies, retailer="shop", url="https://x.example/p/item-{}"):
