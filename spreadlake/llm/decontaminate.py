@@ -6,7 +6,8 @@ item; a hash that both have is a hit, whatever stands at the ignored positions,
 that a copy with words replaced is still hit where a plain n-gram would not be: the
 masks here hit every window of 12 to 20 words in which any fifth of them was replaced.
 A hit fixes which word of the text lies against which word of the item. Around it the two are
-compared word by word: an item leaks when, in some window of `window` words (the whole
+compared word by word, so many at a time that a long text of few different words needs no
+more memory than another: an item leaks when, in some window of `window` words (the whole
 item where it has fewer), at least `share` of the words against each other agree.
 
 The benchmark is hashed in blocks of bounded size. The hashes of one block are sent to
@@ -45,6 +46,9 @@ WINDOW = 20
 SHARE = 0.8
 # Words of the benchmark in one block.
 BLOCK_WORDS = 200_000
+# Pairs of equal seeds, and words laid against each other, that are looked at at once.
+HITS = 1 << 20
+CELLS = 1 << 21
 
 LEAKS = "doc_id long, item_id long, start long, words long, agreed long"
 
@@ -81,7 +85,8 @@ class Index:
         self.share, self.window = share, window
         self.hashes, w = compared(pa.array(texts, pa.string()))
         self.items, self.first, self.count = np.array(items, dtype=np.int64), w.first, w.count
-        self.seeds = []
+        self.longest = int(self.count.max(initial=0))
+        self.seeds, orders, base = [], [], 0
         for mask in SEEDS:
             found = seed_hashes(self.hashes, mask)
             item = w.doc[: len(found)]
@@ -92,44 +97,89 @@ class Index:
             # a bit for each hash's low bits rejects nearly all places of a text at once
             bits = np.zeros(1 << 22, bool)
             bits[keys & np.uint64((1 << 22) - 1)] = True
-            self.seeds.append((mask, keys, order, bits))
-
-    def hits(self, h: np.ndarray, w: words.Words) -> tuple[np.ndarray, ...]:
+            self.seeds.append((mask, keys, base, bits))
+            orders.append(order)
+            base += len(order)
+        # of every seed, masks end to end: its item, and its place there
+        every = np.concatenate(orders)
+        self.owner = w.doc[every]
+        self.inside = every - self.first[self.owner]
+
+    def hits(self, h: np.ndarray, w: words.Words) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, shift) of every pair of equal seeds, once each: word i of the
-        item lies against word i + shift of the text."""
-        docs, items, shifts = [], [], []
-        for mask, keys, order, bits in self.seeds:
+        item lies against word i + shift of the text. They come in runs of places, each of
+        HITS pairs at most (or those of one place), so that a text of few different words
+        is never held against an item all at once; a run may repeat some of the one before."""
+        places, lows, counts = [], [], []
+        for mask, keys, base, bits in self.seeds:
             found = seed_hashes(h, mask)
             if not len(found) or not len(keys):
                 continue
             maybe = np.flatnonzero(bits[found & np.uint64(len(bits) - 1)])
             maybe = maybe[w.doc[maybe] == w.doc[maybe + mask[-1]]]
             low, high = np.searchsorted(keys, found[maybe], "left"), np.searchsorted(keys, found[maybe], "right")
-            which, place = common.spans_of(high - low)
-            at, mine = maybe[which], order[low[which] + place]
-            item = np.searchsorted(self.first + self.count, mine, side="right")
-            docs.append(w.doc[at]), items.append(item)
-            shifts.append((at - w.first[w.doc[at]]) - (mine - self.first[item]))
-        if not docs:
-            return (np.empty(0, np.int64),) * 3
-        return tuple(np.unique(np.stack([np.concatenate(x) for x in (docs, items, shifts)]), axis=1))
-
-    def leaks(self, text: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, words, agreed) of the best window on each diagonal that leaks."""
+            real = high > low
+            places.append(maybe[real]), lows.append(low[real] + base), counts.append((high - low)[real])
+        if not places:
+            return
+        place, low, n = (np.concatenate(x) for x in (places, lows, counts))
+        order = np.argsort(place, kind="stable")
+        place, low, n = place[order], low[order], n[order]
+        doc, ends, at = w.doc[place], np.cumsum(n), 0
+        here = place - w.first[doc]
+        while at < len(place):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + HITS, side="right")))
+            which, k = common.spans_of(n[at:stop])
+            mine = low[at:stop][which] + k
+            # one number for each of them: fits, as a slice of texts has one text or few words
+            span = int(w.count[doc[at:stop]].max()) + self.longest + 1
+            pair = (doc[at:stop][which] - doc[at]) * len(self.items) + self.owner[mine]
+            coded = np.unique(pair * span + here[at:stop][which] - self.inside[mine] + self.longest)
+            pair = coded // span
+            yield pair // len(self.items) + doc[at], pair % len(self.items), coded % span - self.longest
+            at = stop
+
+    def leaks(self, text: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, start, words, agreed) of the best windows that leak: one at least of
+        each text and item where one does, and some more of long texts."""
         h, w = compared(text)
-        for doc, item, shift in zip(*(x.tolist() for x in self.hits(h, w)), strict=True):
-            need = min(self.window, int(self.count[item]))
-            a = max(0, shift)
-            b = min(int(w.count[doc]), shift + int(self.count[item]))
-            if b - a < need:
-                continue
-            i, j = int(w.first[doc]) + a, int(self.first[item]) + a - shift
-            same = np.cumsum(np.r_[0, h[i:i + b - a] == self.hashes[j:j + b - a]])
-            agreed = same[need:] - same[:-need]
-            best = int(agreed.argmax())
-            short = self.count[item] < TOLERANT_WORDS
-            if agreed[best] >= (need if short else math.ceil(self.share * need - 1e-9)):
-                yield doc, item, a + best, need, int(agreed[best])
+        first = w.first
+        for doc, item, shift in self.hits(h, w):
+            need = np.minimum(self.window, self.count[item])
+            a = np.maximum(0, shift)
+            size = np.minimum(w.count[doc], shift + self.count[item]) - a
+            least = np.where(self.count[item] < TOLERANT_WORDS, need, np.ceil(self.share * need - 1e-9))
+            mine, theirs = first[doc] + a, self.first[item] + a - shift
+            diagonals = np.flatnonzero(size >= need)
+            ends, at = np.cumsum(size[diagonals]), 0
+            while at < len(diagonals):
+                before = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+                some, at = diagonals[at:stop], stop
+                start, agreed = best_windows(h, self.hashes, mine[some], theirs[some], size[some], need[some])
+                leak = agreed >= least[some]
+                some, start, agreed = some[leak], start[leak], agreed[leak]
+                if len(some):
+                    start = a[some] + start
+                    order = np.lexsort((start, -agreed, item[some], doc[some]))
+                    d, i = doc[some][order], item[some][order]
+                    top = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1])]
+                    yield d[top], i[top], start[order][top], need[some][order][top], agreed[order][top]
+
+
+def best_windows(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each diagonal, `size` words of x from i on against those of y from j on: the start
+    of the window of `need` words with the most that agree (the first such), and how many do."""
+    group, place = common.spans_of(size)
+    upto = np.r_[0, np.cumsum(x[i[group] + place] == y[j[group] + place])]
+    windows = size - need + 1
+    group, place = common.spans_of(windows)
+    begin = (np.cumsum(size) - size)[group] + place
+    # the most agreeing, then the smallest start, as one number
+    ranked = ((upto[begin + need[group]] - upto[begin]) << 32) - place
+    best = np.maximum.reduceat(ranked, np.cumsum(windows) - windows)
+    agreed = (best + (1 << 32) - 1) >> 32
+    return (agreed << 32) - best, agreed
 
 
 def _leaks(index):
@@ -139,9 +189,7 @@ def _leaks(index):
         items = index.value
         for batch in common.tables_of(batches):
             ids = batch.column("doc_id").to_numpy()
-            found = list(items.leaks(batch.column("text")))
-            if found:
-                doc, item, start, n, agreed = map(np.array, zip(*found, strict=True))
+            for doc, item, start, n, agreed in items.leaks(batch.column("text")):
                 yield common.rows(schema, ids[doc], items.items[item], start, n, agreed)
 
     return run

@@ -2,6 +2,11 @@
 
 import itertools
 import random
+import time
+import tracemalloc
+
+import pyarrow as pa
+import pytest
 
 from spreadlake.llm import decontaminate as D
 
@@ -55,6 +60,35 @@ def test_equals_all_alignments(ready, docs, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_small_runs_change_nothing(ready, docs, monkeypatch):
+    monkeypatch.setattr(D, "HITS", 7)
+    monkeypatch.setattr(D, "CELLS", 50)
+    rng = random.Random(16)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([5, 11, 12, 19, 30])))) for i in range(12)]
+    rows = [(d, " ".join(rng.choice("abc" if d % 2 else "ab") for _ in range(rng.randrange(40)))) for d in range(60)]
+    index = D.Index([i for i, _ in items], [t for _, t in items], D.SHARE, D.WINDOW)
+    text = pa.array([t for _, t in rows])
+    got = {(int(d), int(i)) for doc, item, *_ in index.leaks(text) for d, i in zip(doc, item)}
+    want = brute(rows, items)
+    assert got == want and 30 < len(want) < 600
+
+
+@pytest.mark.parametrize("text", ["same " * 1_000_000, "one two " * 500_000])
+def test_a_long_text_of_few_words(text):
+    item = " ".join((text.split()[:2] * 25)[:50])
+    index = D.Index([3, 4], [item, "other words " * 20], D.SHARE, D.WINDOW)
+    begun = time.time()
+    tracemalloc.start()
+    best = {}
+    for doc, it, start, n, agreed in index.leaks(pa.array([text])):
+        for d, i, s, k in zip(doc.tolist(), it.tolist(), start.tolist(), agreed.tolist()):
+            best[d, i] = max(best.get((d, i), (0, 0)), (k, -s))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best == {(0, 0): (20, 0)}
+    assert time.time() - begun < 60 and peak < 1 << 30
+
+
 def test_case_and_punctuation_do_not_hide_a_leak(ready, docs):
     item = "One two three four five six seven eight nine ten eleven twelve"
     bench = ready.createDataFrame([(1, item)], BENCH)
