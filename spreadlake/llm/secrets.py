@@ -9,7 +9,8 @@ a `key` is reported beside an identifier, an `id` beside a secret, an `endpoint`
 both: a weak part never by itself.
 
 Matches of a pattern are told apart from what lies between them by splitting the text
-at it, and the lengths of both add up to positions. All of it happens inside a row, so
+at it, and the lengths of both add up to positions. Matches are worked on in chunks of the
+square root of their number, as a long text may hold very many. All of it happens inside a row, so
 nothing is shuffled and no group can grow hot.
 
 Defined cases: null texts are empty and hold nothing; rows without a doc_id are left
@@ -21,10 +22,10 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spreadlake.functions.binding import bind
 from spreadlake.llm import common
 
 SCOPE = 200
@@ -66,10 +67,24 @@ def _parts(text: Column, kind: Kind) -> Column:
         F.arrays_zip(F.split(text, kind.pattern, -1).alias("before"), found.alias("found"), counted.alias("counted")))
 
 
+def _chunks(array: Column) -> Column:
+    """The elements in chunks of the square root of their number, so that what costs the
+    square of a chunk, or looks at every chunk, stays cheap on a long array."""
+
+    def cut(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / size).cast("int")), lambda c: F.slice(a, c * size + 1, size)))
+
+    return F.coalesce(bind(array, cut), F.array())
+
+
 def _spans(parts: Column, kind: Kind, rank: int) -> Column:
-    """The spans of a kind, from left to right."""
+    """The spans of a kind, from left to right: chunks are placed by the lengths of those
+    before, then the parts of each chunk by its own."""
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def length(part: Column) -> Column:
+        return (F.length(part["before"]) + F.coalesce(F.length(part["found"]), F.lit(0))).cast("bigint")
 
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + F.length(part["before"])
@@ -79,17 +94,38 @@ def _spans(parts: Column, kind: Kind, rank: int) -> Column:
         out = F.when((size >= kind.least) & (size <= kind.most), F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(end.cast("bigint").alias("at"), out.cast(f"array<{SPAN}>").alias("out"))
 
-    return F.when(parts.isNull(), none).otherwise(F.aggregate(parts, start, step)["out"])
+    def placed(chunks: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda sum_, part: sum_ + length(part)))
+        begins = F.aggregate(
+            sizes, F.array(zero), lambda done, size: F.concat(done, F.array(F.get(done, F.size(done) - 1) + size)))
+        return bind(begins, lambda at: F.flatten(F.transform(chunks, lambda c, i: F.aggregate(
+            c, F.struct(F.get(at, i).alias("at"), none.alias("out")), step)["out"])))
+
+    return F.when(parts.isNull(), none).otherwise(bind(_chunks(parts), placed))
+
+
+def _beside(span: Column, chunks: Column) -> Column:
+    """Whether a span of one of the chunks is in scope of the span."""
+
+    def near(o: Column) -> Column:
+        return (o["start"] <= span["end"] + SCOPE) & (o["end"] >= span["start"] - SCOPE)
+
+    return F.exists(chunks, lambda c: near(c) & F.exists(c["spans"], near))
 
 
-def _beside(span: Column, others: Column) -> Column:
-    """Whether one of the others is in scope of the span."""
-    return F.exists(others, lambda o: (o["start"] <= span["end"] + SCOPE) & (o["end"] >= span["start"] - SCOPE))
+def _bounded(spans: Column) -> Column:
+    """Chunks of spans, each with the smallest start and the largest end in it."""
+    return F.transform(_chunks(spans), lambda c: F.struct(
+        F.array_min(F.transform(c, lambda s: s["start"])).alias("start"), F.array_max(F.transform(c, lambda s: s["end"])).alias("end"), c.alias("spans")))
 
 
 def _linked(weak: str, groups: tuple[tuple[str, ...], ...]) -> Column:
     """The spans of a weak kind with one of each group in scope."""
-    return F.filter(weak, lambda s: reduce(lambda a, b: a & b, [_beside(s, F.concat(*kinds)) for kinds in groups]))
+    left = F.col(weak)
+    for kinds in groups:
+        left = bind(_bounded(F.concat(*kinds)), lambda chunks, left=left: F.filter(left, lambda s: _beside(s, chunks)))
+    return left
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from spreadlake.llm import secrets
 
@@ -43,6 +44,35 @@ def test_weak_parts_need_their_complement(docs):
     assert got == {1: [], 2: ["key"], 3: [], 4: ["key", "endpoint"], 5: [], 6: ["id"], 7: []}
 
 
+def linked(text):
+    """Every weak part against all others."""
+    spans = {}
+    for k in secrets.KINDS:
+        found = re.finditer(k.pattern, text, re.A)
+        spans[k.name] = [(m.start(), secrets.KINDS.index(k), m.end(), k.name) for m in found if k.least <= len(m[k.group]) <= k.most]
+    near = lambda s, kinds: any(o[0] <= s[2] + secrets.SCOPE and o[2] >= s[0] - secrets.SCOPE for k in kinds for o in spans[k])
+    return sorted(s for weak, groups in secrets.BESIDE.items() for s in spans[weak] if all(near(s, kinds) for kinds in groups))
+
+
+def test_links_equal_all_pairs(docs):
+    rng = random.Random(12)
+    bits = ["client_id: bob_1 ", "login=ann ", "token: abcdefgh ", "Ab3/" * 10 + " ", "AKIA" + "Q7" * 8 + " ", "https://a.example.org:80 ", "a1" * 13 + " ", " " * 90, " " * 250]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for i in range(150)]
+    got = {i: spans for i, _, spans in run(docs(rows))}
+    want = {i: linked(t) for i, t in rows}
+    assert got == want and 300 < sum(map(len, want.values()))
+
+
+def test_a_megabyte_of_matches(docs):
+    text = "token=abcdefgh " * 50_000 + "client_id: bob_1 " * 20_000
+    begun = time.time()
+    [(_, strong, weak)] = run(docs([(1, text)]))
+    assert time.time() - begun < 60
+    assert strong == [(15 * i, 0, 15 * i + 14, "assign") for i in range(50_000)]
+    first = 750_000
+    assert weak == [s for i in range(20_000) if (s := (first + 17 * i, 3, first + 17 * i + 16, "id"))[0] - secrets.SCOPE <= first - 1]
+
+
 def test_odd_rows(docs, odd):
     got = run(docs(odd))
     assert len(got) == len(odd) - 1 and all(not strong and not linked for i, strong, linked in got)
