@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions.times import age_seconds
-from spreadlake.operators.ordered import LastKnown, RowNumber, RunningSum, with_ordered
+from spreadlake.operators.ordered import RowsSince, RunningSum, with_ordered
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -158,13 +158,7 @@ def in_flight(events: DataFrame) -> DataFrame:
 def failure_streaks(runs: DataFrame, order: list[Column]) -> DataFrame:
     """Failures in a row at every run of a shop; a success resets the count.
     Needs `retailer` and boolean `ok`."""
-    numbered = with_ordered(runs, ["retailer"], order, _n=RowNumber())
-    marked = with_ordered(
-        numbered, ["retailer"], [F.col("_n")], _ok_at=LastKnown(F.when(F.col("ok"), F.col("_n")))
-    )
-    return marked.withColumn(
-        "failures_in_row", F.col("_n") - F.coalesce(F.col("_ok_at"), F.lit(0))
-    ).drop("_n", "_ok_at")
+    return with_ordered(runs, ["retailer"], order, failures_in_row=RowsSince(F.col("ok")))
 
 
 def current_failures(runs: DataFrame, at: str) -> DataFrame:

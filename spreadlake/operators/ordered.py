@@ -19,6 +19,7 @@ from spreadlake.session import materialize
 
 SEGMENT = "_segment"
 _TAIL = "_tail"
+_PLACE = "_place"
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,18 @@ class LastKnown:
     value: Column
 
 
+@dataclass(frozen=True)
+class RowsSince:
+    """Rows of the key after the last one where the condition held, that one not counted;
+    all rows so far where it never did. NULL does not hold."""
+
+    reset: Column
+
+
 def _inside(spec, window) -> Column:
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    if isinstance(spec, RowsSince):
+        return F.col(_PLACE) - F.coalesce(F.last(F.when(spec.reset, F.col(_PLACE)), ignorenulls=True).over(upto), F.lit(0))
     if isinstance(spec, RowNumber):
         return F.row_number().over(window).cast("bigint")
     if isinstance(spec, RunningSum):
@@ -62,6 +73,10 @@ def _inside(spec, window) -> Column:
 def _carried(spec, name: str, earlier) -> Column:
     if isinstance(spec, (RowNumber, RunningSum)):
         return F.sum(F.col(name)).over(earlier)
+    if isinstance(spec, RowsSince):
+        # what earlier segments add up to, but for what lies before the last that had a reset
+        before = F.last(F.when(~F.col(f"_open_{name}"), F.col(f"_upto_{name}") - F.col(name)), ignorenulls=True)
+        return F.sum(F.col(name)).over(earlier) - F.coalesce(before.over(earlier), F.lit(0))
     if isinstance(spec, Previous):
         return F.last(F.col(f"_own_{name}")).over(earlier)
     return F.last(F.col(name), ignorenulls=True).over(earlier)
@@ -74,17 +89,24 @@ def with_ordered(df: DataFrame, keys: list[str], order: list[Column], **specs) -
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     window = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     previous = {n: s for n, s in specs.items() if isinstance(s, Previous)}
+    since = {n: s for n, s in specs.items() if isinstance(s, RowsSince)}
+    # of the same window, so it costs no exchange of its own
+    place = {_PLACE: F.row_number().over(window).cast("bigint")} if since else {}
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
     local = materialize(
-        ranged.withColumn(SEGMENT, F.spark_partition_id()).select(
-            "*",
+        ranged.withColumn(SEGMENT, F.spark_partition_id()).withColumns(place).select(
+            *[F.col(c) for c in df.columns], SEGMENT,
+            *[(~F.coalesce(F.bool_or(s.reset).over(upto), F.lit(False))).alias(f"_open_{n}") for n, s in since.items()],
             *[_inside(s, window).alias(n) for n, s in specs.items()],
             *[F.struct(s.value.alias("value")).alias(f"_own_{n}") for n, s in previous.items()],
             F.lead(F.lit(True), 1, False).over(window).alias(_TAIL),
         )
     )
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    through = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
     carry = (
         local.filter(~F.col(_TAIL))
+        .withColumns({f"_upto_{n}": F.sum(n).over(through) for n in since})
         .select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             F.col(SEGMENT).alias("_carry_segment"),
@@ -102,6 +124,8 @@ def with_ordered(df: DataFrame, keys: list[str], order: list[Column], **specs) -
         inside, before = F.col(name), F.col(f"_carry_{name}")
         if isinstance(spec, RowNumber):
             return inside + F.coalesce(before, F.lit(0))
+        if isinstance(spec, RowsSince):
+            return inside + F.when(F.col(f"_open_{name}"), F.coalesce(before, F.lit(0))).otherwise(F.lit(0))
         if isinstance(spec, RunningSum):
             return F.when(before.isNull(), inside).when(inside.isNull(), before).otherwise(inside + before)
         return F.coalesce(inside, before)

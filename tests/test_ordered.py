@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import Window, functions as F
 
-from spreadlake.operators.ordered import LastKnown, Previous, RowNumber, RunningSum, rolling_count, top_n_per_group, with_ordered
+from spreadlake.operators.ordered import LastKnown, Previous, RowNumber, RowsSince, RunningSum, rolling_count, top_n_per_group, with_ordered
 from spreadlake.operators.skew import lookup_join
 
 
@@ -44,6 +44,17 @@ def test_ordered_columns_equal_windows(rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("condition", ["value = 1", "value IS NULL", "id % 97 = 5", "id < 0", "true"])
+def test_rows_since_equal_a_plain_count(rows, condition):
+    """Resets in every segment, in a few, in none; a NULL condition does not hold."""
+    got = with_ordered(rows, ["key"], [F.col("at"), F.col("id")], n=RowsSince(F.expr(condition))).select("id", "n").collect()
+    at, want = {}, {}
+    for r in sorted(rows.withColumn("reset", F.expr(condition)).collect(), key=lambda r: (r["at"], r.id)):
+        at[r.key] = 0 if r.reset else at.get(r.key, 0) + 1
+        want[r.id] = at[r.key]
+    assert {r.id: r.n for r in got} == want
+
+
 def test_descending_order_and_no_key(rows):
     order = [F.desc("at"), F.asc("id")]
     got = with_ordered(rows, [], order, n=RowNumber()).select("id", "n")
