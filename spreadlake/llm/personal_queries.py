@@ -14,10 +14,15 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
+def _number(spans: str, rank: int) -> Column:
+    # a function of two arguments would be given a span's place as well
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, by pattern and by the trained field."""
     found = personal.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(personal.KINDS)]
+    counts = [_number("base", rank).alias(f"n_{kind}") for rank, kind in enumerate(personal.KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _written(F.sort_array(F.concat("base", "added"))).alias("spans"))

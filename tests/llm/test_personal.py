@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from spreadlake.llm import crf, personal
+from spreadlake.llm import crf, personal, personal_queries
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -144,6 +144,14 @@ def test_documents(docs, odd):
     assert run(docs(odd).limit(0)) == []
 
 
+def test_query_counts_spans_of_each_kind(ready, docs, tmp_path):
+    card = "4111 1111 1111 1111"
+    rows = [(1, f"{card} then {card}"), (2, "10.0.0.1 a@b.cd 10.0.0.2 e@f.gh +49 30 12345678"), (3, "+49 30 12345678"), (4, None), (5, f"x@y.zz {card}")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: [r[f"n_{k}"] for k in personal.KINDS] for r in personal_queries.op12(ready, str(tmp_path)).collect()}
+    assert got == {i: [sum(s[1] == k for s in plain(t)) for k in range(4)] for i, t in rows}
+
+
 def test_long_texts_take_time_in_proportion(model):
     long = ["0" * 1_000_000, "a." * 500_000, "+1 " * 300_000, "1.1.1 " * 150_000, "a@" * 300_000, "x at y " * 100_000]
     found = personal.found_spans(model, long)
