@@ -8,6 +8,8 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from spreadlake.functions.binding import bind
+
 # Words that say nothing about which product is meant.
 STOP_TOKENS = ("the", "and", "for", "shoes", "shoe", "sneakers", "retro")
 
@@ -127,10 +129,14 @@ def _decoded(entity: Column) -> Column:
 def html_unescape(c: Column) -> Column:
     """One pass of entity decoding, named and numeric; a doubly escaped entity needs a
     second pass, as in HTML."""
-    between = F.split(c, _ENTITY, -1)
-    found = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _decoded)
-    whole = F.array_join(F.zip_with(between, found, lambda b, e: F.concat(b, F.coalesce(e, F.lit("")))), "")
-    return F.when(c.contains("&"), whole).otherwise(c)
+    def decoded(raw: Column) -> Column:
+        between = F.split(raw, _ENTITY, -1)
+        found = F.transform(F.regexp_extract_all(raw, F.lit(_ENTITY), F.lit(0)), _decoded)
+        whole = F.array_join(F.zip_with(between, found, lambda b, e: F.concat(b, F.coalesce(e, F.lit("")))), "")
+        return F.when(raw.contains("&"), whole).otherwise(raw)
+
+    # the text stands in four places, and a second pass would put four first passes there
+    return bind(c, decoded)
 
 
 def title_case(c: Column) -> Column:
