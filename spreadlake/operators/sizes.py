@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import size as sz
 from spreadlake.functions.text import empty_to_null
-from spreadlake.operators.skew import lookup_join
+from spreadlake.operators.skew import lookup_join, sent_if_small
 from spreadlake.session import materialize
 
 COMBO = ["product_id", "retail_us", "retail_eu"]
@@ -141,7 +141,7 @@ def synthesised_sizes(listing: DataFrame, variants: DataFrame) -> DataFrame:
         F.lit(None).cast("boolean").alias("size_in_stock"),
         F.col("variant_id").alias("_order"),
     )
-    return lookup_join(bare, offered, ["product_id"], "inner").withColumn("size_pos", F.xxhash64("_order").cast("bigint")).drop("_order")
+    return lookup_join(bare, sent_if_small(offered), ["product_id"], "inner").withColumn("size_pos", F.xxhash64("_order").cast("bigint")).drop("_order")
 
 
 def split_by_fit(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:

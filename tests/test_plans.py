@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from spreadlake.checks import views as v
+from spreadlake.checks import source_checks, views as v
 from spreadlake.checks.money_checks import costed, opportunities
+from spreadlake.functions.text import display_name, html_unescape
 from spreadlake.operators import screen
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +67,32 @@ def test_no_pairwise_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_rows_of_every_pair_stay_where_they_are_made(spark):
+    """What has a row for each offer and variant is neither shuffled nor sorted, though the
+    tables it is made from are too large for Spark to send one on its own."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name, keys in (("live_report", "variant_id"), ("live_report", "product_id"), ("alert_recheck", "product_id"), ("synthesised_sizes", "product_id")):
+            text = plan(entry_points.queries()[name](spark, SF))
+            assert re.search(rf"BroadcastHashJoin \[{keys}#", text) and not re.search(rf"SortMergeJoin \[({keys}|retailer)#", text), (name, keys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pages_of_a_small_file_are_read_by_all_tasks(spark):
+    pages = source_checks.pages(spark, SF, "p_name")
+    assert pages.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_a_second_pass_of_unescaping_holds_one_first_pass(spark):
+    def searches(name):
+        shown = spark.createDataFrame([("a",)], "c string").select(name.alias("n"))
+        return shown._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(")
+
+    assert 0 < searches(display_name(F.col("c"))) <= 2 * searches(html_unescape(F.col("c")))
+
+
 def test_screen_reaches_the_scan(spark, tmp_path):
     v.offer(spark, SF).write.parquet(str(tmp_path / "l"))
     listing = spark.read.parquet(str(tmp_path / "l"))
