@@ -84,7 +84,7 @@ def tables_of(batches: Iterable[pa.RecordBatch], column: str = "text", limit: in
 
 def schema_of(ddl: str) -> pa.Schema:
     """The Arrow schema of rows a task returns, from the same DDL Spark is given."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(),
              "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([pa.field(n, kinds[k]) for n, k in (part.split() for part in ddl.split(", "))])
 

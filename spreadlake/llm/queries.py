@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spreadlake.llm import collocation_queries, decontaminate, langid, linededup, manifest_queries, packing, personal_queries, ppm, preferences, secrets, simhash, substring, topk
+from spreadlake.llm import byteppm, collocation_queries, decontaminate, langid, linededup, manifest_queries, packing, personal_queries, preferences, secrets, simhash, substring, topk
 from spreadlake.llm.common import crc_of_id, documents, prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +84,7 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and PPM log10 probability of every document, learned from those not held out."""
     held_out = F.pmod(crc_of_id(), F.lit(5)) == 1
-    scored = ppm.pretrained(table(spark, sf_dir, "documents"), ~held_out)
+    scored = byteppm.scored(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
