@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -101,6 +103,17 @@ def held(key, build):
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Drop what the worker holds, and give memory it has freed, now or in stages before,
+    back to the system; allocators keep it otherwise, and a worker lives on between stages."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema

@@ -186,6 +186,7 @@ def _leaks(index):
     schema = common.schema_of(LEAKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         items = index.value
         for batch in common.tables_of(batches):
             ids = batch.column("doc_id").to_numpy()

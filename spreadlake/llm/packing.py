@@ -26,8 +26,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
-import gc
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -44,7 +43,7 @@ from spreadlake.session import materialize
 SIZE = 1024
 END = 2
 # Text encoded at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # Fillings looked at in one search for the best completion.
 NODES = 20_000
 # Steps of the search over whole plans, those that list fillings included.
@@ -54,6 +53,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _tokenizer(path: str):
+    # a task has one core; threads beside it would each keep memory of their own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -74,6 +75,7 @@ class Encoder:
     # 40 bytes each).
     JOINED = 2000
     KEPT = 1_000_000
+    CALL_CHARS = 128 << 10
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -89,9 +91,18 @@ class Encoder:
         self.pool, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())), size
+        """(ids of all texts end to end, number of ids of each), from calls of some
+        CALL_CHARS each: what the tokenizer tells of a token takes far more than its id."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        upto = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.CALL_CHARS, side="right")))
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[at:stop], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes[-1].sum())))
+            at = stop
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self, parts: list[str], hashes: np.ndarray) -> None:
         """Remember the ids of " " + part for each part."""
@@ -153,19 +164,9 @@ class Encoder:
         return ids, np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
 
 
-def _give_back() -> None:
-    """Give memory that a worker has freed, now or in stages before, back to the system;
-    allocators keep it otherwise, and a worker lives on between stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim is not None:
-        trim(0)
-
-
 def _encoder(path: str) -> Encoder:
     """An encoder in place of what the worker held before, which is given back first."""
-    _give_back()
+    common.give_back()
     return Encoder(path)
 
 

@@ -131,3 +131,21 @@ def test_a_plan_search_that_ends_early_keeps_every_piece(monkeypatch):
     made = packing.plan(counts, 50)
     assert sum(t for _, t in made) <= sum(t for _, t in packing.plan(counts, 50, search=False))
     assert sum(n * k * t for parts, t in made for n, k in parts) == 200
+
+
+def test_the_tokenizer_gets_little_text_at_once():
+    """What it tells of a token is far larger than the text, so a call is bounded."""
+    encoder = packing.Encoder(PATH)
+    real, sizes = encoder.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(sum(map(len, texts)))
+            return real.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Seen()
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(60)])
+    ids, count = encoder.encode(texts)
+    assert len(sizes) > 2 and max(sizes) <= 2 * (128 << 10)
+    assert [ids[b - n:b].tolist() for b, n in zip(np.cumsum(count), count, strict=True)] == [
+        real.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
