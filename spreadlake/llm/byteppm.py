@@ -49,7 +49,7 @@ SPARE = 64 - 8 * (DEPTH + 1)
 NEAR = 3
 SYMBOLS = 256
 STOP = 32  # ends a word, and a text
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 20 << 20
 # Text coded at once; a symbol takes some thirty bytes for a while.
 SLICE_BYTES = 2 << 20
 # Rows priced or sent at once; a branch is never cut.
@@ -248,13 +248,15 @@ def _priced(name: str, near):
 
 
 def _score(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    common.give_back()
     schema = common.schema_of(SCORED)
     told = pc.is_valid(asked.column("word"))
     names, counts = (asked.column(c).filter(told) for c in ("word", "value"))
     names, counts = pa.concat_arrays([pa.array([], pa.string()), *names.chunks]), counts.to_numpy()
     keys, cost = (asked.column(c).filter(pc.invert(told)).to_numpy() for c in ("key", "value"))
     order = np.argsort(keys)
-    keys, cost = keys[order], cost[order]
+    keys, cost = keys[order], cost[order].astype(np.float32)  # they were rounded to this
+    del told, order
     out = []
     for batch in common.tables_of(docs.to_batches(), limit=SLICE_BYTES):
         rows = batch.num_rows

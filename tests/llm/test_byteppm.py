@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from tests.llm.test_ppm import learn, tokens
 
-from spreadlake.llm import byteppm, words
+from spreadlake.llm import byteppm, common, words
 
 
 def symbols(text):
@@ -95,3 +95,12 @@ def test_odd_rows(docs, odd):
     assert byteppm.scored(docs(odd).limit(0), learn()).collect() == []
     untrained = byteppm.scored(docs([(1, "ab")]), learn() & (learn() == False)).collect()[0]  # noqa: E712
     assert untrained["train_tokens"] == 0 and math.isclose(untrained["score"], -4 * math.log10(256), rel_tol=1e-6)
+
+
+def test_scoring_gives_back_what_the_worker_held():
+    common.held("a model of the stage before", object)
+    docs = pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([""]), "block": pa.array([0], pa.int32())})
+    asked = pa.table({"block": pa.array([], pa.int32()), "word": pa.array([], pa.string()),
+                      "key": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+    assert byteppm._score(docs, asked).column("doc_id").to_pylist() == [1]
+    assert not common._HELD
