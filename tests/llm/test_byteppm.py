@@ -98,9 +98,12 @@ def test_odd_rows(docs, odd):
 
 
 def test_scoring_gives_back_what_the_worker_held():
+    text = pa.array(["a b"])
+    keys = np.unique(byteppm.coded(words.words_of(text, lower=True))[0])
     common.held("a model of the stage before", object)
-    docs = pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([""]), "block": pa.array([0], pa.int32())})
-    asked = pa.table({"block": pa.array([], pa.int32()), "word": pa.array([], pa.string()),
-                      "key": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-    assert byteppm._score(docs, asked).column("doc_id").to_pylist() == [1]
+    docs = pa.table({"doc_id": pa.array([1], pa.int64()), "text": text, "block": pa.array([0], pa.int32())})
+    told = [(0, "a", None, 1.0), (0, "b", None, 0.0), *((0, None, int(k), -0.5) for k in keys)]
+    asked = pa.table(dict(zip(("block", "word", "key", "value"), map(list, zip(*told, strict=True)), strict=True)))
+    got = byteppm._score(docs, asked).to_pylist()
+    assert [(r["doc_id"], r["n_tokens"], r["n_known"], r["score"]) for r in got] == [(1, 2, 1, -0.5 * len(keys))]
     assert not common._HELD
