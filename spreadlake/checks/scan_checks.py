@@ -19,20 +19,50 @@ from spreadlake.streaming.shops import Shop, Supervisor, scan_step
 CODE = "concat(replace(p_brand, '#', ''), '-', lpad(p_partkey, 7, '0'))"
 
 
+def offers(spark, sf):
+    """The rows of `v.offer` that have a page, with their sizes. Lines are grouped as numbers, once
+    for each shop, part and size; texts are made of what is left."""
+    lines = v.table(spark, sf, "lineitem").selectExpr(
+        "l_partkey AS part_id", "l_suppkey % 11 AS k", "l_linenumber", "l_discount", "l_linestatus = 'O' AS in_stock",
+        "l_orderkey * 8 + l_linenumber AS ordinal", "cast(l_shipdate AS timestamp) AS seen_at",
+    ).filter("k IS NOT NULL AND part_id IS NOT NULL")
+    # a price falls or rises with the discount, so the lowest is at one of its ends; NaN is no end
+    # unless there is nothing else
+    number = F.when(~F.isnan("l_discount"), F.col("l_discount"))
+    by_size = lines.groupBy("part_id", "k", "l_linenumber").agg(
+        F.min(number).alias("low"), F.max(number).alias("high"), F.min("l_discount").alias("least"),
+        F.max(F.col("l_discount") > 0).alias("on_sale"), F.bool_or("in_stock").alias("in_stock"),
+        F.min("ordinal").alias("ordinal"), F.max("seen_at").alias("scraped_at"),
+    )
+    # a part has few rows by now, so that dealing by it alone serves the grouping and the join
+    size = F.struct((37 + F.col("l_linenumber")).cast("string").alias("label"), F.col("in_stock").alias("s"))
+    by_offer = by_size.repartition("part_id").groupBy("part_id", "k").agg(
+        # seven labels at most
+        F.array_sort(F.collect_list(size)).alias("sizes"),
+        F.coalesce(F.min("low"), F.min("least")).alias("low"), F.coalesce(F.max("high"), F.min("least")).alias("high"),
+        F.max("on_sale").alias("on_sale"), F.bool_or("in_stock").alias("in_stock"),
+        F.min("ordinal").alias("ordinal"), F.max("scraped_at").alias("scraped_at"),
+    )
+    parts = v.part(spark, sf).selectExpr(
+        "p_partkey AS part_id", "p_name AS name", "replace(p_brand, '#', ' ') AS brand", "replace(p_brand, '#', '') AS code_brand",
+        "p_type AS category", "p_retailprice * 0.05D AS list_price").distinct().drop("code_brand")
+    return by_offer.join(parts, "part_id").select(
+        F.expr("concat('shop', k)").alias("retailer"),
+        F.expr("concat('https://shop', k, '.example/p/', part_id)").alias("url"), "part_id", "name", "brand",
+        F.expr("CASE WHEN part_id % 3 = 0 THEN concat('4006381', lpad(part_id, 6, '0')) END").alias("ean"),
+        "category", "list_price",
+        F.expr("least(list_price * (1 - low), list_price * (1 - high))").alias("price"), "on_sale", "in_stock", "ordinal",
+        "scraped_at", F.lit("EUR").alias("currency"),
+        F.transform("sizes", lambda x: F.struct(
+            x["label"].alias("label"), F.lit("EU").alias("system"), F.lit(None).cast("string").alias("us_size"),
+            F.lit(None).cast("string").alias("ean"), x["s"].alias("in_stock"))).alias("sizes"),
+    )
+
+
 def inputs(spark, sf) -> ScanInputs:
     """Every offer with its sizes, and a catalog in which every tenth part is
     known by name only."""
-    lines = v.listing(spark, sf)
-    sizes = lines.groupBy("retailer", "url", "size_label").agg(F.bool_or("in_stock").alias("s")).groupBy(
-        "retailer", "url"
-    ).agg(
-        # seven labels at most
-        F.array_sort(F.collect_list(F.struct(
-            F.col("size_label").alias("label"), F.lit("EU").alias("system"), F.lit(None).cast("string").alias("us_size"),
-            F.lit(None).cast("string").alias("ean"), F.col("s").alias("in_stock"),
-        ))).alias("sizes")
-    )
-    listing = v.offer(spark, sf).drop("product_id", "style_code").join(sizes, ["retailer", "url"]).withColumns(
+    listing = offers(spark, sf).withColumns(
         {
             "brand": F.replace("brand", F.lit(" "), F.lit("")),
             "style_code": F.concat(F.replace("brand", F.lit(" "), F.lit("")), F.lit("-"), F.lpad(F.col("part_id").cast("string"), 7, "0")),

@@ -169,18 +169,18 @@ def scan(
     spark = inputs.listing.sparkSession
     cands = candidates(inputs, config)
     listed, new_cache = resolved_listings(cands, inputs, config, now, resolutions)
-    # the confidence split feeds two branches; the match behind it is run once
-    listed = materialize(listed)
+    # the confidence split feeds two branches; the match behind it is run once, and what is looked
+    # up by product goes into the same table, so that no branch writes its listings again
+    known = inputs.variants.select("product_id").distinct().withColumn("_known", F.lit(True))
+    keyed = listed.withColumn("product_id", F.col("product.product_id"))
+    listed = materialize(quotes.assess(lookup_join(keyed, known, ["product_id"]).select(*keyed.columns, "_known"), inputs.quotes, config))
     sure, unsure = resolve.split_by_confidence(listed, config.filters.alert_min_confidence)
     low = review.rows(
         unsure, review.LOW_CONFIDENCE, now, confidence=F.col("confidence"), catalog_title=F.col("product.title")
     )
-    sure = sure.withColumn("product_id", F.col("product.product_id"))
-    known = inputs.variants.select("product_id").distinct()
-    sure = lookup_join(sure, known.withColumn("_known", F.lit(True)), ["product_id"], "inner").drop("_known")
-    scored = quotes.assess(sure, inputs.quotes, config)
+    scored = sure.filter("_known").drop("_known")
     # what the budget does not reach is not looked at, and gets no watch row
-    looked_at = materialize(affordable(scored, inputs, config, now, calls))
+    looked_at = scored if calls is None else materialize(affordable(scored, inputs, config, now, calls))
     watch = quotes.watch_rows(looked_at, now)
     gated = quotes.upside_gate(looked_at, config)
     seen = inputs.listing
@@ -190,8 +190,7 @@ def scan(
         again = quotes.assess(
             confirmed.withColumn("landed_cost", screen.landed_cost_column()), inputs.quotes, config
         )
-        gated = quotes.upside_gate(again, config)
-    gated = materialize(gated)
+        gated = materialize(quotes.upside_gate(again, config))
 
     gtin_map = inputs.gtin_map if inputs.gtin_map is not None else empty_table(
         spark, "gtin string, found boolean, product_id string, variant_id string"
@@ -238,15 +237,15 @@ def scan(
     exact = F.col("_verdict") == barcodes.SAME
     # a barcode names its variant, and with it the size that is printed
     barcoded = inputs.variants.select(F.col("variant_id").alias("gtin_variant"), F.col("size").alias("_gtin_size"))
-    mapped = materialize(
-        lookup_join(by_chart, barcoded, ["gtin_variant"]).withColumns(
-            {
-                "variant_size": F.when(exact, F.col("_gtin_size")).otherwise(F.col("variant_size")),
-                "variant_id": F.when(exact, F.col("gtin_variant")).otherwise(F.col("variant_id")),
-                "size_confidence": F.when(exact, F.lit(1.0)).otherwise(F.col("size_confidence")),
-                "size_match_method": F.when(exact, "barcode").otherwise("size chart"),
-            }
-        )
+    # not written: conflicts ask for few of the columns, and fits go on to the quotes, which
+    # leave few of the rows
+    mapped = lookup_join(by_chart, barcoded, ["gtin_variant"]).withColumns(
+        {
+            "variant_size": F.when(exact, F.col("_gtin_size")).otherwise(F.col("variant_size")),
+            "variant_id": F.when(exact, F.col("gtin_variant")).otherwise(F.col("variant_id")),
+            "size_confidence": F.when(exact, F.lit(1.0)).otherwise(F.col("size_confidence")),
+            "size_match_method": F.when(exact, "barcode").otherwise("size chart"),
+        }
     )
     fits, conflicts = sizes.split_by_fit(mapped)
     conflict = review.rows(

@@ -138,3 +138,51 @@ def test_call_budget_and_caps(spark):
     none = scan(inputs, config, F.lit(fixtures.NOW), calls=0, resolutions=1)
     assert none.opportunities.count() == 0 and none.resolution.count() == 3 and none.watch.count() == 0
     assert scan(inputs, config, F.lit(fixtures.NOW), calls=0, resolutions=1, backfill=True).opportunities.count() == 2
+
+
+def test_a_backfill_writes_its_listings_once(spark, monkeypatch):
+    from spreadlake.plans import scan as plan
+
+    config, written = _config(), []
+    t = fixtures.tables(spark)
+    inputs = ScanInputs(
+        listing=t["listing"], policy=config.policy_frame(spark), catalog=t["catalog"], variants=t["variants"],
+        quotes=t["quotes"],
+    )
+    keep = plan.materialize
+    monkeypatch.setattr(plan, "materialize", lambda df: written.append(df.columns) or keep(df))
+    every = plan.scan(inputs, config, F.lit(fixtures.NOW), backfill=True)
+    assert sum("url" in names and "key" not in names for names in written) == 1
+    assert {r["key"] for r in every.opportunities.collect()} == {"alpha|v-aj1-8.5|42", "boxes|v-falcon"}
+    assert {r["product_id"] for r in every.watch.collect()} == {"p-aj1", "p-campus", "p-falcon", "p-ps5"}
+
+
+def test_offers_are_those_of_the_view(spark, tmp_path):
+    """Grouped as numbers: odd discounts and prices, lines and parts that come twice, no shop."""
+    from spreadlake.checks import scan_checks, views as v
+
+    nan = float("nan")
+    parts = [(1, "a b", "Brand#1", "X", 100.0), (1, "a b", "Brand#1", "X", 100.0), (2, "c", "Brand#2", "Y", -50.0),
+             (3, "d", "Brand#3", "Z", None), (4, None, None, None, 10.0), (4, "other", "Brand#4", "X", 20.0)]
+    lines = [(p, s, n, d, "O" if o % 2 else "F", o) for o, (p, s, n, d) in enumerate([
+        (1, 1, 1, 0.1), (1, 1, 1, 0.1), (1, 1, 2, nan), (1, 12, 2, 0.3), (1, 2, 1, nan), (2, 1, 1, 0.0), (2, 1, 3, 0.4),
+        (2, 3, 3, None), (3, 1, 1, 0.2), (4, 5, 1, 0.2), (4, 5, None, 0.0), (1, None, 1, 0.9), (None, 1, 1, 0.9), (9, 1, 1, 0.0)])]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double").withColumn(
+        "p_size", F.lit(1)).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(
+        lines, "l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_linestatus string, l_orderkey long"
+    ).withColumns({"l_tax": F.lit(0.0), "l_quantity": F.lit(1.0), "l_shipdate": F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(l_orderkey AS int))")}
+                  ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    labels = v.listing(spark, str(tmp_path)).groupBy("retailer", "url", "size_label").agg(F.bool_or("in_stock").alias("s")).groupBy(
+        "retailer", "url").agg(F.array_sort(F.collect_list(F.struct("size_label", "s"))).alias("sizes"))
+    want = v.offer(spark, str(tmp_path)).drop("product_id", "style_code").join(labels, ["retailer", "url"])
+    got = scan_checks.offers(spark, str(tmp_path))
+    assert got.columns == [c for c in want.columns if c != "sizes"] + ["sizes"]
+
+    def told(rows):
+        return sorted(repr([[(s[0], s[-1]) for s in x] if isinstance(x, list) else x for x in r]) for r in rows.select(*got.columns).collect())
+
+    assert told(got) == told(want) and got.count() > 6
+    # sizes and offers come of one reading of the lines
+    # lines are joined with parts once, not for offers and for sizes, and both together
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
