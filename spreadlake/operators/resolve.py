@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import style, text
 from spreadlake.functions.binding import evaluated_once
-from spreadlake.operators.skew import lookup_join
+from spreadlake.operators.skew import BROADCAST_ROWS, lookup_join
 from spreadlake.session import materialize
 
 PRODUCT = ("product_id", "style_id", "title", "brand", "url_key")
@@ -133,6 +133,13 @@ def spread_postings(postings: DataFrame, probes: DataFrame, holders: DataFrame,
     return dealt.repartition(tasks, *keys, "part"), repeated
 
 
+def _asked(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows whose (fuzzy_brand, token) is among `tokens`, before they are shuffled, where
+    those are few enough to be sent to all tasks; all rows otherwise, which the join sorts out."""
+    some = materialize(tokens.select("fuzzy_brand", "token").distinct())
+    return rows.join(F.broadcast(some), ["fuzzy_brand", "token"], "left_semi") if some.count() <= BROADCAST_ROWS else rows
+
+
 def match_names(names: DataFrame, catalog: DataFrame, split: int = SPLIT_HOLDERS) -> DataFrame:
     """Fuzzy match of (brand, name): the catalog brand is the first word of the
     retail brand and the title covers at least 60 % of the name's tokens; the
@@ -141,8 +148,8 @@ def match_names(names: DataFrame, catalog: DataFrame, split: int = SPLIT_HOLDERS
     A title that covers m of n tokens must hold one of any n - m + 1 of them, so
     only the rarest n - m + 1 tokens of a name are joined with the catalog. Bit maps
     of the token sets tell at once of most pairs that too many tokens differ; only the
-    others are verified on the whole sets. Postings of a token that many titles of a brand
-    hold are dealt over several join keys. Equal names, and catalog products with equal
+    others are verified on the whole sets. Postings of tokens that no name asks for are not
+    shuffled, and those of a token that many titles of a brand hold are dealt over several join keys. Equal names, and catalog products with equal
     brand and tokens, are handled once.
     """
     # both sides are used several times, and cutting text into words is the
@@ -170,12 +177,11 @@ def match_names(names: DataFrame, catalog: DataFrame, split: int = SPLIT_HOLDERS
     postings = have.select(
         "fuzzy_brand", "at", F.when(n_got <= INLINE_TOKENS, F.col("got")).alias("got"), n_got.alias("n_got"), "got_map",
         F.explode("got").alias("token"))
-    holders = have.select("fuzzy_brand", F.explode("got").alias("token")).groupBy("fuzzy_brand", "token").agg(
-        F.count(F.lit(1)).alias("holders"))
-    scored = lookup_join(
-        sets.select("fuzzy_brand", "want", "want_map", "at_least", F.explode("want").alias("token")),
-        holders, ["fuzzy_brand", "token"],
-    )
+    wants = sets.select("fuzzy_brand", "want", "want_map", "at_least", F.explode("want").alias("token"))
+    # counted once: they order the tokens of a name and deal out the postings
+    holders = materialize(_asked(have.select("fuzzy_brand", F.explode("got").alias("token")), wants).groupBy("fuzzy_brand", "token").agg(
+        F.count(F.lit(1)).alias("holders")))
+    scored = lookup_join(wants, holders, ["fuzzy_brand", "token"])
     by = F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("n"), "token"))).alias("by")
     rarest = (
         scored.groupBy("fuzzy_brand", "want", "want_map", "at_least").agg(by)
@@ -186,7 +192,8 @@ def match_names(names: DataFrame, catalog: DataFrame, split: int = SPLIT_HOLDERS
         .filter(F.col("p.n") > 0)
         .select("fuzzy_brand", "want", "want_map", "at_least", F.col("p.token").alias("token"))
     )
-    dealt, probes = spread_postings(postings, rarest, holders, split)
+    rarest = materialize(rarest)
+    dealt, probes = spread_postings(_asked(postings, rarest), rarest, holders, split)
     near = (F.col("n_got") >= F.col("at_least")) & (
         surely_missing("want_map", "got_map") <= F.size("want") - F.col("at_least"))
     covers = F.size(F.array_intersect("want", "got")) >= F.col("at_least")

@@ -78,6 +78,30 @@ def test_fuzzy_equals_brute_force(spark, inline, monkeypatch):
     assert {(r.brand, r.name): r.hit.product_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("sent", [resolve.BROADCAST_ROWS, 0])
+def test_postings_no_name_asks_for_are_not_shuffled(spark, monkeypatch, sent):
+    catalog = [(f"p{i}", "", " ".join(f"w{(7 * i + k) % 400}" for k in range(12)), "Nike" if i % 2 else "Vans") for i in range(200)]
+    asked = [("Nike", "w3 w4 w5 w6 w7"), ("Vans", "w20 w21 nowhere"), ("Nike", "w1 w200 w399")]
+    dealt, plain = [], resolve.spread_postings
+
+    def kept(postings, probes, holders, split):
+        dealt.append(({(r["fuzzy_brand"], r["token"]) for r in postings.collect()}, {(r["fuzzy_brand"], r["token"]) for r in probes.collect()}))
+        return plain(postings, probes, holders, split)
+
+    monkeypatch.setattr(resolve, "spread_postings", kept)
+    monkeypatch.setattr(resolve, "BROADCAST_ROWS", sent)
+    got = resolve.match_names(spark.createDataFrame(asked, "brand string, name string"), _catalog(spark, catalog))
+    want = {}
+    for brand, name in asked:
+        words = set(name.split())
+        for p, _, title, b in catalog:
+            if b == brand and len(words & set(title.split())) / len(words) >= 0.6:
+                want.setdefault((brand, name), p)
+    assert want and {(r["brand"], r["name"]): r["hit"]["product_id"] for r in got.collect()} == want
+    postings, probes = dealt[0]
+    assert postings <= probes if sent else len(postings) > 300
+
+
 def test_a_token_that_most_titles_hold_is_dealt_over_all_tasks(spark):
     postings = spark.range(6000).selectExpr(
         "'b' AS fuzzy_brand", "CASE WHEN id % 10 < 9 THEN 'common' ELSE concat('t', id) END AS token", "struct(id AS ordinal, 'p' AS product_id) AS at")
